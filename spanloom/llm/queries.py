@@ -12,6 +12,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import round_trip
+
+    return round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "status")
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontamination import benchmark_hits
 
@@ -27,6 +33,13 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import stored, with_payload_features
+
+    rows = with_payload_features(stored(_table(spark, sf_dir, "documents")))
+    return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -51,7 +64,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontamination, op5_simhash, op8_packing, op10_token_counts)}
+    return {f.__name__: f for f in (op1_warc, op2_decontamination, op3_media, op5_simhash, op8_packing, op10_token_counts)}
 
 
 #: Words of op2 by DuckDB: A-Z folded, ASCII other than digits and letters as separators.
@@ -74,5 +87,15 @@ from d left join words on d.r = words.r left join items on d.r = items.r
 """
 
 
+OP1_SQL = """
+with p as (select page_id, encode(coalesce(html, '')) as x, sha256(encode(coalesce(html, ''))) as digest from pages),
+f as (select digest, min(page_id) as first from p where octet_length(x) >= 100 group by digest)
+select p.page_id, octet_length(p.x) as payload_bytes, p.digest as payload_digest,
+       case when f.first < p.page_id then 'revisit' else 'response' end as record_type,
+       case when f.first < p.page_id then f.first end as refers_to, 'ok' as status
+from p left join f on p.digest = f.digest and octet_length(p.x) >= 100
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL}
+    return {"op1_warc": OP1_SQL, "op2_decontamination": OP2_SQL}
