@@ -55,6 +55,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), tok.path("byte_bpe_50k.json"), tok.path("byte_bpe_50k.tiktoken"), tok.PATTERN, {"<|endoftext|>": 50256})
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as tok
 
@@ -64,7 +70,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_decontamination, op3_media, op5_simhash, op8_packing, op10_token_counts)}
+    return {f.__name__: f for f in (op1_warc, op2_decontamination, op3_media, op5_simhash, op8_packing, op9_toxicity, op10_token_counts)}
 
 
 #: Words of op2 by DuckDB: A-Z folded, ASCII other than digits and letters as separators.
