@@ -40,6 +40,14 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_model import score
+
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
+    scored = score(_table(spark, sf_dir, "documents"), ~held_out)
+    return scored.select("doc_id", (~F.col("learnt")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -70,7 +78,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_decontamination, op3_media, op5_simhash, op8_packing, op9_toxicity, op10_token_counts)}
+    return {f.__name__: f for f in (op1_warc, op2_decontamination, op3_media, op4_lm, op5_simhash, op8_packing, op9_toxicity, op10_token_counts)}
 
 
 #: Words of op2 by DuckDB: A-Z folded, ASCII other than digits and letters as separators.
