@@ -55,6 +55,22 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .native_spans import count_of, joined
+    from .secrets import BASE, secret_spans
+
+    found = secret_spans(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *(count_of("base", k.name).alias(f"n_{k.name}") for k in BASE), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .native_spans import count_of, joined
+    from .pii import BASE, personal_spans
+
+    found = personal_spans(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *(count_of("base", k.name).alias(f"n_{k.name}") for k in BASE), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as tok
 
@@ -78,7 +94,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_decontamination, op3_media, op4_lm, op5_simhash, op8_packing, op9_toxicity, op10_token_counts)}
+    return {f.__name__: f for f in (op1_warc, op2_decontamination, op3_media, op4_lm, op5_simhash, op6_secrets, op7_pii, op8_packing, op9_toxicity, op10_token_counts)}
 
 
 #: Words of op2 by DuckDB: A-Z folded, ASCII other than digits and letters as separators.

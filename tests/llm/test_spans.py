@@ -1,0 +1,126 @@
+"""Native span finding against Python's re; linking and classification on planted cases."""
+
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from spanloom.llm import pii, secrets
+from spanloom.llm.native_spans import joined
+
+ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+EMAIL, IP = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD, PHONE = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def luhn(v):
+    d = [int(c) for c in v if c.isdigit()][::-1]
+    return sum(x if k % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for k, x in enumerate(d)) % 10 == 0
+
+
+def digits(v):
+    return sum(c.isdigit() for c in v)
+
+
+SECRETS = [
+    ("assign", ASSIGN, lambda m: len(m[2]) >= 6),
+    ("access", re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20),
+    ("hex", re.compile(r"[0-9a-f]+"), lambda m: len(m[0]) >= 24),
+]
+PERSONAL = [
+    ("email", EMAIL, lambda m: True),
+    ("ip", IP, lambda m: all(int(p) <= 255 for p in m[0].split("."))),
+    ("card", CARD, lambda m: 12 <= digits(m[0]) <= 19 and luhn(m[0])),
+    ("phone", PHONE, lambda m: 9 <= digits(m[0]) <= 15),
+]
+
+
+def slow(text, kinds):
+    out = [(m.start(), k, name, m.end()) for k, (name, p, ok) in enumerate(kinds) for m in p.finditer(text or "") if ok(m)]
+    return ",".join(f"{n}:{s}:{e}" for s, _, n, e in sorted(out))
+
+
+PIECES = {
+    "secrets": ["password", "Token", "api_key", "APIKEY", " ", "=", ":", '"', "'", "abcdef", "abc", "==", "AKIA", "ABCDEFGH12345678", "0123456789abcdef", "deadbeefdeadbeef", "é", "🙂", "\n", "_", "secret: token: abcdefgh", "x"],
+    "personal": ["a", "@", ".", "b.c", "_d", "é", "🙂", " ", "-", "+", "1", "22", "333", "0255", "256", "10.0.0.1", "4111 1111 1111 1111", "5500-0000-0000-0004", "+49 (30) 1234-567", "x@y.z", "\n", "(", ")", "000", "49927398716"],
+}
+
+
+def rows_of(name, n=300):
+    rng = random.Random(name)
+    texts = ["".join(rng.choices(PIECES[name], k=rng.randint(0, 40))) for _ in range(n)]
+    return [(k, t, 1, "x") for k, t in enumerate(texts)] + [(None, None, 1, "x"), (None, "", 1, "x"), (1, texts[1], 1, "x"), (1, texts[2], 1, "x")]
+
+
+@pytest.mark.parametrize("name, found, kinds", [("secrets", secrets.secret_spans, SECRETS), ("personal", pii.personal_spans, PERSONAL)])
+def test_base(spark, name, found, kinds):
+    rows = rows_of(name)
+    long = {"secrets": "token = abcdefgh\n" * 5000 + "a" * 100_000, "personal": "a.b@c.de +49 30 1234567, " * 5000 + "a" * 100_000 + "1" * 100_000}[name]
+    rows += [(9000, long, 1, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, base int, spans string")
+    got = found(docs).select("doc_id", joined("base").alias("base"), joined("spans").alias("all")).collect()
+    assert sorted(((r.doc_id, r.base) for r in got), key=str) == sorted(((i, slow(t, kinds)) for i, t, *_ in rows), key=str)
+    assert all(set(filter(None, r.base.split(","))) <= set(r["all"].split(",")) for r in got)
+    assert found(docs.limit(0)).count() == 0
+
+
+def spans_in(spark, found, texts):
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    return [[(s.kind, texts[r.doc_id][s.start : s.end]) for s in r.spans] for r in found(docs).orderBy("doc_id").collect()]
+
+
+def test_linking(spark):
+    blob = "Zm9vYmFyYmF6cXV4Zm9vYmFyYmF6cXV4MTIzNDU2"
+    far = " lorem" * 100
+    got = spans_in(
+        spark,
+        secrets.secret_spans,
+        [
+            "user: alice\npassword: hunter22x",
+            "user: alice only",
+            f"see https://db.example.com/x and {blob}",
+            f"just {blob}",
+            f"user: alice{far}password: hunter22x",
+            "token = https://x.example/abcdef?y",
+        ],
+    )
+    assert got[0] == [("user", "user: alice"), ("assign", "password: hunter22x")]
+    assert got[1] == [] and got[3] == []
+    assert got[2] == [("endpoint", "https://db.example.com/x"), ("blob", blob)]
+    assert got[4] == [("assign", "password: hunter22x")]
+    assert all(k == "assign" for k, _ in got[5])
+
+
+def test_weak_supervision(spark):
+    rng = random.Random(2)
+    num = lambda: f"({rng.randint(200, 989)}) {rng.randint(200, 989)}-{rng.randint(1000, 9999)}"
+    texts = [f"please call phone {num()} today" for _ in range(60)] + [f"total of {rng.randint(10**7, 10**8)} units" for _ in range(200)]
+    texts += ["born: Mr. John Smith of Rome", "write email to jane (at) gmail (dot) com please", "version 2024.123.456.789"]
+    got = spans_in(spark, pii.personal_spans, texts)
+    assert all([k for k, _ in g] == ["number"] for g in got[:60])
+    assert not any(got[60:260]) and got[260] == [("name", "Mr. John Smith")] and got[261] == [("address", "jane (at) gmail (dot) com")]
+
+
+def test_reliabilities():
+    """EM finds which labelers can be trusted from votes alone."""
+    rng = random.Random(3)
+    counts = {}
+    for _ in range(20000):
+        true = rng.random() < 0.4
+        votes = (1 if true == (rng.random() < 0.95) else -1, int(rng.random() < (0.8 if true else 0.1)), int(rng.random() < (0.7 if true else 0.05)), 0)
+        counts["number", votes] = counts.get(("number", votes), 0) + 1
+    model = pii.fit([(k, v, n) for (k, v), n in counts.items()])
+    wrong, right = model.reliability["number", "form"][1]
+    assert abs(right - 0.95) < 0.03 and abs(wrong - 0.05) < 0.03
+
+
+def test_mask(spark):
+    texts = ["mail a.b@c.de or +49 30 1234567 at 10.0.0.1, card 4111 1111 1111 1111.", None, "", "plain text, 10.0.0.999", "call phone (212) 555-1234 now"]
+    docs = spark.createDataFrame([(k, t, 7) for k, t in enumerate(texts)], "doc_id long, text string, n_chars int")
+    out = pii.mask(docs)
+    assert out.columns == docs.columns
+    got = [r.text for r in out.orderBy("doc_id").collect()]
+    assert got[:4] == ["mail <EMAIL> or <PHONE> at <IP>, card <CARD>.", None, "", "plain text, 10.0.0.999"]
+    assert got[4] == "call phone <NUMBER> now"
+    assert out.where(F.col("n_chars") == 7).count() == 5
