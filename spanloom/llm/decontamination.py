@@ -19,6 +19,7 @@ from __future__ import annotations
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -176,6 +177,14 @@ def _merge_blocks(blocks: list[DataFrame]) -> DataFrame:
     return merged.select("doc_id", "n_words", "spans", "item_ids", copies.alias("_copy")).drop("_copy")
 
 
+def _blocks_of(benchmark: DataFrame, block_bytes: int):
+    """(number of blocks, function that fetches block b's items from the cluster)."""
+    items = benchmark.select(benchmark["item_id"].cast("string").alias("item"), benchmark["text"].cast("binary").alias("words")).where("item is not null and words is not null")
+    size = items.agg(F.sum(F.octet_length("words"))).first()[0] or 0
+    n = max(1, -(-size // block_bytes))
+    return n, lambda b: [(r.item, bytes(r.words)) for r in items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == b).collect()]
+
+
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, covered word ``spans`` and ``item_ids`` found.
 
@@ -183,20 +192,42 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     nothing; repeated items count once by id; repeated documents are separate
     rows; an empty benchmark hits nothing; extra columns are ignored.
     """
-    rows = docs.select("doc_id", docs["text"].cast("binary").alias("_text"))
-    items = benchmark.select(benchmark["item_id"].cast("string").alias("item"), benchmark["text"].cast("binary").alias("words")).where("item is not null and words is not null")
-    size = items.agg(F.sum(F.octet_length("words"))).first()[0] or 0
-    n_blocks = max(1, -(-size // block_bytes))
-    take = lambda b: [(r.item, bytes(r.words)) for r in items.where(F.pmod(F.xxhash64("item"), F.lit(n_blocks)) == b).collect()]
+    n_blocks, take = _blocks_of(benchmark, block_bytes)
     if n_blocks == 1:
-        return _block_hits(rows, take(0), window, shingle)
-    digest = F.sha2("_text", 256).alias("_digest")
-    keyed = rows.select(F.struct("doc_id", F.coalesce(digest, F.lit("")).alias("d")).alias("doc_id"), "_text")
-    blocks = [_block_hits(keyed, take(b), window, shingle).select("doc_id.doc_id", F.col("doc_id.d").alias("_digest"), "n_words", "spans", "item_ids") for b in range(n_blocks)]
-    return _merge_blocks(blocks)
+        return _block_hits(docs.select("doc_id", docs["text"].cast("binary").alias("_text")), take(0), window, shingle)
+    return _merge_blocks([_keyed_hits(docs, take(b), window, shingle) for b in range(n_blocks)])
+
+
+def _keyed_hits(docs: DataFrame, items: list[tuple[str, bytes]], window: int, shingle: int) -> DataFrame:
+    """``_block_hits`` with the text's digest, so that rows can be met again."""
+    key = F.struct("doc_id", _digest(docs["text"]).alias("d")).alias("doc_id")
+    hits = _block_hits(docs.select(key, docs["text"].cast("binary").alias("_text")), items, window, shingle)
+    return hits.select("doc_id.doc_id", F.col("doc_id.d").alias("_digest"), "n_words", "spans", "item_ids")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without the documents in which any benchmark window occurs; same columns."""
-    hits = benchmark_hits(docs, benchmark, **options).where("size(spans) > 0").select("doc_id").distinct()
-    return docs.join(hits, docs["doc_id"].eqNullSafe(hits["doc_id"]), "left_anti")
+def _digest(text):
+    return F.coalesce(F.sha2(text.cast("binary"), 256), F.lit(""))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` without the documents in which any benchmark window occurs; same columns.
+
+    A benchmark of one block filters in one pass over the documents; one of
+    more blocks unites what its blocks hit and drops those rows in a join.
+    """
+    n_blocks, take = _blocks_of(benchmark, block_bytes)
+    if n_blocks > 1:
+        found = [_keyed_hits(docs, take(b), window, shingle).where("size(spans) > 0").select(F.col("doc_id").alias("_i"), "_digest") for b in range(n_blocks)]
+        hits = reduce(DataFrame.unionByName, found).distinct()
+        return docs.join(hits, docs["doc_id"].eqNullSafe(hits["_i"]) & (_digest(docs["text"]) == hits["_digest"]), "left_anti")
+    items = take(0)
+    counts = _count_shingles(docs.select("doc_id", docs["text"].cast("binary").alias("_text")), items, window, shingle)
+    token, sent = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast((items, counts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = _once(token, lambda: PrefixIndex(*sent.value, window, shingle))
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text"))
+            yield batch.filter(pa.array([not index.find(fold_words((v.as_py() or "").encode()))[0] for v in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
