@@ -47,18 +47,23 @@ def phrases(docs: DataFrame, postings: DataFrame, wanted: DataFrame, key: str =
     return hits.unionByName(begun).unionByName(placed)
 
 
+def bm25_scores(docs: DataFrame, found: DataFrame, key: str = "path") -> DataFrame:
+    """(query_id, key, score, have): summed weights of the phrases found, and how many they are."""
+    stats = docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
+    n, avgdl = float(stats.n or 0), float(stats.avgdl or 1)
+    df = found.groupBy("query_id", "phrase_ord").agg(F.countDistinct(key).alias("df"))
+    idf = F.greatest(F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
+    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl)))
+    return found.join(df, ["query_id", "phrase_ord"]).join(docs.select(key, "dl"), key).groupBy("query_id", key).agg((-F.sum(weight)).alias("score"), F.count("*").alias("have"))
+
+
 def bm25(docs: DataFrame, found: DataFrame, need: DataFrame | None, most: int, key: str = "path") -> DataFrame:
     """(query_id, key, score, rank) of the best ``most`` documents of each query.
 
     ``need``: (query_id, need) phrases that a document must have; all of them
     for AND, one for OR.  Ties go by key.
     """
-    stats = docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
-    n, avgdl = float(stats.n or 0), float(stats.avgdl or 1)
-    df = found.groupBy("query_id", "phrase_ord").agg(F.countDistinct(key).alias("df"))
-    idf = F.greatest(F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl)))
-    summed = found.join(df, ["query_id", "phrase_ord"]).join(docs.select(key, "dl"), key).groupBy("query_id", key).agg((-F.sum(weight)).alias("score"), F.count("*").alias("have"))
+    summed = bm25_scores(docs, found, key)
     if need is not None:
         summed = summed.join(need, "query_id").where("have >= need")
     w = Window.partitionBy("query_id").orderBy(F.round("score", 9), key)
@@ -82,3 +87,21 @@ def ordered_union(parts: list[DataFrame], most: int, key: str = "path") -> DataF
     rank = Window.partitionBy("query_id").orderBy("_part", "_rank", key)
     first = both.withColumn("_n", F.row_number().over(once)).where("_n = 1")
     return first.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= most).select("query_id", key, "rank")
+
+
+def search_expressions(docs: DataFrame, postings: DataFrame, wanted: DataFrame, most: int, key: str = "path") -> DataFrame:
+    """BM25 hits of expressions: ``wanted`` has query_id, phrase_ord, toks, prefix, group and negated.
+
+    A document answers if it has all phrases of some group and none that the
+    group negates; every phrase it has that is not negated adds to its score.
+    """
+    empty = wanted.where("size(toks) > 0")
+    found = phrases(docs, postings, empty.select("query_id", "phrase_ord", "toks", "prefix"), key)
+    sides = found.join(empty.select("query_id", "phrase_ord", "group", "negated"), ["query_id", "phrase_ord"])
+    need = empty.groupBy("query_id", "group").agg(F.count_if(~F.col("negated")).alias("need"))
+    having = sides.groupBy("query_id", "group", key).agg(F.count_if(~F.col("negated")).alias("have"), F.count_if("negated").alias("bad"))
+    answers = having.join(need, ["query_id", "group"]).where("have = need and bad = 0 and need > 0").select("query_id", key).distinct()
+    good = sides.where("not negated").select("query_id", "phrase_ord", key, "tf")
+    stats_found = bm25_scores(docs, good, key)
+    w = Window.partitionBy("query_id").orderBy(F.round("score", 9), key)
+    return stats_found.join(answers, ["query_id", key], "left_semi").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("query_id", key, "score", "rank")

@@ -15,13 +15,17 @@ def touching(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return out.unionByName(into)
 
 
-def neighbors(edges: DataFrame, seeds: DataFrame, per_seed: int, most: int) -> DataFrame:
+def neighbors(edges: DataFrame, seeds: DataFrame, per_seed: int, most: int, kind: str | None = None) -> DataFrame:
     """Each query's neighbours: (query_id, other, and the edge that led there), surer edges first, each once, at most ``most``.
 
-    Edges between two seeds lead nowhere new.  ``edges``: src, dst, kind, confidence, ord.
+    Edges between two seeds lead nowhere new.  ``kind`` is looked at after each
+    seed's first ``per_seed`` edges are taken.  ``edges``: src, dst, kind,
+    confidence, ord.
     """
     w = Window.partitionBy("query_id", "seed_ord").orderBy("ord", "src", "dst", "kind")
     near = touching(edges, seeds).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= per_seed).drop("_n")
+    if kind is not None:
+        near = near.where(F.col("kind") == kind)
     known = seeds.select("query_id", F.col("id"))
     src, dst = known.withColumnsRenamed({"id": "src"}).withColumn("_s", F.lit(True)), known.withColumnsRenamed({"id": "dst"}).withColumn("_d", F.lit(True))
     sided = near.join(src, ["query_id", "src"], "left").join(dst, ["query_id", "dst"], "left")

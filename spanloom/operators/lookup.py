@@ -38,10 +38,14 @@ def in_path(symbols: DataFrame, paths: DataFrame, most: int) -> DataFrame:
 def tagged(symbols: DataFrame, terms: DataFrame, most: int) -> DataFrame:
     """For each query its first ``most`` symbols: by term, exact ones before prefixes, each symbol once.
 
-    ``terms``: query_id, term_ord, term.  Adds hit_ord and exact.
+    ``terms``: query_id, term_ord, term, and perhaps exact_only for terms that
+    are no prefixes.  Adds hit_ord and exact.
     """
     terms = terms.where("term <> ''")
-    both = exact(symbols, terms).withColumn("_phase", F.lit(0)).unionByName(prefix(symbols, terms).withColumn("_phase", F.lit(1)))
+    begins = terms
+    if "exact_only" in terms.columns:
+        terms, begins = terms.drop("exact_only"), terms.where("not exact_only").drop("exact_only")
+    both = exact(symbols, terms).withColumn("_phase", F.lit(0)).unionByName(prefix(symbols, begins).withColumn("_phase", F.lit(1)))
     once = Window.partitionBy("query_id", "symbol_id").orderBy("term_ord", "_phase")
     by = Window.partitionBy("query_id").orderBy("term_ord", "_phase", "path", "ord")
     found = both.withColumn("_n", F.row_number().over(once)).where("_n = 1").withColumn("hit_ord", F.row_number().over(by)).where(F.col("hit_ord") <= most)
