@@ -37,14 +37,12 @@ class Index:
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """A small intermediate result, computed once: caps bound it for each question.
+    """A small intermediate result as data of its own: the caps bound its rows for each question.
 
     Later steps use it many times; without this their plans would be copies of
     everything before, and planning would take longer than running.
     """
-    df = df.persist()
-    df.count()
-    return df
+    return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
 
 
 def planned(spark: SparkSession, questions: list[tuple[int, str, int]]) -> tuple[DataFrame, DataFrame]:

