@@ -7,8 +7,11 @@ those documents' token lists are then searched.  Lower ranks are better.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from ..functions.text import tokens
 
@@ -16,12 +19,25 @@ from ..functions.text import tokens
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 
-def index(files: DataFrame, key: str = "path", columns: tuple[str, ...] = ("path", "content")) -> tuple[DataFrame, DataFrame]:
-    """(docs, postings) of ``files``: docs has key, toks and dl; postings key, term and tf."""
+def index(files: DataFrame, key: str = "path", columns: tuple[str, ...] = ("path", "content"), terms: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(docs, postings) of ``files``: docs has key, toks and dl; postings key, term and tf.
+
+    ``terms`` (column term): for searches without a stored index, the only
+    terms that are wanted; others are dropped before anything is shuffled.
+    """
     text = F.concat_ws("\n", *(F.col(c).cast("string") for c in columns))
     docs = files.select(key, tokens(text).alias("toks")).withColumn("dl", F.size("toks"))
-    postings = docs.select(key, F.explode("toks").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-    return docs, postings
+    each = docs.select(key, F.explode("toks").alias("term"))
+    if terms is not None:
+        each = each.join(terms.select("term").distinct(), "term", "left_semi")
+    return docs, each.groupBy(key, "term").agg(F.count("*").alias("tf"))
+
+
+def local(spark: SparkSession, ddl: str, rows: list[tuple]) -> DataFrame:
+    """A few rows as a local relation, so that what comes to nothing is planned away."""
+    schema = StructType.fromDDL(ddl)
+    arrow = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema])
+    return spark.createDataFrame(pa.Table.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=arrow), schema)
 
 
 def phrases(docs: DataFrame, postings: DataFrame, wanted: DataFrame, key: str = "path") -> DataFrame:

@@ -49,9 +49,9 @@ def planned(spark: SparkSession, questions: list[tuple[int, str, int]]) -> tuple
     """(questions, phrases) as tables: questions with their terms, phrases of each text search."""
     plans = [(q, text, budget, plan_query(text)) for q, text, budget in questions]
     ddl = "query_id int, query string, budget int, symbol_terms array<string>, path_hints array<string>, words array<string>, terms array<string>"
-    q = spark.createDataFrame([(i, t, b, p.symbol_terms, p.path_hints, p.words, p.terms) for i, t, b, p in plans], ddl)
+    q = fulltext.local(spark, ddl, [(i, t, b, p.symbol_terms, p.path_hints, p.words, p.terms) for i, t, b, p in plans])
     rows = [(i, order, k, e.text, e.prefix, e.group, e.negated) for i, _, _, p in plans for order, es in searches(p) for k, e in enumerate(es)]
-    phrases = spark.createDataFrame(rows, "query_id int, search_ord int, phrase_ord int, text string, prefix boolean, group int, negated boolean")
+    phrases = fulltext.local(spark, "query_id int, search_ord int, phrase_ord int, text string, prefix boolean, group int, negated boolean", rows)
     return q, phrases.withColumn("toks", T.tokens(F.col("text")))
 
 

@@ -25,7 +25,7 @@ def query(sql: str):
 
 
 def rows(t: Tables, ddl: str, values: list[tuple]) -> DataFrame:
-    return t.spark.createDataFrame(values, ddl)
+    return fulltext.local(t.spark, ddl, values)
 
 
 def values_sql(name: str, columns: str, values: list[tuple]) -> str:
@@ -230,8 +230,13 @@ def _found(found: str, having: str = "") -> str:
     hits as (select query_id, doc_id, score, row_number() over (partition by query_id order by round(score, 9), doc_id) as rank from summed {having})"""
 
 
-def _index(t: Tables) -> tuple[DataFrame, DataFrame]:
-    return fulltext.index(t.documents, "doc_id", ("text",))
+def _index(t: Tables, wanted: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """An index of documents; of the wanted phrases' terms only, if given."""
+    return fulltext.index(t.documents, "doc_id", ("text",), _terms_of(wanted) if wanted is not None else None)
+
+
+def _terms_of(wanted: DataFrame) -> DataFrame:
+    return wanted.select(F.explode("toks").alias("term"))
 
 
 WORDS = [(1, ["anat", "erin"]), (2, ["tion", "thly", "with"]), (3, ["achch"]), (4, ["nosuchword", "the"]), (5, ["résh", "erst"])]
@@ -256,7 +261,8 @@ def fts_tokens_df(t: Tables) -> DataFrame:
 @query(f"""with {_POSTINGS}, {_STATS}, {_WORDS}, found as (select query_id, phrase_ord, doc_id, tf from postings join w on term = strip_accents(lower(word))),
 {_found("found", "where have = (select count(*) from w where w.query_id = summed.query_id)")} select query_id, doc_id, rank, round(score, 6) as score from hits where rank <= 30""")
 def fts_bm25_and_topk(t: Tables) -> DataFrame:
-    found = fulltext.search(*_index(t), _wanted(t, WORDS, True), False, 30, "doc_id")
+    wanted = _wanted(t, WORDS, True)
+    found = fulltext.search(*_index(t, wanted), wanted, False, 30, "doc_id")
     return found.select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
@@ -267,8 +273,8 @@ both_ as (select query_id, doc_id, 0 as part, rank from strict where rank <= 30
 once as (select * from both_ qualify row_number() over (partition by query_id, doc_id order by part, rank) = 1)
 select query_id, doc_id, row_number() over (partition by query_id order by part, rank) as rank from once qualify row_number() over (partition by query_id order by part, rank) <= 30""")
 def fts_or_fallback_union(t: Tables) -> DataFrame:
-    docs, postings = _index(t)
     wanted = _wanted(t, WORDS, True)
+    docs, postings = _index(t, wanted)
     return fulltext.ordered_union([fulltext.search(docs, postings, wanted, any_of, 30, "doc_id") for any_of in (False, True)], 30, "doc_id")
 
 
@@ -276,7 +282,8 @@ def fts_or_fallback_union(t: Tables) -> DataFrame:
 found as (select query_id, 0 as phrase_ord, doc_id, len(list_filter(range(1, dl - len(phrase) + 2), lambda i: toks[i : i + len(phrase) - 1] = phrase)) as tf from d join p on list_has_all(toks, phrase)),
 real as (select * from found where tf > 0), {_found("real")} select query_id, doc_id, rank, round(score, 6) as score from hits where rank <= 30""")
 def fts_phrase(t: Tables) -> DataFrame:
-    found = fulltext.search(*_index(t), _wanted(t, PHRASES, False), False, 30, "doc_id")
+    wanted = _wanted(t, PHRASES, False)
+    found = fulltext.search(*_index(t, wanted), wanted, False, 30, "doc_id")
     return found.select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
@@ -293,8 +300,8 @@ each_ as (select query_id // 10 as query_id, doc_id, query_id % 10 as part, rank
 once as (select * from each_ qualify row_number() over (partition by query_id, doc_id order by part, rank) = 1)
 select query_id, doc_id, row_number() over (partition by query_id order by part, rank) as rank from once qualify row_number() over (partition by query_id order by part, rank) <= 30""")
 def fts_multi_term_union_cap(t: Tables) -> DataFrame:
-    docs, postings = _index(t)
     wanted = _wanted(t, WORDS, True)
+    docs, postings = _index(t, wanted)
     each = fulltext.search(docs, postings, wanted.withColumn("query_id", F.col("query_id") * 10 + F.col("phrase_ord")), False, 30, "doc_id")
     parts = [each.where(F.col("query_id") % 10 == k).withColumn("query_id", F.floor(F.col("query_id") / 10).cast("int")) for k in range(max(len(w) for _, w in WORDS))]
     return fulltext.ordered_union(parts, 30, "doc_id")
@@ -306,7 +313,7 @@ def batch_queries_topk(t: Tables) -> DataFrame:
     words = t.benchmark.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("word"))
     ord_ = F.row_number().over(Window.partitionBy("query_id").orderBy("word"))
     wanted = words.select("query_id", ord_.alias("phrase_ord"), F.array("word").alias("toks"), F.lit(False).alias("prefix"))
-    return fulltext.search(*_index(t), wanted, True, 5, "doc_id").select("query_id", "doc_id", "rank", F.round("score", 5).alias("score"))
+    return fulltext.search(*_index(t, wanted), wanted, True, 5, "doc_id").select("query_id", "doc_id", "rank", F.round("score", 5).alias("score"))
 
 
 @query(f"""with {FILES}, f as (select *, string_split(path, '/')[-1] as name from files), kept as (select path, content from (select *, {_SKIP_SQL} as skip from f) where skip = 'keep'),
@@ -318,7 +325,8 @@ select query_id, doc_id as path, rank, round(score, 6) as score from hits where
 def search_code_end_to_end(t: Tables) -> DataFrame:
     """Flagship: scan, skip rules, postings over path and content, AND match, BM25, best 20."""
     kept = t.files().where(T.skip_kind(F.col("path"), F.col("content"), F.col("size")) == "keep")
-    found = fulltext.search(*fulltext.index(kept), _wanted(t, WORDS, True), False, 20)
+    wanted = _wanted(t, WORDS, True)
+    found = fulltext.search(*fulltext.index(kept, terms=_terms_of(wanted)), wanted, False, 20)
     return found.select("query_id", "path", "rank", F.round("score", 6).alias("score"))
 
 
