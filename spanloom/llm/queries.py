@@ -127,5 +127,49 @@ from p left join f on p.digest = f.digest and octet_length(p.x) >= 100
 """
 
 
+def _any_case(word: str) -> str:
+    """A pattern of ``word`` with its letters in either case, ASCII only."""
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+def _secret_patterns() -> list[tuple[str, str, int, str]]:
+    """(kind, DuckDB pattern, group, condition on the match ``v`` and the group ``g``) in order of rank."""
+    keys = "|".join(map(_any_case, ("password", "passwd", "secret", "token", "api_?key")))
+    users = "|".join(map(_any_case, ("username", "user", "login", "account", "client_?id", "access_key_id")))
+    sep = r"""["'']?\x20*[:=]\x20*["'']?"""
+    return [
+        ("assign", rf"({keys}){sep}([A-Za-z0-9+/_.=-]+)", 2, "length(g) >= 6"),
+        ("access", "AKIA[A-Z0-9]+", 0, "length(v) >= 20"),
+        ("hex", "[0-9a-f]+", 0, "length(v) >= 24"),
+        ("user", rf"\b(?:{users}){sep}[A-Za-z0-9._@+-]{{3,}}", 0, "true"),
+        ("endpoint", r"\b(?:https|http|ftp|ssh|jdbc:[a-z]+|postgresql|postgres|mysql|mongodb|redis|amqp)://[^\x20\x09-\x0D\"''<>]+", 0, "true"),
+        ("blob", "[A-Za-z0-9+/_-]{32,}={0,2}", 0, "regexp_matches(v, '[0-9]') and regexp_matches(v, '[A-Z]')"),
+    ]
+
+
+def _op6_sql() -> str:
+    """Matches get their places by sums of lengths; weak ones stay by an exists over all parts of their row."""
+    each = "\n    union all\n    ".join(
+        f"select r, {rank} as rank, '{kind}' as kind, i, coalesce(gap, '') as gap, v, g, {keep} as ok from (select r, unnest(string_split_regex(text, '{p}')) as gap, unnest(regexp_extract_all(text, '{p}')) as v, unnest(regexp_extract_all(text, '{p}', {group})) as g, unnest(range(len(regexp_extract_all(text, '{p}')))) as i from d where regexp_matches(text, '{p}')) where v is not null"
+        for rank, (kind, p, group, keep) in enumerate(_secret_patterns())
+    )
+    return f"""
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
+m as ({each}),
+placed as (select r, rank, kind, ok, sum(length(gap) + length(v)) over (partition by r, rank order by i) as stop, length(v) as n from m),
+p as (select r, rank, kind, cast(stop - n as bigint) as start, cast(stop as bigint) as stop,
+      case when kind in ('access', 'user') then 'identifier' when kind in ('assign', 'hex', 'blob') then 'secret' else 'endpoint' end as part from placed where ok),
+kept as (select * from p where rank < 3
+    union all
+    select * from p where rank >= 3 and not exists (select 1 from p as q where q.r = p.r and q.rank < 3 and q.start < p.stop and q.stop > p.start)
+    and exists (select 1 from p as q where q.r = p.r and (q.part = 'secret') <> (p.part = 'secret') and greatest(p.start - q.stop, q.start - p.stop) <= 300)),
+s as (select r, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access, count(*) filter (kind = 'hex') as n_hex,
+      coalesce(string_agg(concat_ws(':', kind, start, stop), ',' order by start, rank) filter (rank < 3), '') as base,
+      string_agg(concat_ws(':', kind, start, stop), ',' order by start, rank) as spans from kept group by r)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from d left join s on d.r = s.r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op2_decontamination": OP2_SQL}
+    return {"op1_warc": OP1_SQL, "op2_decontamination": OP2_SQL, "op6_secrets": _op6_sql()}

@@ -29,8 +29,8 @@ BASE = [
     Kind("hex", r"[0-9a-f]{24,}"),
 ]
 WEAK = [
-    Kind("user", r"(?i:\b(?:user(?:name)?|login|account|client_?id|access_key_id)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9._@+-]{3,})", gate="contains({text}, '=') or contains({text}, ':')"),
-    Kind("endpoint", r"\b(?:https?|ftp|ssh|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>]+", gate="contains({text}, '://')"),
+    Kind("user", r"(?<![A-Za-z0-9_])(?i:(?:user(?:name)?|login|account|client_?id|access_key_id)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9._@+-]{3,})", gate="contains({text}, '=') or contains({text}, ':')"),
+    Kind("endpoint", r"(?<![A-Za-z0-9_])(?:https?|ftp|ssh|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\x20\x09-\x0D\"'<>]+", gate="contains({text}, '://')"),
     Kind("blob", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{32,}={0,2}", gate="{text} rlike '[A-Za-z0-9+/_-]{{32}}'"),
 ]
 CLASSES = {"identifier": ("access", "user"), "secret": ("assign", "hex", "blob"), "endpoint": ("endpoint",)}

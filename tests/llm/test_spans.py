@@ -124,3 +124,22 @@ def test_mask(spark):
     assert got[:4] == ["mail <EMAIL> or <PHONE> at <IP>, card <CARD>.", None, "", "plain text, 10.0.0.999"]
     assert got[4] == "call phone <NUMBER> now"
     assert out.where(F.col("n_chars") == 7).count() == 5
+
+
+def test_secrets_against_sql(spark, tmp_path):
+    """The query and its SQL on texts full of parts at all distances, and on defined edge cases."""
+    import duckdb
+
+    from spanloom.llm import queries
+
+    rng = random.Random("linked")
+    bits = [*PIECES["secrets"], "user: alice", "éLogin=bob", "x_user=carol", " client_id = dave9", "https://a.b/c?d=e ", "jdbc:x://h\x0b", "Ahttp://q ", "A1" * 20, "Zm9v" * 9 + "==", "ſecret=abcdef", " " * 290, " " * 20, "\n", "é" * 150]
+    texts = ["".join(rng.choices(bits, k=rng.randint(0, 25))) for _ in range(600)]
+    rows = [*enumerate(texts), (0, texts[0]), (0, texts[1]), (None, texts[2]), (None, None), (7, ""), (8, "user=al token=abcdefgh\n" * 400)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((tuple(r) for r in queries.op6_secrets(spark, str(tmp_path)).collect()), key=str)
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert got == sorted(db.execute(queries.oracle_sql()["op6_secrets"]).fetchall(), key=str)
+    weak = sum(s.startswith(k) for r in got for s in r[-1].split(",") for k in ("user", "endpoint", "blob"))
+    assert weak > 300
