@@ -149,31 +149,34 @@ def _range_reads(rows: DataFrame, of, schema: list[tuple[str, pa.DataType]], ddl
     return near.mapInArrow(run, f"{have}, {ddl}")
 
 
-def with_metadata(rows: DataFrame) -> DataFrame:
-    """``rows`` with width, height, bit_depth and channels, from header-only range reads."""
+_HEADER = [(n, pa.int64()) for n in ("width", "height", "bit_depth", "channels")]
+_HEADER_DDL = "width long, height long, bit_depth long, channels long"
 
-    def of(file, offset, length):
-        file.seek(offset)
-        return tuple(png_header(file.read(min(length, HEADER_BYTES))).values())
 
-    return _range_reads(rows, of, [(n, pa.int64()) for n in ("width", "height", "bit_depth", "channels")], "width long, height long, bit_depth long, channels long")
+def _header(file, offset: int, length: int) -> tuple:
+    file.seek(offset)
+    return tuple(png_header(file.read(min(length, HEADER_BYTES))).values())
+
+
+def with_metadata(rows: DataFrame) -> DataFrame:
+    """``rows`` with width, height, bit_depth and channels, from header-only range reads."""
+    return _range_reads(rows, _header, _HEADER, _HEADER_DDL)
 
 
 def with_payload_features(rows: DataFrame) -> DataFrame:
-    """``rows`` with what a full read of the stored entry gives: sizes, digests and a feature string."""
+    """``with_metadata``'s columns, and what a second, full range read of the stored entry gives: sizes, digests and a feature string."""
 
     def of(file, offset, length):
-        file.seek(offset)
-        meta = png_header(file.read(HEADER_BYTES))
+        width, height, depth, channels = meta = _header(file, offset, length)
         file.seek(offset)
         png = file.read(length)
         samples = decode_png(png)
         payload = samples.tobytes()
-        feature = f"png {meta['width']}x{meta['height']} depth {meta['bit_depth']} channels {meta['channels']} mean {samples.mean():.3f} deviation {samples.std():.3f}"
-        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(png), hashlib.sha256(png).hexdigest(), feature
+        feature = f"png {width}x{height} depth {depth} channels {channels} mean {samples.mean():.3f} deviation {samples.std():.3f}"
+        return *meta, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(png), hashlib.sha256(png).hexdigest(), feature
 
-    kinds = [("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
-    return _range_reads(rows, of, kinds, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    kinds = [*_HEADER, ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
+    return _range_reads(rows, of, kinds, f"{_HEADER_DDL}, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def stored(docs: DataFrame, **options) -> DataFrame:

@@ -37,7 +37,7 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media import stored, with_payload_features
 
     rows = with_payload_features(stored(_table(spark, sf_dir, "documents")))
-    return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bit_depth", "channels")
 
 
 def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
