@@ -17,8 +17,8 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -137,14 +137,16 @@ def pack(pieces: DataFrame, window: int = WINDOW, block_pieces: int = BLOCK_PIEC
     key = F.xxhash64("doc_id", "start", "ids_crc32", "length", "doc_tokens")
     dealt = pieces.withColumn("_block", F.pmod(key, F.lit(blocks)))
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
-        placed = best_fit_decreasing(part["length"].tolist(), window)
-        base = int(part["_block"].iloc[0]) << 32
-        return part.drop(columns="_block").assign(sequence_id=[base + s for s, _ in placed], offset=[o for _, o in placed])
+    def run(part: pa.Table) -> pa.Table:
+        order = [("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")]
+        part = part.take(pc.sort_indices(part, sort_keys=order))
+        placed = best_fit_decreasing(part["length"].to_pylist(), window)
+        base = part["_block"][0].as_py() << 32
+        part = part.drop_columns("_block").append_column("sequence_id", pa.array([base + s for s, _ in placed], pa.int64()))
+        return part.append_column("offset", pa.array([o for _, o in placed], pa.int64()))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    return dealt.groupBy("_block").applyInPandas(run, schema)
+    return dealt.groupBy("_block").applyInArrow(run, schema)
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, ranks: str, pattern: str, special: dict[str, int], end_id: int = 1, window: int = WINDOW, block_pieces: int = BLOCK_PIECES) -> DataFrame:
