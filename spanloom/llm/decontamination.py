@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import where_text
+
 WINDOW = 10
 SHINGLE = 3
 BLOCK_BYTES = 2 << 20
@@ -224,10 +226,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     counts = _count_shingles(docs.select("doc_id", docs["text"].cast("binary").alias("_text")), items, window, shingle)
     token, sent = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast((items, counts))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def accept():
         index = _once(token, lambda: PrefixIndex(*sent.value, window, shingle))
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text"))
-            yield batch.filter(pa.array([not index.find(fold_words((v.as_py() or "").encode()))[0] for v in texts], pa.bool_()))
+        return lambda text: not index.find(fold_words(text.encode()))[0]
 
-    return docs.mapInArrow(run, docs.schema)
+    return where_text(docs, accept)

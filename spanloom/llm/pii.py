@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .native_spans import SPAN, Kind, quoted, spans_of, with_matches
-from .storage import written
+from .storage import columns_of, unused, written
 
 _LUHN = "aggregate(sequence(1, length(regexp_replace({v}, '[ -]', ''))), 0, (a, i) -> a + (cast(substr(reverse(regexp_replace({v}, '[ -]', '')), i, 1) as int) * if(i % 2 = 0, 2, 1)) - if(i % 2 = 0 and cast(substr(reverse(regexp_replace({v}, '[ -]', '')), i, 1) as int) > 4, 9, 0)) % 10 = 0"
 _OCTETS = r"forall(split({v}, '\\.'), o -> length(ltrim('0', o)) <= 3 and cast(concat('0', right(ltrim('0', o), 3)) as int) <= 255)"
@@ -176,7 +176,7 @@ def mask(docs: DataFrame, at: float = 0.5) -> DataFrame:
     stretches between its matches, in one go for each kind.
     """
     model = fit(vote_counts(written(found_spans(docs), "personal")))
-    out = docs
+    out, of, gaps = docs, unused("_v", docs), unused("_p", docs)
     for k in [*BASE, *CANDIDATES]:
         if k in BASE:
             ok = k.keep.replace("{v}", "m.v").replace("{g}", "m.g")
@@ -185,9 +185,9 @@ def mask(docs: DataFrame, at: float = 0.5) -> DataFrame:
             ok = f"{model.margin(quoted(k.name), votes)} >= {math.log(at / (1 - at))!r}D"
         p, gate = quoted(k.pattern), k.gate.format(text="`text`")
         values = F.expr(f"if(text is not null and ({gate}), regexp_extract_all(text, {p}, 0), cast(array() as array<string>))")
-        staged = out.withColumn("_v", values).withColumn("_p", F.expr(f"if(size(_v) > 0, split(text, {p}, -1), _v)"))
-        parts = f"zip_with(_p, _v, (p, v) -> named_struct('v', v, 'before', right(p, {CONTEXT}), 'p', p))"
+        staged = out.withColumn(of, values).withColumn(gaps, F.expr(f"if(size({of}) > 0, split(text, {p}, -1), {of})"))
+        parts = f"zip_with({gaps}, {of}, (p, v) -> named_struct('v', v, 'before', right(p, {CONTEXT}), 'p', p))"
         tag = quoted(f"<{k.name.upper()}>")
-        text = f"if(size(_v) > 0, array_join(transform({parts}, m -> concat(m.p, if(m.v is null, '', if({ok}, {tag}, m.v)))), ''), text)"
-        out = staged.withColumn("text", F.expr(text)).select(docs.columns)
+        text = f"if(size({of}) > 0, array_join(transform({parts}, m -> concat(m.p, if(m.v is null, '', if({ok}, {tag}, m.v)))), ''), text)"
+        out = staged.withColumn("text", F.expr(text)).select(columns_of(docs))
     return out

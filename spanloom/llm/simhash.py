@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import shuffle_width, written
+from .storage import columns_of, shuffle_width, written
 
 SHINGLE = 3
 BITS = 3
@@ -214,4 +214,4 @@ def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
     """
     keep = near_duplicates(docs.where("doc_id is not null"), **options).where("doc_id = component_id").select("doc_id").distinct()
     one = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    return one.unionByName(docs.where("doc_id is null")).select(columns_of(docs))

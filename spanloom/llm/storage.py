@@ -11,9 +11,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -38,6 +41,35 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """``df``'s columns by name, whatever characters the names have."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def where_text(docs: DataFrame, accept: Callable[[], Callable[[str], bool]]) -> DataFrame:
+    """The rows of ``docs`` whose text (null: empty) is accepted; same columns, whatever their names.
+
+    ``accept`` is called once a task and gives the test of a text.
+    """
+    at = [c.lower() for c in docs.columns].index("text")
+    plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ok = accept()
+        for batch in batches:
+            yield batch.filter(pa.array([ok(v.as_py() or "") for v in batch.column(at)], pa.bool_()))
+
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+
 def open_fs(uri: str):
     """(filesystem, path) for a URI or a plain local path."""
     from pyarrow import fs

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import where_text
+
 SAMPLE_DOCS = 16_000
 SAMPLE_BYTES = 64 << 10
 FEATURES = 800
@@ -241,10 +243,8 @@ def drop_toxic(docs: DataFrame, model: Model, at: float = 0.7) -> DataFrame:
     """``docs`` without the rows that score ``at`` or more; same columns, no shuffle."""
     get = _shared(model, docs)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def accept():
         of = get().document
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text"))
-            yield batch.filter(pa.array([of(v.as_py() or "") < at for v in texts], pa.bool_()))
+        return lambda text: of(text) < at
 
-    return docs.mapInArrow(run, docs.schema)
+    return where_text(docs, accept)

@@ -66,3 +66,27 @@ def test_pipeline(spark, tmp_path):
         d2 = stage(spark, d, out)
         assert d2.columns == d.columns and d2.dtypes == d.dtypes
     assert re.fullmatch(r"[a-z]+", corpus_pipeline.STAGES[-1][0])
+
+
+def test_odd_columns(spark, tmp_path):
+    """Nulls in every column, repeated rows, no rows, and columns with the names used inside."""
+    out = str(tmp_path)
+    extra = ["_v", "_p", "_text", "_digest", "_i", "m", "v", "fp", "component_id", "spans", "a.b", "with `tick"]
+    rows = [(k, f"mail me{k}@b.cc or" + "".join(f" w{k}x{j}" for j in range(9)), "en", None, 3, *[f"{c}{k}" for c in extra]) for k in range(20)]
+    rows += [(*rows[3],), (None, None, None, None, None, *[None] * len(extra)), (None, "mail a@b.cc", None, None, 1, *["z"] * len(extra)), (99, "", None, None, 0, *[None] * len(extra))]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c.replace('`', '``')}` string" for c in extra)
+    spark.createDataFrame([(1, 1, 0), (None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{out}/labels.parquet")
+    spark.createDataFrame([(1, "not in any of them"), (None, None)], "item_id long, text string").write.parquet(f"{out}/benchmark.parquet")
+    docs = d = spark.createDataFrame(rows, schema)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        d = stage(spark, d, out)
+        assert d.columns == docs.columns
+    kept = {r.doc_id: r for r in d.collect() if r.doc_id is not None}
+    assert set(kept) == {*range(20), 99} and d.where("doc_id is null").count() == 2
+    assert all(kept[k].text == rows[k][1].replace(f"me{k}@b.cc", "<EMAIL>") and kept[k][5:] == rows[k][5:] for k in range(20))
+    packed = corpus_pipeline.STAGES[-1][1](spark, d, out)
+    assert packed.count() == 23 and packed.select("sequence_id").distinct().count() == 1
+    none = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        none = stage(spark, none, out)
+        assert none.count() == 0
