@@ -10,8 +10,8 @@ look up their own shingles there (a second pass).  The shingle's offset gives
 the only place where the window can lie; places outside the document are ruled
 out by position and length, and the words there are compared as a whole.
 
-The index covers one block of the benchmark at a time; a block holds at most
-``block_bytes`` of item text (or one item), which bounds what is broadcast.
+The index covers one block of the benchmark at a time.  Blocks are made of
+parts of items and measured, which bounds what is broadcast.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import where_text
+from .storage import where_text, written
 
 WINDOW = 10
 SHINGLE = 3
@@ -179,12 +179,48 @@ def _merge_blocks(blocks: list[DataFrame]) -> DataFrame:
     return merged.select("doc_id", "n_words", "spans", "item_ids", copies.alias("_copy")).drop("_copy")
 
 
-def _blocks_of(benchmark: DataFrame, block_bytes: int):
-    """(number of blocks, function that fetches block b's items from the cluster)."""
+def cut_item(words: list[bytes], window: int, most: int) -> Iterator[list[bytes]]:
+    """Parts of an item that hold each of its windows; a part has at most ``most`` bytes, or is one window."""
+    start, end, size = 0, 0, 0
+    while end < len(words):
+        size += len(words[end]) + 1
+        end += 1
+        if end - start > window and size > most:
+            end -= 1
+            yield words[start:end]
+            start = end - window + 1
+            size = sum(len(w) + 1 for w in words[start:end])
+    if words:
+        yield words[start:]
+
+
+def _parts(items: DataFrame, window: int, most: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(*batch.columns, strict=True):
+                for part in cut_item(fold_words(text.as_py()), window, most):
+                    yield pa.RecordBatch.from_pydict({"item": [item.as_py()], "words": [b" ".join(part)]})
+
+    return items.mapInArrow(run, "item string, words binary")
+
+
+def _blocks_of(benchmark: DataFrame, window: int, block_bytes: int):
+    """(number of blocks, function that fetches block b's items from the cluster).
+
+    Beyond one block, items are cut into parts, and the blocks' sizes are
+    measured: there are more of them until none has over twice ``block_bytes``
+    (or the bytes of one window, if that is more).
+    """
     items = benchmark.select(benchmark["item_id"].cast("string").alias("item"), benchmark["text"].cast("binary").alias("words")).where("item is not null and words is not null")
     size = items.agg(F.sum(F.octet_length("words"))).first()[0] or 0
-    n = max(1, -(-size // block_bytes))
-    return n, lambda b: [(r.item, bytes(r.words)) for r in items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == b).collect()]
+    if size <= block_bytes:
+        return 1, lambda b: [(r.item, bytes(r.words)) for r in items.collect()]
+    parts = written(_parts(items, window, max(1, block_bytes // 8)).distinct(), "benchmark-parts")
+    n, largest = -(-size // block_bytes), parts.agg(F.max(F.octet_length("words"))).first()[0] or 0
+    of = lambda n: F.pmod(F.xxhash64("item", "words"), F.lit(n))
+    while (parts.groupBy(of(n)).agg(F.sum(F.octet_length("words")).alias("s")).agg(F.max("s")).first()[0] or 0) > max(2 * block_bytes, largest):
+        n *= 2
+    return n, lambda b: [(r.item, bytes(r.words)) for r in parts.where(of(n) == b).collect()]
 
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -194,7 +230,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     nothing; repeated items count once by id; repeated documents are separate
     rows; an empty benchmark hits nothing; extra columns are ignored.
     """
-    n_blocks, take = _blocks_of(benchmark, block_bytes)
+    n_blocks, take = _blocks_of(benchmark, window, block_bytes)
     if n_blocks == 1:
         return _block_hits(docs.select("doc_id", docs["text"].cast("binary").alias("_text")), take(0), window, shingle)
     return _merge_blocks([_keyed_hits(docs, take(b), window, shingle) for b in range(n_blocks)])
@@ -217,7 +253,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     A benchmark of one block filters in one pass over the documents; one of
     more blocks unites what its blocks hit and drops those rows in a join.
     """
-    n_blocks, take = _blocks_of(benchmark, block_bytes)
+    n_blocks, take = _blocks_of(benchmark, window, block_bytes)
     if n_blocks > 1:
         found = [_keyed_hits(docs, take(b), window, shingle).where("size(spans) > 0").select(F.col("doc_id").alias("_i"), "_digest") for b in range(n_blocks)]
         hits = reduce(DataFrame.unionByName, found).distinct()

@@ -10,7 +10,7 @@ import xxhash
 
 from spanloom.llm import simhash
 from spanloom.llm.components import components
-from spanloom.llm.decontamination import benchmark_hits, drop_contaminated
+from spanloom.llm.decontamination import benchmark_hits, cut_item, drop_contaminated, windows_of
 from spanloom.llm.simhash import fingerprint, keep_one_of_each, links, near_duplicates
 
 ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -52,6 +52,17 @@ def test_hits(spark, block_bytes):
     assert benchmark_hits(d.limit(0), b).count() == 0
 
 
+def test_cut_item():
+    """Every window is in exactly one part; only items shorter than a window give shorter parts."""
+    rng = random.Random(4)
+    for _ in range(300):
+        n, window, most = rng.randint(0, 60), rng.randint(1, 12), rng.randint(1, 80)
+        words = [b"%d" % k * rng.randint(1, 4) for k in range(n)]
+        parts = [*cut_item(words, window, most)]
+        assert [w for p in parts for w in windows_of(p, window)] == [*windows_of(words, window)]
+        assert all(len(p) == min(window, n) or len(p) > window and sum(map(len, p)) + len(p) <= most for p in parts)
+
+
 def slow_fingerprint(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(ASCII_LOWER))
     if not w:
