@@ -1,5 +1,5 @@
 """The corpus pipeline: toxic documents go, one document of each near-duplicate
-group stays, documents with benchmark passages go, personal data is masked,
+group (Jaccard similarity of five-word shingles at least 0.8) stays, documents with benchmark passages go, personal data is masked,
 and what is left is packed into sequences.
 
 Each stage takes the documents its predecessor kept, written as Parquet and
@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import decontamination, packing, pii, simhash, toxicity
+from spanloom.llm import decontamination, near_copies, packing, pii, simhash, toxicity
 from spanloom.llm.storage import written
 
 
@@ -22,7 +22,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one_of_each(docs)
+    return simhash.keep_one_of_each(docs, near_copies.near_copies)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,13 +40,13 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("toxicity", drop_toxic),
-    ("simhash near-dedup", drop_near_duplicates),
+    ("near-dedup", drop_near_duplicates),
     ("decontamination", drop_contaminated),
     ("pii", mask_personal_data),
     ("packing", pack),
 ]
 
-#: Learned models, fingerprints and tokenizers are beyond SQL; tests/llm/test_pipeline.py has the brute-force version.
+#: Learned models, near copies and tokenizers are beyond SQL; tests/llm/test_pipeline.py has the brute-force version.
 ORACLE_SQL = None
 
 

@@ -16,7 +16,7 @@ holds more than two chunks.  Components follow by contraction.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -207,11 +207,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -
     return prints.join(label, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each component, that of the smallest doc_id; same columns.
+def keep_one_of_each(docs: DataFrame, groups: Callable[..., DataFrame] = near_duplicates, **options) -> DataFrame:
+    """``docs`` with one document of each component that ``groups`` finds, that of the smallest doc_id; same columns.
 
     Rows without a doc_id can't be told apart by it and stay.
     """
-    keep = near_duplicates(docs.where("doc_id is not null"), **options).where("doc_id = component_id").select("doc_id").distinct()
+    keep = groups(docs.where("doc_id is not null"), **options).where("doc_id = component_id").select("doc_id").distinct()
     one = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return one.unionByName(docs.where("doc_id is null")).select(columns_of(docs))

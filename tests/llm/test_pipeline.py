@@ -9,7 +9,8 @@ import public_tokenizers as tok
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from spanloom.llm import toxicity
+from spanloom.llm import near_copies, toxicity
+from spanloom.llm.components import components
 from tests.llm.test_pairs import slow_components, slow_fingerprint, slow_hits
 from tests.llm.test_spans import PERSONAL
 
@@ -90,3 +91,69 @@ def test_odd_columns(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         none = stage(spark, none, out)
         assert none.count() == 0
+
+
+def test_edited_copies(spark, tmp_path):
+    """The near-duplicate stage takes every pair of 5-word Jaccard 0.8 or more, and no other."""
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(3000)]
+    texts = [rng.choices(words, k=rng.choice([4, 5, 12, 40, 100, 400, 1500])) for _ in range(120)]
+    for base in texts[:90]:
+        edited = list(base)
+        for _ in range(max(1, round(len(base) * rng.choice([0.005, 0.015, 0.02, 0.025, 0.03])))):
+            edited[rng.randrange(len(edited))] = rng.choice(words)
+        texts.append(edited)
+    hub = rng.choices(words, k=100)  # a chain: neighbours are similar, far ones are not
+    for k in range(40):
+        hub = [*hub[:k], f"x{k}", *hub[k + 1 :]]
+        texts.append(hub)
+    docs = [(k, " ".join(t) if k % 2 else "  ".join(t).upper(), "en", "s", 1) for k, t in enumerate(texts)]
+    sets = {k: {tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))} for k, t in enumerate(texts)}
+    want = slow_components(sets, lambda x, y: 5 * len(sets[x] & sets[y]) >= 4 * len(sets[x] | sets[y]))
+    assert 150 < len(set(want.values())) < 190
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.STAGES[1][1](spark, d, str(tmp_path))
+    assert sorted(r.doc_id for r in got.collect()) == sorted(set(want.values()))
+
+
+def test_far_from_leader(spark):
+    """Pairs that are similar to one another, not to the smallest of their bucket, are found as well."""
+    rng = random.Random(13)
+    base = [f"b{k}" for k in range(200)]
+    docs, k = [], 0
+    for _ in range(40):
+        far = list(base)
+        for at in rng.sample(range(200), 16):
+            far[at] = f"y{rng.randrange(10**6)}"
+        near = list(far)
+        near[rng.randrange(200)] = "z"
+        docs += [(k, " ".join(far)), (k + 1, " ".join(near))]
+        k += 2
+    sets = {k: {tuple(t.split()[i : i + 5]) for i in range(196)} for k, t in docs}
+    want = slow_components(sets, lambda x, y: 5 * len(sets[x] & sets[y]) >= 4 * len(sets[x] | sets[y]))
+    got = near_copies.near_copies(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in got.collect()} == want
+
+
+def test_large_buckets(spark, monkeypatch):
+    """Buckets compared in place, whole or cut into chunks, give the components of all pairs."""
+    monkeypatch.setattr(near_copies, "_SMALL", 1)
+    rng = random.Random(14)
+    base = [f"b{k}" for k in range(200)]
+    sets = {}
+    for k in range(60):
+        t = list(base) if k % 2 == 0 else list(t)
+        for at in rng.sample(range(200), 16 if k % 2 == 0 else 1):
+            t[at] = f"y{rng.randrange(10**6)}"
+        h = near_copies.shingle_set(" ".join(t).encode())
+        sets[near_copies.node_of(h)] = h
+    want = slow_components(sets, lambda x, y: near_copies.similarity(sets[x], sets[y]) >= 0.8)
+    assert 10 < len(set(want.values())) < 50
+    rows = spark.createDataFrame([(k, h.tobytes()) for k, h in sets.items()], "node long, hashes binary")
+    members = spark.createDataFrame([(7, k, k, len(sets)) for k in sets], "key long, node long, of long, n long")
+    for chunk in (1024, 13):
+        root = {r.node: r.root for r in components(near_copies._within(members, rows, 0.8, chunk)).collect()}
+        got = {}
+        for k in sets:
+            got.setdefault(root.get(k, ("alone", k)), []).append(k)
+        assert sorted(map(sorted, got.values())) == sorted(sorted(k for k in sets if want[k] == c) for c in set(want.values()))
