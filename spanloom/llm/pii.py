@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .native_spans import SPAN, Kind, quoted, spans_of, with_matches
-from .storage import columns_of, unused, written
+from .storage import written
 
 _LUHN = "aggregate(sequence(1, length(regexp_replace({v}, '[ -]', ''))), 0, (a, i) -> a + (cast(substr(reverse(regexp_replace({v}, '[ -]', '')), i, 1) as int) * if(i % 2 = 0, 2, 1)) - if(i % 2 = 0 and cast(substr(reverse(regexp_replace({v}, '[ -]', '')), i, 1) as int) > 4, 9, 0)) % 10 = 0"
 _OCTETS = r"forall(split({v}, '\\.'), o -> length(ltrim('0', o)) <= 3 and cast(concat('0', right(ltrim('0', o), 3)) as int) <= 255)"
@@ -163,31 +163,37 @@ def personal_spans(docs: DataFrame, at: float = 0.5) -> DataFrame:
     spans; extra columns are ignored.
     """
     found = written(found_spans(docs), "personal")
-    margin = fit(vote_counts(found)).margin("c.kind", "c.votes")
-    taken = F.expr(f"transform(filter(candidates, c -> {margin} >= {math.log(at / (1 - at))!r}D and not exists(base, b -> b.start < c.end and c.start < b.end)), c -> named_struct('start', c.start, 'rank', c.rank, 'kind', c.kind, 'end', c.end))")
-    return found.select("doc_id", "base", F.array_sort(F.concat("base", taken.cast(f"array<{SPAN}>"))).alias("spans"))
+    return found.select("doc_id", "base", _spans(fit(vote_counts(found)), at).alias("spans"))
+
+
+def _spans(model: SpanClassifier, at: float) -> Column:
+    """The sorted spans of columns ``base`` and ``candidates``: base ones, and candidates that the classifier takes and that cross no base one."""
+    taken = F.expr(f"transform(filter(candidates, c -> {model.margin('c.kind', 'c.votes')} >= {math.log(at / (1 - at))!r}D and not exists(base, b -> b.start < c.end and c.start < b.end)), c -> named_struct('start', c.start, 'rank', c.rank, 'kind', c.kind, 'end', c.end))")
+    return F.array_sort(F.concat("base", taken.cast(f"array<{SPAN}>")))
+
+
+# Spans that cross become one, of the kind of the first; texts without any keep theirs.
+_UNION = """if(forall(sequence(1, size(spans)), i -> i >= size(spans) or spans[i].start >= spans[i - 1].end), spans,
+    aggregate(spans, cast(array() as array<{span}>), (g, s) -> if(size(g) > 0 and s.start < element_at(g, -1).end,
+        concat(slice(g, 1, size(g) - 1), array(named_struct('start', element_at(g, -1).start, 'rank', element_at(g, -1).rank, 'kind', element_at(g, -1).kind, 'end', greatest(element_at(g, -1).end, s.end)))),
+        concat(g, array(s)))))"""
+# A text with the spans ``g`` replaced: cut into sqrt(n) blocks first, for a place in a string is found by counting.
+_REPLACED = """if(size(g) > 0, concat(array_join(transform(sequence(0, cast(ceil(size(g) / w) as int) - 1), b -> array_join(transform(
+        array(named_struct('o', if(b = 0, 0L, g[b * w - 1].end), 'c', substring({t}, cast(if(b = 0, 0L, g[b * w - 1].end) as int) + 1, cast(g[least((b + 1) * w, size(g)) - 1].end - if(b = 0, 0L, g[b * w - 1].end) as int)))),
+        k -> array_join(transform(slice(g, b * w + 1, w), (s, i) -> concat(
+            substring(k.c, cast(if(b * w + i = 0, 0L, g[b * w + i - 1].end) - k.o as int) + 1, cast(s.start - if(b * w + i = 0, 0L, g[b * w + i - 1].end) as int)),
+            '<', upper(s.kind), '>')), '')), '')), ''), substring({t}, cast(g[size(g) - 1].end as int) + 1)), {t})"""
 
 
 def mask(docs: DataFrame, at: float = 0.5) -> DataFrame:
-    """``docs`` with personal data in ``text`` replaced by its kind in angle brackets; same columns, a null text stays null.
+    """``docs`` with the spans of ``personal_spans`` in ``text`` replaced by their kind in angle brackets; same columns, a null text stays null.
 
-    Kinds are replaced one after the other, base ones first, so what one has
-    masked is out of the others' sight.  A text is put together again from the
-    stretches between its matches, in one go for each kind.
+    Spans that cross are masked as one, under the kind of the first.
     """
     model = fit(vote_counts(written(found_spans(docs), "personal")))
-    out, of, gaps = docs, unused("_v", docs), unused("_p", docs)
-    for k in [*BASE, *CANDIDATES]:
-        if k in BASE:
-            ok = k.keep.replace("{v}", "m.v").replace("{g}", "m.g")
-        else:
-            votes = f"named_struct({_votes(k.name)})"
-            ok = f"{model.margin(quoted(k.name), votes)} >= {math.log(at / (1 - at))!r}D"
-        p, gate = quoted(k.pattern), k.gate.format(text="`text`")
-        values = F.expr(f"if(text is not null and ({gate}), regexp_extract_all(text, {p}, 0), cast(array() as array<string>))")
-        staged = out.withColumn(of, values).withColumn(gaps, F.expr(f"if(size({of}) > 0, split(text, {p}, -1), {of})"))
-        parts = f"zip_with({gaps}, {of}, (p, v) -> named_struct('v', v, 'before', right(p, {CONTEXT}), 'p', p))"
-        tag = quoted(f"<{k.name.upper()}>")
-        text = f"if(size({of}) > 0, array_join(transform({parts}, m -> concat(m.p, if(m.v is null, '', if({ok}, {tag}, m.v)))), ''), text)"
-        out = staged.withColumn("text", F.expr(text)).select(columns_of(docs))
-    return out
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    text = names[[c.lower() for c in docs.columns].index("text")]
+    found = with_matches(docs.toDF(*names), text, BASE + CANDIDATES, CONTEXT).select(*names, spans_of(BASE).alias("base"), candidates().alias("candidates"))
+    spans = found.select(*names, _spans(model, at).alias("spans"))
+    grouped = spans.select(*names, F.expr(_UNION.format(span=SPAN)).alias("g")).withColumn("w", F.expr("cast(ceil(sqrt(greatest(size(g), 1))) as int)"))
+    return grouped.withColumn(text, F.expr(_REPLACED.format(t=text))).select(*names).toDF(*docs.columns)

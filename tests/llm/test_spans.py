@@ -126,6 +126,27 @@ def test_mask(spark):
     assert out.where(F.col("n_chars") == 7).count() == 5
 
 
+def test_mask_crossing(spark):
+    """Kinds that cross are masked as one; the rest of the text stays, whatever its characters and number of spans."""
+    rng = random.Random(21)
+    texts = ["call +33.1.23.45.67.89 now", "é🙂 +1.2.3.4.5.6.7.8.9, 10.0.0.1"] + [t for _, t, *_ in rows_of("personal") if t is not None]
+    texts.append("é a.b@c.de +49 30 1234567, +33.1.23.45.67.89 🙂" * 2000)
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in pii.personal_spans(docs).collect()}
+    got = {r.doc_id: r.text for r in pii.mask(docs).collect()}
+    for k, t in enumerate(texts):
+        out, end, parts = "", 0, []
+        for s in spans[k]:
+            if parts and s.start < parts[-1][1]:
+                parts[-1][1] = max(parts[-1][1], s.end)
+            else:
+                parts.append([s.start, s.end, s.kind])
+        for a, b, kind in parts:
+            out, end = out + t[end:a] + f"<{kind.upper()}>", b
+        assert got[k] == out + t[end:]
+    assert got[0] == "call <PHONE> now" and got[1] == "é🙂 <PHONE>, <IP>"
+
+
 def test_secrets_against_sql(spark, tmp_path):
     """The query and its SQL on texts full of parts at all distances, and on defined edge cases."""
     import duckdb
