@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import columns_of, shuffle_width, written
+from .storage import columns_of, shuffle_width, unused, written
 
 SHINGLE = 3
 BITS = 3
@@ -210,8 +210,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -
 def keep_one_of_each(docs: DataFrame, groups: Callable[..., DataFrame] = near_duplicates, **options) -> DataFrame:
     """``docs`` with one document of each component that ``groups`` finds, that of the smallest doc_id; same columns.
 
-    Rows without a doc_id can't be told apart by it and stay.
+    Rows without a doc_id are told apart by their text: one of a component
+    without any doc_id stays, none beside a row that has one.  Without a
+    doc_id and words, one row stays whatever else does.
     """
-    keep = groups(docs.where("doc_id is not null"), **options).where("doc_id = component_id").select("doc_id").distinct()
-    one = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id is null")).select(columns_of(docs))
+    digest, words = unused("_digest", docs), F.coalesce(F.col("text").cast("string").rlike(r"[^\x09-\x0D\x20]"), F.lit(False))
+    nameless = F.col("doc_id").isNull()
+    rows = docs.where(~nameless | words).withColumn(digest, F.when(nameless, F.sha2(F.col("text").cast("binary"), 256)))
+    of = F.struct(nameless.alias("missing"), F.col("doc_id").alias("id"), F.col(digest).alias("digest"))
+    keep = groups(rows.select(of.alias("doc_id"), "text"), **options).where("doc_id = component_id").select("doc_id.id", "doc_id.digest").distinct()
+    one = rows.join(keep, rows["doc_id"].eqNullSafe(keep["id"]) & rows[digest].eqNullSafe(keep["digest"]), "left_semi").dropDuplicates(["doc_id", digest])
+    return one.select(columns_of(docs)).unionByName(docs.where(nameless & ~words).limit(1))

@@ -11,6 +11,7 @@ import xxhash
 from spanloom.llm import simhash
 from spanloom.llm.components import components
 from spanloom.llm.decontamination import benchmark_hits, cut_item, drop_contaminated, windows_of
+from spanloom.llm.near_copies import near_copies
 from spanloom.llm.simhash import fingerprint, keep_one_of_each, links, near_duplicates
 
 ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -136,5 +137,17 @@ def test_near_duplicates(spark):
     assert near_duplicates(rows.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("groups", [near_duplicates, near_copies])
+def test_keep_without_id(spark, groups):
+    """Rows without a doc_id are copies like others: none stays beside one with an id, one of them alone."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(5, a), (None, a), (None, a), (4, a), (None, b), (None, b), (None, b.upper()), (9, c), (None, None), (None, " "), (8, "")]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, _digest int")
+    kept = keep_one_of_each(docs, groups)
+    assert kept.columns == docs.columns
+    got = sorted((str(r.doc_id), (r.text or "").strip().lower()) for r in kept.collect())
+    assert got == sorted([("4", a), ("None", b), ("9", c), ("8", ""), ("None", "")])
+
+
 def test_empty_digest():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
