@@ -4,7 +4,8 @@ Each round every node takes the neighbour (or itself) that comes first in a
 random order drawn for the round, edges are rewritten to what their ends took,
 and loops and repeats go.  The graph shrinks by a constant share a round
 whatever its shape; rounds are written to the shared folder, so lineage stays
-short.
+short.  A node that many edges or nodes point to is joined apart, so a star
+costs no task more than others.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import spread_join, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -25,11 +26,13 @@ def components(edges: DataFrame) -> DataFrame:
         took = written(both.groupBy("a").agg(F.min(order("b")).alias("m")).select(F.col("a").alias("node"), F.least("m", order("a"))["v"].alias("took")), "took")
         rounds.append(took)
         a, b = took.select(F.col("node").alias("a"), F.col("took").alias("x")), took.select(F.col("node").alias("b"), F.col("took").alias("y"))
-        e = written(e.join(a, "a").join(b, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        e = written(spread_join(spread_join(e, a, "a", e), b, "b", e).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
     if not rounds:
         return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    out = rounds[0].withColumnRenamed("took", "root")
-    for took in rounds[1:]:
-        step = took.select(F.col("node").alias("root"), "took")
-        out = out.join(step, "root", "left").select("node", F.coalesce("took", "root").alias("root"))
+    # from the last round back: what a node took has a root already, or is one
+    out = rounds.pop().withColumnRenamed("took", "root")
+    while rounds:
+        took = rounds.pop()
+        named = took.select("took").distinct().join(out.withColumnRenamed("node", "took"), "took", "left").select("took", F.coalesce("root", "took").alias("root"))
+        out = written(spread_join(took, named, "took", took).select("node", "root"), "roots")
     return out

@@ -1,9 +1,13 @@
 """Near copies: texts whose sets of word shingles have a Jaccard similarity of at least a bound, verified exactly.
 
-Candidates meet by bands of min-hashes: a pair of similarity s shares a given
-band with probability s**ROWS, so one of 0.8 shares none of the BANDS with
-(1 - 0.8**ROWS)**BANDS, about 2 in 10**9, whatever the texts' lengths.  Every
-candidate is then verified on the whole sets (as 64-bit hashes of shingles).
+Candidates come from two searches, and every one is verified on the whole sets
+(as 64-bit hashes of shingles).  The first is that of ``simhash``: fingerprints
+of the sets, linked by deletion-variant signatures where at most three bits
+differ.  Texts of similarity 0.8 differ in ten bits or more, though, and no cut
+of 64 bits leaves a segment with at most one of so many.  So there is a second
+one, by bands of min-hashes: a pair of similarity s shares a given band with
+probability s**ROWS, so one of 0.8 shares none of the BANDS with
+(1 - 0.8**ROWS)**BANDS, about 2 in 10**9, whatever the texts' lengths.
 
 Texts of equal sets are one node.  In a bucket, nodes are first verified
 against its smallest node; then those pairs are left that components found so
@@ -23,15 +27,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import shuffle_width, written
+from .simhash import component_names, links, majority
+from .storage import salted_join, shuffle_width, sized, spread_join, written
 
 SHINGLE = 5
 LEAST = 0.8
 BANDS = 50
 ROWS = 5
-#: Buckets of up to ``_SMALL`` nodes make pairs; larger ones are compared in place, ``CHUNK`` against ``CHUNK`` nodes.
+#: Buckets of up to ``_SMALL`` nodes make pairs; larger ones are compared in place, chunk against chunk of about ``CHUNK`` nodes and ``CHUNK_BYTES`` at most.
 _SMALL = 8
 CHUNK = 1024
+CHUNK_BYTES = 16 << 20
 _BLOCK = 2048
 
 _draw = np.random.default_rng(42)
@@ -74,19 +80,24 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _nodes(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, node, keys) of every row."""
+    """(doc_id, node, fp, size, keys) of every row; size is that of its set."""
     rows = docs.select("doc_id", docs["text"].cast("binary").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, keys = [], []
+            nodes, fps, sizes, keys = [], [], [], []
             for v in batch.column(1):
                 h = shingle_set(v.as_py(), shingle)
                 nodes.append(node_of(h))
+                fps.append(majority(h))
+                sizes.append(len(h))
                 keys.append(band_keys(h))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "node", "keys"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(nodes, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+                names=["doc_id", "node", "fp", "size", "keys"],
+            )
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema[0].dataType.simpleString()}, node long, keys array<long>")
+    return rows.mapInArrow(run, f"doc_id {rows.schema[0].dataType.simpleString()}, node long, fp long, size long, keys array<long>")
 
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -120,10 +131,20 @@ def _met(nodes: DataFrame) -> DataFrame:
     return keyed.mapInArrow(run, "key long, node long, leader long")
 
 
+def _printed(nodes: DataFrame) -> DataFrame:
+    """(a, b): pairs of nodes whose fingerprints are equal or link, one node standing for each fingerprint."""
+    prints = written(nodes.groupBy("fp").agg(F.min("node").alias("one")), "set-prints")
+    near = links(prints.select("fp"))
+    one = lambda c, n: prints.select(F.col("fp").alias(c), F.col("one").alias(n))
+    linked = near.join(one("a", "x"), "a").join(one("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    same = spread_join(nodes.select("fp", "node"), prints, "fp", nodes).where("one <> node").select(F.col("one").alias("a"), F.col("node").alias("b"))
+    return linked.unionByName(same)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The ``pairs`` (a, b) that are similar enough; sets of sizes too different are not read."""
+    """The ``pairs`` (a, b; a written table) that are similar enough; sets of sizes too different are not read."""
     x, y = (sets.select(F.col("node").alias(n), F.col("hashes").alias(h)) for n, h in (("a", "x"), ("b", "y")))
-    both = pairs.join(x, "a").join(y, "b").where(F.least(F.octet_length("x"), F.octet_length("y")) >= least * F.greatest(F.octet_length("x"), F.octet_length("y")))
+    both = salted_join(pairs.join(y, "b"), x, "a", pairs).where(F.least(F.octet_length("x"), F.octet_length("y")) >= least * F.greatest(F.octet_length("x"), F.octet_length("y")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,11 +173,11 @@ def _bucket_edges(nodes: list[int], of: list[int], sets: list[np.ndarray], sides
 
 
 def _within(members: DataFrame, sets: DataFrame, least: float, chunk: int = CHUNK) -> DataFrame:
-    """(a, b): similar pairs between components ``of`` inside buckets ``key`` of ``n`` nodes, compared where the bucket's sets are.
+    """(a, b): similar pairs between components ``of`` inside buckets ``key`` of ``n`` nodes and ``w`` shingles, compared where the bucket's sets are.
 
-    Buckets beyond ``chunk`` nodes are cut, and every two chunks meet in a row group of their own.
+    Buckets beyond ``chunk`` nodes or ``CHUNK_BYTES`` are cut, and every two chunks meet in a row group of their own.
     """
-    cut = members.withColumn("m", F.expr(f"cast(ceil(n / {chunk}) as int)")).withColumn("c", F.expr("cast(pmod(xxhash64(node), m) as int)"))
+    cut = members.withColumn("m", F.expr(f"cast(greatest(ceil(n / {chunk}), ceil(w / {CHUNK_BYTES // 8})) as int)")).withColumn("c", F.expr("cast(pmod(xxhash64(node), m) as int)"))
     met = cut.withColumn("t", F.explode(F.expr("sequence(0, m - 1)"))).select("key", F.least("c", "t").alias("i"), F.greatest("c", "t").alias("j"), "c", "node", "of")
     rows = met.join(sets, "node").select("key", "i", "j", "c", "node", "of", "hashes")
     dealt = rows.repartition(shuffle_width(sets.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
@@ -188,26 +209,31 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -
     are kept; extra columns are ignored.
     """
     prints = written(_nodes(docs, shingle), "nodes")
-    met = written(_met(prints.where("node <> 0").select("node", "keys").dropDuplicates(["node"])), "met")
+    distinct = prints.where("node <> 0").select("node", "fp", "size", "keys").dropDuplicates(["node"])
+    met = written(_met(distinct), "met")
+    printed = _printed(written(distinct.select("fp", "node"), "fingerprinted"))
+    first = written(met.select(F.col("leader").alias("a"), F.col("node").alias("b")).unionByName(printed).distinct(), "pairs")
     # sets of nodes that met another one only, from one document each
-    wanted = met.select("node").union(met.select("leader")).distinct()
-    ids = prints.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("_id")).select("_id").distinct()
+    wanted = written(first.select(F.col("a").alias("node")).union(first.select("b")).distinct(), "wanted")
+    ids = written(prints.join(sized(wanted), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("_id")).select("_id").distinct(), "set-ids")
     rows = docs.select("doc_id", "text")
-    sets = written(_sets(rows.join(ids, rows["doc_id"].eqNullSafe(ids["_id"]), "left_semi"), shingle).join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sets")
+    few = sized(ids)
+    sets = written(_sets(rows.join(few, rows["doc_id"].eqNullSafe(few["_id"]), "left_semi"), shingle).join(sized(wanted), "node", "left_semi").dropDuplicates(["node"]), "sets")
 
-    first = written(met.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     edges = written(_verified(first, sets, least), "similar")
     joined = components(edges).withColumnRenamed("root", "of")
-    held = met.select("key", "node").join(joined, "node", "left").select("key", "node", F.coalesce("of", "node").alias("of"))
-    mixed = held.groupBy("key").agg(F.count("*").alias("n"), F.min("of").alias("p"), F.max("of").alias("q")).where("p <> q").select("key", "n")
-    left = written(held.join(mixed, "key"), "held")
+    size = prints.where("node <> 0").groupBy("node").agg(F.first("size").alias("size"))
+    members = met.select("key", "node").unionByName(met.select("key", F.col("leader").alias("node"))).distinct()
+    held = written(members.join(joined, "node", "left").join(size, "node").select("key", "node", F.coalesce("of", "node").alias("of"), "size"), "held")
+    mixed = held.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("w"), F.min("of").alias("p"), F.max("of").alias("q")).where("p <> q").select("key", "n", "w")
+    left = written(spread_join(held, mixed, "key", held), "mixed")
     few = left.where(f"n <= {_SMALL}")
     x, y = few.select("key", F.col("node").alias("a"), F.col("of").alias("p")), few.select("key", F.col("node").alias("b"), F.col("of").alias("q"))
-    rest = x.join(y, "key").where("a < b and p <> q").select("a", "b").distinct()
+    rest = written(x.join(y, "key").where("a < b and p <> q").select("a", "b").distinct(), "rest")
     more = _verified(rest, sets, least).unionByName(_within(left.where(f"n > {_SMALL}"), sets, least))
     roots = written(components(edges.unionByName(written(more, "similar"))).select("node", "root"), "roots")
 
-    of = F.coalesce("root", "node")
-    labelled = prints.select("doc_id", "node").join(roots, "node", "left").select("doc_id", of.alias("root"))
-    named = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return labelled.join(named, "root").select("doc_id", "component_id")
+    nodes = written(prints.groupBy("node").agg(F.min("doc_id").alias("least")), "set-nodes")
+    named = component_names(roots, nodes, "node")
+    of = nodes.join(named, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id"))
+    return spread_join(prints.select("doc_id", "node"), of, "node", prints).select("doc_id", "component_id")

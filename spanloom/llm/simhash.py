@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import columns_of, shuffle_width, unused, written
+from .storage import columns_of, shuffle_width, sized, spread_join, unused, written
 
 SHINGLE = 3
 BITS = 3
@@ -43,7 +43,11 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     else:
         grams = map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False))
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(g, 42) for g in grams], dtype="<u8")
+    return majority(np.array([digest(g, 42) for g in grams], dtype="<u8"))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that over half of the hashes ``h`` have, as an unsigned integer."""
     total = np.zeros(64, np.int64)
     for s in range(0, len(h), 1 << 15):
         total += np.unpackbits(h[s : s + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -185,8 +189,14 @@ def links(fps: DataFrame, bits: int = BITS, chunk: int = CHUNK) -> DataFrame:
     found = written(keyed.mapInArrow(run, _LINKS_DDL), "links")
     near = found.where("fps is null").select("a", "b")
     cuts = found.where("fps is not null")
-    x, y = cuts.select("key", F.col("chunk").alias("i"), F.col("fps").alias("x")), cuts.select("key", F.col("chunk").alias("j"), F.col("fps").alias("y"))
-    pairs = x.join(y, "key").where("i < j").select("x", "y")
+    ends = written(cuts.groupBy("key").agg(F.max("chunk").alias("last")), "cut-buckets")
+    if ends.isEmpty():
+        return near
+    # every chunk goes to each of its pairs, whose tasks are dealt by the whole pair
+    each = spread_join(cuts.select("key", "chunk", "fps"), ends, "key", cuts).select("key", "chunk", "fps", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("other"))
+    x = each.where("chunk < other").select("key", F.col("chunk").alias("i"), F.col("other").alias("j"), F.col("fps").alias("x"))
+    y = each.where("chunk > other").select("key", F.col("other").alias("i"), F.col("chunk").alias("j"), F.col("fps").alias("y"))
+    pairs = x.join(y, ["key", "i", "j"]).select("x", "y")
     return near.unionByName(pairs.mapInArrow(across, _LINKS_DDL).select("a", "b"))
 
 
@@ -198,26 +208,38 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -
     is null); repeated rows are kept; extra columns are ignored.
     """
     prints = written(fingerprints(docs, shingle), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-nodes")
     roots = written(components(links(nodes.select("fp"), bits)).withColumnRenamed("node", "fp"), "roots")
-    linked = roots.join(nodes, "fp")
+    named = component_names(roots, nodes, "fp")
+    of = nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    return spread_join(prints, of, "fp", prints).select("doc_id", "fp", "component_id")
+
+
+def component_names(roots: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
+    """(key, component_id) of ``roots`` (key, root): the least id that ``nodes`` (key, least) have in the component."""
+    linked = written(roots.join(nodes, key).select(key, "root", "least"), "linked")
     named = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = linked.join(named, "root").select("fp", "component_id")
-    label = nodes.join(of, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(label, "fp").select("doc_id", "fp", "component_id")
+    return spread_join(linked, named, "root", linked).select(key, "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, groups: Callable[..., DataFrame] = near_duplicates, **options) -> DataFrame:
-    """``docs`` with one document of each component that ``groups`` finds, that of the smallest doc_id; same columns.
+    """``docs`` with one row of each component that ``groups`` finds; same columns.
 
-    Rows without a doc_id are told apart by their text: one of a component
-    without any doc_id stays, none beside a row that has one.  Without a
-    doc_id and words, one row stays whatever else does.
+    A row is its doc_id and its text, so rows that share a doc_id are told
+    apart.  The row with the smallest doc_id stays, of these that with the
+    least digest, and one of equal rows; rows without a doc_id come last.
+    Texts are shuffled only where the rows that go are too many to broadcast,
+    or for the copies of a doc_id and text that occur more than once.
     """
-    digest, words = unused("_digest", docs), F.coalesce(F.col("text").cast("string").rlike(r"[^\x09-\x0D\x20]"), F.lit(False))
-    nameless = F.col("doc_id").isNull()
-    rows = docs.where(~nameless | words).withColumn(digest, F.when(nameless, F.sha2(F.col("text").cast("binary"), 256)))
-    of = F.struct(nameless.alias("missing"), F.col("doc_id").alias("id"), F.col(digest).alias("digest"))
-    keep = groups(rows.select(of.alias("doc_id"), "text"), **options).where("doc_id = component_id").select("doc_id.id", "doc_id.digest").distinct()
-    one = rows.join(keep, rows["doc_id"].eqNullSafe(keep["id"]) & rows[digest].eqNullSafe(keep["digest"]), "left_semi").dropDuplicates(["doc_id", digest])
-    return one.select(columns_of(docs)).unionByName(docs.where(nameless & ~words).limit(1))
+    digest = unused("_digest", docs)
+    rows = docs.withColumn(digest, F.coalesce(F.sha2(F.col("text").cast("binary"), 256), F.lit("")))
+    of = F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("id"), F.col(digest).alias("digest"))
+    found = written(groups(rows.select(of.alias("doc_id"), "text"), **options).select("doc_id", "component_id"), "near-groups")
+    each = written(found.groupBy("doc_id").agg(F.count("*").alias("n"), F.first("component_id").alias("component_id")), "near-rows")
+    drop = each.where("n > 1 or doc_id <> component_id").select("doc_id.id", "doc_id.digest")
+    same = lambda few: rows["doc_id"].eqNullSafe(few["id"]) & (rows[digest] == few["digest"])
+    kept = rows.join(few := sized(drop), same(few), "left_anti")
+    twice = each.where("n > 1 and doc_id = component_id").select("doc_id.id", "doc_id.digest")
+    if not twice.isEmpty():
+        kept = kept.unionByName(rows.join(few := sized(twice), same(few), "left_semi").dropDuplicates(["doc_id", digest]))
+    return kept.select(columns_of(docs))

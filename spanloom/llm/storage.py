@@ -9,6 +9,7 @@ lost executor only costs the attempts it was running.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -20,11 +21,13 @@ from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The session's shared folder; a private one is set only where none is."""
+    """The session's shared folder; a private one is set only where none is and all executors run in this machine's one JVM."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = Path(tempfile.mkdtemp(prefix="spanloom-")).as_uri()
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -41,6 +44,53 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows up to which a table of two or three short columns is broadcast (some 10 MB).
+BROADCAST_ROWS = 200_000
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """``df``, short rows of a written table, marked for broadcast if a count finds it small."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def spread_join(rows: DataFrame, named: DataFrame, key: str, weigh: DataFrame) -> DataFrame:
+    """``rows`` joined with ``named``, one row for each key, so that no key's rows meet in one task.
+
+    A key is heavy if it has more than 1 / (4 * shuffle partitions) of the rows
+    of ``weigh``, a written table with the keys of ``rows``; so there are at most
+    that many, they are broadcast, and only the others are shuffled.  Null keys
+    match nothing.
+    """
+    hot, named_hot, cold = _heavy(rows, named, key, weigh)
+    if hot is None:
+        return cold
+    return rows.join(F.broadcast(hot.select(key)), key, "left_semi").join(F.broadcast(named_hot), key).unionByName(cold)
+
+
+def salted_join(rows: DataFrame, named: DataFrame, key: str, weigh: DataFrame) -> DataFrame:
+    """``spread_join`` for a ``named`` of long rows: heavy keys are not broadcast but dealt, by a hash of ``weigh``'s columns, to several tasks, each with a copy."""
+    hot, named_hot, cold = _heavy(rows, named, key, weigh)
+    if hot is None:
+        return cold
+    salt = unused("_salt", rows)
+    dealt = rows.join(F.broadcast(hot), key).withColumn(salt, F.pmod(F.xxhash64(*weigh.columns), F.col("_parts")).cast("int")).drop("_parts")
+    copies = named_hot.join(F.broadcast(hot), key).withColumn(salt, F.explode(F.expr("sequence(0, _parts - 1)"))).drop("_parts")
+    return dealt.join(copies, [key, salt]).drop(salt).unionByName(cold)
+
+
+def _heavy(rows: DataFrame, named: DataFrame, key: str, weigh: DataFrame) -> tuple[DataFrame | None, DataFrame | None, DataFrame]:
+    """(heavy keys with the number of parts to deal them to, ``named`` of these, join of the others)."""
+    spark, most, total = rows.sparkSession, 4 * shuffle_width(rows.sparkSession), weigh.count()
+    least = max(total / most, 64)
+    counts = weigh.groupBy(key).count().where(F.col(key).isNotNull() & (F.col("count") > least))
+    heavy = [(r[0], -(-r[1] // int(least))) for r in counts.collect()] if total > 2000 else []
+    if not heavy:
+        return None, None, rows.join(named, key)
+    hot = spark.createDataFrame(heavy, f"`{key}` {weigh.schema[key].dataType.simpleString()}, _parts int")
+    of = F.col(key).isin([k for k, _ in heavy])
+    return hot, named.where(of), rows.where(~of).join(named.where(~of), key)
+
+
 def unused(name: str, df: DataFrame) -> str:
     """``name``, with underscores before it until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}

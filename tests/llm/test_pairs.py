@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from spanloom.llm import simhash
+from spanloom.llm import storage
 from spanloom.llm.components import components
 from spanloom.llm.decontamination import benchmark_hits, cut_item, drop_contaminated, windows_of
 from spanloom.llm.near_copies import near_copies
@@ -146,7 +146,39 @@ def test_keep_without_id(spark, groups):
     kept = keep_one_of_each(docs, groups)
     assert kept.columns == docs.columns
     got = sorted((str(r.doc_id), (r.text or "").strip().lower()) for r in kept.collect())
-    assert got == sorted([("4", a), ("None", b), ("9", c), ("8", ""), ("None", "")])
+    assert got == sorted([("4", a), ("None", b), ("9", c), ("8", "")])
+
+
+@pytest.mark.parametrize("groups", [near_duplicates, near_copies])
+def test_keep_repeated_id(spark, groups, monkeypatch):
+    """A doc_id that stands for several texts loses none of them; equal rows are one; nothing depends on broadcasts."""
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(60)) for x in "abcd")
+    rows = [(1, a), (1, b), (2, c), (3, b), (2, c), (2, c.upper()), (None, d), (None, d), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for most in (storage.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(storage, "BROADCAST_ROWS", most)
+        kept = sorted((str(r.doc_id), (r.text or "").lower()) for r in keep_one_of_each(docs, groups).collect())
+        assert kept == sorted([("1", a), ("1", b), ("2", c), ("None", d), ("None", "")])
+
+
+@pytest.mark.parametrize("join", [storage.spread_join, storage.salted_join])
+def test_hot_joins(spark, join):
+    """A key with a third of all rows, null keys and keys without a partner."""
+    rows = [(k % 50 if k % 3 else 7, k) for k in range(6000)] + [(None, -1), (999, -2)]
+    left = spark.createDataFrame(rows, "k long, v long")
+    right = spark.createDataFrame([(k, f"n{k}") for k in range(60)], "k long, name string")
+    got = join(left, right, "k", left)
+    assert sorted((r.k, r.v, r.name) for r in got.collect()) == sorted((k, v, f"n{k}") for k, v in rows if k is not None and k < 60)
+
+
+def test_hot_fingerprint(spark):
+    """One fingerprint and one star of links with most of the rows."""
+    docs = spark.createDataFrame([(k, "same text here again" if k % 2 else f"text {k} of its own and no other {k * 7}") for k in range(3000)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs).collect()}
+    assert len(got) == 3000 and {got[k] for k in range(1, 3000, 2)} == {1}
+    star = spark.createDataFrame([(0, k) for k in range(1, 3000)] + [(5000, 5001)], "a long, b long")
+    roots = {r.node: r.root for r in components(star).collect()}
+    assert len(roots) == 3002 and len({roots[k] for k in range(3000)}) == 1 and roots[5000] == roots[5001] != roots[0]
 
 
 def test_empty_digest():
