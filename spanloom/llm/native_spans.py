@@ -38,10 +38,10 @@ class Kind:
 
 
 def with_matches(df: DataFrame, text: str, kinds: list[Kind], context: int = 0) -> DataFrame:
-    """``df`` with a column ``_m_<kind>`` for each kind: array of (start, end, v, g, before), unfiltered.
+    """``df`` with a column ``_m_<kind>`` for each kind: array of (start, v, g, before, after), unfiltered.
 
-    ``before``: up to ``context`` characters that stand before the match and
-    after the match before it.  A null text has no match.
+    ``before``, ``after``: up to ``context`` characters on both sides of the
+    match, as far as the second match of the kind away.  A null text has no match.
     """
     t = f"`{text}`"
     values, groups, gaps, lengths, blocks, found = ({} for _ in range(6))
@@ -55,7 +55,12 @@ def with_matches(df: DataFrame, text: str, kinds: list[Kind], context: int = 0)
         blocks[f"_w_{n}"] = F.expr(width)
         blocks[f"_b_{n}"] = F.expr(f"transform(sequence(0, cast(ceil(size(`_v_{n}`) / {width}) as int)), b -> aggregate(slice(`_l_{n}`, 1, b * {width}), 0L, (a, x) -> a + x))")
         start = f"(`_b_{n}`[i div `_w_{n}`] + aggregate(slice(`_l_{n}`, cast((i div `_w_{n}`) * `_w_{n}` + 1 as int), i % `_w_{n}`), 0L, (a, x) -> a + x) + length(`_p_{n}`[i]))"
-        found[f"_m_{n}"] = F.expr(f"transform(`_v_{n}`, (v, i) -> named_struct('start', {start}, 'v', v, 'g', `_g_{n}`[i], 'before', right(`_p_{n}`[i], {context})))")
+        near = lambda side, *parts: f"{side}(concat({', '.join(parts)}), {context})"
+        at = lambda side, i, n=n: f"coalesce({side}(get(`_p_{n}`, {i}), {context}), '')"
+        other = lambda i, n=n: f"coalesce(get(`_v_{n}`, {i}), '')"
+        before = near("right", at("right", "i - 1"), other("i - 1"), at("right", "i")) if context else "''"
+        after = near("left", at("left", "i + 1"), other("i + 1"), at("left", "i + 2")) if context else "''"
+        found[f"_m_{n}"] = F.expr(f"transform(`_v_{n}`, (v, i) -> named_struct('start', {start}, 'v', v, 'g', `_g_{n}`[i], 'before', {before}, 'after', {after}))")
     out = df
     for stage in (values, groups, gaps, lengths, blocks, found):
         out = out.withColumns(stage)

@@ -68,7 +68,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import BASE, personal_spans
 
     found = personal_spans(_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", *(count_of("base", k.name).alias(f"n_{k.name}") for k in BASE), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+    return found.select(
+        "doc_id", *(count_of("base", k.name).alias(f"n_{k.name}") for k in BASE), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"),
+        (F.size("spans") - F.size("base")).cast("long").alias("n_added"), F.array_join(F.transform("sure", lambda p: p.cast("string")), ",").alias("sure"),
+    )
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
