@@ -19,17 +19,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import fulltext, lookup, mutate, pack
+from .operators import fulltext, graph, lookup, mutate, pack
 from .operators.resolve import resolved
+from .operators.fulltext import TextIndex
 from .plans import context
 from .plans.context import DEFAULT_BUDGET, Index
 from .sources import drawers, gitlog, tree
 
 FOLDER = ".spanloom"
-SCHEMA = 2
+SCHEMA = 3
 #: Tables of a snapshot.
 TABLES = ("files", "symbols", "raw_edges", "edges", "docs", "postings", "commits", "commit_docs", "commit_postings")
 SEARCH_LIMIT, STALE_SAMPLE = 20, 20
+#: Columns that tables of older layouts lack, with their defaults.
+LATER = {"files": {"parse_status": "'file'"}, "symbols": {"name_lc": "lower(name)"}, "commits": {"body": "''", "files": "cast(array() as array<string>)"}}
 _COMMITS = "sha string, author string, authored_at string, subject string, body string, files array<string>, ord int"
 
 
@@ -89,7 +92,17 @@ def _table(spark: SparkSession, root: str | Path, name: str) -> DataFrame | None
     snapshot = meta(root).get("snapshot")
     if snapshot is None or not (_home(root) / snapshot / name).exists():
         return None
-    return spark.read.parquet(str(_home(root) / snapshot / name))
+    return mutate.with_missing_columns(spark.read.parquet(str(_home(root) / snapshot / name)), LATER.get(name, {}))
+
+
+def _texts(spark: SparkSession, root: str | Path, docs: str = "docs", postings: str = "postings", key: str = "path") -> TextIndex | None:
+    """What searches read of the current snapshot."""
+    d, p, size = _table(spark, root, docs), _table(spark, root, postings), meta(root).get(f"{docs}_size")
+    if d is None:
+        return None
+    if "dl" not in p.columns:  # the second layout
+        p = p.join(d.select(key, "dl"), key)
+    return TextIndex(d, d, p, key, tuple(size) if size else None)
 
 
 def index_tree(spark: SparkSession, root: str | Path, force: bool = False, below: str | Path | None = None, git=None) -> IndexStats:
@@ -113,8 +126,7 @@ def index_tree(spark: SparkSession, root: str | Path, force: bool = False, below
 
     old = {t: _table(spark, root, t) for t in TABLES}
     old_files = old["files"] if old["files"] is not None else spark.createDataFrame([], "path string, language string, hash string, size long, mtime long, parse_status string")
-    scoped = old_files.where(F.startswith("path", F.lit(prefix)))
-    diff = mutate.hash_diff(scoped, kept)
+    diff = mutate.scoped_diff(old_files, kept, prefix)
     changed = diff.where("status in ('added', 'changed')" if not force else "status <> 'deleted'").select("path")
     statuses = {r[0]: r[1] for r in diff.groupBy("status").count().collect()}
 
@@ -136,7 +148,7 @@ def index_tree(spark: SparkSession, root: str | Path, force: bool = False, below
     symbols = put("symbols", new_symbols, old["symbols"])
     raw = put("raw_edges", new_raw, old["raw_edges"])
     all_docs = put("docs", docs, old["docs"])
-    all_docs.select("path", F.explode("toks").alias("term")).groupBy("path", "term").agg(F.count("*").alias("tf")).sortWithinPartitions("term").write.parquet(str(to / "postings"))
+    fulltext.by_term(fulltext.postings_of(all_docs)).write.parquet(str(to / "postings"))
     resolved(raw, symbols).write.parquet(str(to / "edges"))
 
     # history: from where the last build stopped, unless that is no ancestor any more
@@ -144,7 +156,7 @@ def index_tree(spark: SparkSession, root: str | Path, force: bool = False, below
     status, text, head, since = _history(source, known, prefix, force)
     commits = old["commits"] if old["commits"] is not None and not (force and not prefix) else spark.createDataFrame([], _COMMITS)
     if text:
-        got = gitlog.parse_log(spark.createDataFrame([(text,)], "value string")).withColumn("body", T.cut(F.col("body"), gitlog.BODY_CHARS))
+        got = gitlog.parse_log(gitlog.records(spark, text), at="at").withColumn("body", T.cut(F.col("body"), gitlog.BODY_CHARS))
         last = commits.agg(F.coalesce(F.max("ord"), F.lit(-1)).alias("m")).first().m
         got = got.withColumn("ord", F.col("ord") + last + 1).withColumn("files", F.transform("files", lambda f: F.concat(F.lit(prefix), f)))
         if got.isEmpty():
@@ -154,10 +166,12 @@ def index_tree(spark: SparkSession, root: str | Path, force: bool = False, below
     commits = spark.read.parquet(str(to / "commits"))
     commit_docs, commit_postings = fulltext.index(commits, "sha", ("sha", "subject", "body"))
     commit_docs.write.parquet(str(to / "commit_docs"))
-    commit_postings.write.parquet(str(to / "commit_postings"))
+    fulltext.by_term(commit_postings, "sha").write.parquet(str(to / "commit_postings"))
 
-    content = {"schema_version": SCHEMA, "snapshot": name, "root": str(root), "indexed_at": datetime.now(timezone.utc).isoformat(), "file_count": files.count(), "symbol_count": symbols.count(), "edge_count": spark.read.parquet(str(to / "edges")).count()}
-    content |= {"commit_count": known["commit_count"], "git_head": known["git_head"], "git_status": known["git_status"]} if prefix else {"commit_count": commits.count(), "git_head": head or known["git_head"], "git_status": status}
+    n = pack.table_counts({"file_count": files, "symbol_count": symbols, "edge_count": spark.read.parquet(str(to / "edges")), "commit_count": commits}).first().asDict()
+    content = {"schema_version": SCHEMA, "snapshot": name, "root": str(root), "indexed_at": datetime.now(timezone.utc).isoformat()} | n
+    content |= {f"{d}_size": TextIndex(x, x, x).size() for d in ("docs", "commit_docs") for x in [spark.read.parquet(str(to / d))]}
+    content |= {"commit_count": known["commit_count"], "git_head": known["git_head"], "git_status": known["git_status"]} if prefix else {"git_head": head or known["git_head"], "git_status": status}
     before, errors = known.get("snapshot"), parsed.where("parse_status = 'error'").count()
     _point(home, content)
     for x in ("scan", "parsed"):
@@ -184,33 +198,40 @@ def _history(source, known: dict, prefix: str, force: bool) -> tuple[str, str, s
         return ("timeout" if type(e).__name__ == "TimeoutExpired" else "absent"), "", None, None
 
 
-def open_index(spark: SparkSession, root: str | Path, live: bool = True) -> Index | None:
-    """The current snapshot with the files as they are on disk now; None before the first build."""
+def open_index(spark: SparkSession, root: str | Path) -> Index | None:
+    """The current snapshot, and a way to read its files as they are on disk now; None before the first build."""
     t = {n: _table(spark, root, n) for n in TABLES}
     if t["files"] is None:
         return None
-    now = t["files"].select("path", "hash", F.lit("").alias("content"))
-    if live:
-        paths = [r.path for r in t["files"].select("path").collect()]
-        now = tree.read_files(spark, Path(root).resolve(), paths).where("readable and strict").select("path", "hash", "content")
+
+    def live(paths: DataFrame) -> DataFrame:
+        spread = paths.repartition(spark.sparkContext.defaultParallelism)
+        return tree.read_paths(spread, Path(root).resolve()).where("readable and strict").select("path", "hash", "content")
+
     commits = t["commits"].select("sha", "subject", "body", "files", "ord")
-    return Index(t["files"], now, t["symbols"], t["edges"], t["docs"], t["postings"], commits, t["commit_docs"], t["commit_postings"])
+    return Index(t["files"], live, t["symbols"], t["edges"], _texts(spark, root), commits, _texts(spark, root, "commit_docs", "commit_postings", "sha"))
+
+
+def _no_index(spark: SparkSession) -> Index:
+    empty = lambda ddl: fulltext.local(spark, ddl, [])
+    text = lambda key: TextIndex(empty(f"{key} string, toks array<string>, dl int"), empty(f"{key} string, dl int"), empty(f"{key} string, term string, tf long, dl int"), key, (0.0, 1.0))
+    live = lambda paths: empty("path string, hash string, content string")
+    symbols = empty("symbol_id long, path string, ord int, name string, name_lc string, kind string, start_line int, end_line int")
+    return Index(empty("path string, hash string"), live, symbols, empty("src long, dst long, kind string, confidence string, ord int"), text("path"), empty("sha string, subject string, body string, files array<string>, ord int"), text("sha"))
 
 
 def compile_packages(spark: SparkSession, index: Index, questions: list[tuple[str, int]], git_status: str = "absent") -> list[tuple[dict, list[dict]]]:
     """A (package, edges it may show) for each (question, budget), all of them in one plan."""
     keyed = [(k, text, budget) for k, (text, budget) in enumerate(questions)]
+    keep = context.keeper(len(keyed))
     q, phrases = context.planned(spark, keyed)
-    spans, followed, counts, commits = context.candidate_spans(index, q, phrases)
-    found = context.ranked(spans, commits, q)
+    spans, followed, counts, commits = context.candidate_spans(index, q, phrases, keep)
+    found = keep(context.ranked(spans, commits, q, keep))
     rows = context.filled(found, index, q).select("query_id", "pos", "path", "start_line", "end_line", "symbol", "kind", "why", "state", "cost", "admitted", F.when(F.col("admitted") & (F.col("state") == "item"), F.col("text")).alias("text"))
     rows = rows.collect()  # bounded: capped candidates for each question
-    symbols_considered = {r.query_id: r.symbols_considered for r in counts.collect()}
-    side = lambda i, c: index.symbols.select(F.col("symbol_id").alias(i), F.concat("path", F.lit(":"), "name").alias(c))
-    items = spark.createDataFrame(list({(r.query_id, f"{r.path}:{r.symbol}") for r in rows if r.admitted and r.state == "item" and r.symbol is not None}), "query_id int, item string")
-    ends = followed.join(side("src", "from"), "src").join(side("dst", "to"), "dst").join(items.withColumnRenamed("item", "from"), ["query_id", "from"], "left_semi").join(items.withColumnRenamed("item", "to"), ["query_id", "to"], "left_semi")
-    edges = mutate.first_of(ends, ["query_id", "from", "to", "kind"], ["ord"]).orderBy("ord", "from", "to", "kind").collect()
-    n_commits = {r.query_id: r["count"] for r in commits.groupBy("query_id").count().collect()}
+    of = counts.select("query_id", "symbols_considered", F.lit(0).cast("long").alias("n")).unionByName(commits.groupBy("query_id").agg(F.lit(0).cast("long").alias("symbols_considered"), F.count("*").alias("n")))
+    considered = {r.query_id: r for r in of.groupBy("query_id").agg(F.sum("symbols_considered").alias("symbols"), F.sum("n").alias("commits")).collect()}
+    edges = _shown_edges(spark, index, followed, rows)
 
     out = []
     for k, text, budget in keyed:
@@ -225,8 +246,8 @@ def compile_packages(spark: SparkSession, index: Index, questions: list[tuple[st
             "items": [{"path": r.path, "start_line": r.start_line, "end_line": r.end_line, "symbol": r.symbol, "kind": r.kind, "text": r.text, "why": r.why} for r in taken],
             "edges": list(shown),
             "stats": {
-                "files_considered": len({r.path for r in mine}), "symbols_considered": symbols_considered.get(k, 0), "dropped_for_budget": int(stop is not None), "stale_omitted": stale,
-                "stale_index": pack.is_stale(stale, len(taken)), "truncated": False, "palace": None, "git": {"status": git_status, "commits_considered": n_commits.get(k, 0), "included": 0},
+                "files_considered": len({r.path for r in mine}), "symbols_considered": considered[k].symbols if k in considered else 0, "dropped_for_budget": int(stop is not None), "stale_omitted": stale,
+                "stale_index": pack.is_stale(stale, len(taken)), "truncated": False, "palace": None, "git": {"status": git_status, "commits_considered": considered[k].commits if k in considered else 0, "included": 0},
             },
         }
         pack.fit_json(package, shown)
@@ -235,15 +256,24 @@ def compile_packages(spark: SparkSession, index: Index, questions: list[tuple[st
     return out
 
 
+def _shown_edges(spark: SparkSession, index: Index, followed: DataFrame, rows: list) -> list:
+    """The edges (query_id, from, to, kind, confidence), in order, among the symbols that a package quotes."""
+    named = {(r.query_id, f"{r.path}:{r.symbol}") for r in rows if r.admitted and r.state == "item" and r.symbol is not None}
+    if len(named) < 2:
+        return []
+    items = fulltext.local(spark, "query_id int, item string", sorted(named))
+    symbols = index.symbols.select("symbol_id", F.concat("path", F.lit(":"), "name").alias("item")).join(F.broadcast(items.select("item").distinct()), "item", "left_semi")
+    side = lambda i, c: symbols.select(F.col("symbol_id").alias(i), F.col("item").alias(c))
+    ends = followed.join(side("src", "from"), "src").join(side("dst", "to"), "dst")
+    return pack.edges_among(items, ends).orderBy("ord", "from", "to", "kind").collect()
+
+
 def get_contexts(spark: SparkSession, root: str | Path, questions: list[str], budget: int = DEFAULT_BUDGET, drawer_search=None, include_drawers: bool | None = None) -> list[dict]:
     """Packages of verbatim spans for questions about the tree at ``root``."""
     known = meta(root)
     index = open_index(spark, root)
     if index is None:
-        empty = spark.createDataFrame
-        symbols = empty([], "symbol_id long, path string, ord int, name string, name_lc string, kind string, start_line int, end_line int")
-        postings, docs = "term string, tf long", "toks array<string>, dl int"
-        index = Index(empty([], "path string, hash string"), empty([], "path string, hash string, content string"), symbols, empty([], "src long, dst long, kind string, confidence string, ord int"), empty([], f"path string, {docs}"), empty([], f"path string, {postings}"), empty([], "sha string, subject string, body string, files array<string>, ord int"), empty([], f"sha string, {docs}"), empty([], f"sha string, {postings}"))
+        index = _no_index(spark)
     status = "ok" if known["commit_count"] > 0 else "absent"
     try:
         settings = drawers.parse_settings((_home(root) / "config.toml").read_text())
@@ -269,23 +299,31 @@ def search_symbols(spark: SparkSession, root: str | Path, name: str, limit: int
     return found.select("path", "start_line", "end_line", "kind", "name", "signature", "hit_ord").orderBy("hit_ord")
 
 
+def references(spark: SparkSession, root: str | Path, path: str) -> DataFrame:
+    """Who uses a file: edges into its symbols from other files."""
+    edges, symbols = _table(spark, root, "edges"), _table(spark, root, "symbols")
+    if edges is None:
+        return spark.createDataFrame([], "src_path string, src_name string, dst_name string, kind string, confidence string")
+    found = graph.incoming(edges, symbols, F.col("dst_path") == path)
+    return found.select("src_path", "src_name", "dst_name", "kind", "confidence").orderBy("src_path", "src_name", "dst_name", "kind")
+
+
 def search_code(spark: SparkSession, root: str | Path, query: str, limit: int = SEARCH_LIMIT) -> DataFrame:
     """Files by text: the expression, or else the phrase, and then the parts of hyphenated words."""
     from .plans.query_plan import fallback, ladder
 
-    docs, postings = _table(spark, root, "docs"), _table(spark, root, "postings")
-    if docs is None or not query.strip():
+    texts = _texts(spark, root)
+    if texts is None or not query.strip():
         return spark.createDataFrame([], "path string, rank int")
     rows = [(0, order, k, e.text, e.prefix, e.group, e.negated) for order, es in enumerate((ladder(query), fallback(query))) for k, e in enumerate(es)]
-    phrases = spark.createDataFrame(rows, "query_id int, search_ord int, phrase_ord int, text string, prefix boolean, group int, negated boolean").withColumn("toks", T.tokens(F.col("text")))
-    keyed = phrases.select(F.col("search_ord").alias("query_id"), "phrase_ord", "toks", "prefix", "group", "negated")
-    hits = fulltext.search_expressions(docs, postings, keyed, limit)
+    keyed = context.phrase_table(spark, rows).select(F.col("search_ord").alias("query_id"), "phrase_ord", "toks", "prefix", "group", "negated")
+    hits = fulltext.search_expressions(texts, keyed, limit)
     parts = [hits.where(F.col("query_id") == k).withColumn("query_id", F.lit(0)) for k in (0, 1)]
     return fulltext.ordered_union(parts, limit).select("path", "rank").orderBy("rank")
 
 
 def status(root: str | Path) -> dict:
-    return {k: v for k, v in meta(root).items() if k != "snapshot"}
+    return {k: v for k, v in meta(root).items() if k != "snapshot" and not k.endswith("_size")}
 
 
 def doctor(spark: SparkSession, root: str | Path) -> dict:
@@ -294,7 +332,7 @@ def doctor(spark: SparkSession, root: str | Path) -> dict:
     if index is None:
         return status(root) | {"sampled": 0, "stale": 0}
     some = index.files.orderBy("path").limit(STALE_SAMPLE)
-    s = some.join(index.live.select("path", F.col("hash").alias("now")), "path", "left").agg(F.count("*").alias("n"), F.count_if(~F.col("hash").eqNullSafe(F.col("now"))).alias("stale")).first()
+    s = some.join(index.live(some.select("path")).select("path", F.col("hash").alias("now")), "path", "left").agg(F.count("*").alias("n"), F.count_if(~F.col("hash").eqNullSafe(F.col("now"))).alias("stale")).first()
     return status(root) | {"sampled": s.n, "stale": s.stale}
 
 

@@ -7,6 +7,8 @@ those documents' token lists are then searched.  Lower ranks are better.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,23 +16,69 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 from ..functions.text import tokens
+from ..storage import written
 
 # Fixed values of the ranking function.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 
-def index(files: DataFrame, key: str = "path", columns: tuple[str, ...] = ("path", "content"), terms: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(docs, postings) of ``files``: docs has key, toks and dl; postings key, term and tf.
+@dataclass(frozen=True)
+class TextIndex:
+    """What searches read: ``docs`` (key, and toks or the text they come from), ``lengths`` (key, dl) and ``postings`` (key, term, tf, dl).
+
+    ``stats``: number and mean length of documents, where they are known.
+    """
+
+    docs: DataFrame
+    lengths: DataFrame
+    postings: DataFrame
+    key: str = "path"
+    stats: tuple[float, float] | None = None
+
+    def size(self) -> tuple[float, float]:
+        if self.stats is not None:
+            return self.stats
+        s = self.lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
+        return float(s.n or 0), float(s.avgdl or 1)
+
+
+def _text(columns: tuple[str, ...]):
+    return F.concat_ws("\n", *(F.col(c).cast("string") for c in columns))
+
+
+def postings_of(docs: DataFrame, key: str = "path") -> DataFrame:
+    """(key, term, tf, dl) of ``docs`` (key, toks, dl)."""
+    return docs.select(key, "dl", F.explode("toks").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+
+
+def index(files: DataFrame, key: str = "path", columns: tuple[str, ...] = ("path", "content")) -> tuple[DataFrame, DataFrame]:
+    """(docs, postings) of ``files``, to be stored: docs has key, toks and dl; postings key, term, tf and dl."""
+    docs = files.select(key, tokens(_text(columns)).alias("toks")).withColumn("dl", F.size("toks"))
+    return docs, postings_of(docs, key)
 
-    ``terms`` (column term): for searches without a stored index, the only
-    terms that are wanted; others are dropped before anything is shuffled.
+
+def by_term(postings: DataFrame, key: str = "path") -> DataFrame:
+    """``postings`` laid out for lookups: ranges of terms, common ones over several files, so that a scan skips what is not asked for."""
+    return postings.repartitionByRange("term", key).sortWithinPartitions("term", key)
+
+
+def scanned(files: DataFrame, wanted: DataFrame, key: str = "path", columns: tuple[str, ...] = ("path", "content")) -> TextIndex:
+    """A search's own index, where none is stored: one pass over ``files`` that keeps lengths and the terms of ``wanted``'s phrases.
+
+    Other terms are dropped before anything is shuffled; what is left is
+    written to the shared folder.  A length stands beside the terms, as the
+    count of the empty term.
     """
-    text = F.concat_ws("\n", *(F.col(c).cast("string") for c in columns))
-    docs = files.select(key, tokens(text).alias("toks")).withColumn("dl", F.size("toks"))
-    each = docs.select(key, F.explode("toks").alias("term"))
-    if terms is not None:
-        each = each.join(terms.select("term").distinct(), "term", "left_semi")
-    return docs, each.groupBy(key, "term").agg(F.count("*").alias("tf"))
+    terms = wanted.select(F.explode("toks").alias("term")).distinct().withColumn("_asked", F.lit(True))
+    starts = sorted({r[0] for r in wanted.where("prefix and size(toks) = 1").select(F.col("toks")[0]).collect()})  # bounded: the phrases asked for
+    entry = lambda term, n: F.struct(term.alias("term"), n.alias("n"))
+    each = lambda toks: F.concat(F.array(entry(F.lit(""), F.size(toks))), F.transform(toks, lambda t: entry(t, F.lit(1))))
+    flat = files.select(key, F.inline(F.flatten(F.transform(F.array(tokens(_text(columns))), each))))  # an array of one, so that a text is cut once
+    begins = F.exists(F.lit(starts), lambda s: F.startswith("term", s)) if starts else F.lit(False)
+    some = flat.join(terms, "term", "left").where(F.col("_asked") | (F.col("term") == "") | begins)
+    counted = written(some.groupBy(key, "term").agg(F.sum("n").alias("tf")), "postings")
+    lengths = counted.where("term = ''").select(key, F.col("tf").alias("dl"))
+    return TextIndex(files.select(key, _text(columns).alias("text")), lengths, counted.where("term <> ''").join(lengths, key), key)
 
 
 def local(spark: SparkSession, ddl: str, rows: list[tuple]) -> DataFrame:
@@ -40,57 +88,48 @@ def local(spark: SparkSession, ddl: str, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(pa.Table.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=arrow), schema)
 
 
-def phrases(docs: DataFrame, postings: DataFrame, wanted: DataFrame, key: str = "path") -> DataFrame:
-    """(query_id, phrase_ord, key, tf) of ``wanted``'s phrases (query_id, phrase_ord, toks, prefix) in documents that have them."""
+def phrases(ix: TextIndex, wanted: DataFrame) -> DataFrame:
+    """(query_id, phrase_ord, key, tf, dl) of ``wanted``'s phrases (query_id, phrase_ord, toks, prefix) in documents that have them."""
+    key, postings = ix.key, ix.postings
     named = wanted.withColumn("n", F.size("toks"))
     one = named.where("n = 1 and not prefix").withColumn("term", F.col("toks")[0])
-    hits = postings.join(one, "term").select("query_id", "phrase_ord", key, "tf")
+    out = postings.join(one, "term").select("query_id", "phrase_ord", key, "tf", "dl")
     starts = named.where("n = 1 and prefix").withColumn("_p", F.col("toks")[0])
-    sizes = [r[0] for r in starts.select(F.length("_p")).distinct().collect()]  # few: lengths of terms
-    cut = postings.withColumn("_size", F.explode(F.filter(F.lit(sizes).cast("array<int>"), lambda n: n <= F.length("term")))).withColumn("_p", F.expr("left(term, _size)"))
-    begun = cut.join(starts, "_p").groupBy("query_id", "phrase_ord", key).agg(F.sum("tf").alias("tf"))
+    sizes = sorted({r[0] for r in starts.select(F.length("_p")).collect()})  # bounded: the phrases asked for
+    if sizes:
+        cut = postings.withColumn("_size", F.explode(F.filter(F.lit(sizes).cast("array<int>"), lambda n: n <= F.length("term")))).withColumn("_p", F.expr("left(term, _size)"))
+        out = out.unionByName(cut.join(starts, "_p").groupBy("query_id", "phrase_ord", key).agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl")))
     # documents with every token of a phrase, then the places where it stands
     each = named.where("n > 1").select("query_id", "phrase_ord", F.explode(F.array_distinct("toks")).alias("term"), F.size(F.array_distinct("toks")).alias("need"))
     whole = postings.join(each, "term").groupBy("query_id", "phrase_ord", key).agg(F.count("*").alias("have"), F.first("need").alias("need")).where("have = need")
-    at = "filter(sequence(1, dl), i -> slice(toks, i, n) = want)"
-    placed = (
-        whole.join(named.select("query_id", "phrase_ord", F.col("toks").alias("want"), "n"), ["query_id", "phrase_ord"])
-        .join(docs, key)
-        .where("dl >= n")
-        .select("query_id", "phrase_ord", key, F.expr(f"cast(size({at}) as bigint)").alias("tf"))
-        .where("tf > 0")
-    )
-    return hits.unionByName(begun).unionByName(placed)
-
-
-def bm25_scores(docs: DataFrame, found: DataFrame, key: str = "path") -> DataFrame:
+    placed = whole.join(named.select("query_id", "phrase_ord", F.col("toks").alias("want"), "n"), ["query_id", "phrase_ord"]).join(ix.docs, key)
+    toks = F.col("toks") if "toks" in ix.docs.columns else tokens(F.col("text"))
+    starts_at = lambda d: F.filter(F.sequence(F.lit(1), F.size(d) - F.col("n") + 1), lambda i: F.slice(d, i, F.col("n")) == F.col("want"))
+    counted = F.transform(F.array(toks), lambda d: F.struct(F.when(F.size(d) >= F.col("n"), F.size(starts_at(d))).cast("long").alias("tf"), F.size(d).alias("dl")))
+    return out.unionByName(placed.select("query_id", "phrase_ord", key, F.inline(F.filter(counted, lambda c: c["tf"] > 0))))
+
+
+def bm25_scores(ix: TextIndex, found: DataFrame) -> DataFrame:
     """(query_id, key, score, have): summed weights of the phrases found, and how many they are."""
-    stats = docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
-    n, avgdl = float(stats.n or 0), float(stats.avgdl or 1)
-    df = found.groupBy("query_id", "phrase_ord").agg(F.countDistinct(key).alias("df"))
+    n, avgdl = ix.size()
+    df = found.groupBy("query_id", "phrase_ord").agg(F.count("*").alias("df"))
     idf = F.greatest(F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl)))
-    return found.join(df, ["query_id", "phrase_ord"]).join(docs.select(key, "dl"), key).groupBy("query_id", key).agg((-F.sum(weight)).alias("score"), F.count("*").alias("have"))
+    return found.join(df, ["query_id", "phrase_ord"]).groupBy("query_id", ix.key).agg((-F.sum(weight)).alias("score"), F.count("*").alias("have"))
 
 
-def bm25(docs: DataFrame, found: DataFrame, need: DataFrame | None, most: int, key: str = "path") -> DataFrame:
-    """(query_id, key, score, rank) of the best ``most`` documents of each query.
-
-    ``need``: (query_id, need) phrases that a document must have; all of them
-    for AND, one for OR.  Ties go by key.
-    """
-    summed = bm25_scores(docs, found, key)
-    if need is not None:
-        summed = summed.join(need, "query_id").where("have >= need")
+def best(summed: DataFrame, most: int, key: str = "path") -> DataFrame:
+    """(query_id, key, score, rank) of the best ``most`` documents of each query; ties go by key."""
     w = Window.partitionBy("query_id").orderBy(F.round("score", 9), key)
     return summed.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("query_id", key, "score", "rank")
 
 
-def search(docs: DataFrame, postings: DataFrame, wanted: DataFrame, any_of: bool, most: int, key: str = "path") -> DataFrame:
+def search(ix: TextIndex, wanted: DataFrame, any_of: bool, most: int) -> DataFrame:
     """BM25 hits of ``wanted`` phrases under AND, or under OR if ``any_of``."""
-    found = phrases(docs, postings, wanted, key)
-    need = None if any_of else wanted.groupBy("query_id").agg(F.count("*").alias("need"))
-    return bm25(docs, found, need, most, key)
+    summed = bm25_scores(ix, phrases(ix, wanted))
+    if not any_of:
+        summed = summed.join(wanted.groupBy("query_id").agg(F.count("*").alias("need")), "query_id").where("have >= need")
+    return best(summed, most, ix.key)
 
 
 def ordered_union(parts: list[DataFrame], most: int, key: str = "path") -> DataFrame:
@@ -99,25 +138,28 @@ def ordered_union(parts: list[DataFrame], most: int, key: str = "path") -> DataF
     for k, p in enumerate(parts):
         p = p.select("query_id", key, F.lit(k).alias("_part"), F.col("rank").alias("_rank"))
         both = p if both is None else both.unionByName(p)
-    once = Window.partitionBy("query_id", key).orderBy("_part", "_rank")
-    rank = Window.partitionBy("query_id").orderBy("_part", "_rank", key)
-    first = both.withColumn("_n", F.row_number().over(once)).where("_n = 1")
+    return first_seen(both, ["_part", "_rank"], most, key)
+
+
+def first_seen(hits: DataFrame, order: list[str], most: int, key: str = "path") -> DataFrame:
+    """(query_id, key, rank): each document of a query once, where it comes first in ``order``, at most ``most`` a query."""
+    once = Window.partitionBy("query_id", key).orderBy(*order)
+    rank = Window.partitionBy("query_id").orderBy(*order, key)
+    first = hits.withColumn("_n", F.row_number().over(once)).where("_n = 1")
     return first.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= most).select("query_id", key, "rank")
 
 
-def search_expressions(docs: DataFrame, postings: DataFrame, wanted: DataFrame, most: int, key: str = "path") -> DataFrame:
+def search_expressions(ix: TextIndex, wanted: DataFrame, most: int) -> DataFrame:
     """BM25 hits of expressions: ``wanted`` has query_id, phrase_ord, toks, prefix, group and negated.
 
     A document answers if it has all phrases of some group and none that the
     group negates; every phrase it has that is not negated adds to its score.
     """
-    empty = wanted.where("size(toks) > 0")
-    found = phrases(docs, postings, empty.select("query_id", "phrase_ord", "toks", "prefix"), key)
-    sides = found.join(empty.select("query_id", "phrase_ord", "group", "negated"), ["query_id", "phrase_ord"])
-    need = empty.groupBy("query_id", "group").agg(F.count_if(~F.col("negated")).alias("need"))
+    asked, key = wanted.where("size(toks) > 0"), ix.key
+    found = phrases(ix, asked.select("query_id", "phrase_ord", "toks", "prefix"))
+    sides = found.join(asked.select("query_id", "phrase_ord", "group", "negated"), ["query_id", "phrase_ord"])
+    need = asked.groupBy("query_id", "group").agg(F.count_if(~F.col("negated")).alias("need"))
     having = sides.groupBy("query_id", "group", key).agg(F.count_if(~F.col("negated")).alias("have"), F.count_if("negated").alias("bad"))
     answers = having.join(need, ["query_id", "group"]).where("have = need and bad = 0 and need > 0").select("query_id", key).distinct()
-    good = sides.where("not negated").select("query_id", "phrase_ord", key, "tf")
-    stats_found = bm25_scores(docs, good, key)
-    w = Window.partitionBy("query_id").orderBy(F.round("score", 9), key)
-    return stats_found.join(answers, ["query_id", key], "left_semi").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("query_id", key, "score", "rank")
+    scores = bm25_scores(ix, sides.where("not negated").select("query_id", "phrase_ord", key, "tf", "dl"))
+    return best(scores.join(answers, ["query_id", key], "left_semi"), most, key)

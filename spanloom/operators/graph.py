@@ -1,4 +1,4 @@
-"""One-hop expansion and resolution of edges."""
+"""One-hop expansion of edges."""
 
 from __future__ import annotations
 
@@ -40,17 +40,3 @@ def incoming(edges: DataFrame, symbols: DataFrame, path: Column) -> DataFrame:
     """Edges into symbols of ``path`` (a condition on dst_path) from other files."""
     side = lambda s: symbols.select(F.col("symbol_id").alias(s), F.col("name").alias(f"{s}_name"), F.col("path").alias(f"{s}_path"))
     return edges.join(side("dst").where(path), "dst").join(side("src"), "src").where("src_path <> dst_path")
-
-
-def cascade(rows: DataFrame, key: str, lookups: list[tuple[str, DataFrame, list[str]]]) -> DataFrame:
-    """``rows`` with ``dst`` from the first lookup that has it, and ``via`` naming that lookup.
-
-    Each lookup is (name, table with ``id``, join columns), one row for a key.
-    """
-    out, found, via = rows, [], None
-    for name, table, on in lookups:
-        c = f"_{name}"
-        out = out.join(table.select(*on, F.col("id").alias(c)), on, "left")
-        found.append(F.col(c))
-        via = F.when(F.col(c).isNotNull(), name) if via is None else via.when(F.col(c).isNotNull(), name)
-    return out.withColumn("dst", F.coalesce(*found)).withColumn("via", via).drop(*(f"_{n}" for n, *_ in lookups))

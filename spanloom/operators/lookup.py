@@ -20,7 +20,7 @@ def exact(symbols: DataFrame, terms: DataFrame) -> DataFrame:
 def prefix(symbols: DataFrame, terms: DataFrame) -> DataFrame:
     """Symbols whose name starts with a term, case aside; nothing in a term is a wildcard."""
     keyed = terms.withColumn("_p", F.lower("term"))
-    sizes = [r[0] for r in keyed.select(F.length("_p")).distinct().collect()]  # few: lengths of terms
+    sizes = sorted({r[0] for r in keyed.select(F.length("_p")).collect()})  # bounded: the terms asked for
     cut = symbols.withColumn("_size", F.explode(F.filter(F.lit(sizes).cast("array<int>"), lambda n: n <= F.length("name_lc")))).withColumn("_p", F.expr("left(name_lc, _size)"))
     return cut.join(keyed, "_p").drop("_p", "_size")
 
@@ -39,14 +39,13 @@ def tagged(symbols: DataFrame, terms: DataFrame, most: int) -> DataFrame:
     """For each query its first ``most`` symbols: by term, exact ones before prefixes, each symbol once.
 
     ``terms``: query_id, term_ord, term, and perhaps exact_only for terms that
-    are no prefixes.  Adds hit_ord and exact.
+    are no prefixes.  Adds hit_ord and exact.  A name that is the term begins
+    with it, so one lookup finds both.
     """
-    terms = terms.where("term <> ''")
-    begins = terms
+    begins = prefix(symbols, terms.where("term <> ''")).withColumn("_phase", F.when(F.col("name_lc") == F.lower("term"), 0).otherwise(1))
     if "exact_only" in terms.columns:
-        terms, begins = terms.drop("exact_only"), terms.where("not exact_only").drop("exact_only")
-    both = exact(symbols, terms).withColumn("_phase", F.lit(0)).unionByName(prefix(symbols, begins).withColumn("_phase", F.lit(1)))
+        begins = begins.where("_phase = 0 or not exact_only").drop("exact_only")
     once = Window.partitionBy("query_id", "symbol_id").orderBy("term_ord", "_phase")
     by = Window.partitionBy("query_id").orderBy("term_ord", "_phase", "path", "ord")
-    found = both.withColumn("_n", F.row_number().over(once)).where("_n = 1").withColumn("hit_ord", F.row_number().over(by)).where(F.col("hit_ord") <= most)
+    found = begins.withColumn("_n", F.row_number().over(once)).where("_n = 1").withColumn("hit_ord", F.row_number().over(by)).where(F.col("hit_ord") <= most)
     return found.withColumn("exact", F.col("_phase") == 0).drop("_n", "_phase", "term", "term_ord")

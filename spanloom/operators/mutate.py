@@ -13,17 +13,16 @@ def hash_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return a.join(b, "path", "full_outer").select("path", status.alias("status"))
 
 
+def scoped_diff(old: DataFrame, new: DataFrame, prefix: str = "") -> DataFrame:
+    """``hash_diff`` of what lies below ``prefix``; paths elsewhere were not looked at, so they are not gone."""
+    return hash_diff(old.where(F.startswith("path", F.lit(prefix))), new)
+
+
 def upsert(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """``table`` with ``rows`` in place of those of equal key."""
     return table.join(rows.select(key), key, "left_anti").unionByName(rows)
 
 
-def delete_unseen(table: DataFrame, seen: DataFrame, prefix: str = "") -> DataFrame:
-    """``table`` without the paths below ``prefix`` that were not seen; others are out of reach."""
-    gone = table.where(F.startswith("path", F.lit(prefix))).select("path").join(seen.select("path"), "path", "left_anti")
-    return table.join(gone, "path", "left_anti")
-
-
 def first_of(rows: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
     """For each key its first row in ``order``."""
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -40,6 +39,6 @@ def replace_payload(payload: DataFrame, rewritten: DataFrame, rows: DataFrame) -
     return payload.join(rewritten.select("path"), "path", "left_anti").unionByName(rows)
 
 
-def with_missing_columns(table: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """Additive migration: the columns a table of an older layout lacks, with their defaults."""
-    return table.withColumns({n: c for n, c in columns.items() if n not in table.columns})
+def with_missing_columns(table: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Additive migration: the columns a table of an older layout lacks, by their defaults (SQL)."""
+    return table.withColumns({n: F.expr(x) for n, x in columns.items() if n not in table.columns})

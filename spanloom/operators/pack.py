@@ -18,9 +18,19 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def edges_among(items: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edges (from, to, kind, confidence, ord) whose ends are both items (query_id, item) of a query; of equal ones the first."""
+    """Edges (from, to, kind, confidence, ord; perhaps of a query_id) whose ends are both items (query_id, item) of a query; of equal ones the first."""
     a, b = items.withColumnRenamed("item", "from"), items.withColumnRenamed("item", "to")
-    return first_of(edges.join(a, "from").join(b, ["query_id", "to"]), ["query_id", "from", "to", "kind"], ["ord"])
+    of = ["query_id", "from"] if "query_id" in edges.columns else ["from"]
+    return first_of(edges.join(a, of).join(b, ["query_id", "to"]), ["query_id", "from", "to", "kind"], ["ord"])
+
+
+def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """One row with the number of rows of each table."""
+    each = None
+    for name, table in tables.items():
+        one = table.agg(F.count("*").alias("n")).select(F.lit(name).alias("table"), "n")
+        each = one if each is None else each.unionByName(one)
+    return each.agg(*(F.sum(F.when(F.col("table") == name, F.col("n"))).alias(name) for name in tables))
 
 
 def token_cost(text: str) -> int:

@@ -6,6 +6,7 @@ an ordinal, so a thousand questions are the same plan as one.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import fulltext, graph, lookup, rank
+from ..operators.fulltext import TextIndex, local
+from ..storage import written
 from .query_plan import plan_query, searches
 
 # How many of each a question may gather.
@@ -21,58 +24,90 @@ SNIPPET_LINES = 40
 DEFAULT_BUDGET = 3000
 
 
+#: Questions up to which intermediate results go through the driver; more leave them in the shared folder.
+FEW = 64
+#: Terms that one pass over the commits looks for.
+TERMS_A_PASS = 2000
+
+
 @dataclass
 class Index:
-    """files(path, hash), live(path, hash, content), symbols, edges(src, dst, kind, confidence, ord), docs and postings, commits(sha, subject, body, files, ord), commit_docs and commit_postings."""
+    """files(path, hash), symbols, edges(src, dst, kind, confidence, ord), commits(sha, subject, body, files, ord), and texts and commit_texts to search.
+
+    ``live`` gives (path, hash, content), as they are now, of a table of paths.
+    """
 
     files: DataFrame
-    live: DataFrame
+    live: Callable[[DataFrame], DataFrame]
     symbols: DataFrame
     edges: DataFrame
-    docs: DataFrame
-    postings: DataFrame
+    texts: TextIndex
     commits: DataFrame
-    commit_docs: DataFrame
-    commit_postings: DataFrame
+    commit_texts: TextIndex
+
+
+Keep = Callable[[DataFrame], DataFrame]
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """A small intermediate result as data of its own: the caps bound its rows for each question.
+    """A small intermediate result as data of its own, through the driver."""
+    return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
+
+
+def keeper(questions: int) -> Keep:
+    """How intermediate results are held: later steps use them many times, and without a cut their plans would be copies of everything before.
 
-    Later steps use it many times; without this their plans would be copies of
-    everything before, and planning would take longer than running.
+    The caps bound the rows for each question, so those of a ``FEW`` fit the
+    driver; those of more questions are written to the shared folder.
     """
-    return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
+    return kept if questions <= FEW else lambda df: written(df, "context")
 
 
 def planned(spark: SparkSession, questions: list[tuple[int, str, int]]) -> tuple[DataFrame, DataFrame]:
     """(questions, phrases) as tables: questions with their terms, phrases of each text search."""
     plans = [(q, text, budget, plan_query(text)) for q, text, budget in questions]
     ddl = "query_id int, query string, budget int, symbol_terms array<string>, path_hints array<string>, words array<string>, terms array<string>"
-    q = spark.createDataFrame([(i, t, b, p.symbol_terms, p.path_hints, p.words, p.terms) for i, t, b, p in plans], ddl)
+    q = local(spark, ddl, [(i, t, b, p.symbol_terms, p.path_hints, p.words, p.terms) for i, t, b, p in plans])
     rows = [(i, order, k, e.text, e.prefix, e.group, e.negated) for i, _, _, p in plans for order, es in searches(p) for k, e in enumerate(es)]
-    phrases = spark.createDataFrame(rows, "query_id int, search_ord int, phrase_ord int, text string, prefix boolean, group int, negated boolean")
-    return q, phrases.withColumn("toks", T.tokens(F.col("text")))
+    return q, phrase_table(spark, rows)
+
+
+def phrase_table(spark: SparkSession, rows: list[tuple]) -> DataFrame:
+    """Phrases of text searches with their tokens."""
+    phrases = local(spark, "query_id int, search_ord int, phrase_ord int, text string, prefix boolean, group int, negated boolean", rows)
+    return phrases.withColumn("toks", T.tokens(F.col("text")))
 
 
 def text_hits(index: Index, phrases: DataFrame) -> DataFrame:
     """(query_id, path, rank): hits of a question's searches one after the other, each file once."""
     each = F.struct("query_id", "search_ord")
     keyed = phrases.select(each.alias("query_id"), "phrase_ord", "toks", "prefix", "group", "negated")
-    hits = fulltext.search_expressions(index.docs, index.postings, keyed, CAP_FTS)
+    hits = fulltext.search_expressions(index.texts, keyed, CAP_FTS)
     flat = hits.select("query_id.query_id", "query_id.search_ord", "path", "rank")
-    once = Window.partitionBy("query_id", "path").orderBy("search_ord", "rank")
-    by = Window.partitionBy("query_id").orderBy("search_ord", "rank", "path")
-    first = flat.withColumn("_n", F.row_number().over(once)).where("_n = 1")
-    return first.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= CAP_FTS).select("query_id", "path", "rank")
+    return fulltext.first_seen(flat.withColumnRenamed("rank", "_rank"), ["search_ord", "_rank"], CAP_FTS)
+
+
+def subject_hits(commits: DataFrame, q: DataFrame) -> DataFrame:
+    """(query_id, sha, ord) of commits whose subject has a symbol term of the question, case aside.
+
+    The terms of all questions are one array that every commit is held
+    against where it lies; only what matches is shuffled.
+    """
+    asked = [(r[0], t) for r in q.select("query_id", F.transform("symbol_terms", F.lower)).collect() for t in r[1] if t]  # bounded: the questions
+    out = commits.select(F.lit(0).alias("query_id"), "sha", "ord").limit(0)
+    for k in range(0, len(asked), TERMS_A_PASS):
+        ids, terms = zip(*asked[k : k + TERMS_A_PASS], strict=True)
+        pairs = F.arrays_zip(F.lit([*ids]).alias("id"), F.lit([*terms]).alias("term"))
+        hit = F.filter(pairs, lambda p: F.contains(F.lower("subject"), p["term"]))
+        out = out.unionByName(commits.select(F.explode(F.array_distinct(F.transform(hit, lambda p: p["id"]))).alias("query_id"), "sha", "ord"))
+    return out.distinct() if len(asked) > TERMS_A_PASS else out
 
 
 def commit_hits(index: Index, q: DataFrame, phrases: DataFrame) -> DataFrame:
     """(query_id, sha, norm, rank): subject matches, then text matches; the former keep the latter's norm, or have 1."""
     keyed = phrases.where("search_ord = 0").select("query_id", "phrase_ord", "toks", "prefix", "group", "negated")
-    fts = fulltext.search_expressions(index.commit_docs, index.commit_postings, keyed, CAP_COMMITS, "sha").select("query_id", "sha", F.col("rank").alias("fts_rank"))
-    term = q.select("query_id", F.explode("symbol_terms").alias("term")).where("term <> ''")
-    matched = index.commits.join(F.broadcast(term), F.contains(F.lower("subject"), F.lower("term"))).select("query_id", "sha", "ord").distinct()
+    fts = fulltext.search_expressions(index.commit_texts, keyed, CAP_COMMITS).select("query_id", "sha", F.col("rank").alias("fts_rank"))
+    matched = subject_hits(index.commits, q)
     w = Window.partitionBy("query_id").orderBy("ord")
     subject = matched.withColumn("subject_rank", F.row_number().over(w)).where(F.col("subject_rank") <= CAP_COMMITS).drop("ord")
     both = subject.join(fts, ["query_id", "sha"], "full_outer")
@@ -110,13 +145,13 @@ def _names(name: F.Column, terms: F.Column) -> F.Column:
     return F.exists(terms, lambda t: F.contains(F.lower(name), F.lower(t)))
 
 
-def candidate_spans(index: Index, q: DataFrame, phrases: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def candidate_spans(index: Index, q: DataFrame, phrases: DataFrame, keep: Keep = kept) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(spans, edges, symbol counts, commits): all that a question gathers before it is fused and scored."""
     terms = q.select("query_id", F.posexplode("symbol_terms").alias("term_ord", "term"))
-    accepted = kept(lookup.tagged(index.symbols, terms, CAP_SYMBOLS))
+    accepted = keep(lookup.tagged(index.symbols, terms, CAP_SYMBOLS))
     seeds = accepted.select("query_id", F.col("symbol_id").alias("id"), F.col("hit_ord").alias("seed_ord"))
-    near = kept(graph.neighbors(index.edges, seeds, CAP_NEIGHBORS, CAP_NEIGHBORS))
-    hits = kept(text_hits(index, phrases))
+    near = keep(graph.neighbors(index.edges, seeds, CAP_NEIGHBORS, CAP_NEIGHBORS))
+    hits = keep(text_hits(index, phrases))
 
     spans = accepted.select(*_span(_at(1, F.lit(0), F.col("hit_ord")), _symbol_why(F.col("exact"))))
     edge = near.select("query_id", F.col("other").alias("symbol_id"), F.col("kind").alias("edge_kind"), "confidence", "rank")
@@ -127,22 +162,22 @@ def candidate_spans(index: Index, q: DataFrame, phrases: DataFrame) -> tuple[Dat
     # symbols of files that text search found: those that the question names, else a heading, else the first lines
     asked = hits.join(q.select("query_id", "symbol_terms", "terms"), "query_id").withColumn("fts_norm", 1.0 / F.col("rank"))
     within = lookup.in_path(index.symbols, hits.select("path").distinct(), CAP_SYMBOLS)
-    inside = kept(asked.join(within, "path"))
+    inside = keep(asked.join(within, "path"))
     named = inside.where(~F.col("kind").isin("heading", "selector") & _names(F.col("name"), F.col("terms")))
     exact = F.exists("symbol_terms", lambda t: F.lower(t) == F.col("name_lc"))
     fts = {"fts_norm": F.col("fts_norm")}
     spans = spans.unionByName(named.select(*_span(_at(3, F.col("rank"), F.col("ord")), _symbol_why(exact, F.lit("fts")), **fts)))
-    bare = kept(asked.join(named.select("query_id", "path").distinct(), ["query_id", "path"], "left_anti"))
+    bare = keep(asked.join(named.select("query_id", "path").distinct(), ["query_id", "path"], "left_anti"))
     known = bare.join(accepted.select("query_id", "path", "symbol_id", "name", "kind", "start_line", "end_line", "hit_ord"), ["query_id", "path"]).where((F.col("kind") == "heading") & _names(F.col("name"), F.col("terms"))).withColumn("_o", _at(0, F.lit(0), F.col("hit_ord")))
     listed = bare.join(index.symbols.where("kind = 'heading'"), "path").withColumn("_t", F.array_position(F.transform("terms", lambda t: F.lower(t)), F.col("name_lc"))).where("_t > 0").withColumn("_o", _at(1, F.col("_t"), F.col("ord")))
     columns = ["query_id", "path", "rank", "fts_norm", "name", "kind", "start_line", "end_line", "_o"]
     head = known.select(columns).unionByName(listed.select(columns))
-    head = kept(head.withColumn("_n", F.row_number().over(Window.partitionBy("query_id", "path").orderBy("_o"))).where("_n = 1"))
+    head = keep(head.withColumn("_n", F.row_number().over(Window.partitionBy("query_id", "path").orderBy("_o"))).where("_n = 1"))
     spans = spans.unionByName(head.select(*_span(_at(3, F.col("rank"), F.lit(0)), F.array(F.lit("heading"), F.lit("fts")), **fts)))
     rest = bare.join(head.select("query_id", "path"), ["query_id", "path"], "left_anti").withColumns({"name": F.lit(None).cast("string"), "kind": F.lit(None).cast("string"), "start_line": F.lit(1), "end_line": F.lit(SNIPPET_LINES)})
     spans = spans.unionByName(rest.select(*_span(_at(3, F.col("rank"), F.lit(0)), F.array(F.lit("fts")), **fts)))
 
-    spans = kept(spans)
+    spans = keep(spans)
     # decisions: by symbol terms, then by names of headings that are among the spans or match in files found
     decisions = index.symbols.where("kind = 'decision'")
     heads = spans.where("kind = 'heading'").select("query_id", F.col("symbol").alias("term"), F.col("ord").alias("_o"))
@@ -150,30 +185,35 @@ def candidate_spans(index: Index, q: DataFrame, phrases: DataFrame) -> tuple[Dat
     extra = heads.unionByName(more).groupBy("query_id", "term").agg(F.min("_o").alias("_o"))
     extra = extra.withColumn("term_ord", (F.row_number().over(Window.partitionBy("query_id").orderBy("_o")) + 1000).cast("int"))
     wanted = terms.withColumn("exact_only", F.lit(False)).unionByName(extra.select("query_id", "term_ord", "term", F.lit(True).alias("exact_only")))
-    decided = kept(lookup.tagged(decisions, wanted, CAP_DECISIONS))
+    decided = keep(lookup.tagged(decisions, wanted, CAP_DECISIONS))
     spans = spans.unionByName(decided.select(*_span(_at(4, F.lit(0), F.col("hit_ord")), _symbol_why(F.col("exact"), F.lit("decision")))))
     by = decided.select("query_id", F.col("symbol_id").alias("id"), F.col("hit_ord").alias("seed_ord"))
     older = graph.neighbors(index.edges, by, CAP_SUPERSEDES, CAP_SUPERSEDES, "supersedes")
     replaced = older.select("query_id", F.col("other").alias("symbol_id"), "confidence", "rank").join(index.symbols, "symbol_id")
     spans = spans.unionByName(replaced.select(*_span(_at(5, F.lit(0), F.col("rank")), F.array(F.lit("decision"), F.lit("supersedes_neighbor")), **sure)))
 
-    commits = kept(commit_hits(index, q, phrases).join(index.commits, "sha"))
+    commits = keep(commit_hits(index, q, phrases).join(index.commits, "sha"))
     as_span = commits.withColumns({"path": F.concat(F.lit("git://"), "sha"), "start_line": F.lit(1), "end_line": F.lit(1), "name": F.left("sha", F.lit(7)), "kind": F.lit("commit")})
     spans = spans.unionByName(as_span.select(*_span(_at(6, F.lit(0), F.col("rank")), F.array(F.lit("commit"), F.lit("commit_fts")), fts_norm=F.col("norm"), prequoted=T.commit_text(F.col("subject"), F.col("body")))))
 
     followed = graph.touching(index.edges, seeds).select("query_id", "src", "dst", "kind", "confidence", _at(1, F.col("seed_ord"), F.col("ord")).alias("ord"))
     followed = followed.unionByName(graph.touching(index.edges.where("kind = 'supersedes'"), by).select("query_id", "src", "dst", "kind", "confidence", _at(2, F.col("seed_ord"), F.col("ord")).alias("ord")))
     counts = accepted.select("query_id").unionByName(near.select("query_id")).groupBy("query_id").agg(F.count("*").alias("symbols_considered"))
-    return kept(spans), followed, counts, commits.select("query_id", "sha", "files")
+    return keep(spans), followed, counts, commits.select("query_id", "sha", "files")
 
 
-def ranked(spans: DataFrame, commits: DataFrame, q: DataFrame) -> DataFrame:
-    """Spans fused, tagged, merged and scored; with the first-pass mark."""
-    fused = kept(rank.fuse(spans))
-    code = fused.where("path not like 'git://%'").select("query_id", F.col("path").alias("file")).distinct()
+def commits_on_path(commits: DataFrame, code: DataFrame, q: DataFrame) -> DataFrame:
+    """(query_id, sha) of the commits (query_id, sha, files) that touch a file of ``code`` (query_id, file) or one that a path hint of the question names."""
     files = commits.select("query_id", "sha", F.explode("files").alias("file")).join(q.select("query_id", "path_hints"), "query_id").join(code.withColumn("_code", F.lit(True)), ["query_id", "file"], "left")
     hint = F.exists("path_hints", lambda h: F.contains("file", h))
-    on_path = files.where(hint | F.col("_code")).select("query_id", F.concat(F.lit("git://"), "sha").alias("path"), F.lit("commit_path").alias("_tag")).distinct()
+    return files.where(hint | F.col("_code")).select("query_id", "sha").distinct()
+
+
+def ranked(spans: DataFrame, commits: DataFrame, q: DataFrame, keep: Keep = kept) -> DataFrame:
+    """Spans fused, tagged, merged and scored; with the first-pass mark."""
+    fused = keep(rank.fuse(spans))
+    code = fused.where("path not like 'git://%'").select("query_id", F.col("path").alias("file")).distinct()
+    on_path = commits_on_path(commits, code, q).select("query_id", F.concat(F.lit("git://"), "sha").alias("path"), F.lit("commit_path").alias("_tag"))
     top = fused.where(F.array_contains("why", "exact_symbol")).select("query_id", "path", F.lit(True).alias("_top")).distinct()
     fused = fused.join(on_path, ["query_id", "path"], "left").withColumn("why", F.array_compact(F.array_append("why", F.col("_tag")))).drop("_tag")
 
@@ -185,17 +225,20 @@ def ranked(spans: DataFrame, commits: DataFrame, q: DataFrame) -> DataFrame:
         out = with_q.withColumn("why", tags).withColumn("_hinted", hinted)
         return out.withColumn("score", rank.score(F.col("why"), F.col("fts_norm"), F.col("neighbor_high"), F.col("neighbor_low"), F.col("_hinted"), F.coalesce("_top", F.lit(False)))).drop("terms", "path_hints", "_top", "_hinted")
 
-    first = kept(scored(fused))
+    first = keep(scored(fused))
     return rank.first_pass(scored(rank.merge_overlaps(rank.drop_covered_snippets(first))))
 
 
 def filled(found: DataFrame, index: Index, q: DataFrame) -> DataFrame:
     """Spans in order of admission with text, cost, state (item, empty or stale), running cost and whether they are in.
 
+    Of the files only those that the spans are in are read again.
+
     Costs grow along the order, so comparing the running sum with the budget is
     the same as stopping at the first span that does not fit.
     """
-    live = index.live.select("path", F.col("hash").alias("live_hash"), "content")
+    quoted = found.where("path not like 'git://%'").select("path").distinct()
+    live = index.live(quoted).select("path", F.col("hash").alias("live_hash"), "content")
     stored = index.files.select("path", F.col("hash").alias("stored_hash"))
     rows = found.join(q.select("query_id", "budget"), "query_id").join(stored, "path", "left").join(live, "path", "left")
     commit = F.startswith("path", F.lit("git://"))

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from .bridge import COMMITS, CUT, EDGES, FILES, SYMBOLS, Tables, snapshot_sql
 from .functions import text as T
-from .operators import fulltext, graph, lookup, mutate, rank
+from .operators import fulltext, graph, lookup, mutate, pack, rank
+from .plans import context
+from .plans.query_plan import ladder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -73,7 +75,9 @@ def upsert_merge(t: Tables) -> DataFrame:
 select * from old where not (starts_with(path, 'user/1') and path not in (select path from seen))""")
 def prefix_scoped_delete(t: Tables) -> DataFrame:
     seen = t.events.where(F.col("ts") >= F.lit(CUT).cast("timestamp")).select(F.concat(F.lit("user/"), "user_id", F.lit("/"), "event_type").alias("path")).distinct()
-    return mutate.delete_unseen(t.snapshot(CUT), seen, "user/1")
+    old = t.snapshot(CUT)
+    gone = mutate.scoped_diff(old, seen.withColumn("hash", F.lit("")), "user/1").where("status = 'deleted'").select("path")
+    return mutate.replace_payload(old, gone, old.limit(0))
 
 
 @query(f"with {EDGES} select src, dst, kind, arg_min(confidence, ord) as confidence, min(ord) as ord from edges group by src, dst, kind")
@@ -99,17 +103,12 @@ def replace_payload(t: Tables) -> DataFrame:
 
 @query(f"select (select count(*) from documents) as files, (select count(*) from part) as symbols, (with {EDGES} select count(*) from (select distinct src, dst, kind from edges)) as edges, (select count(*) from orders) as commits")
 def table_counts_meta(t: Tables) -> DataFrame:
-    one = lambda df, c: df.agg(F.count("*").alias(c)).withColumn("k", F.lit(1))
-    parts = [one(t.documents, "files"), one(t.part, "symbols"), one(t.edges().select("src", "dst", "kind").distinct(), "edges"), one(t.orders, "commits")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.join(p, "k")
-    return out.drop("k")
+    return pack.table_counts({"files": t.documents, "symbols": t.part, "edges": t.edges().select("src", "dst", "kind").distinct(), "commits": t.orders})
 
 
 @query("select c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment, 'absent' as git_status, cast(0 as bigint) as commit_count from customer")
 def additive_migration(t: Tables) -> DataFrame:
-    return mutate.with_missing_columns(t.customer, {"git_status": F.lit("absent"), "commit_count": F.lit(0).cast("long"), "c_name": F.lit("")})
+    return mutate.with_missing_columns(t.customer, {"git_status": "'absent'", "commit_count": "cast(0 as bigint)", "c_name": "''"})
 
 
 # -- lookups ------------------------------------------------------------------------------------
@@ -179,13 +178,6 @@ def neighbors_union(t: Tables) -> DataFrame:
     return graph.touching(_distinct_edges(t), _seeds(t).withColumn("seed", F.col("id"))).select("query_id", "seed", "src", "dst", "kind", "confidence")
 
 
-@query(f"""with {EDGES}, {_DISTINCT}, {SYMBOLS} select e.src, e.dst, e.kind, a.name as src_name, b.name as dst_name, a.path as src_path, b.path as dst_path
-from e join symbols a on a.symbol_id = e.src join symbols b on b.symbol_id = e.dst where b.path in ('Brand#1', 'Brand#12') and a.path <> b.path""")
-def incoming_edges_theta(t: Tables) -> DataFrame:
-    found = graph.incoming(_distinct_edges(t), t.symbols(), F.col("dst_path").isin("Brand#1", "Brand#12"))
-    return found.select("src", "dst", "kind", "src_name", "dst_name", "src_path", "dst_path")
-
-
 @query(f"""with {EDGES}, {_DISTINCT}, {_SEEDS},
 near as (select s.query_id, s.seed_ord, e.* from e join seeds s on e.src = s.id or e.dst = s.id qualify row_number() over (partition by s.query_id, s.seed_ord order by e.ord, src, dst, kind) <= 40),
 sided as (select n.*, exists (select 1 from seeds s where s.query_id = n.query_id and s.id = n.src) as s, exists (select 1 from seeds s where s.query_id = n.query_id and s.id = n.dst) as d from near n),
@@ -196,24 +188,6 @@ def neighbors_high_then_low_cap(t: Tables) -> DataFrame:
     return graph.neighbors(_distinct_edges(t), _seeds(t), 40, 40).select("query_id", "other", "src", "dst", "kind", "confidence", "rank")
 
 
-@query(f"""with {SYMBOLS},
-loc as (select path, name, min(symbol_id) as id from symbols group by path, name), everywhere as (select name_lc, min(symbol_id) as id from symbols group by name_lc),
-imp as (select path, name, min(symbol_id) as id from symbols where kind = 'ECONOMY' group by path, name),
-calls as (select distinct s_nationkey as n, 'Brand#' || s_nationkey as path, p_name as name from supplier, (select distinct p_name from part))
-select calls.path, calls.name, coalesce(loc.id, imp.id, everywhere.id) as dst, case when loc.id is not null then 'local' when imp.id is not null then 'import' when everywhere.id is not null then 'global' end as via
-from calls left join loc on loc.path = calls.path and loc.name = calls.name left join imp on imp.path = 'Brand#' || ((calls.n + 1) % 25 + 1) and imp.name = calls.name left join everywhere on everywhere.name_lc = calls.name""")
-def resolve_cascade_coalesce(t: Tables) -> DataFrame:
-    s = t.symbols()
-    names = t.part.select(F.col("p_name").alias("name")).distinct().withColumn("k", F.lit(1))
-    files = t.supplier.select("s_nationkey").distinct().withColumn("k", F.lit(1))
-    n = F.col("s_nationkey")
-    calls = files.join(names, "k").select(F.concat(F.lit("Brand#"), n).alias("path"), "name", F.concat(F.lit("Brand#"), (n + 1) % 25 + 1).alias("imported"), F.col("name").alias("name_lc"))
-    least = lambda df, *k: df.groupBy(*k).agg(F.min("symbol_id").alias("id"))
-    imports = least(s.where("kind = 'ECONOMY'"), "path", "name").withColumnRenamed("path", "imported")
-    out = graph.cascade(calls, "path", [("local", least(s, "path", "name"), ["path", "name"]), ("import", imports, ["imported", "name"]), ("global", least(s, "name_lc"), ["name_lc"])])
-    return out.select("path", "name", "dst", "via")
-
-
 # -- full text ----------------------------------------------------------------------------------
 
 _DUCK_TOKENS = "regexp_extract_all(strip_accents(lower({})), '[\\p{{L}}\\p{{N}}]+')"
@@ -230,13 +204,8 @@ def _found(found: str, having: str = "") -> str:
     hits as (select query_id, doc_id, score, row_number() over (partition by query_id order by round(score, 9), doc_id) as rank from summed {having})"""
 
 
-def _index(t: Tables, wanted: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """An index of documents; of the wanted phrases' terms only, if given."""
-    return fulltext.index(t.documents, "doc_id", ("text",), _terms_of(wanted) if wanted is not None else None)
-
-
-def _terms_of(wanted: DataFrame) -> DataFrame:
-    return wanted.select(F.explode("toks").alias("term"))
+def _scanned(t: Tables, wanted: DataFrame) -> fulltext.TextIndex:
+    return fulltext.scanned(t.documents, wanted, "doc_id", ("text",))
 
 
 WORDS = [(1, ["anat", "erin"]), (2, ["tion", "thly", "with"]), (3, ["achch"]), (4, ["nosuchword", "the"]), (5, ["résh", "erst"])]
@@ -255,14 +224,14 @@ _WORDS = values_sql("w", "query_id, phrase_ord, word", [(q, k, w) for q, ws in W
 
 @query(f"with {_POSTINGS} select term, count(*) as df, sum(tf) as cf from postings group by term")
 def fts_tokens_df(t: Tables) -> DataFrame:
-    return _index(t)[1].groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return fulltext.index(t.documents, "doc_id", ("text",))[1].groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 @query(f"""with {_POSTINGS}, {_STATS}, {_WORDS}, found as (select query_id, phrase_ord, doc_id, tf from postings join w on term = strip_accents(lower(word))),
 {_found("found", "where have = (select count(*) from w where w.query_id = summed.query_id)")} select query_id, doc_id, rank, round(score, 6) as score from hits where rank <= 30""")
 def fts_bm25_and_topk(t: Tables) -> DataFrame:
     wanted = _wanted(t, WORDS, True)
-    found = fulltext.search(*_index(t, wanted), wanted, False, 30, "doc_id")
+    found = fulltext.search(_scanned(t, wanted), wanted, False, 30)
     return found.select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
@@ -274,8 +243,8 @@ once as (select * from both_ qualify row_number() over (partition by query_id, d
 select query_id, doc_id, row_number() over (partition by query_id order by part, rank) as rank from once qualify row_number() over (partition by query_id order by part, rank) <= 30""")
 def fts_or_fallback_union(t: Tables) -> DataFrame:
     wanted = _wanted(t, WORDS, True)
-    docs, postings = _index(t, wanted)
-    return fulltext.ordered_union([fulltext.search(docs, postings, wanted, any_of, 30, "doc_id") for any_of in (False, True)], 30, "doc_id")
+    texts = _scanned(t, wanted)
+    return fulltext.ordered_union([fulltext.search(texts, wanted, any_of, 30) for any_of in (False, True)], 30, "doc_id")
 
 
 @query(f"""with {_POSTINGS}, {_STATS}, {values_sql("p", "query_id, phrase", [(q, ws) for q, ws in PHRASES])},
@@ -283,7 +252,7 @@ found as (select query_id, 0 as phrase_ord, doc_id, len(list_filter(range(1, dl
 real as (select * from found where tf > 0), {_found("real")} select query_id, doc_id, rank, round(score, 6) as score from hits where rank <= 30""")
 def fts_phrase(t: Tables) -> DataFrame:
     wanted = _wanted(t, PHRASES, False)
-    found = fulltext.search(*_index(t, wanted), wanted, False, 30, "doc_id")
+    found = fulltext.search(_scanned(t, wanted), wanted, False, 30)
     return found.select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
@@ -292,7 +261,7 @@ found as (select query_id, 0 as phrase_ord, doc_id, sum(tf) as tf from postings
 select query_id, doc_id, rank, round(score, 6) as score from hits where rank <= 30""")
 def fts_prefix(t: Tables) -> DataFrame:
     wanted = rows(t, "query_id int, phrase_ord int, toks array<string>, prefix boolean", [(1, 0, ["achl"], True), (2, 0, ["zu"], True), (3, 0, ["nothingstartsso"], True)])
-    return fulltext.search(*_index(t), wanted, False, 30, "doc_id").select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
+    return fulltext.search(_scanned(t, wanted), wanted, False, 30).select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
 @query(f"""with {_POSTINGS}, {_STATS}, {_WORDS}, found as (select query_id * 10 + phrase_ord as query_id, 0 as phrase_ord, doc_id, tf from postings join w on term = strip_accents(lower(word))), {_found("found")},
@@ -301,8 +270,7 @@ once as (select * from each_ qualify row_number() over (partition by query_id, d
 select query_id, doc_id, row_number() over (partition by query_id order by part, rank) as rank from once qualify row_number() over (partition by query_id order by part, rank) <= 30""")
 def fts_multi_term_union_cap(t: Tables) -> DataFrame:
     wanted = _wanted(t, WORDS, True)
-    docs, postings = _index(t, wanted)
-    each = fulltext.search(docs, postings, wanted.withColumn("query_id", F.col("query_id") * 10 + F.col("phrase_ord")), False, 30, "doc_id")
+    each = fulltext.search(_scanned(t, wanted), wanted.withColumn("query_id", F.col("query_id") * 10 + F.col("phrase_ord")), False, 30)
     parts = [each.where(F.col("query_id") % 10 == k).withColumn("query_id", F.floor(F.col("query_id") / 10).cast("int")) for k in range(max(len(w) for _, w in WORDS))]
     return fulltext.ordered_union(parts, 30, "doc_id")
 
@@ -313,7 +281,7 @@ def batch_queries_topk(t: Tables) -> DataFrame:
     words = t.benchmark.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("word"))
     ord_ = F.row_number().over(Window.partitionBy("query_id").orderBy("word"))
     wanted = words.select("query_id", ord_.alias("phrase_ord"), F.array("word").alias("toks"), F.lit(False).alias("prefix"))
-    return fulltext.search(*_index(t, wanted), wanted, True, 5, "doc_id").select("query_id", "doc_id", "rank", F.round("score", 5).alias("score"))
+    return fulltext.search(_scanned(t, wanted), wanted, True, 5).select("query_id", "doc_id", "rank", F.round("score", 5).alias("score"))
 
 
 @query(f"""with {FILES}, f as (select *, string_split(path, '/')[-1] as name from files), kept as (select path, content from (select *, {_SKIP_SQL} as skip from f) where skip = 'keep'),
@@ -326,50 +294,75 @@ def search_code_end_to_end(t: Tables) -> DataFrame:
     """Flagship: scan, skip rules, postings over path and content, AND match, BM25, best 20."""
     kept = t.files().where(T.skip_kind(F.col("path"), F.col("content"), F.col("size")) == "keep")
     wanted = _wanted(t, WORDS, True)
-    found = fulltext.search(*fulltext.index(kept, terms=_terms_of(wanted)), wanted, False, 20)
+    found = fulltext.search(fulltext.scanned(kept, wanted), wanted, False, 20)
     return found.select("query_id", "path", "rank", F.round("score", 6).alias("score"))
 
 
+#: Expressions of the match language, and beside them, in ``_MATCHES``, the phrases they mean.
+EXPRESSIONS = ["anat erin OR erst", "erst NOT anat", '"of the" OR "de la" NOT que', "ache* NOT \"nowhere of\"", "tion AND nowhere", "résh erst NOT thly OR zu*"]
+_MATCHES = values_sql("m", "query_id, phrase_ord, words, prefix, grp, negated", [
+    (0, 0, ["anat"], False, 0, False), (0, 1, ["erin"], False, 0, False), (0, 2, ["erst"], False, 1, False), (1, 0, ["erst"], False, 0, False), (1, 1, ["anat"], False, 0, True),
+    (2, 0, ["of", "the"], False, 0, False), (2, 1, ["de", "la"], False, 1, False), (2, 2, ["que"], False, 1, True), (3, 0, ["ache"], True, 0, False), (3, 1, ["nowhere", "of"], False, 0, True),
+    (4, 0, ["tion"], False, 0, False), (4, 1, ["nowhere"], False, 0, False), (5, 0, ["resh"], False, 0, False), (5, 1, ["erst"], False, 0, False), (5, 2, ["thly"], False, 0, True), (5, 3, ["zu"], True, 1, False),
+])
+
+
+@query(f"""with {_POSTINGS}, {_STATS}, {_MATCHES},
+one as (select query_id, phrase_ord, doc_id, sum(tf) as tf from m join postings on case when prefix then starts_with(term, words[1]) else term = words[1] end where len(words) = 1 group by all),
+more as (select query_id, phrase_ord, doc_id, len(list_filter(range(1, dl - len(words) + 2), lambda i: toks[i : i + len(words) - 1] = words)) as tf from m join d on list_has_all(toks, words) where len(words) > 1),
+each_ as (select * from one union all select * from more where tf > 0), sides as (select each_.*, grp, negated from each_ join m using (query_id, phrase_ord)),
+answers as (select distinct s.query_id, s.doc_id from sides s join (select query_id, grp, count(*) filter (where not negated) as need from m group by all) n on n.query_id = s.query_id and n.grp = s.grp
+  group by s.query_id, s.grp, s.doc_id, need having count(*) filter (where not negated) = need and count(*) filter (where negated) = 0),
+good as (select * from sides where not negated), {_found("good", "semi join answers on answers.query_id = summed.query_id and answers.doc_id = summed.doc_id")} select query_id, doc_id, rank, round(score, 6) as score from hits where rank <= 30""")
+def match_expressions(t: Tables) -> DataFrame:
+    phrases = context.phrase_table(t.spark, [(q, 0, k, e.text, e.prefix, e.group, e.negated) for q, x in enumerate(EXPRESSIONS) for k, e in enumerate(ladder(x))])
+    wanted = phrases.select("query_id", "phrase_ord", "toks", "prefix", "group", "negated")
+    return fulltext.search_expressions(_scanned(t, wanted), wanted, 30).select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
+
+
 # -- commits ------------------------------------------------------------------------------------
 
 _SUBJECTS = values_sql("w", "query_id, word", [(1, "urgent"), (1, "1999"), (2, "of 77"), (3, "SPECIFIED")])
 
 
-@query(f"with {COMMITS}, {_SUBJECTS} select query_id, sha, subject from (select distinct query_id, sha, subject, ord from commits join w on contains(lower(subject), lower(word))) qualify row_number() over (partition by query_id order by ord) <= 20")
+@query(f"with {COMMITS}, {_SUBJECTS} select distinct query_id, sha from commits join w on contains(lower(subject), lower(word))")
 def commit_subject_contains(t: Tables) -> DataFrame:
-    words = [(1, ["urgent", "1999"]), (2, ["of 77"]), (3, ["SPECIFIED"])]
-    subject = F.lower("subject")
-    matched = F.array_compact(F.array(*(F.when(F.greatest(*(F.contains(subject, F.lit(w.lower())) for w in [*ws, ws[0]])), q) for q, ws in words)))
-    hit = t.commits().withColumn("query_id", F.explode(matched))
-    return mutate_top(hit, 20).select("query_id", "sha", "subject")
+    asked = rows(t, "query_id int, symbol_terms array<string>", [(1, ["urgent", "1999"]), (2, ["of 77"]), (3, ["SPECIFIED"]), (4, [""])])
+    return context.subject_hits(t.commits(), asked).select("query_id", "sha")
 
 
-def mutate_top(hits: DataFrame, most: int) -> DataFrame:
-    w = Window.partitionBy("query_id").orderBy("ord")
-    return hits.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")
+#: Questions about commits; beside them, in ``_ASKED``, the subjects and in ``_SAID`` the words they ask for.
+COMMIT_QUESTIONS = ["why URGENT change", '"of 77" status', "HIGH nosuchword", "status of change"]
+_ASKED = values_sql("a", "query_id, word", [(0, "urgent"), (1, "of 77"), (2, "high")])
+_SAID = values_sql("w", "query_id, phrase_ord, word", [(0, 0, "why"), (0, 1, "change"), (1, 0, "status"), (2, 0, "nosuchword"), (3, 0, "status"), (3, 1, "change")])
 
 
-@query(f"""with {COMMITS}, s as (select sha, row_number() over (order by ord) as n from commits where contains(subject, 'URGENT') and body = 'status F' qualify n <= 20),
-f as (select sha, 1.0 / row_number() over (order by ord desc) as norm, row_number() over (order by ord desc) as n from commits where body = 'status F' qualify n <= 20),
-u as (select coalesce(s.sha, f.sha) as sha, coalesce(f.norm, 1.0) as norm, s.n as sn, f.n as fn from s full join f on s.sha = f.sha)
-select sha, round(norm, 9) as norm, row_number() over (order by sn nulls last, fn) as rank from u qualify rank <= 20""")
-def commit_merge_norm(t: Tables) -> DataFrame:
+@query(f"""with {COMMITS}, d as (select sha as doc_id, toks, len(toks) as dl from (select sha, regexp_extract_all(lower(sha || chr(10) || subject || chr(10) || body), '[a-z0-9]+') as toks from commits)),
+flat as (select doc_id, unnest(toks) as term from d), postings as (select doc_id, term, count(*) as tf from flat group by all), {_STATS}, {_ASKED}, {_SAID},
+found as (select query_id, phrase_ord, doc_id, tf from postings join w on term = word), {_found("found", "where have = (select count(*) from w where w.query_id = summed.query_id)")},
+f as (select query_id, doc_id as sha, rank as fts_rank from hits where rank <= 20),
+sub as (select query_id, sha, row_number() over (partition by query_id order by ord) as subject_rank from (select distinct query_id, sha, ord from commits join a on contains(lower(subject), word)) qualify subject_rank <= 20),
+u as (select coalesce(sub.query_id, f.query_id) as query_id, coalesce(sub.sha, f.sha) as sha, fts_rank, subject_rank from sub full join f on f.query_id = sub.query_id and f.sha = sub.sha)
+select query_id, sha, round(coalesce(1.0 / fts_rank, 1.0), 9) as norm, row_number() over (partition by query_id order by subject_rank nulls last, fts_rank) as rank from u qualify rank <= 20""")
+def commit_search(t: Tables) -> DataFrame:
     """Subject hits first, then full-text ones; a subject hit keeps its full-text norm, or has 1."""
-    c = t.commits().where("body = 'status F'")
-    top = lambda df, o: df.orderBy(o).limit(20).withColumn("n", F.row_number().over(Window.orderBy(o)))
-    s = top(c.where(F.contains("subject", F.lit("URGENT"))), F.col("ord").asc()).select("sha", F.col("n").alias("sn"))
-    f = top(c, F.col("ord").desc()).select("sha", F.col("n").alias("fn"), (1.0 / F.col("n")).alias("norm"))
-    both = s.join(f, "sha", "full_outer").withColumn("rank", F.row_number().over(Window.orderBy(F.asc_nulls_last("sn"), "fn")))
-    return both.where("rank <= 20").select("sha", F.round(F.coalesce("norm", F.lit(1.0)), 9).alias("norm"), "rank")
+    q, phrases = context.planned(t.spark, [(k, text, 0) for k, text in enumerate(COMMIT_QUESTIONS)])
+    wanted = phrases.select("query_id", "phrase_ord", "toks", "prefix", "group", "negated")
+    commits = t.commits()
+    index = context.Index(None, None, None, None, None, commits, fulltext.scanned(commits, wanted, "sha", ("sha", "subject", "body")))
+    return context.commit_hits(index, q, phrases).select("query_id", "sha", F.round("norm", 9).alias("norm"), "rank")
 
 
-@query(f"""with {COMMITS}, files as (select l_orderkey as ord, 'Brand#' || (l_suppkey % 25 + 1) || '/' || l_linenumber as path from lineitem)
-select sha, bool_or(contains(path, 'Brand#7/') or path in (select distinct p_brand || '/' || p_size from part where p_size <= 2)) as commit_path, count(*) as n from commits join files using (ord) group by sha""")
+@query(f"""with {COMMITS}, files as (select l_orderkey as ord, 'Brand#' || (l_suppkey % 25 + 1) || '/' || l_linenumber as path from lineitem),
+code as (select distinct p_size % 4 as query_id, p_brand || '/' || p_size as path from part where p_size <= 7), hints(query_id, hint) as (values (1, 'Brand#7/'), (2, '4/2'), (2, '/7'))
+select distinct h.query_id, sha from commits join files using (ord) join (select unnest(range(4)) as query_id) h on path in (select path from code where code.query_id = h.query_id) or exists (select 1 from hints where hints.query_id = h.query_id and contains(path, hint))""")
 def commit_path_flag(t: Tables) -> DataFrame:
-    files = t.lineitem.select(F.col("l_orderkey").alias("ord"), F.concat(F.lit("Brand#"), F.col("l_suppkey") % 25 + 1, F.lit("/"), "l_linenumber").alias("path"))
-    code = t.part.where("p_size <= 2").select(F.concat("p_brand", F.lit("/"), "p_size").alias("path"), F.lit(True).alias("code")).distinct()
-    flagged = files.join(code, "path", "left").withColumn("hit", F.contains("path", F.lit("Brand#7/")) | F.coalesce("code", F.lit(False)))
-    return t.commits().join(flagged, "ord").groupBy("sha").agg(F.bool_or("hit").alias("commit_path"), F.count("*").alias("n"))
+    file = F.concat(F.lit("Brand#"), F.col("l_suppkey") % 25 + 1, F.lit("/"), "l_linenumber")
+    files = t.lineitem.groupBy(F.col("l_orderkey").alias("ord")).agg(F.collect_set(file).alias("files"))
+    commits = t.commits().join(files, "ord").select(F.explode(F.lit([0, 1, 2, 3])).alias("query_id"), "sha", "files")
+    code = t.part.where("p_size <= 7").select((F.col("p_size") % 4).alias("query_id"), F.concat("p_brand", F.lit("/"), "p_size").alias("file")).distinct()
+    q = rows(t, "query_id int, path_hints array<string>", [(0, []), (1, ["Brand#7/"]), (2, ["4/2", "/7"]), (3, [])])
+    return context.commits_on_path(commits, code, q)
 
 
 @query("select conv_id, turn, case when length(text) > 800 then left(text, 800) || '…' else text end as body, length(text) > 800 as was_cut from conversations")
@@ -465,13 +458,42 @@ def budget_prefix_sum(t: Tables) -> DataFrame:
     return rank.within_budget(items, ["turn"]).select("query_id", "turn", "cost", "used", "admitted")
 
 
-@query(f"""with {snapshot_sql("old", CUT)}, {snapshot_sql("new")}, s as (select string_split(path, '/')[2] as query_id, old.hash = new.hash as fresh from old left join new using (path))
-select query_id, count(*) filter (where fresh) as fresh_items, count(*) filter (where fresh is not true) as stale_omitted, 2 * count(*) filter (where fresh is not true) > count(*) as stale_index from s group by query_id""")
+_FILLED = f"""with {FILES}, lined as (select *, case when content = '' then [] else string_split(regexp_replace(replace(content, chr(13) || chr(10), chr(10)), '\n$', ''), chr(10)) end as lines from files),
+code as (select doc_id % 7 as query_id, path, cast(doc_id % 4 as int) as start_line, cast(doc_id % 4 + doc_id % 6 as int) as end_line, (doc_id % 11) / 2.0 as score, doc_id % 3 = 0 as overflow,
+  case when doc_id % 5 = 0 then null else array_to_string(lines[greatest(doc_id % 4, 1) : doc_id % 4 + doc_id % 6], chr(10)) end as text from lined),
+commits as (select o_orderkey % 7 as query_id, 'git://c' || o_orderkey as path, 1 as start_line, 1 as end_line, 1.25 as score, false as overflow, 'order ' || o_orderpriority as text from orders where o_orderkey < 40),
+all_ as (select * from code union all select * from commits),
+costed as (select *, case when text is null then 'stale' when text = '' then 'empty' else 'item' end as state, case when coalesce(text, '') = '' then 0 else len(regexp_extract_all(text, '[^ \t\n\r\f\v]+')) + 2 end as cost from all_),
+open_ as (select *, sum(case when overflow then 0 else cost end) over (partition by query_id) as first, 60 * (query_id + 1) as budget from costed),
+run as (select *, sum(cost) over (partition by query_id order by overflow, score desc, path, start_line rows unbounded preceding) as used, row_number() over (partition by query_id order by overflow, score desc, path, start_line) as pos
+  from open_ where not overflow or first <> budget),
+filled as (select query_id, pos, path, state, cost, used, used <= budget as admitted,
+  case when state = 'item' and not starts_with(path, 'git://') then least(end_line, greatest(start_line, 1) + len(string_split(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '\n$', ''), chr(10))) - 1) else end_line end as end_line from run)"""
+
+
+def _filled(t: Tables) -> DataFrame:
+    """Spans of documents as files, of which every fifth has changed since, and some commits, filled under the budgets of seven questions."""
+    files, k = t.files(), F.col("doc_id")
+    code = files.select(
+        (k % 7).cast("int").alias("query_id"), "path", (k % 4).cast("int").alias("start_line"), (k % 4 + k % 6).cast("int").alias("end_line"), ((k % 11) / 2.0).alias("score"), (k % 3 == 0).alias("overflow"), F.lit(None).cast("string").alias("prequoted"),
+    )
+    o = F.col("o_orderkey")
+    commits = t.orders.where("o_orderkey < 40").select((o % 7).cast("int").alias("query_id"), F.concat(F.lit("git://c"), o).alias("path"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), F.lit(1.25).alias("score"), F.lit(False).alias("overflow"), F.concat(F.lit("order "), "o_orderpriority").alias("prequoted"))
+    now = files.withColumn("hash", F.when(k % 5 == 0, "changed").otherwise(F.col("hash")))
+    index = context.Index(files.select("path", "hash"), lambda paths: now.join(paths, "path", "left_semi"), None, None, None, None, None)
+    q = rows(t, "query_id int, budget int", [(n, 60 * (n + 1)) for n in range(7)])
+    return context.filled(code.unionByName(commits), index, q)
+
+
+@query(f"{_FILLED} select * from filled")
+def filled_budget(t: Tables) -> DataFrame:
+    return _filled(t).select("query_id", "pos", "path", "state", "cost", "used", "admitted", "end_line")
+
+
+@query(f"{_FILLED} select query_id, count(*) filter (where state = 'item') as items, count(*) filter (where state = 'stale') as stale_omitted, 2 * count(*) filter (where state = 'stale') > count(*) filter (where state in ('item', 'stale')) as stale_index from filled group by query_id")
 def stale_filter_counts(t: Tables) -> DataFrame:
-    live = t.snapshot().select("path", F.col("hash").alias("live"))
-    fresh = F.coalesce(F.col("hash") == F.col("live"), F.lit(False))
-    s = t.snapshot(CUT).join(live, "path", "left").select(F.split("path", "/")[1].alias("query_id"), fresh.alias("fresh"))
-    return s.groupBy("query_id").agg(F.count_if("fresh").alias("fresh_items"), F.count_if(~F.col("fresh")).alias("stale_omitted"), (2 * F.count_if(~F.col("fresh")) > F.count("*")).alias("stale_index"))
+    s = _filled(t).groupBy("query_id").agg(F.count_if(F.col("state") == "item").alias("items"), F.count_if(F.col("state") == "stale").alias("stale_omitted"))
+    return s.withColumn("stale_index", pack.is_stale(F.col("stale_omitted"), F.col("items")))
 
 
 @query("""select doc_id, array_to_string((case when text = '' then [] else string_split(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '\\n$', ''), chr(10)) end)[2:4], chr(10)) as quoted from documents""")
@@ -507,7 +529,7 @@ def package_edges(t: Tables) -> DataFrame:
     return edges_among(items, named).select("query_id", "from", "to", "kind", "confidence")
 
 
-# -- vectors and outlines -----------------------------------------------------------------------
+# -- vectors and history ------------------------------------------------------------------------
 
 
 @query("""with q as (select label as query_id, vec_id as seed, embedding as e from embeddings qualify row_number() over (partition by label order by vec_id) = 1),
@@ -524,30 +546,6 @@ def cosine_floor_topk(t: Tables) -> DataFrame:
     return top.select("query_id", "vec_id", F.round("cosine", 5).alias("cosine"))
 
 
-@query("""with h as (select page_id, unnest(regexp_extract_all(html, '<h([1-6])[^>]*>(.*?)</h[1-6]>', 1)) as level, unnest(regexp_extract_all(html, '<h([1-6])[^>]*>(.*?)</h[1-6]>', 2)) as raw from pages)
-select page_id, cast(level as int) as level, trim(regexp_replace(raw, '<[^>]*>', '', 'g')) as name, count(*) as n from h group by all""")
-def heading_outline(t: Tables) -> DataFrame:
-    p = F.lit("<h([1-6])[^>]*>(.*?)</h[1-6]>")
-    both = F.arrays_zip(F.regexp_extract_all("html", p, F.lit(1)).alias("level"), F.regexp_extract_all("html", p, F.lit(2)).alias("raw"))
-    h = t.pages.select("page_id", F.inline(both))
-    return h.groupBy("page_id", F.col("level").cast("int").alias("level"), F.trim(F.regexp_replace("raw", "<[^>]*>", "")).alias("name")).agg(F.count("*").alias("n"))
-
-
-@query("""with c as (select page_id, unnest(regexp_extract_all(html, 'class="([^"]*)"', 1)) as cs from pages), s as (select page_id, '.' || unnest(string_split(cs, ' ')) as name from c) select page_id, name, count(*) as n from s where name <> '.' group by all""")
-def selector_outline(t: Tables) -> DataFrame:
-    c = t.pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('class="([^"]*)"'), F.lit(1))).alias("cs"))
-    s = c.select("page_id", F.explode(F.transform(F.split("cs", " "), lambda x: F.concat(F.lit("."), x))).alias("name"))
-    return s.where("name <> '.'").groupBy("page_id", "name").agg(F.count("*").alias("n"))
-
-
-@query("""with l as (select page_id, url, unnest(list_distinct(regexp_extract_all(html, 'href="([^"#?]*)', 1))) as spec from pages)
-select page_id, spec, case when starts_with(spec, 'http') then 'absolute' when starts_with(spec, '/') then 'rooted' else 'relative' end as form from l where spec <> ''""")
-def link_edges(t: Tables) -> DataFrame:
-    l = t.pages.select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"#?]*)'), F.lit(1)))).alias("spec")).where("spec <> ''")  # noqa: E741
-    form = F.when(F.startswith("spec", F.lit("http")), "absolute").when(F.startswith("spec", F.lit("/")), "rooted").otherwise("relative")
-    return l.select("page_id", "spec", form.alias("form"))
-
-
 _LOG_SQL = """with recs as (select chr(30) || 'c' || o_orderkey || chr(31) || o_custkey || chr(31) || o_orderstatus || chr(31) || 'change ' || o_orderkey || chr(31) || o_orderpriority || ' body' || chr(10) || chr(10) || 'src/' || o_custkey || '.py' || chr(10) || 'README' || chr(10) as log, o_orderkey from orders)
 select 'c' || o_orderkey as sha, cast(o_custkey as varchar) as author, 'change ' || o_orderkey as subject, o_orderpriority || ' body' as body, 'src/' || o_custkey || '.py,README' as files from orders"""
 

@@ -26,7 +26,7 @@ def parse_output(output: str) -> list[Drawer]:
     """Notes of a search output: a numbered header, source and match lines, then the body up to a rule or the next header."""
     found: list[tuple[Drawer, list[str]]] = []
     open_ = False
-    for line in output.splitlines():
+    for line in re.split(r"\r?\n", output):
         line = line.lstrip()
         if (m := _HEADER.fullmatch(line.rstrip())) and m[2].strip() and m[3].strip():
             found.append((Drawer(m[2].strip(), m[3].strip(), "", "", None), []))
@@ -68,7 +68,7 @@ class Settings:
 def parse_settings(text: str) -> Settings:
     """Line by line, the last one wins; what can't be read is passed over."""
     out = Settings()
-    for line in text.splitlines():
+    for line in re.split(r"\r?\n", text):
         m = _SETTING.fullmatch(line.split("#")[0])
         if not m:
             continue

@@ -9,6 +9,8 @@ import warnings
 from .base import FILE, Edge, Extraction, Places
 
 _DEF = re.compile(r"^([ \t]*)(?:async[ \t]+)?(def|class)[ \t]+([A-Za-z_]\w*)", re.M)
+#: Lines as the parser counts them: form feeds and other separators of Unicode end none.
+_LINE = re.compile(r"[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+\Z")
 _IMPORT = re.compile(r"^[ \t]*(?:from[ \t]+([.\w]+)[ \t]+import[ \t]+([\w, \t]+)|import[ \t]+([\w., \t]+))", re.M)
 
 
@@ -19,7 +21,7 @@ def extract(source: str) -> Extraction:
             tree = ast.parse(source)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return _by_lines(source)
-    lines = [*source.splitlines(keepends=True), ""]
+    lines = [*_LINE.findall(source), ""]
     starts, at = [], 0
     for x in lines:
         starts.append(at)

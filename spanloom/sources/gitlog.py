@@ -5,7 +5,7 @@ from __future__ import annotations
 import subprocess
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The log format; records begin with \x1e, fields are split by \x1f.
@@ -28,9 +28,20 @@ def split_files(tail: Column) -> tuple[Column, Column]:
     return body, files
 
 
-def parse_log(texts: DataFrame, column: str = "value") -> DataFrame:
-    """(sha, author, authored_at, subject, body, files, ord) of log outputs, one row a commit; broken records are passed over."""
-    each = texts.select(F.posexplode(F.split(column, RECORD)).alias("ord", "r"))
+def records(spark: SparkSession, text: str) -> DataFrame:
+    """(at, value) of a log output, a row for each record."""
+    rows = [(k, RECORD + r) for k, r in enumerate(text.split(RECORD)[1:])]
+    return spark.createDataFrame(rows, "at int, value string")
+
+
+def parse_log(texts: DataFrame, column: str = "value", at: str | None = None) -> DataFrame:
+    """(sha, author, authored_at, subject, body, files, ord) of log outputs, one row a commit; broken records are passed over.
+
+    ``ord`` is the place in a row's output, or the column ``at`` where each row is a record.
+    """
+    each = texts.select(*([F.col(at).alias("_at")] if at else []), F.posexplode(F.split(column, RECORD)).alias("ord", "r"))
+    if at:
+        each = each.withColumn("ord", F.col("_at"))
     fields = each.withColumn("f", F.split("r", FIELD, 5)).where("size(f) = 5").withColumn("sha", F.trim(F.col("f")[0])).where("sha <> ''")
     body, files = split_files(F.col("f")[4])
     return fields.select("sha", F.col("f")[1].alias("author"), F.col("f")[2].alias("authored_at"), F.col("f")[3].alias("subject"), body.alias("body"), files.alias("files"), "ord")

@@ -97,7 +97,14 @@ def list_tree(root: str | Path, workspace: str | Path | None = None) -> list[str
 
 
 def read_files(spark: SparkSession, root: str | Path, paths: list[str], prefix: str = "") -> DataFrame:
-    """(path, content, size, mtime, raw_hash, binary, readable) of files below ``root``; content is null over the size limit.
+    """``read_paths`` of a list of paths."""
+    listed = spark.createDataFrame([(p,) for p in paths], "path string")
+    n = max(1, min(len(paths) // 200 + 1, spark.sparkContext.defaultParallelism))
+    return read_paths(listed.repartition(n), root, prefix)
+
+
+def read_paths(paths: DataFrame, root: str | Path, prefix: str = "") -> DataFrame:
+    """(path, content, size, mtime, hash, binary, strict, readable) of files (column path) below ``root``; content is null over the size limit.
 
     ``root`` must be visible to the executors under the same name.
     """
@@ -128,9 +135,7 @@ def read_files(spark: SparkSession, root: str | Path, paths: list[str], prefix:
             types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], names=[*out])
 
-    listed = spark.createDataFrame([(p,) for p in paths], "path string")
-    n = max(1, min(len(paths) // 200 + 1, spark.sparkContext.defaultParallelism))
-    return listed.repartition(n).mapInArrow(run, "path string, content string, size long, mtime long, hash string, binary boolean, strict boolean, readable boolean")
+    return paths.select("path").mapInArrow(run, "path string, content string, size long, mtime long, hash string, binary boolean, strict boolean, readable boolean")
 
 
 def with_skip_kind(files: DataFrame) -> DataFrame:

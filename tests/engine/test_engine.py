@@ -171,7 +171,7 @@ def test_nested(spark, tmp_path):
     s = api.index_tree(spark, tmp_path, below=tmp_path / "apps/web", git=git)
     assert (s.indexed, s.deleted) == (1, 1)
     assert {r.path for r in api.open_index(spark, tmp_path).files.collect()} == {"apps/web/src/c.ts", "apps/api/src/b.ts"}
-    assert api.open_index(spark, tmp_path, False).commits.first().files == ["apps/web/src/a.ts"] and api.meta(tmp_path)["commit_count"] == before["commit_count"] == 0
+    assert api.open_index(spark, tmp_path).commits.first().files == ["apps/web/src/a.ts"] and api.meta(tmp_path)["commit_count"] == before["commit_count"] == 0
 
 
 def test_searches(spark, tmp_path):
