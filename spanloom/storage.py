@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,12 +25,31 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_scratch: list[str] = []
+
+
 def fresh_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/spanloom/{name}-{uuid.uuid4().hex}"
+    return f"{_scratch[-1] if _scratch else shared_root(spark) + '/spanloom'}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Intermediates made inside are deleted at the end: for steps whose result is complete elsewhere by then."""
+    folder = fresh_dir(spark, "scratch")
+    _scratch.append(folder)
+    try:
+        yield
+    finally:
+        _scratch.pop()
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared folder, read it back."""
-    path = fresh_dir(df.sparkSession, name)
+    return saved(df, fresh_dir(df.sparkSession, name))
+
+
+def saved(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
