@@ -1,11 +1,12 @@
 """Media columns: content-addressed payloads in tar shards.
 
 A payload is stored losslessly as the samples of an 8-bit grey PNG, 576 wide.
-Each task appends its images to tar shards of bounded size in the shared
-folder, under the payload's SHA-256; a payload that its shard holds already is
-not stored again.  Rows carry digest, shard, offset and length only.  Metadata
-columns are filled by range reads of the header bytes, the payload by a range
-read of the whole entry.
+Tasks append images to tar shards of bounded size in the shared folder, under
+the payload's SHA-256.  A payload that several rows have is stored once: its
+copies are brought together first, by a partial aggregation that keeps one a
+task, and only they are shuffled.  Rows carry digest, shard, offset and length
+only.  Metadata columns are filled by range reads of the header bytes, the
+payload by a range read of the whole entry.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import fresh_dir, open_fs, shuffle_width, written
+from .storage import fresh_dir, open_fs, shuffle_width, sized, spread_join, written
 
 WIDTH = 576
 SHARD_BYTES = 64 << 20
@@ -78,19 +79,17 @@ class ShardWriter:
         self.fs.create_dir(self.folder, recursive=True)
         self.uri, self.name, self.limit, self.k, self.out = folder, uuid.uuid4().hex, limit, 0, None
 
-    def put(self, digest: str, make) -> tuple[str, int, int]:
+    def put(self, digest: str, data: bytes) -> tuple[str, int, int]:
         if self.out is not None and self.at >= self.limit:
             self.close()
         if self.out is None:
-            self.out, self.at, self.held = self.fs.open_output_stream(f"{self.folder}/{self.name}-{self.k}.tar"), 0, {}
-        if digest not in self.held:
-            data = make()
-            info = tarfile.TarInfo(f"{digest[:2]}/{digest}.png")
-            info.size = len(data)
-            self.out.write(info.tobuf(tarfile.USTAR_FORMAT) + data + b"\0" * (-len(data) % 512))
-            self.held[digest] = self.at + 512, len(data)
-            self.at += 512 + len(data) + -len(data) % 512
-        return f"{self.uri}/{self.name}-{self.k}.tar", *self.held[digest]
+            self.out, self.at = self.fs.open_output_stream(f"{self.folder}/{self.name}-{self.k}.tar"), 0
+        info = tarfile.TarInfo(f"{digest[:2]}/{digest}.png")
+        info.size = len(data)
+        self.out.write(info.tobuf(tarfile.USTAR_FORMAT) + data + b"\0" * (-len(data) % 512))
+        place = f"{self.uri}/{self.name}-{self.k}.tar", self.at + 512, len(data)
+        self.at += 512 + len(data) + -len(data) % 512
+        return place
 
     def close(self) -> None:
         if self.out is not None:
@@ -99,32 +98,48 @@ class ShardWriter:
             self.out, self.k = None, self.k + 1
 
 
-_MEDIA = [("n_bytes", pa.int64()), ("digest", pa.string()), ("shard", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]
+def keyed_texts(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(doc_id, n_bytes, digest, raw) of every text; a null one is empty."""
+    raw = docs.select("doc_id", F.coalesce(docs["text"].cast("binary"), F.lit(b"")).alias("raw")).withColumn("n_bytes", F.octet_length("raw").cast("long"))
+    padded = f"sha2(rpad(raw, cast(greatest(ceil(n_bytes / {width}), 1) * {width} as int), x'FF'), 256)"
+    return raw.select("doc_id", "n_bytes", F.expr(padded).alias("digest"), "raw")
 
 
-def store_texts(docs: DataFrame, folder: str, width: int = WIDTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Write every text's payload below ``folder``; per row doc_id, n_bytes, digest, shard, offset, length.
+def store(rows: DataFrame, folder: str, width: int = WIDTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """``rows`` (among others digest and raw) with shard, offset and length in place of raw, whose payload is stored below ``folder``.
 
     Lazy: evaluate once and keep the rows (``written``), for every evaluation
-    writes shards of its own.  A null text is empty; equal texts share a
-    digest; doc_ids may be null or repeat.
+    writes shards of its own.
     """
-    rows = docs.select("doc_id", docs["text"].cast("binary").alias("_text"))
+    names = [c for c in rows.columns if c != "raw"]
+    at, raw = names.index("digest"), len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards = ShardWriter(folder, shard_bytes)
         for batch in batches:
-            out = []
-            for value in batch.column(1):
-                raw = value.as_py() or b""
-                payload = pad_payload(raw, width)
-                digest = hashlib.sha256(payload).hexdigest()
-                out.append((len(raw), digest, *shards.put(digest, lambda p=payload: encode_png(p, width))))
-            columns = list(zip(*out, strict=True)) or [()] * len(_MEDIA)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, (_, t) in zip(columns, _MEDIA, strict=True))], names=["doc_id", *(n for n, _ in _MEDIA)])
+            out = [shards.put(digest.as_py(), encode_png(pad_payload(value.as_py(), width), width)) for digest, value in zip(batch.column(at), batch.column(raw), strict=True)]
+            columns = list(zip(*out, strict=True)) or [()] * 3
+            kinds = (("shard", pa.string()), ("offset", pa.int64()), ("length", pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:raw], *(pa.array(c, t) for c, (_, t) in zip(columns, kinds, strict=True))], names=[*names, *(n for n, _ in kinds)])
         shards.close()
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema[0].dataType.simpleString()}, n_bytes long, digest string, shard string, offset long, length long")
+    schema = ", ".join(f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in names)
+    return rows.select(*names, "raw").mapInArrow(run, f"{schema}, shard string, offset long, length long")
+
+
+def stored(docs: DataFrame, width: int = WIDTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """Every distinct payload of ``docs`` stored once in a fresh folder of the shared one; per row doc_id, n_bytes, digest, shard, offset, length.
+
+    A null text is empty; equal texts have equal places; doc_ids may be null
+    or repeat, every row is kept; extra columns are ignored.
+    """
+    folder, rows = fresh_dir(docs.sparkSession, "media"), keyed_texts(docs, width)
+    repeated = sized(written(rows.groupBy("digest").count().where("count > 1").select("digest"), "media-repeated"))
+    alone = written(store(rows.join(repeated, "digest", "left_anti").select("doc_id", "n_bytes", "digest", "raw"), folder, width, shard_bytes), "media-rows")
+    several = rows.join(repeated, "digest", "left_semi")
+    once = written(store(several.groupBy("digest").agg(F.first("raw").alias("raw")), folder, width, shard_bytes), "media-copies")
+    copies = written(several.select("doc_id", "n_bytes", "digest"), "media-copy-rows")
+    return alone.unionByName(spread_join(copies, once, "digest", copies))
 
 
 def _range_reads(rows: DataFrame, of, schema: list[tuple[str, pa.DataType]], ddl: str) -> DataFrame:
@@ -164,21 +179,15 @@ def with_metadata(rows: DataFrame) -> DataFrame:
 
 
 def with_payload_features(rows: DataFrame) -> DataFrame:
-    """``with_metadata``'s columns, and what a second, full range read of the stored entry gives: sizes, digests and a feature string."""
+    """``rows`` with what range reads of the whole stored entries give: sizes, digests and a feature string."""
 
     def of(file, offset, length):
-        width, height, depth, channels = meta = _header(file, offset, length)
         file.seek(offset)
         png = file.read(length)
         samples = decode_png(png)
         payload = samples.tobytes()
-        feature = f"png {width}x{height} depth {depth} channels {channels} mean {samples.mean():.3f} deviation {samples.std():.3f}"
-        return *meta, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(png), hashlib.sha256(png).hexdigest(), feature
-
-    kinds = [*_HEADER, ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
-    return _range_reads(rows, of, kinds, f"{_HEADER_DDL}, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
-
+        feature = f"png {samples.shape[1]}x{samples.shape[0]} grey mean {samples.mean():.3f} deviation {samples.std():.3f}"
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(png), hashlib.sha256(png).hexdigest(), feature
 
-def stored(docs: DataFrame, **options) -> DataFrame:
-    """``store_texts`` into a fresh folder of the shared one, its rows kept there too."""
-    return written(store_texts(docs, fresh_dir(docs.sparkSession, "media"), **options), "media-rows")
+    kinds = [("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
+    return _range_reads(rows, of, kinds, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

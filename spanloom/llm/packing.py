@@ -6,8 +6,9 @@ each into the open sequence with the least room that still takes it.  Rooms
 are small integers, so the open sequences stand in stacks by room, and a
 segment tree over the rooms answers "smallest room >= n" in log2(window) steps.
 
-Pieces are dealt to blocks by a hash of the piece, about ``block_pieces`` in
-each, and blocks are packed apart; a block leaves a few open sequences at most.
+Pieces are dealt to blocks by a hash of the piece and its place, about
+``block_pieces`` in each whatever repeats, and blocks are packed apart; a block
+leaves a few open sequences at most.
 """
 
 from __future__ import annotations
@@ -131,10 +132,14 @@ def cut_documents(docs: DataFrame, vocabulary: str, ranks: str, pattern: str, sp
 
 
 def pack(pieces: DataFrame, window: int = WINDOW, block_pieces: int = BLOCK_PIECES) -> DataFrame:
-    """``pieces`` with ``sequence_id`` and ``offset``; ties go by id, start and checksum."""
+    """``pieces``, a written table, with ``sequence_id`` and ``offset``; ties go by id, start and checksum.
+
+    The place of a row in the table is part of its block's key, so equal
+    pieces are spread over the blocks like others.
+    """
     count = pieces.count()
     blocks = max(1, -(-count // block_pieces))
-    key = F.xxhash64("doc_id", "start", "ids_crc32", "length", "doc_tokens")
+    key = F.xxhash64("doc_id", "start", "ids_crc32", "length", "doc_tokens", F.monotonically_increasing_id())
     dealt = pieces.withColumn("_block", F.pmod(key, F.lit(blocks)))
 
     def run(part: pa.Table) -> pa.Table:
@@ -157,3 +162,9 @@ def pack_documents(docs: DataFrame, vocabulary: str, ranks: str, pattern: str, s
     ignored; no documents, no pieces.
     """
     return pack(written(cut_documents(docs, vocabulary, ranks, pattern, special, end_id, window), "pieces"), window, block_pieces)
+
+
+def padding(packed: DataFrame, window: int = WINDOW) -> DataFrame:
+    """One row: sequences, ids, and the share of places that padding to ``window`` fills."""
+    total = packed.agg(F.countDistinct("sequence_id").alias("sequences"), F.coalesce(F.sum("length"), F.lit(0)).alias("ids"))
+    return total.withColumn("padding", F.when(F.col("sequences") > 0, 1 - F.col("ids") / (F.col("sequences") * window)).otherwise(0.0))

@@ -34,9 +34,9 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .media import stored, with_payload_features
+    from .media import stored, with_metadata, with_payload_features
 
-    rows = with_payload_features(stored(_table(spark, sf_dir, "documents")))
+    rows = with_payload_features(with_metadata(stored(_table(spark, sf_dir, "documents"))))
     return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bit_depth", "channels")
 
 
@@ -60,7 +60,7 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import BASE, secret_spans
 
     found = secret_spans(_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", *(count_of("base", k.name).alias(f"n_{k.name}") for k in BASE), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+    return found.select("doc_id", *(count_of("base", k.name).alias(f"n_{k.name}") for k in BASE), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"), F.array_join("credentials", ",").alias("credentials"))
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +85,9 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import toxicity
 
-    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    found = toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    spans = F.array_join(F.transform("located", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    return found.withColumn("sentences", spans).drop("located")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,9 +170,14 @@ kept as (select * from p where rank < 3
     and exists (select 1 from p as q where q.r = p.r and (q.part = 'secret') <> (p.part = 'secret') and greatest(p.start - q.stop, q.start - p.stop) <= 300)),
 s as (select r, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access, count(*) filter (kind = 'hex') as n_hex,
       coalesce(string_agg(concat_ws(':', kind, start, stop), ',' order by start, rank) filter (rank < 3), '') as base,
-      string_agg(concat_ws(':', kind, start, stop), ',' order by start, rank) as spans from kept group by r)
-select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
-from d left join s on d.r = s.r
+      string_agg(concat_ws(':', kind, start, stop), ',' order by start, rank) as spans from kept group by r),
+runs as (select *, sum(case when start - earlier <= 300 then 0 else 1 end) over (partition by r order by start, rank rows unbounded preceding) as run
+      from (select *, max(stop) over (partition by r order by start, rank rows between unbounded preceding and 1 preceding) as earlier from kept)),
+nth as (select *, row_number() over (partition by r, run, part order by start, rank) as nth from runs),
+one as (select r, min(start) as first, string_agg(concat_ws(':', kind, start, stop), '+' order by start, rank) as text from nth group by r, run, nth having bool_or(part = 'secret') and bool_or(part <> 'secret')),
+c as (select r, string_agg(text, ',' order by first, text) as credentials from one group by r)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(credentials, '') as credentials
+from d left join s on d.r = s.r left join c on d.r = c.r
 """
 
 

@@ -9,7 +9,12 @@ identifier or an endpoint.
 
 The interval join is one sweep: a document's parts in order of their starts,
 each with the nearest end before and the nearest start after it of every class.
-Only documents that have weak parts take part in it.
+Only documents that have complementary parts can matter, so only those with
+weak parts, or with base parts of two classes, take part in it.
+
+What the sweep leaves is linked into credentials: parts in scope of one another
+form a run, and the n-th identifier of a run belongs to its n-th secret and its
+n-th endpoint.  A secret with one of the others is a credential.
 """
 
 from __future__ import annotations
@@ -45,13 +50,18 @@ def _near(parts: str, kinds: tuple[str, ...], scope: int, before: Window, after:
 
 
 def linked(found: DataFrame, key: list[str], scope: int = SCOPE) -> DataFrame:
-    """(key, linked): the weak spans of each document that have a complementary part in scope and cross no base span."""
-    parts = found.where("size(weak) > 0").select(*key, F.explode(F.concat("base", "weak")).alias("p")).dropDuplicates([*key, "p"])
+    """(key, linked, credentials): the weak spans of each document that have a complementary part in scope and cross no base span, and the credentials.
+
+    A credential is kind:start:end of its parts, joined by ``+``.
+    """
+    base = tuple(k.name for k in BASE)
+    two = "exists(base, b -> b.kind = 'access') and exists(base, b -> b.kind <> 'access')"
+    parts = found.where(f"size(weak) > 0 or ({two})").select(*key, F.explode(F.concat("base", "weak")).alias("p")).dropDuplicates([*key, "p"])
     order = Window.partitionBy(*key).orderBy("p.start", "p.rank")
     before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
-    base = tuple(k.name for k in BASE)
     near = {f"near_{c}": _near("p", kinds, scope, before, after) for c, kinds in CLASSES.items()}
-    crossed = F.greatest(F.max(F.when(F.col("p.kind").isin(*base), F.col("p.end"))).over(before) - F.col("p.start"), F.col("p.end") - F.min(F.when(F.col("p.kind").isin(*base), F.col("p.start"))).over(after))
+    strong = F.col("p.kind").isin(*base)
+    crossed = F.greatest(F.max(F.when(strong, F.col("p.end"))).over(before) - F.col("p.start"), F.col("p.end") - F.min(F.when(strong, F.col("p.start"))).over(after))
     swept = parts.withColumns(near | {"crossed": F.coalesce(crossed > 0, F.lit(False))})
     wanted = F.lit(False)
     for kind, needs in NEEDS.items():
@@ -59,11 +69,28 @@ def linked(found: DataFrame, key: list[str], scope: int = SCOPE) -> DataFrame:
         for c in needs:
             ok = ok | F.col(f"near_{c}")
         wanted = wanted | ((F.col("p.kind") == kind) & ok)
-    return swept.where(wanted & ~F.col("crossed")).groupBy(*key).agg(F.sort_array(F.collect_list("p")).alias("linked"))
+    kept = swept.where(strong | (wanted & ~F.col("crossed"))).select(*key, "p")
+    return _credentials(kept, key, scope, strong, order, before)
+
+
+def _credentials(parts: DataFrame, key: list[str], scope: int, strong: Column, order: Window, before: Window) -> DataFrame:
+    of = F.lit(None).cast("string")
+    for c, kinds in CLASSES.items():
+        of = F.when(F.col("p.kind").isin(*kinds), c).otherwise(of)
+    gap = F.col("p.start") - F.max("p.end").over(before)
+    runs = parts.withColumns({"class": of, "_new": F.coalesce(gap > scope, F.lit(True)).cast("int")}).withColumn("run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    placed = runs.withColumn("nth", F.row_number().over(Window.partitionBy(*key, "run", "class").orderBy("p.start", "p.rank")))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: F.concat_ws(":", p["kind"], p["start"], p["end"])), "+")
+    each = placed.groupBy(*key, "run", "nth").agg(
+        F.collect_list(F.when(~strong, F.col("p"))).alias("weak"), F.min("p.start").alias("first"), text.alias("text"),
+        (F.bool_or(F.col("class") == "secret") & F.bool_or(F.col("class") != "secret")).alias("whole"),
+    )
+    listed = F.array_sort(F.collect_list(F.when(F.col("whole"), F.struct("first", "text"))))
+    return each.groupBy(*key).agg(F.sort_array(F.flatten(F.collect_list("weak"))).alias("linked"), F.transform(listed, lambda c: c["text"]).alias("credentials"))
 
 
 def secret_spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """Per row of ``docs``: doc_id, ``base`` and ``spans`` (base and linked ones), arrays sorted by start, then kind.
+    """Per row of ``docs``: doc_id, ``base`` and ``spans`` (base and linked ones), arrays sorted by start, then kind, and ``credentials``.
 
     Null and empty texts have no spans; null and repeated doc_ids are kept,
     each row with its own spans; extra columns are ignored.
@@ -84,4 +111,5 @@ def secret_spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     )
     both = found.join(linked(found, key, scope), key, "left")
     none = F.expr(f"cast(array() as array<{SPAN}>)")
-    return both.select("doc_id", "base", F.array_sort(F.concat("base", F.coalesce("linked", none))).alias("spans"))
+    all_ = F.array_sort(F.concat("base", F.coalesce("linked", none)))
+    return both.select("doc_id", "base", all_.alias("spans"), F.coalesce("credentials", F.array().cast("array<string>")).alias("credentials"))

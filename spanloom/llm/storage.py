@@ -9,39 +9,15 @@ lost executor only costs the attempts it was running.
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import fresh_dir, scratch, shared_root, written
 
-def shared_root(spark: SparkSession) -> str:
-    """The session's shared folder; a private one is set only where none is and all executors run in this machine's one JVM."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = Path(tempfile.mkdtemp(prefix="spanloom-")).as_uri()
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def fresh_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/spanloom/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet in the shared folder, read it back."""
-    path = fresh_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["columns_of", "fresh_dir", "open_fs", "salted_join", "scratch", "shared_root", "shuffle_width", "sized", "spread_join", "unused", "where_text", "written"]
 
 
 #: Rows up to which a table of two or three short columns is broadcast (some 10 MB).

@@ -88,7 +88,8 @@ class TokenCounter(dict):
         model = spec["model"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.merger = WordMerger(merges, model["end_of_word_suffix"] or "")
-        self.specials = regex.compile("|".join(regex.escape(t["content"]) for t in spec["added_tokens"]) or r"(?!)")
+        self.strings = [t["content"] for t in spec["added_tokens"]]
+        self.specials = regex.compile("|".join(map(regex.escape, self.strings)) or r"(?!)")
         self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.path, self.library = path, None
 
@@ -114,7 +115,7 @@ class TokenCounter(dict):
         return [bytes(map(self.back.__getitem__, w)).decode("utf-8", "surrogateescape") for w, _ in pieces]
 
     def text(self, text: str) -> int:
-        if "<|" not in text:
+        if not any(map(text.__contains__, self.strings)):
             return sum(map(self.__getitem__, self.words(text)))
         parts = self.specials.split(text)
         return len(parts) - 1 + sum(sum(map(self.__getitem__, self.words(p))) for p in parts if p)

@@ -7,9 +7,13 @@ Blocks over ``SEGMENT_BYTES`` are cut: the first segment is the response
 record, the others are continuation records that name it as their origin, and
 the last one states the total length.  Records are gzip members of their own.
 
+A revisit names the response's record by its id, which is made of page and
+digest, so both sides know it without meeting.
+
 Reading: whole records are decoded where they are parsed.  Segments are
-grouped by origin, ordered by number, checked for gaps and against the total
-length, joined, and only then is the chunked framing decoded.
+brought together by origin, ordered by number, checked for gaps and against
+the total length, joined, and only then is the chunked framing decoded.  A
+revisit is resolved through the record it refers to and held against it.
 """
 
 from __future__ import annotations
@@ -18,18 +22,19 @@ import gzip
 import hashlib
 import io
 import uuid
+import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import fresh_dir, open_fs, shuffle_width, written
+from .storage import fresh_dir, open_fs, shuffle_width, sized, spread_join, written
 
-SEGMENT_BYTES = 32 << 10
-CHUNK_BYTES = 4 << 10
+#: A block beyond this is cut; about one page in four is.
+SEGMENT_BYTES = 4 << 10
+CHUNK_BYTES = 1 << 10
 ARCHIVE_BYTES = 64 << 20
 REVISIT_BYTES = 100
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
@@ -83,6 +88,8 @@ def records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
         while (line := stream.readline()) not in (b"\r\n", b"\n", b""):
             name, _, value = line.decode().partition(":")
             headers[name.strip().lower()] = value.strip()
+        if "content-length" not in headers:
+            raise ValueError("record without a length")
         n = int(headers["content-length"])
         block = stream.read(n)
         if len(block) != n:
@@ -90,14 +97,27 @@ def records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
         yield headers, block
 
 
-def page_records(page_id, url, payload: bytes, digest: str, first, segment: int, chunk: int) -> Iterator[bytes]:
-    """A page's record, or records if its block is cut."""
-    own = f"<urn:uuid:{uuid.uuid4()}>"
+def record_id(page_id, digest: str) -> str:
+    """The id of the response record of a page and payload."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page {page_id} {digest}')}>"
+
+
+def page_records(page_id, url, payload: bytes, digest: str, first, times, least: int, segment: int, chunk: int) -> Iterator[bytes]:
+    """A page's record, or records if its block is cut.
+
+    ``first``: the page whose response this one revisits; ``times``: how many
+    rows are that page, null if none has an equal payload.  Where they are
+    several no id can name one of them; each has a random one, and revisits
+    state the digest alone.
+    """
+    sole = len(payload) >= least and (times is None or times == 1)
     known = [("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Target-URI", None if url is None else quote(url, safe=":/?#[]@!$&'()*+,;=%")), ("Page-Id", page_id), ("WARC-Payload-Digest", f"sha256:{digest}")]
     if first is not None:
         block = _HTTP.replace(b"Transfer-Encoding: chunked", b"Content-Length: 0")
-        yield record([("WARC-Type", "revisit"), ("WARC-Record-ID", own), *known, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{first}>"), ("Payload-Length", len(payload))], block)
+        refers = ("WARC-Refers-To", record_id(first, digest) if sole else None)
+        yield record([("WARC-Type", "revisit"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), *known, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), refers], block)
         return
+    own = record_id(page_id, digest) if sole else f"<urn:uuid:{uuid.uuid4()}>"
     block = _HTTP + chunked(payload, chunk)
     if len(block) <= segment:
         yield record([("WARC-Type", "response"), ("WARC-Record-ID", own), *known], block)
@@ -113,20 +133,24 @@ def page_records(page_id, url, payload: bytes, digest: str, first, segment: int,
 
 
 def mark_revisits(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
-    """page_id, url, payload, digest and ``first``: the id that a revisit refers to, else null.
+    """page_id, url, payload, digest, ``first`` (the id that a revisit refers to, else null) and ``times`` (rows that are ``first``; null for a payload by itself).
 
-    Counts per digest are small rows; the payloads then meet them in one
-    skew-splittable join.  Payloads below ``least`` bytes get keys of their
-    own there, for nothing can match them.
+    Counts per digest are small rows.  While the digests that repeat are few
+    they are broadcast and payloads stay where they are; more meet the payloads
+    in one skew-splittable join, where payloads below ``least`` bytes get keys
+    of their own, for nothing can match them.
     """
     raw = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     rows = pages.select("page_id", "url", raw.alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    firsts = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    each = rows.where(F.octet_length("payload") >= least).groupBy("digest", "page_id").agg(F.count("*").alias("n"))
+    first = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "n")))
+    of = each.groupBy("digest").agg(first.alias("f"), F.sum("n").alias("n")).where("n > 1")
+    firsts = written(of.select(F.col("digest").alias("_key"), F.col("f.page_id").alias("first"), F.coalesce("f.n", "n").alias("times")), "repeated-payloads")
     own = F.concat_ws(" ", F.lit("own"), F.col("page_id").cast("string"), "url")
     key = F.when(F.octet_length("payload") >= least, F.col("digest")).otherwise(own)
-    both = rows.withColumn("_key", key).join(firsts.select(F.col("digest").alias("_key"), "first"), "_key", "left")
+    both = rows.withColumn("_key", key).join(sized(firsts), "_key", "left")
     refers = F.when(F.col("page_id").eqNullSafe(F.col("first")), None).otherwise(F.col("first"))
-    return both.select("page_id", "url", "payload", "digest", refers.alias("first"))
+    return both.select("page_id", "url", "payload", "digest", refers.alias("first"), "times")
 
 
 def write_archives(pages: DataFrame, folder: str, least: int = REVISIT_BYTES, segment: int = SEGMENT_BYTES, chunk: int = CHUNK_BYTES, limit: int = ARCHIVE_BYTES) -> DataFrame:
@@ -141,7 +165,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = REVISIT_BYTES, se
                 if out is None:
                     path = f"{name}-{len(done)}.warc.gz"
                     out, size, n = fs.open_output_stream(f"{base}/{path}", compression=None), 0, 0
-                for r in page_records(*row, segment, chunk):
+                for r in page_records(*row, least, segment, chunk):
                     data = gzip.compress(r, 4, mtime=0)
                     out.write(data)
                     size, n = size + len(data), n + 1
@@ -157,12 +181,11 @@ def write_archives(pages: DataFrame, folder: str, least: int = REVISIT_BYTES, se
     return mark_revisits(pages, least).mapInArrow(run, "path string, records long")
 
 
-_PARSED = pa.schema(
-    [("page_id", pa.string()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary()), ("status", pa.string())]
-    + [("origin", pa.string()), ("number", pa.int64()), ("total", pa.int64()), ("block", pa.binary())]
-)
-_RECORD_DDL = "page_id string, url string, record_type string, refers_to string, payload_bytes long, payload_digest string, payload binary, status string"
+_RECORD = [("record_id", pa.string()), ("page_id", pa.string()), ("url", pa.string()), ("record_type", pa.string()), ("refers", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary()), ("status", pa.string())]
+_RECORD_DDL = "record_id string, page_id string, url string, record_type string, refers string, payload_bytes long, payload_digest string, payload binary, status string"
+_PARSED = pa.schema([*_RECORD, ("origin", pa.string()), ("number", pa.int64()), ("total", pa.int64()), ("block", pa.binary())])
 _PARSED_DDL = f"{_RECORD_DDL}, origin string, number long, total long, block binary"
+_HELD_BYTES = 8 << 20
 
 
 def _decoded(block: bytes, stated: str | None, keep: bool) -> dict:
@@ -175,52 +198,130 @@ def _decoded(block: bytes, stated: str | None, keep: bool) -> dict:
     return {"payload_bytes": len(payload), "payload_digest": digest, "payload": payload if keep else None, "status": "digest differs" if wrong else "ok"}
 
 
-def parse_archive(stream, keep: bool) -> Iterator[dict]:
-    """Rows of ``_PARSED``: whole records decoded, segments as they are."""
-    for h, block in records(stream):
-        kind, number = h.get("warc-type"), h.get("warc-segment-number")
-        row = {"page_id": h.get("page-id"), "url": h.get("warc-target-uri"), "record_type": kind, "payload_digest": h.get("warc-payload-digest")}
+class _Sound(io.RawIOBase):
+    """What can be decompressed of a stream; ``fault`` tells an end from a break."""
+
+    def __init__(self, source):
+        self.source, self.fault = source, False
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into) -> int:
+        try:
+            data = self.source.read1(len(into))
+        except (EOFError, zlib.error, gzip.BadGzipFile):
+            self.fault, data = True, b""
+        into[: len(data)] = data
+        return len(data)
+
+
+def parse_archive(source, keep: bool) -> Iterator[dict]:
+    """Rows of ``_PARSED``: whole records decoded, segments as they are; after the records that can be read, one row of status "archive broken" if the rest can't."""
+    sound = _Sound(source)
+    at = records(io.BufferedReader(sound, 1 << 20))
+    while True:
+        try:
+            h, block = next(at, (None, None))
+            number, total = (h or {}).get("warc-segment-number"), (h or {}).get("warc-segment-total-length")
+            number, total = None if number is None else int(number), None if total is None else int(total)
+        except ValueError:
+            sound.fault, h = True, None
+        if h is None:
+            if sound.fault:
+                yield {"status": "archive broken", "origin": f"broken {uuid.uuid4()}"}
+            return
+        kind, own = h.get("warc-type"), h.get("warc-record-id") or f"none {uuid.uuid4()}"
+        row = {"record_id": own, "page_id": h.get("page-id"), "url": h.get("warc-target-uri"), "record_type": kind, "payload_digest": (h.get("warc-payload-digest") or "").removeprefix("sha256:") or None, "origin": own}
         if kind == "revisit":
-            refers = h.get("warc-refers-to", "").removeprefix("<urn:page:").removesuffix(">")
-            yield row | {"refers_to": refers, "payload_bytes": int(h.get("payload-length", 0)), "payload_digest": (row["payload_digest"] or "").removeprefix("sha256:"), "status": "ok"}
+            yield row | {"refers": h.get("warc-refers-to")}
         elif number is not None:
-            total = h.get("warc-segment-total-length")
-            yield row | {"origin": h.get("warc-segment-origin-id", h.get("warc-record-id")), "number": int(number), "total": None if total is None else int(total), "block": block}
+            yield row | {"origin": h.get("warc-segment-origin-id", own), "number": number, "total": total, "block": block}
         elif kind == "response":
             yield row | _decoded(block, row["payload_digest"], keep)
 
 
-def reassemble(parts: DataFrame, keep: bool = False) -> DataFrame:
-    """One row for each origin of segment rows.
+def _joined(parts: list[dict], keep: bool) -> dict:
+    """The record of an origin's segments, in order of their numbers, each number once."""
+    first, last = parts[0], parts[-1]
+    row = {n: first[n] for n in ("page_id", "url", "payload_digest")} | {"record_id": first["origin"], "record_type": "response" if first["number"] == 1 else "continuation"}
+    if first["number"] != 1 or last["number"] != len(parts) or last["total"] is None:
+        return row | {"status": "segment missing", "payload_digest": None}
+    block = b"".join(p["block"] for p in parts)
+    if len(block) != last["total"]:
+        return row | {"status": "length differs", "payload_digest": None}
+    return row | _decoded(block, first["payload_digest"], keep)
+
+
+def reassemble(parsed: DataFrame, keep: bool = False) -> DataFrame:
+    """Parsed rows with segments put together: one row for each origin.
 
     ``status``: ok; "segment missing" (no first or last one, or a gap);
     "length differs" (from the stated total); "bad framing"; "digest differs".
-    A repeated segment number counts once.
+    A repeated segment number counts once.  Rows come in order of origin and
+    number, so a task holds one record at a time.
     """
+    near = parsed.repartition(shuffle_width(parsed.sparkSession), "origin").sortWithinPartitions("origin", "number")
+    out_schema = pa.schema(_RECORD)
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("number").drop_duplicates("number")
-        first, last = part.iloc[0], part.iloc[-1]
-        row = {"page_id": first["page_id"], "url": first["url"], "record_type": "response" if first["number"] == 1 else "continuation"}
-        if first["number"] != 1 or last["number"] != len(part) or pd.isna(last["total"]):
-            row["status"] = "segment missing"
-        elif len(block := b"".join(part["block"])) != int(last["total"]):
-            row["status"] = "length differs"
-        else:
-            row |= _decoded(block, first["payload_digest"], keep)
-        return pd.DataFrame([row], columns=_PARSED.names[:8], dtype=object)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held, parts = [], 0, []
+
+        def add(row: dict) -> None:
+            nonlocal held
+            rows.append({n: row.get(n) for n in out_schema.names})
+            held += 200 + len(row.get("payload") or b"")
 
-    return parts.groupBy("origin").applyInPandas(run, _RECORD_DDL)
+        for batch in batches:
+            for row in batch.to_pylist():
+                if parts and row["origin"] != parts[0]["origin"]:
+                    add(_joined(parts, keep))
+                    parts = []
+                if row["number"] is None:
+                    add(row)
+                elif not parts or parts[-1]["number"] != row["number"]:
+                    parts.append(row)
+                if held > _HELD_BYTES:
+                    yield pa.RecordBatch.from_pylist(rows, schema=out_schema)
+                    rows, held = [], 0
+        if parts:
+            add(_joined(parts, keep))
+        yield pa.RecordBatch.from_pylist(rows, schema=out_schema)
+
+    return near.mapInArrow(run, _RECORD_DDL)
+
+
+def resolve_revisits(found: DataFrame) -> DataFrame:
+    """``found``, a written table, with ``refers_to`` (page) in place of record_id and refers.
+
+    A revisit gets its length from the response it names, or where it names
+    none from one of its digest; ``status`` is "response missing" if there is
+    no sound one, "digest differs" if its payload is another.
+    """
+    names = [n for n, _ in _RECORD if n not in ("record_id", "refers")]
+    whole = found.where("record_type = 'response' and status = 'ok'")
+    key = F.when(F.col("refers").isNull(), F.concat(F.lit("sha256:"), F.coalesce("payload_digest", F.lit("")))).otherwise(F.col("refers"))
+    revisits = found.where("record_type = 'revisit'").withColumn("_key", key)
+    asked = written(revisits.groupBy("_key").agg(F.count("*").alias("n")), "asked-records").select("_key")
+    to = F.struct(F.col("page_id").alias("page"), F.col("payload_bytes").alias("n"), F.col("payload_digest").alias("digest"))
+    named = whole.select(F.col("record_id").alias("_key"), to.alias("to")).unionByName(whole.select(F.concat(F.lit("sha256:"), "payload_digest").alias("_key"), to.alias("to")))
+    answers = asked.join(named.join(asked, "_key", "left_semi").groupBy("_key").agg(F.min("to").alias("to")), "_key", "left")
+    met = spread_join(revisits, answers, "_key", revisits)
+    state = F.when(F.col("to").isNull(), "response missing").when(~F.col("to.digest").eqNullSafe(F.col("payload_digest")), "digest differs").otherwise("ok")
+    again = met.withColumns({"payload_bytes": F.col("to.n"), "status": state}).select(*names, F.col("to.page").alias("refers_to"))
+    return found.where("record_type is null or record_type <> 'revisit'").select(*names, F.lit(None).cast("string").alias("refers_to")).unionByName(again)
 
 
 def read_archives(archives: DataFrame, keep_payload: bool = False) -> DataFrame:
-    """Records of the archives named in column ``path``, continuation records put together.
+    """Records of the archives named in column ``path``, continuation records put together and revisits resolved.
 
-    Rows: page_id (string), url, record_type, refers_to (string), payload_bytes,
-    payload_digest, payload (null unless kept) and status.
+    Rows: page_id (string), url, record_type, payload_bytes, payload_digest,
+    payload (null unless kept), status and refers_to (string).  An archive that
+    is cut off or no WARC gives the records before the fault, and a row of
+    nulls with status "archive broken".
     """
     spark = archives.sparkSession
-    each = archives.select("path").repartition(max(shuffle_width(spark), 1), "path")
+    each = archives.select("path").repartition(max(shuffle_width(spark), 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,17 +329,15 @@ def read_archives(archives: DataFrame, keep_payload: bool = False) -> DataFrame:
                 fs, name = open_fs(path)
                 rows, held = [], 0
                 with fs.open_input_file(name) as raw, gzip.GzipFile(fileobj=raw) if name.endswith(".gz") else raw as data:
-                    for row in parse_archive(io.BufferedReader(data, 1 << 20), keep_payload):
+                    for row in parse_archive(data, keep_payload):
                         rows.append(row)
                         held += 200 + len(row.get("block") or b"") + len(row.get("payload") or b"")
-                        if held > 8 << 20:
+                        if held > _HELD_BYTES:
                             yield pa.RecordBatch.from_pylist(rows, schema=_PARSED)
                             rows, held = [], 0
                 yield pa.RecordBatch.from_pylist(rows, schema=_PARSED)
 
-    parsed = written(each.mapInArrow(run, _PARSED_DDL), "records")
-    whole = parsed.where("origin is null").select(*_PARSED.names[:8])
-    return whole.unionByName(reassemble(parsed.where("origin is not null").select("origin", "number", "total", "block", "page_id", "url", "payload_digest"), keep_payload))
+    return resolve_revisits(written(reassemble(each.mapInArrow(run, _PARSED_DDL), keep_payload), "records"))
 
 
 def round_trip(pages: DataFrame, **options) -> DataFrame:

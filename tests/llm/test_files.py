@@ -34,6 +34,9 @@ def test_media(spark):
             info = tar.getmember(f"{r.digest[:2]}/{r.digest}.png")
             assert (info.offset_data, info.size) == (r.offset, r.length)
             assert hashlib.sha256(tar.extractfile(info).read()).hexdigest() == r.media_sha256
+    # a payload has one place, whichever rows have it
+    places = {(r.digest, r.shard, r.offset) for r in got}
+    assert len(places) == len({r.digest for r in got})
     meta = media.with_metadata(kept).collect()
     assert all((r.width, r.bit_depth, r.channels) == (576, 8, 1) and r.height == -(-max(r.n_bytes, 1) // 576) for r in meta)
     assert media.with_payload_features(media.stored(docs.limit(0))).count() == 0
@@ -61,7 +64,7 @@ def test_warc(spark, segment, chunk):
 def test_warc_faults(spark):
     folder = fresh_dir(spark, "faults")
     pages = spark.createDataFrame([(k, "u", f"{k}" * 3000) for k in range(1, 5)], "page_id long, url string, html string")
-    path = written(warc.write_archives(pages.coalesce(1), folder, segment=1000), "archives").first().path.removeprefix("file://")
+    path = written(warc.write_archives(pages.coalesce(1), folder, segment=1000, chunk=4 << 10), "archives").first().path.removeprefix("file://")
     import gzip
 
     all_records = list(warc.records(io.BufferedReader(gzip.open(path))))
@@ -87,4 +90,29 @@ def test_warc_faults(spark):
     assert warc.dechunked(b"3;x=y\r\nabc\r\n0\r\nTrailer: 1\r\n\r\n") == b"abc"
     with pytest.raises(ValueError):
         warc.dechunked(b"5\r\nabc\r\n0\r\n\r\n")
+    # cut off, and no archive at all
+    whole = open(path, "rb").read()
+    at = len(whole) - 40
+    for name, data in {"cut.warc.gz": whole[:at], "text.warc": b"WARC/1.1\r\nWARC-Type: response\r\n\r\n", "zip.warc.gz": b"PK" * 100, "empty.warc": b""}.items():
+        open(f"{folder}/{name}".removeprefix("file://"), "wb").write(data)
+    read = lambda n: sorted(((r.page_id, r.status) for r in warc.read_archives(spark.createDataFrame([(f"{folder}/{n}",)], "path string")).collect()), key=str)
+    assert read("cut.warc.gz") == [("1", "ok"), ("2", "ok"), ("3", "ok"), ("4", "segment missing"), (None, "archive broken")]
+    assert read("text.warc") == read("zip.warc.gz") == [(None, "archive broken")] and read("empty.warc") == []
+
+
+def test_warc_revisits(spark):
+    """A revisit is resolved by the record it names, or by its digest, and held against it."""
+    folder, body = fresh_dir(spark, "revisits").removeprefix("file://"), "x" * 200
+    digest = hashlib.sha256(body.encode()).hexdigest()
+    one = lambda i, first=None, times=None, d=digest: b"".join(warc.page_records(i, "u", body.encode(), d, first, times, 100, 90, 20))
+    other = b"".join(warc.page_records(9, "u", b"y" * 200, hashlib.sha256(b"y" * 200).hexdigest(), None, None, 100, 4096, 64))
+    wrong = warc.record([("WARC-Type", "revisit"), ("Page-Id", 5), ("WARC-Payload-Digest", f"sha256:{digest}"), ("WARC-Refers-To", warc.record_id(9, hashlib.sha256(b"y" * 200).hexdigest()))], b"")
+    import os
+
+    os.makedirs(folder)
+    open(f"{folder}/a.warc", "wb").write(one(2, 1) + one(3, 1, 2) + one(4, 7) + one(1) + other + wrong)
+    got = {r.page_id: (r.record_type, r.refers_to, r.payload_bytes, r.status) for r in warc.read_archives(spark.createDataFrame([(f"{folder}/a.warc",)], "path string")).collect()}
+    assert got == {
+        "1": ("response", None, 200, "ok"), "2": ("revisit", "1", 200, "ok"), "3": ("revisit", "1", 200, "ok"), "4": ("revisit", None, None, "response missing"), "5": ("revisit", "9", 200, "digest differs"), "9": ("response", None, 200, "ok"),
+    }
     assert spark.range(1).select(F.lit(1)).count() == 1

@@ -89,4 +89,12 @@ def test_pack(spark):
     for _, s in got.groupby("sequence_id"):
         s = s.sort_values("offset")
         assert s.offset.tolist() == [0, *s.length.cumsum().tolist()[:-1]] and s.length.sum() <= 2048
+    # one row that repeats fills many blocks evenly
+    from spanloom.llm.packing import pack, padding
+    from spanloom.llm.storage import written
+
+    piece = spark.createDataFrame([(1, 0, 1000, 7, 1000)], "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    same = pack(written(piece.crossJoin(spark.range(1000)).drop("id"), "same"), block_pieces=100).selectExpr("sequence_id >> 32 as block", "*").toPandas()
+    assert same.block.nunique() == 10 and same.block.value_counts().max() < 150 and same.groupby("sequence_id").length.sum().max() <= 2048
+    assert (p := padding(spark.createDataFrame(same)).first()).ids == 1_000_000 and 0.02 < p.padding < 0.05
     assert pack_documents(spark.createDataFrame([], SCHEMA), tok.path("byte_bpe_50k.json"), tok.path("byte_bpe_50k.tiktoken"), tok.PATTERN, {}).count() == 0
