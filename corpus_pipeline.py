@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm import decontamination, near_copies, packing, pii, simhash, toxicity
-from spanloom.llm.storage import written
+from spanloom.llm.storage import fresh_dir, scratch
+from spanloom.storage import saved
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,10 +52,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``; what a stage left besides its documents is deleted once they are written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs, name.replace(" ", "-"))
-    return docs
+    for name, stage in STAGES[:-1]:
+        to = fresh_dir(spark, name.replace(" ", "-"))
+        with scratch(spark):
+            docs = saved(stage(spark, docs, sf_dir), to)
+    return STAGES[-1][1](spark, docs, sf_dir)
