@@ -16,7 +16,8 @@ import struct
 import tarfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -127,8 +128,26 @@ def store(rows: DataFrame, folder: str, width: int = WIDTH, shard_bytes: int = S
     return rows.select(*names, "raw").mapInArrow(run, f"{schema}, shard string, offset long, length long")
 
 
-def stored(docs: DataFrame, width: int = WIDTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Every distinct payload of ``docs`` stored once in a fresh folder of the shared one; per row doc_id, n_bytes, digest, shard, offset, length.
+@dataclass
+class Stored:
+    """Rows and the places of their payloads: ``alone`` (doc_id, n_bytes, digest, shard, offset, length), the rows whose payload no other row has; ``copies`` (doc_id, n_bytes, digest), the others; ``once`` (digest, shard, offset, length), the places of these."""
+
+    alone: DataFrame
+    copies: DataFrame
+    once: DataFrame
+
+    def rows(self) -> DataFrame:
+        """(doc_id, n_bytes, digest, shard, offset, length) of every row."""
+        return self.alone.unionByName(spread_join(self.copies, self.once, "digest", self.copies))
+
+    def filled(self, read: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """``rows`` with the columns that ``read`` adds to places; a place is read once, however many rows share it."""
+        shared = written(read(self.once), "media-shared")
+        return read(self.alone).unionByName(spread_join(self.copies, shared, "digest", self.copies))
+
+
+def stored(docs: DataFrame, width: int = WIDTH, shard_bytes: int = SHARD_BYTES) -> Stored:
+    """Every distinct payload of ``docs`` stored once in a fresh folder of the shared one.
 
     A null text is empty; equal texts have equal places; doc_ids may be null
     or repeat, every row is kept; extra columns are ignored.
@@ -137,27 +156,24 @@ def stored(docs: DataFrame, width: int = WIDTH, shard_bytes: int = SHARD_BYTES)
     repeated = sized(written(rows.groupBy("digest").count().where("count > 1").select("digest"), "media-repeated"))
     alone = written(store(rows.join(repeated, "digest", "left_anti").select("doc_id", "n_bytes", "digest", "raw"), folder, width, shard_bytes), "media-rows")
     several = rows.join(repeated, "digest", "left_semi")
-    once = written(store(several.groupBy("digest").agg(F.first("raw").alias("raw")), folder, width, shard_bytes), "media-copies")
-    copies = written(several.select("doc_id", "n_bytes", "digest"), "media-copy-rows")
-    return alone.unionByName(spread_join(copies, once, "digest", copies))
+    once = written(store(several.groupBy("digest").agg(F.first("raw").alias("raw")), folder, width, shard_bytes), "media-places")
+    return Stored(alone, written(several.select("doc_id", "n_bytes", "digest"), "media-copies"), once)
 
 
 def _range_reads(rows: DataFrame, of, schema: list[tuple[str, pa.DataType]], ddl: str) -> DataFrame:
-    """``rows`` with the columns that ``of(file, offset, length)`` gives; each entry is read once where rows share it."""
+    """``rows``, places that no other row has, with the columns that ``of(file, offset, length)`` gives."""
     near = rows.repartition(shuffle_width(rows.sparkSession), "shard", F.floor(F.col("offset") / READ_SPAN)).sortWithinPartitions("shard", "offset")
     names = near.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        file, name, last, value = None, None, None, None
+        file, name = None, None
         for batch in batches:
             out = []
             for shard, offset, length in zip(*(batch.column(names.index(c)).to_pylist() for c in ("shard", "offset", "length")), strict=True):
                 if shard != name:
                     fs, path = open_fs(shard)
                     file, name = fs.open_input_file(path), shard
-                if (shard, offset) != last:
-                    last, value = (shard, offset), of(file, offset, length)
-                out.append(value)
+                out.append(of(file, offset, length))
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([x[k] for x in out], t) for k, (_, t) in enumerate(schema))], names=[*names, *(n for n, _ in schema)])
 
     have = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in near.schema)

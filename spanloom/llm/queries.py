@@ -36,7 +36,7 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media import stored, with_metadata, with_payload_features
 
-    rows = with_payload_features(with_metadata(stored(_table(spark, sf_dir, "documents"))))
+    rows = stored(_table(spark, sf_dir, "documents")).filled(lambda places: with_payload_features(with_metadata(places)))
     return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bit_depth", "channels")
 
 

@@ -18,7 +18,8 @@ def test_media(spark):
     rows = [(k, t, "clash", 1) for k, t in enumerate(TEXTS)] + [(None, "a", "", 2), (0, None, "", 3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, shard string, offset int")
     kept = media.stored(docs, shard_bytes=3000)
-    got = media.with_payload_features(kept).collect()
+    got = kept.filled(media.with_payload_features).collect()
+    assert sorted((r.doc_id, r.shard, r.offset, r.length) for r in kept.rows().collect() if r.doc_id is not None) == sorted((r.doc_id, r.shard, r.offset, r.length) for r in got if r.doc_id is not None)
     assert len(got) == len(rows)
     want = {}
     for i, t, *_ in rows:
@@ -37,9 +38,9 @@ def test_media(spark):
     # a payload has one place, whichever rows have it
     places = {(r.digest, r.shard, r.offset) for r in got}
     assert len(places) == len({r.digest for r in got})
-    meta = media.with_metadata(kept).collect()
+    meta = kept.filled(media.with_metadata).collect()
     assert all((r.width, r.bit_depth, r.channels) == (576, 8, 1) and r.height == -(-max(r.n_bytes, 1) // 576) for r in meta)
-    assert media.with_payload_features(media.stored(docs.limit(0))).count() == 0
+    assert media.stored(docs.limit(0)).filled(media.with_payload_features).count() == 0
 
 
 @pytest.mark.parametrize("segment, chunk", [(50, 7), (32 << 10, 4 << 10)])
