@@ -198,8 +198,19 @@ def _history(source, known: dict, prefix: str, force: bool) -> tuple[str, str, s
         return ("timeout" if type(e).__name__ == "TimeoutExpired" else "absent"), "", None, None
 
 
+_opened: dict[tuple, Index | None] = {}
+
+
 def open_index(spark: SparkSession, root: str | Path) -> Index | None:
     """The current snapshot, and a way to read its files as they are on disk now; None before the first build."""
+    snapshot = (spark.sparkContext.applicationId, str(_home(root)), meta(root).get("snapshot"))
+    if snapshot not in _opened:
+        _opened.clear()  # a snapshot that is not the current one any more is gone
+        _opened[snapshot] = _open(spark, root)
+    return _opened[snapshot]
+
+
+def _open(spark: SparkSession, root: str | Path) -> Index | None:
     t = {n: _table(spark, root, n) for n in TABLES}
     if t["files"] is None:
         return None

@@ -7,6 +7,7 @@ an ordinal, so a thousand questions are the same plan as one.
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -146,12 +147,19 @@ def _names(name: F.Column, terms: F.Column) -> F.Column:
 
 
 def candidate_spans(index: Index, q: DataFrame, phrases: DataFrame, keep: Keep = kept) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(spans, edges, symbol counts, commits): all that a question gathers before it is fused and scored."""
+    """(spans, edges, symbol counts, commits): all that a question gathers before it is fused and scored.
+
+    Texts and commits are searched while symbols are looked up.
+    """
+    pool = ThreadPoolExecutor(2)
+    searched = pool.submit(lambda: keep(text_hits(index, phrases)))
+    logged = pool.submit(lambda: keep(commit_hits(index, q, phrases).join(index.commits, "sha")))
+    pool.shutdown(wait=False)
     terms = q.select("query_id", F.posexplode("symbol_terms").alias("term_ord", "term"))
     accepted = keep(lookup.tagged(index.symbols, terms, CAP_SYMBOLS))
     seeds = accepted.select("query_id", F.col("symbol_id").alias("id"), F.col("hit_ord").alias("seed_ord"))
     near = keep(graph.neighbors(index.edges, seeds, CAP_NEIGHBORS, CAP_NEIGHBORS))
-    hits = keep(text_hits(index, phrases))
+    hits = searched.result()
 
     spans = accepted.select(*_span(_at(1, F.lit(0), F.col("hit_ord")), _symbol_why(F.col("exact"))))
     edge = near.select("query_id", F.col("other").alias("symbol_id"), F.col("kind").alias("edge_kind"), "confidence", "rank")
@@ -192,14 +200,14 @@ def candidate_spans(index: Index, q: DataFrame, phrases: DataFrame, keep: Keep =
     replaced = older.select("query_id", F.col("other").alias("symbol_id"), "confidence", "rank").join(index.symbols, "symbol_id")
     spans = spans.unionByName(replaced.select(*_span(_at(5, F.lit(0), F.col("rank")), F.array(F.lit("decision"), F.lit("supersedes_neighbor")), **sure)))
 
-    commits = keep(commit_hits(index, q, phrases).join(index.commits, "sha"))
+    commits = logged.result()
     as_span = commits.withColumns({"path": F.concat(F.lit("git://"), "sha"), "start_line": F.lit(1), "end_line": F.lit(1), "name": F.left("sha", F.lit(7)), "kind": F.lit("commit")})
     spans = spans.unionByName(as_span.select(*_span(_at(6, F.lit(0), F.col("rank")), F.array(F.lit("commit"), F.lit("commit_fts")), fts_norm=F.col("norm"), prequoted=T.commit_text(F.col("subject"), F.col("body")))))
 
     followed = graph.touching(index.edges, seeds).select("query_id", "src", "dst", "kind", "confidence", _at(1, F.col("seed_ord"), F.col("ord")).alias("ord"))
     followed = followed.unionByName(graph.touching(index.edges.where("kind = 'supersedes'"), by).select("query_id", "src", "dst", "kind", "confidence", _at(2, F.col("seed_ord"), F.col("ord")).alias("ord")))
     counts = accepted.select("query_id").unionByName(near.select("query_id")).groupBy("query_id").agg(F.count("*").alias("symbols_considered"))
-    return keep(spans), followed, counts, commits.select("query_id", "sha", "files")
+    return spans, followed, counts, commits.select("query_id", "sha", "files")
 
 
 def commits_on_path(commits: DataFrame, code: DataFrame, q: DataFrame) -> DataFrame:
@@ -225,8 +233,7 @@ def ranked(spans: DataFrame, commits: DataFrame, q: DataFrame, keep: Keep = kept
         out = with_q.withColumn("why", tags).withColumn("_hinted", hinted)
         return out.withColumn("score", rank.score(F.col("why"), F.col("fts_norm"), F.col("neighbor_high"), F.col("neighbor_low"), F.col("_hinted"), F.coalesce("_top", F.lit(False)))).drop("terms", "path_hints", "_top", "_hinted")
 
-    first = keep(scored(fused))
-    return rank.first_pass(scored(rank.merge_overlaps(rank.drop_covered_snippets(first))))
+    return rank.first_pass(scored(rank.merge_overlaps(rank.drop_covered_snippets(scored(fused)))))
 
 
 def filled(found: DataFrame, index: Index, q: DataFrame) -> DataFrame:

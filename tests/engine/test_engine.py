@@ -2,12 +2,14 @@
 
 import json
 import subprocess
+from dataclasses import replace
 
 import pytest
 
 from spanloom import api
 from spanloom.cli import handle_line
 from spanloom.operators import pack
+from spanloom.plans import context
 from spanloom.plans.query_plan import MatchError, fallback, ladder, parse_match, plan_query
 from spanloom.sources import drawers, gitlog, tree
 from spanloom.sources.drawers import Drawer, Settings
@@ -97,7 +99,7 @@ def _edges(spark, root):
     return i.edges.join(side("src", "a"), "src").join(side("dst", "b"), "dst").collect()
 
 
-def test_packages(spark, tmp_path):
+def test_packages(spark, tmp_path, monkeypatch):
     files = {"src/auth/session.ts": SESSION, "src/auth/LoginBanner.tsx": BANNER, "README.md": "# App\n\n## WebSockets\nwe use them\n", "styles/auth.css": ".auth-panel { color: red }\n"}
     built(spark, tmp_path, files)
     questions = ["createSession", "WebSockets", "createSession WebSockets auth-panel", "zzzxnotarealsymbolzzz"]
@@ -108,6 +110,15 @@ def test_packages(spark, tmp_path):
     assert any(i["kind"] == "heading" and i["symbol"] == "WebSockets" for i in sockets["items"])
     assert small["used_tokens"] <= 9 and small["stats"]["dropped_for_budget"] == 1 and len(big["items"]) > len(small["items"])
     assert any(i["path"] == "styles/auth.css" for i in big["items"]) and none["items"] == [] and none["used_tokens"] == 0
+    # only the files that candidates are in are read, and more questions than a few take the other way round the driver
+    index, asked = api.open_index(spark, tmp_path), []
+    seen = lambda paths: (asked.extend(r.path for r in paths.collect()), index.live(paths))[1]
+    (again, _), = api.compile_packages(spark, replace(index, live=seen), [("WebSockets", 3000)])
+    assert set(asked) == {"README.md"} and [i["text"] for i in again["items"]] == [i["text"] for i in sockets["items"]]
+    monkeypatch.setattr(context, "FEW", 0)
+    assert json.dumps(api.get_context(spark, tmp_path, questions[2]), sort_keys=True) == json.dumps(big, sort_keys=True)
+    monkeypatch.undo()
+    assert [(r.src_name, r.kind) for r in api.references(spark, tmp_path, "src/auth/session.ts").collect()] == [("<file>", "import"), ("<file>", "import"), ("LoginBanner", "call")]
     # a changed file is not quoted until it is indexed again
     write(tmp_path, {"src/auth/session.ts": "// new\n" + SESSION})
     stale = api.get_context(spark, tmp_path, "createSession")

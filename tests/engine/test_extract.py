@@ -22,6 +22,14 @@ def test_python():
     assert (auth.start_line, auth.end_line) == (3, 5) and src[auth.start_byte : auth.end_byte].startswith("class Auth")
 
 
+def test_python_lines():
+    """Only line feeds and carriage returns end a line, as the parser has it."""
+    src = "x = 1 # a\u2028b\x0cc\u0085d\x1ce\n\x0c\ndef f():\r\n    return 'é\u2029', g()\r\n\ndef h(): pass\n"
+    x = extract("a.py", src)
+    spans = {s.name: (s.start_line, s.end_line, src.encode()[s.start_byte : s.end_byte].decode()) for s in x.symbols}
+    assert spans["f"] == (3, 4, "def f():\r\n    return 'é\u2029', g()") and spans["h"] == (6, 6, "def h(): pass")
+
+
 def test_python_broken():
     x = extract("a.py", "import os, sys\nclass A:\n    def f(self):\n        return (\n\ndef g():\n    pass\n")
     assert x.status == "graph" and {("A", "class"), ("f", "method"), ("g", "function")} <= kinds(x)
