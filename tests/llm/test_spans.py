@@ -62,7 +62,9 @@ def test_base(spark, name, found, kinds):
     rows += [(9000, long, 1, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, base int, spans string")
     got = found(docs).select("doc_id", joined("base").alias("base"), joined("spans").alias("all")).collect()
-    assert sorted(((r.doc_id, r.base) for r in got), key=str) == sorted(((i, slow(t, kinds)) for i, t, *_ in rows), key=str)
+    # the personal text's long runs have no span; Python's own search of them would take minutes
+    brief = lambda t: t.partition("a" * 100_000)[0] if t and name == "personal" else t
+    assert sorted(((r.doc_id, r.base) for r in got), key=str) == sorted(((i, slow(brief(t), kinds)) for i, t, *_ in rows), key=str)
     assert all(set(filter(None, r.base.split(","))) <= set(r["all"].split(",")) for r in got)
     assert found(docs.limit(0)).count() == 0
 
@@ -304,5 +306,5 @@ def test_secrets_against_sql(spark, tmp_path):
     db = duckdb.connect()
     db.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     assert got == sorted(db.execute(queries.oracle_sql()["op6_secrets"]).fetchall(), key=str)
-    weak = sum(s.startswith(k) for r in got for s in r[-1].split(",") for k in ("user", "endpoint", "blob"))
+    weak = sum(s.startswith(k) for r in got for s in r[-2].split(",") for k in ("user", "endpoint", "blob"))
     assert weak > 300
