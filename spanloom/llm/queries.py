@@ -98,8 +98,26 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), tok.path("word_bpe_49k.json"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .filter_audit import audit
+
+    return audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ranked_search import ranked
+
+    return ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .exact_topk import exact_topk
+
+    return exact_topk(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_decontamination, op3_media, op4_lm, op5_simhash, op6_secrets, op7_pii, op8_packing, op9_toxicity, op10_token_counts)}
+    return {f.__name__: f for f in (op1_warc, op2_decontamination, op3_media, op4_lm, op5_simhash, op6_secrets, op7_pii, op8_packing, op9_toxicity, op10_token_counts, op11_filter_audit, op12_ranked_search, op13_exact_topk)}
 
 
 #: Words of op2 by DuckDB: A-Z folded, ASCII other than digits and letters as separators.
@@ -181,5 +199,56 @@ from d left join s on d.r = s.r left join c on d.r = c.r
 """
 
 
+#: Masks by cases, orders by a join of letters, outcomes by bit operations on masks.
+OP11_SQL = r"""
+with d as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t from documents),
+w as (select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w, min(doc_id) over (partition by t) as first from d),
+l as (select doc_id, max(cast(quality = 1 as int)) as good, max(cast(toxic = 1 as int)) as toxic from labels group by doc_id),
+m as (select part, case when len(w) < 100 then 1 else 0 end + case when 100 * len(list_distinct(w)) < 80 * len(w) then 2 else 0 end
+        + case when 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) then 4 else 0 end
+        + case when regexp_matches(t, '[#$%&*|]') then 8 else 0 end + case when w.doc_id > first then 16 else 0 end as mask,
+        coalesce(good, 0) as good, coalesce(toxic, 0) as toxic from w left join l on w.doc_id = l.doc_id),
+h as (select part, mask, count(*) as n, sum(good) as good, sum(toxic) as toxic from m group by part, mask),
+f as (select unnest(range(5)) as k),
+o as (select [a.k, b.k, c.k, d.k, e.k] as p from f a, f b, f c, f d, f e where len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5),
+s as (select array_to_string(list_transform(p, lambda x: chr(cast(65 + x as int))), '') as filter_order, unnest(range(1, 6)) as step, p from o),
+b as (select filter_order, step, 1 << p[step] as own, cast(list_sum(list_transform(p[1 : step - 1], lambda x: 1 << x)) as bigint) as before from s),
+r as (select part, filter_order, cast(step as int) as step, own,
+        sum(case when mask & own = 0 and mask & coalesce(before, 0) = 0 then n else 0 end) as kept,
+        sum(case when mask & own > 0 and mask & coalesce(before, 0) = 0 then n else 0 end) as removed,
+        sum(case when mask & own > 0 and mask & coalesce(before, 0) > 0 then n else 0 end) as redundant,
+        sum(case when mask = own then n else 0 end) as unique_fails,
+        sum(case when mask & own > 0 and mask & coalesce(before, 0) = 0 then good else 0 end) as good_lost,
+        sum(case when mask & own > 0 and mask & coalesce(before, 0) = 0 then toxic else 0 end) as toxic_lost
+      from h, b group by part, filter_order, step, own)
+select part, filter_order, step, cast(kept as bigint) as kept, cast(removed as bigint) as removed, cast(redundant as bigint) as redundant,
+       cast(unique_fails as bigint) as unique_fails, cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost,
+       cast(sum(removed) over (partition by part, own) as bigint) as shapley from r
+"""
+
+
+OP12_SQL = f"""
+with d as (select row_number() over () as r, doc_id, {_OP2_WORDS} as w from documents where text is not null),
+c as (select count(*) as docs, cast(sum(len(w)) as bigint) as words from d where len(w) > 0),
+b as (select item_id, unnest({_OP2_WORDS}) as term from benchmark where text is not null),
+q as (select item_id, term, count(*) as q from b group by item_id, term),
+t as (select r, any_value(doc_id) as doc_id, any_value(n) as n, term, count(*) as tf from (select r, doc_id, len(w) as n, unnest(w) as term from d) where term in (select term from q) group by r, term),
+f as (select term, count(*) as df from t group by term),
+x as (select r, doc_id, t.term, cast(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) as bigint) * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // words))) as x from t join f on t.term = f.term, c),
+s as (select item_id, r, any_value(doc_id) as doc_id, cast(sum(q * x) as bigint) as score from q join x on q.term = x.term group by item_id, r having sum(q * x) > 0),
+k as (select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id nulls last) as int) as rank, doc_id, score from s)
+select item_id, rank, doc_id, score from k where rank <= 10
+"""
+
+
+OP13_SQL = """
+with v as (select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(64 * cast(x as double))) as q from embeddings
+      where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.r, a.vec_id as query_id, b.vec_id, cast(list_inner_product(a.q, b.q) as bigint) as score from v a join v b on a.r <> b.r where a.vec_id % 20 = 0),
+k as (select query_id, cast(row_number() over (partition by r order by score desc, vec_id nulls last) as int) as rank, vec_id, score from s)
+select query_id, rank, vec_id, score from k where rank <= 20
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op2_decontamination": OP2_SQL, "op6_secrets": _op6_sql()}
+    return {"op1_warc": OP1_SQL, "op2_decontamination": OP2_SQL, "op6_secrets": _op6_sql(), "op11_filter_audit": OP11_SQL, "op12_ranked_search": OP12_SQL, "op13_exact_topk": OP13_SQL}
