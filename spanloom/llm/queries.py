@@ -189,10 +189,14 @@ kept as (select * from p where rank < 3
 s as (select r, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access, count(*) filter (kind = 'hex') as n_hex,
       coalesce(string_agg(concat_ws(':', kind, start, stop), ',' order by start, rank) filter (rank < 3), '') as base,
       string_agg(concat_ws(':', kind, start, stop), ',' order by start, rank) as spans from kept group by r),
-runs as (select *, sum(case when start - earlier <= 300 then 0 else 1 end) over (partition by r order by start, rank rows unbounded preceding) as run
-      from (select *, max(stop) over (partition by r order by start, rank rows between unbounded preceding and 1 preceding) as earlier from kept)),
-nth as (select *, row_number() over (partition by r, run, part order by start, rank) as nth from runs),
-one as (select r, min(start) as first, string_agg(concat_ws(':', kind, start, stop), '+' order by start, rank) as text from nth group by r, run, nth having bool_or(part = 'secret') and bool_or(part <> 'secret')),
+n as (select kept.*, length(t.u) - length(replace(t.u, chr(10), '')) as line from kept join lateral (select left(d.text, kept.start) as u from d where d.r = kept.r) t on true),
+x as (select s.r, s.start as s, s.rank as sr, o.start as o, o.rank as orank, o.part, s.line <> o.line as off, greatest(s.start - o.stop, o.start - s.stop, 0) as gap, (o.start, o.rank) > (s.start, s.rank) as behind, s.stop as s_stop, o.stop as o_stop
+      from n s join n o on s.r = o.r and s.part = 'secret' and o.part <> 'secret' and greatest(s.start - o.stop, o.start - s.stop) <= 300),
+links as (select * from x qualify row_number() over (partition by r, s, sr, part order by off, gap, behind, case when behind then o else -o_stop end, case when behind then orank else o end, orank) = 1
+      and row_number() over (partition by r, o, orank order by off, gap, behind, case when behind then -s_stop else s end, case when behind then s else sr end, sr) = 1),
+pieces as (select r, s, sr, s as start, sr as rank from links union select r, s, sr, o, orank from links),
+one as (select pieces.r, pieces.s, pieces.sr, min(pieces.start) as first, string_agg(concat_ws(':', kind, kept.start, kept.stop), '+' order by kept.start, kept.rank) as text
+      from pieces join kept on kept.r = pieces.r and kept.start = pieces.start and kept.rank = pieces.rank group by pieces.r, pieces.s, pieces.sr),
 c as (select r, string_agg(text, ',' order by first, text) as credentials from one group by r)
 select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(credentials, '') as credentials
 from d left join s on d.r = s.r left join c on d.r = c.r
