@@ -1,16 +1,17 @@
 """The engine as an application uses it: build an index, ask it, look at its state.
 
-An index is a folder of Parquet snapshots and a pointer to the current one.  A
-build writes a whole new snapshot and then moves the pointer, so readers never
-see half of one and need no locks.
+An index is a folder of segments (see ``segments``) and a pointer to the current
+list of them.  A build adds what changed and then moves the pointer, so readers
+never see half of it and need no locks.  What the new state has no use for is
+deleted by the build after, so a reader may go on with the state it has opened.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import shutil
 import uuid
+from collections import Counter
 from dataclasses import asdict, dataclass
 from datetime import datetime, timezone
 from pathlib import Path
@@ -18,22 +19,22 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import build, segments
+from .build import COMMIT_TABLES, FILE_TABLES, Counts
 from .functions import text as T
 from .operators import fulltext, graph, lookup, mutate, pack
-from .operators.resolve import resolved
 from .operators.fulltext import TextIndex
 from .plans import context
 from .plans.context import DEFAULT_BUDGET, Index
+from .segments import Segments
 from .sources import drawers, gitlog, tree
+from .storage import saved
 
 FOLDER = ".spanloom"
-SCHEMA = 3
-#: Tables of a snapshot.
-TABLES = ("files", "symbols", "raw_edges", "edges", "docs", "postings", "commits", "commit_docs", "commit_postings")
+SCHEMA = 4
 SEARCH_LIMIT, STALE_SAMPLE = 20, 20
-#: Columns that tables of older layouts lack, with their defaults.
-LATER = {"files": {"parse_status": "'file'"}, "symbols": {"name_lc": "lower(name)"}, "commits": {"body": "''", "files": "cast(array() as array<string>)"}}
-_COMMITS = "sha string, author string, authored_at string, subject string, body string, files array<string>, ord int"
+#: Columns that commits of older layouts lack, with their defaults.
+LATER = {"body": "''", "files": "cast(array() as array<string>)"}
 
 
 class NotInitialized(Exception):
@@ -61,7 +62,7 @@ def init(root: str | Path) -> None:
     home = _home(root)
     home.mkdir(exist_ok=True)
     if not (home / "CURRENT").exists():
-        _point(home, {"schema_version": SCHEMA, "snapshot": None, "git_status": "absent", "git_head": None, "file_count": 0, "symbol_count": 0, "edge_count": 0, "commit_count": 0})
+        _point(home, {"schema_version": SCHEMA, "segments": [], "commit_segments": [], "retired": [], "built": None, "git_status": "absent", "git_head": None, "file_count": 0, "symbol_count": 0, "edge_count": 0, "commit_count": 0})
 
 
 def find_root(start: str | Path) -> Path:
@@ -88,25 +89,34 @@ def _point(home: Path, content: dict) -> None:
     os.replace(new, home / "CURRENT")
 
 
+def _files(spark: SparkSession, root: str | Path, known: dict | None = None) -> Segments:
+    known = meta(root) if known is None else known
+    return segments.listed(spark, _home(root), FILE_TABLES, known.get("segments", []))
+
+
+def _commits(spark: SparkSession, root: str | Path, known: dict | None = None) -> Segments:
+    known = meta(root) if known is None else known
+    return segments.listed(spark, _home(root), COMMIT_TABLES, known.get("commit_segments", []))
+
+
 def _table(spark: SparkSession, root: str | Path, name: str) -> DataFrame | None:
-    snapshot = meta(root).get("snapshot")
-    if snapshot is None or not (_home(root) / snapshot / name).exists():
-        return None
-    return mutate.with_missing_columns(spark.read.parquet(str(_home(root) / snapshot / name)), LATER.get(name, {}))
+    """A table of files as it is now; None before the first build."""
+    store = _files(spark, root)
+    return store.read(name) if meta(root).get("built") else None
 
 
-def _texts(spark: SparkSession, root: str | Path, docs: str = "docs", postings: str = "postings", key: str = "path") -> TextIndex | None:
-    """What searches read of the current snapshot."""
-    d, p, size = _table(spark, root, docs), _table(spark, root, postings), meta(root).get(f"{docs}_size")
-    if d is None:
-        return None
-    if "dl" not in p.columns:  # the second layout
-        p = p.join(d.select(key, "dl"), key)
-    return TextIndex(d, d, p, key, tuple(size) if size else None)
+def _texts(spark: SparkSession, root: str | Path, known: dict | None = None, commits: bool = False) -> TextIndex:
+    """What searches read."""
+    known = meta(root) if known is None else known
+    if commits:
+        store, n, total = _commits(spark, root, known), known.get("commit_docs", 0), known.get("commit_tokens", 0)
+        return TextIndex(store.read("commit_lengths"), store.read("commit_postings"), "sha", (float(n), total / n if n else 1.0))
+    store, n, total = _files(spark, root, known), known["file_count"], known.get("token_count", 0)
+    return TextIndex(store.read("lengths"), store.read("postings"), "path", (float(n), total / n if n else 1.0))
 
 
 def index_tree(spark: SparkSession, root: str | Path, force: bool = False, below: str | Path | None = None, git=None) -> IndexStats:
-    """Bring the index of ``root`` up to date; unchanged files are not extracted again.
+    """Bring the index of ``root`` up to date; what is written is in proportion to what changed, and nothing is where nothing did.
 
     ``below``: only that folder of it; paths get its name as a prefix, other
     files of the index stay, and where the log has been read to is not moved.
@@ -115,73 +125,64 @@ def index_tree(spark: SparkSession, root: str | Path, force: bool = False, below
     known = meta(root)
     walk = Path(below).resolve() if below is not None else root
     prefix = "" if walk == root else f"{walk.relative_to(root)}/"
-    home, name = _home(root), f"snapshot-{uuid.uuid4().hex}"
-    to = home / name
+    home = _home(root)
+    work = home / f"build-{uuid.uuid4().hex}"
+    store = _files(spark, root, known)
     paths = tree.list_tree(walk, root)
-    read = tree.with_skip_kind(tree.read_files(spark, walk, paths, prefix))
-    read.write.parquet(str(to / "scan"))
-    scan = spark.read.parquet(str(to / "scan"))
-    counts = {r[0]: r[1] for r in scan.groupBy("skip_kind").count().collect()}
-    kept = scan.where("skip_kind = 'keep'")
-
-    old = {t: _table(spark, root, t) for t in TABLES}
-    old_files = old["files"] if old["files"] is not None else spark.createDataFrame([], "path string, language string, hash string, size long, mtime long, parse_status string")
-    diff = mutate.scoped_diff(old_files, kept, prefix)
-    changed = diff.where("status in ('added', 'changed')" if not force else "status <> 'deleted'").select("path")
-    statuses = {r[0]: r[1] for r in diff.groupBy("status").count().collect()}
-
-    parsed = tree.extracted(kept.join(changed, "path", "left_semi"))
-    parsed.write.parquet(str(to / "parsed"))
-    parsed = spark.read.parquet(str(to / "parsed"))
-    gone = diff.where("status = 'deleted'").select("path").unionByName(changed)
-    new_files = kept.join(parsed.select("path", "parse_status"), "path").select("path", "language", "hash", "size", "mtime", "parse_status")
-    new_symbols = parsed.select("path", F.explode("symbols").alias("s")).select(F.xxhash64("path", "s.ord").alias("symbol_id"), "path", "s.*").withColumn("name_lc", F.lower("name"))
-    new_raw = parsed.select("path", F.explode("raw_edges").alias("e")).select("path", "e.*")
-    docs, _ = fulltext.index(kept.join(changed, "path", "left_semi"))
-
-    def put(table: str, rows: DataFrame, before: DataFrame | None) -> DataFrame:
-        both = rows if before is None else mutate.replace_payload(before, gone, rows.select(before.columns))
-        both.write.parquet(str(to / table))
-        return spark.read.parquet(str(to / table))
-
-    files = put("files", new_files, old["files"])
-    symbols = put("symbols", new_symbols, old["symbols"])
-    raw = put("raw_edges", new_raw, old["raw_edges"])
-    all_docs = put("docs", docs, old["docs"])
-    fulltext.by_term(fulltext.postings_of(all_docs)).write.parquet(str(to / "postings"))
-    resolved(raw, symbols).write.parquet(str(to / "edges"))
-
-    # history: from where the last build stopped, unless that is no ancestor any more
-    source = git if git is not None else gitlog.GitLog(walk)
-    status, text, head, since = _history(source, known, prefix, force)
-    commits = old["commits"] if old["commits"] is not None and not (force and not prefix) else spark.createDataFrame([], _COMMITS)
+    # only names, sizes and hashes are kept of files that did not change
+    scan = saved(tree.with_skip_kind(tree.read_files(spark, walk, paths, prefix)).select("path", "hash", "skip_kind"), str(work / "scan"))
+    diff = mutate.scoped_diff(store.read("files"), scan.where("skip_kind = 'keep'"), prefix)
+    counted = scan.groupBy(F.concat(F.lit("skip "), "skip_kind").alias("k")).count().unionByName(diff.groupBy(F.col("status").alias("k")).count())
+    counts = Counter({r.k: r["count"] for r in counted.collect()})
+    now = Counts(known["file_count"], known["symbol_count"], known["edge_count"], known.get("token_count", 0))
+    whole = not known.get("built") or (force and not prefix)
+    if whole:
+        store, now = build.emptied(store), Counts()
+    if whole or force or counts["added"] + counts["changed"] + counts["deleted"]:
+        wanted = "status <> 'deleted'" if whole or force else "status in ('added', 'changed')"
+        changed = diff.where(wanted).select(F.substring("path", len(prefix) + 1, 1 << 20).alias("path"))
+        gone = saved(diff.where("status <> 'added'" if force else "status in ('changed', 'deleted')").select("path"), str(work / "gone"))
+        n_changed = sum(counts[k] for k in ("added", "changed", *(["unchanged"] if whole or force else [])))
+        again = tree.with_skip_kind(tree.read_paths(tree.dealt(changed, n_changed), walk, prefix)).where("skip_kind = 'keep'")
+        source = saved(again.select("path", "content", "language", "hash", "size", "mtime"), str(work / "source"))
+        store, change = build.with_files(store, source, gone, str(work))
+        now = now + change
+    history = _with_history(spark, root, known, git if git is not None else gitlog.GitLog(walk), prefix, force, work)
+    content = {k: v for k, v in known.items() if k != "snapshot"} | history
+    retired = [*store.retired, *history.pop("newly_retired"), *([known["snapshot"]] if known.get("snapshot") else [])]
+    content = content | history | {
+        "schema_version": SCHEMA, "root": str(root), "indexed_at": datetime.now(timezone.utc).isoformat(), "segments": store.as_json(), "retired": retired, "built": uuid.uuid4().hex,
+        "file_count": now.files, "symbol_count": now.symbols, "edge_count": now.edges, "token_count": now.tokens,
+    }
+    content.pop("newly_retired", None)
+    if not retired and content["segments"] == known.get("segments") and content["commit_segments"] == known.get("commit_segments") and known.get("built"):
+        content["built"] = known["built"]  # what readers have opened is the same
+    _point(home, content)
+    segments.drop(home, [work.name, *known.get("retired", [])])
+    return IndexStats(
+        len(paths), counts["added"] + counts["changed"] + (counts["unchanged"] if force else 0), 0 if force else counts["unchanged"], counts["deleted"],
+        counts["skip secret_name"] + counts["skip secret_content"], counts["skip large"], counts["skip ignore"] + counts["skip binary"], counts["skip unreadable"] + now.errors,
+    )
+
+
+def _with_history(spark: SparkSession, root: Path, known: dict, source, prefix: str, force: bool, work: Path) -> dict:
+    """The commits' part of the pointer: from where the last build stopped, unless that is no ancestor any more."""
+    status, text, head, _ = _history(source, known, prefix, force)
+    store, n, total = _commits(spark, root, known), known.get("commit_docs", 0), known.get("commit_tokens", 0)
+    if force and not prefix:
+        store, n, total = build.emptied(store), 0, 0
+    elif known.get("snapshot"):  # an older layout: files are read anew, commits are carried over
+        old = mutate.with_missing_columns(spark.read.parquet(str(_home(root) / known["snapshot"] / "commits")), LATER)
+        store, n, total = build.with_commits(store, old.select(*spark.createDataFrame([], COMMIT_TABLES["commits"].ddl).columns), str(work / "old"))
     if text:
         got = gitlog.parse_log(gitlog.records(spark, text), at="at").withColumn("body", T.cut(F.col("body"), gitlog.BODY_CHARS))
-        last = commits.agg(F.coalesce(F.max("ord"), F.lit(-1)).alias("m")).first().m
-        got = got.withColumn("ord", F.col("ord") + last + 1).withColumn("files", F.transform("files", lambda f: F.concat(F.lit(prefix), f)))
+        got = got.withColumn("ord", (F.col("ord") + n).cast("int")).withColumn("files", F.transform("files", lambda f: F.concat(F.lit(prefix), f)))
         if got.isEmpty():
             status = "unparseable"
-        commits = mutate.insert_or_ignore(commits, got.select(commits.columns), ["sha"], ["ord"])
-    commits.write.parquet(str(to / "commits"))
-    commits = spark.read.parquet(str(to / "commits"))
-    commit_docs, commit_postings = fulltext.index(commits, "sha", ("sha", "subject", "body"))
-    commit_docs.write.parquet(str(to / "commit_docs"))
-    fulltext.by_term(commit_postings, "sha").write.parquet(str(to / "commit_postings"))
-
-    n = pack.table_counts({"file_count": files, "symbol_count": symbols, "edge_count": spark.read.parquet(str(to / "edges")), "commit_count": commits}).first().asDict()
-    content = {"schema_version": SCHEMA, "snapshot": name, "root": str(root), "indexed_at": datetime.now(timezone.utc).isoformat()} | n
-    content |= {f"{d}_size": TextIndex(x, x, x).size() for d in ("docs", "commit_docs") for x in [spark.read.parquet(str(to / d))]}
-    content |= {"commit_count": known["commit_count"], "git_head": known["git_head"], "git_status": known["git_status"]} if prefix else {"git_head": head or known["git_head"], "git_status": status}
-    before, errors = known.get("snapshot"), parsed.where("parse_status = 'error'").count()
-    _point(home, content)
-    for x in ("scan", "parsed"):
-        shutil.rmtree(to / x, ignore_errors=True)
-    if before:
-        shutil.rmtree(home / before, ignore_errors=True)
-    return IndexStats(
-        len(paths), statuses.get("added", 0) + statuses.get("changed", 0) + (statuses.get("unchanged", 0) if force else 0), 0 if force else statuses.get("unchanged", 0), statuses.get("deleted", 0),
-        counts.get("secret_name", 0) + counts.get("secret_content", 0), counts.get("large", 0), counts.get("ignore", 0) + counts.get("binary", 0), counts.get("unreadable", 0) + errors,
-    )
+        store, more, tokens = build.with_commits(store, got.select(*(c.split()[0] for c in COMMIT_TABLES["commits"].ddl.split(", "))), str(work))
+        n, total = n + more, total + tokens
+    out = {"commit_segments": store.as_json(), "newly_retired": list(store.retired), "commit_docs": n, "commit_tokens": total}
+    return out | ({"commit_count": known["commit_count"], "git_head": known["git_head"], "git_status": known["git_status"]} if prefix else {"commit_count": n, "git_head": head or known["git_head"], "git_status": status})
 
 
 def _history(source, known: dict, prefix: str, force: bool) -> tuple[str, str, str | None, str | None]:
@@ -202,30 +203,31 @@ _opened: dict[tuple, Index | None] = {}
 
 
 def open_index(spark: SparkSession, root: str | Path) -> Index | None:
-    """The current snapshot, and a way to read its files as they are on disk now; None before the first build."""
-    snapshot = (spark.sparkContext.applicationId, str(_home(root)), meta(root).get("snapshot"))
-    if snapshot not in _opened:
-        _opened.clear()  # a snapshot that is not the current one any more is gone
-        _opened[snapshot] = _open(spark, root)
-    return _opened[snapshot]
+    """The current state, and a way to read its files as they are on disk now; None before the first build."""
+    state = (spark.sparkContext.applicationId, str(_home(root)), meta(root).get("built"))
+    if state not in _opened:
+        _opened.clear()
+        _opened[state] = _open(spark, root)
+    return _opened[state]
 
 
 def _open(spark: SparkSession, root: str | Path) -> Index | None:
-    t = {n: _table(spark, root, n) for n in TABLES}
-    if t["files"] is None:
+    known = meta(root)
+    if not known.get("built"):
         return None
+    store = _files(spark, root, known)
 
     def live(paths: DataFrame) -> DataFrame:
         spread = paths.repartition(spark.sparkContext.defaultParallelism)
         return tree.read_paths(spread, Path(root).resolve()).where("readable and strict").select("path", "hash", "content")
 
-    commits = t["commits"].select("sha", "subject", "body", "files", "ord")
-    return Index(t["files"], live, t["symbols"], t["edges"], _texts(spark, root), commits, _texts(spark, root, "commit_docs", "commit_postings", "sha"))
+    commits = _commits(spark, root, known).read("commits").select("sha", "subject", "body", "files", "ord")
+    return Index(store.read("files"), live, store.read("symbols"), store.read("edges").drop("path"), _texts(spark, root, known), commits, _texts(spark, root, known, True))
 
 
 def _no_index(spark: SparkSession) -> Index:
     empty = lambda ddl: fulltext.local(spark, ddl, [])
-    text = lambda key: TextIndex(empty(f"{key} string, toks array<string>, dl int"), empty(f"{key} string, dl int"), empty(f"{key} string, term string, tf long, dl int"), key, (0.0, 1.0))
+    text = lambda key: TextIndex(empty(f"{key} string, dl int"), empty(f"{key} string, term string, places array<bigint>, dl int"), key, (0.0, 1.0))
     live = lambda paths: empty("path string, hash string, content string")
     symbols = empty("symbol_id long, path string, ord int, name string, name_lc string, kind string, start_line int, end_line int")
     return Index(empty("path string, hash string"), live, symbols, empty("src long, dst long, kind string, confidence string, ord int"), text("path"), empty("sha string, subject string, body string, files array<string>, ord int"), text("sha"))
@@ -315,7 +317,7 @@ def references(spark: SparkSession, root: str | Path, path: str) -> DataFrame:
     edges, symbols = _table(spark, root, "edges"), _table(spark, root, "symbols")
     if edges is None:
         return spark.createDataFrame([], "src_path string, src_name string, dst_name string, kind string, confidence string")
-    found = graph.incoming(edges, symbols, F.col("dst_path") == path)
+    found = graph.incoming(edges.drop("path"), symbols, F.col("dst_path") == path)
     return found.select("src_path", "src_name", "dst_name", "kind", "confidence").orderBy("src_path", "src_name", "dst_name", "kind")
 
 
@@ -323,18 +325,16 @@ def search_code(spark: SparkSession, root: str | Path, query: str, limit: int =
     """Files by text: the expression, or else the phrase, and then the parts of hyphenated words."""
     from .plans.query_plan import fallback, ladder
 
-    texts = _texts(spark, root)
-    if texts is None or not query.strip():
+    if not meta(root).get("built") or not query.strip():
         return spark.createDataFrame([], "path string, rank int")
-    rows = [(0, order, k, e.text, e.prefix, e.group, e.negated) for order, es in enumerate((ladder(query), fallback(query))) for k, e in enumerate(es)]
-    keyed = context.phrase_table(spark, rows).select(F.col("search_ord").alias("query_id"), "phrase_ord", "toks", "prefix", "group", "negated")
-    hits = fulltext.search_expressions(texts, keyed, limit)
+    keyed = context.phrase_table(spark, [(0, order, e) for order, es in enumerate((ladder(query), fallback(query))) for e in es]).withColumn("query_id", F.col("search_ord"))
+    hits = fulltext.search_expressions(_texts(spark, root), keyed, limit)
     parts = [hits.where(F.col("query_id") == k).withColumn("query_id", F.lit(0)) for k in (0, 1)]
     return fulltext.ordered_union(parts, limit).select("path", "rank").orderBy("rank")
 
 
 def status(root: str | Path) -> dict:
-    return {k: v for k, v in meta(root).items() if k != "snapshot" and not k.endswith("_size")}
+    return {k: v for k, v in meta(root).items() if k not in ("snapshot", "segments", "commit_segments", "retired", "built", "token_count", "commit_docs", "commit_tokens")}
 
 
 def doctor(spark: SparkSession, root: str | Path) -> dict:

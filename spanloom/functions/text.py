@@ -29,8 +29,8 @@ LANGUAGES = {
 #: Punctuation that is cut off both ends of a query word.
 TRIMMED = "?!,;:()[]{}'\""
 
-# A map from accented letters of the Latin blocks to their base letters, built by decomposition.
-_ACCENTED = [c for c in map(chr, range(0xC0, 0x250)) if len(d := unicodedata.normalize("NFD", c)) > 1 and all(map(unicodedata.combining, d[1:]))]
+# A map from letters with one accent to their base letters, built by decomposition: the Latin blocks up to U+024F and U+1E00 to U+1EFF.
+_ACCENTED = [c for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if len(d := unicodedata.normalize("NFD", c)) == 2 and unicodedata.combining(d[1])]
 _PLAIN = "".join(unicodedata.normalize("NFD", c)[0] for c in _ACCENTED)
 _ACCENTS = "".join(_ACCENTED)
 
@@ -85,8 +85,9 @@ def content_hash(content: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Full-text tokens: runs of letters and digits, lower case, without diacritics."""
-    return F.regexp_extract_all(F.translate(F.lower(text), _ACCENTS, _PLAIN), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    """Full-text tokens: runs of letters and digits, lower case, without diacritics; combining accents belong to no letter and cut no token."""
+    bare = F.regexp_replace(F.translate(F.lower(text), _ACCENTS, _PLAIN), r"[\x{300}-\x{36F}]+", "")
+    return F.regexp_extract_all(bare, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def token_cost(text: Column) -> Column:

@@ -1,16 +1,20 @@
-"""Full-text search as relational algebra: postings, boolean matching, BM25.
-
-A query is a list of phrases under AND or OR.  Single-token phrases are answered
-by postings alone; longer ones first need all their tokens there, and only
-those documents' token lists are then searched.  Lower ranks are better.
+"""Full-text search as relational algebra: positional postings, boolean matching, BM25.
+
+A posting has the places where a term stands in a document.  Columns are
+streams of their own, far apart in the numbering of places, so no phrase goes
+over their border.  Phrases are intersections of their tokens' place lists,
+each moved to the phrase's begin; NEAR and column filters are conditions on
+what is left.  Neither texts nor token lists are read by a search.  Lower ranks
+are better.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
@@ -20,20 +24,25 @@ from ..storage import written
 
 # Fixed values of the ranking function.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+#: Places of column k begin at k * STREAM.
+STREAM = 1 << 40
+#: Wanted terms up to which a scan tests tokens against a set, without a join.
+FEW_TERMS = 20_000
 
 
 @dataclass(frozen=True)
 class TextIndex:
-    """What searches read: ``docs`` (key, and toks or the text they come from), ``lengths`` (key, dl) and ``postings`` (key, term, tf, dl).
+    """What searches read: ``lengths`` (key, dl), ``postings`` (key, term, places, dl) and ``terms`` (term), the distinct ones in order.
 
     ``stats``: number and mean length of documents, where they are known.
+    Without ``terms``, those of ``postings`` are listed when prefixes ask for them.
     """
 
-    docs: DataFrame
     lengths: DataFrame
     postings: DataFrame
     key: str = "path"
     stats: tuple[float, float] | None = None
+    terms: DataFrame | None = None
 
     def size(self) -> tuple[float, float]:
         if self.stats is not None:
@@ -42,19 +51,30 @@ class TextIndex:
         return float(s.n or 0), float(s.avgdl or 1)
 
 
-def _text(columns: tuple[str, ...]):
-    return F.concat_ws("\n", *(F.col(c).cast("string") for c in columns))
+def _streams(columns: tuple[str, ...]) -> list[Column]:
+    return [tokens(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in columns]
+
 
+def index(files: DataFrame, key: str = "path", columns: tuple[str, ...] = ("path", "content")) -> DataFrame:
+    """The postings of ``files``, to be stored: key, term, places and dl.  A document's terms are gathered where it lies."""
+    id_type = files.schema[key].dataType
 
-def postings_of(docs: DataFrame, key: str = "path") -> DataFrame:
-    """(key, term, tf, dl) of ``docs`` (key, toks, dl)."""
-    return docs.select(key, "dl", F.explode("toks").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, streams in zip(*batch.columns, strict=True):
+                at: dict[str, list[int]] = {}
+                streams = streams.as_py()
+                for k, stream in enumerate(streams):
+                    for place, term in enumerate(stream, k * STREAM):
+                        at.setdefault(term, []).append(place)
+                n = sum(map(len, streams))
+                yield pa.RecordBatch.from_arrays([pa.array([doc.as_py()] * len(at), to_arrow_type(id_type)), pa.array(at, pa.string()), pa.array(at.values(), pa.list_(pa.int64())), pa.array([n] * len(at), pa.int32())], names=[key, "term", "places", "dl"])
 
+    return files.select(key, F.array(*_streams(columns)).alias("streams")).mapInArrow(run, f"`{key}` {id_type.simpleString()}, term string, places array<bigint>, dl int")
 
-def index(files: DataFrame, key: str = "path", columns: tuple[str, ...] = ("path", "content")) -> tuple[DataFrame, DataFrame]:
-    """(docs, postings) of ``files``, to be stored: docs has key, toks and dl; postings key, term, tf and dl."""
-    docs = files.select(key, tokens(_text(columns)).alias("toks")).withColumn("dl", F.size("toks"))
-    return docs, postings_of(docs, key)
+
+def lengths_of(files: DataFrame, key: str = "path", columns: tuple[str, ...] = ("path", "content")) -> DataFrame:
+    return files.select(key, sum((F.size(s) for s in _streams(columns)), F.lit(0)).alias("dl"))
 
 
 def by_term(postings: DataFrame, key: str = "path") -> DataFrame:
@@ -63,22 +83,26 @@ def by_term(postings: DataFrame, key: str = "path") -> DataFrame:
 
 
 def scanned(files: DataFrame, wanted: DataFrame, key: str = "path", columns: tuple[str, ...] = ("path", "content")) -> TextIndex:
-    """A search's own index, where none is stored: one pass over ``files`` that keeps lengths and the terms of ``wanted``'s phrases.
+    """A search's own index, where none is stored: one pass over ``files`` that keeps lengths and the places of ``wanted``'s terms.
 
-    Other terms are dropped before anything is shuffled; what is left is
-    written to the shared folder.  A length stands beside the terms, as the
-    count of the empty term.
+    Other terms are dropped before a document's tokens become rows, or, where
+    ``FEW_TERMS`` are exceeded, before they are shuffled; what is left is written
+    to the shared folder.  A length stands beside the terms, as that of the empty term.
     """
-    terms = wanted.select(F.explode("toks").alias("term")).distinct().withColumn("_asked", F.lit(True))
-    starts = sorted({r[0] for r in wanted.where("prefix and size(toks) = 1").select(F.col("toks")[0]).collect()})  # bounded: the phrases asked for
-    entry = lambda term, n: F.struct(term.alias("term"), n.alias("n"))
-    each = lambda toks: F.concat(F.array(entry(F.lit(""), F.size(toks))), F.transform(toks, lambda t: entry(t, F.lit(1))))
-    flat = files.select(key, F.inline(F.flatten(F.transform(F.array(tokens(_text(columns))), each))))  # an array of one, so that a text is cut once
-    begins = F.exists(F.lit(starts), lambda s: F.startswith("term", s)) if starts else F.lit(False)
-    some = flat.join(terms, "term", "left").where(F.col("_asked") | (F.col("term") == "") | begins)
-    counted = written(some.groupBy(key, "term").agg(F.sum("n").alias("tf")), "postings")
-    lengths = counted.where("term = ''").select(key, F.col("tf").alias("dl"))
-    return TextIndex(files.select(key, _text(columns).alias("text")), lengths, counted.where("term <> ''").join(lengths, key), key)
+    single = wanted.select(F.explode("toks").alias("term")).distinct()
+    starts = sorted({r[0] for r in wanted.where("prefix and size(toks) > 0").select(F.element_at("toks", -1)).collect()})  # bounded: the phrases asked for
+    some = [r[0] for r in single.limit(FEW_TERMS + 1).collect()]
+    begins = lambda t: F.exists(F.lit(starts), lambda s: F.startswith(t, s)) if starts else F.lit(False)
+    keep = (lambda t: t.isin(some) | begins(t)) if len(some) <= FEW_TERMS else (lambda t: F.lit(True))
+    entry = lambda t, place, n: F.struct(t.alias("term"), place.cast("long").alias("place"), n.alias("dl"))
+    n = lambda streams: F.aggregate(streams, F.lit(0), lambda a, s: a + F.size(s))
+    placed = lambda streams: F.flatten(F.transform(streams, lambda s, k: F.filter(F.transform(s, lambda t, i: entry(t, k.cast("long") * STREAM + i, n(streams))), lambda e: keep(e["term"]))))
+    each = lambda streams: F.concat(F.array(entry(F.lit(""), F.lit(0), n(streams))), placed(streams))
+    flat = files.select(key, F.inline(F.flatten(F.transform(F.array(F.array(*_streams(columns))), each))))  # an array of one, so that a text is cut once
+    if len(some) > FEW_TERMS:
+        flat = flat.join(single.withColumn("_asked", F.lit(True)), "term", "left").where(F.col("_asked") | (F.col("term") == "") | begins(F.col("term")))
+    counted = written(flat.groupBy(key, "term").agg(F.sort_array(F.collect_list("place")).alias("places"), F.first("dl").alias("dl")), "postings")
+    return TextIndex(counted.where("term = ''").select(key, "dl"), counted.where("term <> ''"), key)
 
 
 def local(spark: SparkSession, ddl: str, rows: list[tuple]) -> DataFrame:
@@ -88,31 +112,67 @@ def local(spark: SparkSession, ddl: str, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(pa.Table.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=arrow), schema)
 
 
+def _matching(ix: TextIndex, each: DataFrame) -> DataFrame:
+    """``each`` token (column term) with every term of the index that it, or what it begins, stands for."""
+    starts = each.where("begins").withColumnRenamed("term", "_p")
+    asked = sorted({r[0] for r in starts.select("_p").distinct().collect()})  # bounded: the phrases asked for
+    exact = each.where("not begins")
+    if not asked:
+        return exact
+    listed = ix.terms if ix.terms is not None else ix.postings.select("term")
+    span = F.lit(False)
+    for p in asked:  # ranges of the dictionary's order
+        span = span | ((F.col("term") >= p) & F.startswith("term", F.lit(p)))
+    sizes = sorted({len(p) for p in asked})
+    found = listed.where(span).distinct().withColumn("_size", F.explode(F.filter(F.lit(sizes).cast("array<int>"), lambda n: n <= F.length("term")))).withColumn("_p", F.expr("left(term, _size)"))
+    return exact.unionByName(starts.join(found, "_p").select(exact.columns))
+
+
 def phrases(ix: TextIndex, wanted: DataFrame) -> DataFrame:
-    """(query_id, phrase_ord, key, tf, dl) of ``wanted``'s phrases (query_id, phrase_ord, toks, prefix) in documents that have them."""
-    key, postings = ix.key, ix.postings
-    named = wanted.withColumn("n", F.size("toks"))
-    one = named.where("n = 1 and not prefix").withColumn("term", F.col("toks")[0])
-    out = postings.join(one, "term").select("query_id", "phrase_ord", key, "tf", "dl")
-    starts = named.where("n = 1 and prefix").withColumn("_p", F.col("toks")[0])
-    sizes = sorted({r[0] for r in starts.select(F.length("_p")).collect()})  # bounded: the phrases asked for
-    if sizes:
-        cut = postings.withColumn("_size", F.explode(F.filter(F.lit(sizes).cast("array<int>"), lambda n: n <= F.length("term")))).withColumn("_p", F.expr("left(term, _size)"))
-        out = out.unionByName(cut.join(starts, "_p").groupBy("query_id", "phrase_ord", key).agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl")))
-    # documents with every token of a phrase, then the places where it stands
-    each = named.where("n > 1").select("query_id", "phrase_ord", F.explode(F.array_distinct("toks")).alias("term"), F.size(F.array_distinct("toks")).alias("need"))
-    whole = postings.join(each, "term").groupBy("query_id", "phrase_ord", key).agg(F.count("*").alias("have"), F.first("need").alias("need")).where("have = need")
-    placed = whole.join(named.select("query_id", "phrase_ord", F.col("toks").alias("want"), "n"), ["query_id", "phrase_ord"]).join(ix.docs, key)
-    toks = F.col("toks") if "toks" in ix.docs.columns else tokens(F.col("text"))
-    starts_at = lambda d: F.filter(F.sequence(F.lit(1), F.size(d) - F.col("n") + 1), lambda i: F.slice(d, i, F.col("n")) == F.col("want"))
-    counted = F.transform(F.array(toks), lambda d: F.struct(F.when(F.size(d) >= F.col("n"), F.size(starts_at(d))).cast("long").alias("tf"), F.size(d).alias("dl")))
-    return out.unionByName(placed.select("query_id", "phrase_ord", key, F.inline(F.filter(counted, lambda c: c["tf"] > 0))))
-
-
-def bm25_scores(ix: TextIndex, found: DataFrame) -> DataFrame:
-    """(query_id, key, score, have): summed weights of the phrases found, and how many they are."""
+    """(query_id, phrase_ord, key, starts, tf, dl) of ``wanted``'s phrases in documents that have them; ``starts`` are the places where one begins.
+
+    ``wanted``: query_id, phrase_ord, toks, prefix (of the last token), and perhaps ``columns`` and ``first``.
+    """
+    key = ix.key
+    for name, default in (("columns", "cast(null as array<int>)"), ("first", "false")):
+        if name not in wanted.columns:
+            wanted = wanted.withColumn(name, F.expr(default))
+    named = wanted.where("size(toks) > 0").select("query_id", "phrase_ord", "prefix", "columns", "first", F.size("toks").alias("n"), F.posexplode("toks").alias("k", "term"))
+    each = _matching(ix, named.withColumn("begins", F.col("prefix") & (F.col("k") == F.col("n") - 1)).drop("prefix"))
+    met = ix.postings.join(each, "term").select("query_id", "phrase_ord", "n", "columns", "first", key, "dl", "k", F.transform("places", lambda p: p - F.col("k")).alias("at"))
+    one = met.where("n = 1").groupBy("query_id", "phrase_ord", key).agg(F.flatten(F.collect_list("at")).alias("starts"), *(F.first(c).alias(c) for c in ("columns", "first", "dl")))
+    # a token's places are those of all its terms; a phrase stands where all its tokens' lists agree
+    token = met.where("n > 1").groupBy("query_id", "phrase_ord", key, "k").agg(F.flatten(F.collect_list("at")).alias("at"), *(F.first(c).alias(c) for c in ("n", "columns", "first", "dl")))
+    whole = token.groupBy("query_id", "phrase_ord", key).agg(F.collect_list("at").alias("lists"), *(F.first(c).alias(c) for c in ("n", "columns", "first", "dl"))).where("size(lists) = n")
+    agreed = F.aggregate(F.slice("lists", F.lit(2), F.greatest(F.size("lists") - 1, F.lit(1))), F.col("lists")[0], F.array_intersect)
+    more = whole.withColumn("starts", agreed).select(one.columns)
+    of = lambda s: (F.col("columns").isNull() | F.array_contains("columns", F.floor(s / STREAM).cast("int"))) & (~F.col("first") | (s % STREAM == 0))
+    plain = F.col("columns").isNull() & ~F.col("first")
+    kept = one.unionByName(more).withColumn("starts", F.when(plain, F.col("starts")).otherwise(F.filter("starts", of)))
+    return kept.where("size(starts) > 0").select("query_id", "phrase_ord", key, "starts", F.size("starts").cast("long").alias("tf"), "dl")
+
+
+def near(found: DataFrame, asked: DataFrame, key: str = "path") -> DataFrame:
+    """``found`` without the places of NEAR's phrases that are in no clump: places of all its phrases, one column, of which the last begins at most ``distance`` tokens after any ends."""
+    groups = asked.where("distance is not null").select("query_id", "phrase_ord", "atom", "distance", F.size("toks").alias("n")).distinct()
+    need = groups.groupBy("query_id", "atom").agg(F.count("*").alias("need"))
+    sides = found.join(F.broadcast(groups), ["query_id", "phrase_ord"]).groupBy("query_id", "atom", key).agg(F.collect_list(F.struct("phrase_ord", "n", "starts")).alias("sides"), F.first("distance").alias("distance"), F.first("dl").alias("dl"))
+    whole = sides.join(F.broadcast(need), ["query_id", "atom"]).where("size(sides) = need")
+    fits = lambda last, start, n: (start <= last) & (start >= last - n - F.col("distance"))
+    lasts = F.filter(F.array_distinct(F.flatten(F.transform("sides", lambda s: s["starts"]))), lambda last: F.forall("sides", lambda s: F.exists(s["starts"], lambda x: fits(last, x, s["n"]))))
+    kept = F.transform("sides", lambda s: F.struct(s["phrase_ord"], F.filter(s["starts"], lambda x: F.exists("lasts", lambda last: fits(last, x, s["n"]))).alias("starts")))
+    clumps = whole.withColumn("lasts", lasts).where("size(lasts) > 0").select("query_id", key, "dl", F.inline(kept))
+    rest = found.join(F.broadcast(groups.select("query_id", "phrase_ord")), ["query_id", "phrase_ord"], "left_anti")
+    return rest.unionByName(clumps.withColumn("tf", F.size("starts").cast("long")).select(found.columns))
+
+
+def bm25_scores(ix: TextIndex, found: DataFrame, everywhere: DataFrame | None = None) -> DataFrame:
+    """(query_id, key, score, have): summed weights of the phrases found, and how many they are.
+
+    ``everywhere``: the phrases' documents that their frequencies are of, if not just ``found``.
+    """
     n, avgdl = ix.size()
-    df = found.groupBy("query_id", "phrase_ord").agg(F.count("*").alias("df"))
+    df = (found if everywhere is None else everywhere).groupBy("query_id", "phrase_ord").agg(F.count("*").alias("df"))
     idf = F.greatest(F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl)))
     return found.join(df, ["query_id", "phrase_ord"]).groupBy("query_id", ix.key).agg((-F.sum(weight)).alias("score"), F.count("*").alias("have"))
@@ -150,16 +210,22 @@ def first_seen(hits: DataFrame, order: list[str], most: int, key: str = "path")
 
 
 def search_expressions(ix: TextIndex, wanted: DataFrame, most: int) -> DataFrame:
-    """BM25 hits of expressions: ``wanted`` has query_id, phrase_ord, toks, prefix, group and negated.
+    """BM25 hits of expressions: ``wanted`` is what ``phrases`` takes with group, negated, atom and distance; a phrase has a row for each group.
 
-    A document answers if it has all phrases of some group and none that the
+    A document answers if it has all atoms of some group and none that the
     group negates; every phrase it has that is not negated adds to its score.
     """
     asked, key = wanted.where("size(toks) > 0"), ix.key
-    found = phrases(ix, asked.select("query_id", "phrase_ord", "toks", "prefix"))
-    sides = found.join(asked.select("query_id", "phrase_ord", "group", "negated"), ["query_id", "phrase_ord"])
-    need = asked.groupBy("query_id", "group").agg(F.count_if(~F.col("negated")).alias("need"))
-    having = sides.groupBy("query_id", "group", key).agg(F.count_if(~F.col("negated")).alias("have"), F.count_if("negated").alias("bad"))
+    once = asked.dropDuplicates(["query_id", "phrase_ord"])
+    everywhere = phrases(ix, once)
+    found = everywhere if wanted.where("distance is not null").isEmpty() else near(everywhere, once, key)
+    atoms = asked.groupBy("query_id", "group", "atom").agg(F.first("negated").alias("negated"), F.count("*").alias("size"))
+    sides = found.select("query_id", "phrase_ord", key).join(asked.select("query_id", "phrase_ord", "group", "atom"), ["query_id", "phrase_ord"])
+    held = sides.groupBy("query_id", "group", "atom", key).count().join(atoms, ["query_id", "group", "atom"]).where(F.col("count") == F.col("size"))
+    having = held.groupBy("query_id", "group", key).agg(F.count_if(~F.col("negated")).alias("have"), F.count_if("negated").alias("bad"))
+    need = atoms.groupBy("query_id", "group").agg(F.count_if(~F.col("negated")).alias("need"))
     answers = having.join(need, ["query_id", "group"]).where("have = need and bad = 0 and need > 0").select("query_id", key).distinct()
-    scores = bm25_scores(ix, sides.where("not negated").select("query_id", "phrase_ord", key, "tf", "dl"))
+    positive = asked.where("not negated").select("query_id", "phrase_ord").distinct()
+    scored = lambda rows: rows.select("query_id", "phrase_ord", key, "tf", "dl").join(positive, ["query_id", "phrase_ord"], "left_semi")
+    scores = bm25_scores(ix, scored(found), scored(everywhere))
     return best(scores.join(answers, ["query_id", key], "left_semi"), most, key)

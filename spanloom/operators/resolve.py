@@ -29,14 +29,22 @@ def _first(df: DataFrame, keys: list[str], last: bool = False) -> DataFrame:
     return df.groupBy(*keys).agg(pick.alias("_p")).select(*keys, F.col("_p.symbol_id").alias("id"), F.col("_p.path").alias("at"))
 
 
+def _is_file() -> Column:
+    return (F.col("name") == FILE) & (F.col("kind") == "module")
+
+
+def _stem_of(spec: Column) -> Column:
+    return F.coalesce(F.nullif(stem(spec), F.lit("")), spec)
+
+
 def _modules_of(specs: DataFrame, symbols: DataFrame) -> DataFrame:
     """(path, spec, id, at): the file symbol that an import means: by relative path, by path, by stem."""
-    modules = symbols.where((F.col("name") == FILE) & (F.col("kind") == "module"))
+    modules = symbols.where(_is_file())
     exact = modules.select(F.col("path").alias("_k"), "symbol_id", "path", "ord")
     bare = modules.select(without_ending(F.col("path")).alias("_k"), "symbol_id", "path", "ord")
     stems = modules.select(stem(F.col("path")).alias("_k"), "symbol_id", "path", "ord")
     tries = [("_rel", exact), ("_rel", bare), ("spec", exact), ("spec", bare), ("_stem", stems)]
-    out = specs.withColumn("_rel", relative(F.col("path"), F.col("spec"))).withColumn("_stem", F.coalesce(F.nullif(stem(F.col("spec")), F.lit("")), F.col("spec")))
+    out = specs.withColumn("_rel", relative(F.col("path"), F.col("spec"))).withColumn("_stem", _stem_of(F.col("spec")))
     ids, ats = [], []
     for k, (on, table) in enumerate(tries):
         t = _first(table, ["_k"], last=True).select(F.col("_k").alias(on), F.col("id").alias(f"_id{k}"), F.col("at").alias(f"_at{k}"))
@@ -47,15 +55,15 @@ def _modules_of(specs: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def resolved(raw: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Edges (src, dst, kind, confidence, ord) of raw edges (path, ord, src_name, dst_name, kind); of equal ones the first.
+    """Edges (path, src, dst, kind, confidence, ord) of raw edges (path, ord, src_name, dst_name, kind); of equal ones the first.
 
     Calls: a symbol of the file, then of a file it imports, then any of the
     name (which is less sure).  Imports: a module, a symbol of the file, any of
     the name.  Supersedes: a decision of the name, digits also as ``ADR-<n>``.
-    All edges are resolved anew, so nothing depends on which files changed.
+    Symbols that no raw edge can mean may be left out (see ``reference_keys``).
     """
     local = _first(symbols, ["path", "name"]).select("path", "name", "id")
-    by_name = _first(symbols, ["name_lc"])
+    by_name = _first(symbols.where(~_is_file()), ["name_lc"])
     src = local.select("path", F.col("name").alias("src_name"), F.col("id").alias("_own"))
     files = local.where(F.col("name") == FILE).select("path", F.col("id").alias("_file"))
     e = raw.join(src, ["path", "src_name"], "left").join(files, "path", "left").withColumn("src", F.coalesce("_own", "_file")).where("src is not null").drop("_own", "_file").withColumn("name_lc", F.lower("dst_name"))
@@ -85,7 +93,26 @@ def resolved(raw: DataFrame, symbols: DataFrame) -> DataFrame:
     columns = ["path", "ord", "src", "dst", "kind", "confidence"]
     found = calls.select(columns).unionByName(imports.select(columns)).unionByName(olds.select(columns)).where("dst is not null")
     kept = first_of(found, ["src", "dst", "kind"], ["path", "ord"])
-    return kept.withColumn("ord", F.row_number().over(Window.partitionBy("src").orderBy("path", "ord", "dst"))).select("src", "dst", "kind", "confidence", "ord")
+    return kept.withColumn("ord", F.row_number().over(Window.partitionBy("src").orderBy("path", "ord", "dst"))).select("path", "src", "dst", "kind", "confidence", "ord")
+
+
+def definition_keys(symbols: DataFrame) -> DataFrame:
+    """``symbols`` under every key that a raw edge can ask for them by: their name, or for the symbol of a file its paths and its stem."""
+    key = lambda kind, c: F.concat(F.lit(f"{kind}:"), c)
+    path = F.col("path")
+    keys = F.when(_is_file(), F.array_distinct(F.array(key("p", path), key("p", without_ending(path)), key("s", stem(path))))).otherwise(F.array(key("n", F.col("name_lc"))))
+    return symbols.select(F.explode(keys).alias("key"), "symbol_id", "path", "ord", "name", "name_lc", "kind")
+
+
+def reference_keys(raw: DataFrame) -> DataFrame:
+    """(key, path) of all that the raw edges of a file ask for, as ``definition_keys`` names it."""
+    key = lambda kind, c: F.concat(F.lit(f"{kind}:"), c)
+    spec = F.col("dst_name")
+    modules = F.when(F.col("kind") == "import", F.array(key("p", relative(F.col("path"), spec)), key("p", spec), key("s", _stem_of(spec))))
+    numbered = F.when((F.col("kind") == "supersedes") & spec.rlike("^[0-9]+$"), F.array(key("n", F.concat(F.lit("adr-"), spec))))
+    none = F.array().cast("array<string>")
+    keys = F.concat(F.array(key("n", F.lower(spec))), F.coalesce(modules, none), F.coalesce(numbered, none))
+    return raw.select(F.explode(F.array_compact(keys)).alias("key"), "path")
 
 
-__all__ = ["relative", "resolved", "without_ending"]
+__all__ = ["definition_keys", "reference_keys", "relative", "resolved", "without_ending"]

@@ -17,7 +17,7 @@ from ..functions import text as T
 from ..operators import fulltext, graph, lookup, rank
 from ..operators.fulltext import TextIndex, local
 from ..storage import written
-from .query_plan import plan_query, searches
+from .query_plan import COMMIT_SEARCH, Phrase, commit_search, plan_query, searches
 
 # How many of each a question may gather.
 CAP_SYMBOLS, CAP_FTS, CAP_NEIGHBORS, CAP_COMMITS, CAP_DECISIONS, CAP_SUPERSEDES = 50, 30, 40, 20, 10, 10
@@ -69,20 +69,19 @@ def planned(spark: SparkSession, questions: list[tuple[int, str, int]]) -> tuple
     plans = [(q, text, budget, plan_query(text)) for q, text, budget in questions]
     ddl = "query_id int, query string, budget int, symbol_terms array<string>, path_hints array<string>, words array<string>, terms array<string>"
     q = local(spark, ddl, [(i, t, b, p.symbol_terms, p.path_hints, p.words, p.terms) for i, t, b, p in plans])
-    rows = [(i, order, k, e.text, e.prefix, e.group, e.negated) for i, _, _, p in plans for order, es in searches(p) for k, e in enumerate(es)]
-    return q, phrase_table(spark, rows)
+    return q, phrase_table(spark, [(i, order, e) for i, _, _, p in plans for order, es in (*commit_search(p), *searches(p)) for e in es])
 
 
-def phrase_table(spark: SparkSession, rows: list[tuple]) -> DataFrame:
-    """Phrases of text searches with their tokens."""
-    phrases = local(spark, "query_id int, search_ord int, phrase_ord int, text string, prefix boolean, group int, negated boolean", rows)
-    return phrases.withColumn("toks", T.tokens(F.col("text")))
+def phrase_table(spark: SparkSession, rows: list[tuple[int, int, Phrase]]) -> DataFrame:
+    """Phrases (query_id, search_ord, phrase) of text searches with their tokens."""
+    ddl = "query_id int, search_ord int, phrase_ord int, text string, prefix boolean, group int, negated boolean, atom int, distance int, columns array<int>, first boolean"
+    phrases = local(spark, ddl, [(q, s, e.leaf, e.text, e.prefix, e.group, e.negated, e.atom, e.distance, None if e.columns is None else [*e.columns], e.first) for q, s, e in rows])
+    return phrases.withColumn("toks", T.tokens(F.col("text"))).drop("text")
 
 
 def text_hits(index: Index, phrases: DataFrame) -> DataFrame:
     """(query_id, path, rank): hits of a question's searches one after the other, each file once."""
-    each = F.struct("query_id", "search_ord")
-    keyed = phrases.select(each.alias("query_id"), "phrase_ord", "toks", "prefix", "group", "negated")
+    keyed = phrases.where(F.col("search_ord") != COMMIT_SEARCH).withColumn("query_id", F.struct("query_id", "search_ord"))
     hits = fulltext.search_expressions(index.texts, keyed, CAP_FTS)
     flat = hits.select("query_id.query_id", "query_id.search_ord", "path", "rank")
     return fulltext.first_seen(flat.withColumnRenamed("rank", "_rank"), ["search_ord", "_rank"], CAP_FTS)
@@ -106,7 +105,7 @@ def subject_hits(commits: DataFrame, q: DataFrame) -> DataFrame:
 
 def commit_hits(index: Index, q: DataFrame, phrases: DataFrame) -> DataFrame:
     """(query_id, sha, norm, rank): subject matches, then text matches; the former keep the latter's norm, or have 1."""
-    keyed = phrases.where("search_ord = 0").select("query_id", "phrase_ord", "toks", "prefix", "group", "negated")
+    keyed = phrases.where(F.col("search_ord") == COMMIT_SEARCH)
     fts = fulltext.search_expressions(index.commit_texts, keyed, CAP_COMMITS).select("query_id", "sha", F.col("rank").alias("fts_rank"))
     matched = subject_hits(index.commits, q)
     w = Window.partitionBy("query_id").orderBy("ord")

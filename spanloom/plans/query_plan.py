@@ -6,6 +6,7 @@ import re
 from dataclasses import dataclass, field
 
 from ..functions.text import TRIMMED
+from .match import COMMIT_COLUMNS, MatchError, Phrase, parse_match
 
 # Words that are not searched for.
 STOPWORDS = frozenset(["the", "a", "an", "is", "in", "for", "of", "where", "how", "what"])
@@ -50,50 +51,6 @@ def plan_query(query: str) -> QueryPlan:
     return plan
 
 
-@dataclass(frozen=True)
-class Phrase:
-    """Words that stand together; ``group``: the alternative it belongs to; ``negated``: it must be absent."""
-
-    text: str
-    group: int = 0
-    prefix: bool = False
-    negated: bool = False
-
-
-_LEX = re.compile(r'\s+|"(?P<quoted>(?:[^"]|"")*)"(?P<qstar>\*?)|(?P<word>[A-Za-z0-9_\u0080-\U0010ffff]+)(?P<star>\*?)')
-
-
-class MatchError(ValueError):
-    """Not an expression of the full-text language."""
-
-
-def parse_match(text: str) -> list[Phrase]:
-    """Words and quoted phrases under AND (or nothing between them), OR and NOT, with a star for prefixes; anything else raises."""
-    items: list[tuple[str, bool] | str] = []
-    at = 0
-    while at < len(text):
-        m = _LEX.match(text, at)
-        if not m:
-            raise MatchError(text[at:])
-        at = m.end()
-        if m["word"] is not None:
-            items.append(m["word"] if m["word"] in ("AND", "OR", "NOT", "NEAR") and not m["star"] else (m["word"], bool(m["star"])))
-        elif m["quoted"] is not None:
-            items.append((m["quoted"].replace('""', '"'), bool(m["qstar"])))
-    out, group, negated, expect = [], 0, False, True
-    for x in items:
-        if isinstance(x, str):
-            if expect or x == "NEAR":
-                raise MatchError(x)
-            group, negated, expect = group + (x == "OR"), x == "NOT", True
-        else:
-            out.append(Phrase(x[0], group, x[1], negated))
-            negated, expect = False, False
-    if items and expect:
-        raise MatchError("ends with an operator")
-    return out
-
-
 def ladder(text: str) -> list[Phrase]:
     """The expression itself; if it is none, all of it as one phrase."""
     try:
@@ -105,7 +62,19 @@ def ladder(text: str) -> list[Phrase]:
 def fallback(text: str) -> list[Phrase]:
     """For texts with hyphens or underscores: their parts as alternatives."""
     parts = re.findall(r"[A-Za-z0-9]+", text) if re.search("[-_]", text) else []
-    return parse_match(" OR ".join(parts)) if len(parts) > 1 and not set(parts) & {"AND", "OR", "NOT", "NEAR"} else []
+    return parse_match(" OR ".join(parts)) if len(parts) > 1 and not set(parts) & {"AND", "OR", "NOT"} else []
+
+
+#: The order under which the search of commits is listed.
+COMMIT_SEARCH = -1
+
+
+def commit_search(plan: QueryPlan) -> list[tuple[int, list[Phrase]]]:
+    """The search of commits: the words as an expression; words that are none find no commits."""
+    try:
+        return [(COMMIT_SEARCH, parse_match(plan.fts_query, COMMIT_COLUMNS))]
+    except MatchError:
+        return []
 
 
 def searches(plan: QueryPlan) -> list[tuple[int, list[Phrase]]]:
@@ -113,3 +82,6 @@ def searches(plan: QueryPlan) -> list[tuple[int, list[Phrase]]]:
     texts = [plan.fts_query, *plan.symbol_terms]
     each = [(2 * k + rung, e) for k, t in enumerate(texts) if t.strip() for rung, e in enumerate((ladder(t), fallback(t))) if e]
     return each
+
+
+__all__ = ["COMMIT_SEARCH", "MatchError", "Phrase", "QueryPlan", "commit_search", "fallback", "ladder", "parse_match", "plan_query", "searches"]

@@ -224,7 +224,7 @@ _WORDS = values_sql("w", "query_id, phrase_ord, word", [(q, k, w) for q, ws in W
 
 @query(f"with {_POSTINGS} select term, count(*) as df, sum(tf) as cf from postings group by term")
 def fts_tokens_df(t: Tables) -> DataFrame:
-    return fulltext.index(t.documents, "doc_id", ("text",))[1].groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return fulltext.index(t.documents, "doc_id", ("text",)).groupBy("term").agg(F.count("*").alias("df"), F.sum(F.size("places")).alias("cf"))
 
 
 @query(f"""with {_POSTINGS}, {_STATS}, {_WORDS}, found as (select query_id, phrase_ord, doc_id, tf from postings join w on term = strip_accents(lower(word))),
@@ -315,8 +315,7 @@ answers as (select distinct s.query_id, s.doc_id from sides s join (select query
   group by s.query_id, s.grp, s.doc_id, need having count(*) filter (where not negated) = need and count(*) filter (where negated) = 0),
 good as (select * from sides where not negated), {_found("good", "semi join answers on answers.query_id = summed.query_id and answers.doc_id = summed.doc_id")} select query_id, doc_id, rank, round(score, 6) as score from hits where rank <= 30""")
 def match_expressions(t: Tables) -> DataFrame:
-    phrases = context.phrase_table(t.spark, [(q, 0, k, e.text, e.prefix, e.group, e.negated) for q, x in enumerate(EXPRESSIONS) for k, e in enumerate(ladder(x))])
-    wanted = phrases.select("query_id", "phrase_ord", "toks", "prefix", "group", "negated")
+    wanted = context.phrase_table(t.spark, [(q, 0, e) for q, x in enumerate(EXPRESSIONS) for e in ladder(x)])
     return fulltext.search_expressions(_scanned(t, wanted), wanted, 30).select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
@@ -347,9 +346,8 @@ select query_id, sha, round(coalesce(1.0 / fts_rank, 1.0), 9) as norm, row_numbe
 def commit_search(t: Tables) -> DataFrame:
     """Subject hits first, then full-text ones; a subject hit keeps its full-text norm, or has 1."""
     q, phrases = context.planned(t.spark, [(k, text, 0) for k, text in enumerate(COMMIT_QUESTIONS)])
-    wanted = phrases.select("query_id", "phrase_ord", "toks", "prefix", "group", "negated")
     commits = t.commits()
-    index = context.Index(None, None, None, None, None, commits, fulltext.scanned(commits, wanted, "sha", ("sha", "subject", "body")))
+    index = context.Index(None, None, None, None, None, commits, fulltext.scanned(commits, phrases, "sha", ("sha", "subject", "body")))
     return context.commit_hits(index, q, phrases).select("query_id", "sha", F.round("norm", 9).alias("norm"), "rank")
 
 

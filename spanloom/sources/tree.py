@@ -98,9 +98,12 @@ def list_tree(root: str | Path, workspace: str | Path | None = None) -> list[str
 
 def read_files(spark: SparkSession, root: str | Path, paths: list[str], prefix: str = "") -> DataFrame:
     """``read_paths`` of a list of paths."""
-    listed = spark.createDataFrame([(p,) for p in paths], "path string")
-    n = max(1, min(len(paths) // 200 + 1, spark.sparkContext.defaultParallelism))
-    return read_paths(listed.repartition(n), root, prefix)
+    return read_paths(dealt(spark.createDataFrame([(p,) for p in paths], "path string"), len(paths)), root, prefix)
+
+
+def dealt(paths: DataFrame, n: int) -> DataFrame:
+    """``n`` paths over as many tasks as they are worth."""
+    return paths.repartition(max(1, min(n // 200 + 1, paths.sparkSession.sparkContext.defaultParallelism)))
 
 
 def read_paths(paths: DataFrame, root: str | Path, prefix: str = "") -> DataFrame:

@@ -58,7 +58,7 @@ def test_plan():
     assert plan_query("how does trash soft-delete work?").fts_query == "does trash soft-delete work"
 
 
-@pytest.mark.parametrize("bad", ["soft-delete", "x:y", "where?", "f()", "it's", "C++", "a AND", "OR a", "NOT a", ".auth", "a NEAR b"])
+@pytest.mark.parametrize("bad", ["soft-delete", "x:y", "where?", "f()", "it's", "C++", "a AND", "OR a", "NOT a", ".auth", "NEAR(a b", "(a OR b) c", "{ } : a", "^(a)"])
 def test_match_errors(bad):
     with pytest.raises(MatchError):
         parse_match(bad)
