@@ -19,7 +19,7 @@ from .operators import fulltext, mutate
 from .operators.resolve import definition_keys, reference_keys, resolved
 from .segments import Segments, Table
 from .sources import tree
-from .storage import saved
+from .storage import saved, together
 
 #: Tables of files.
 FILE_TABLES = {
@@ -67,37 +67,39 @@ def with_files(store: Segments, source: DataFrame, gone: DataFrame, work: str) -
     intermediate tables.
     """
     parsed = saved(tree.extracted(source), f"{work}/parsed")
-    symbols = _symbols(parsed)
-    raw = parsed.select("path", F.explode("raw_edges").alias("e")).select("path", "e.*")
+    symbols, raw, lengths = together(
+        lambda: saved(_symbols(parsed), f"{work}/symbols"),
+        lambda: saved(parsed.select("path", F.explode("raw_edges").alias("e")).select("path", "e.*"), f"{work}/raw"),
+        lambda: saved(fulltext.lengths_of(source), f"{work}/lengths"),
+    )
     files = source.join(parsed.select("path", "parse_status"), "path")
-    n = parsed.agg(F.count("*").alias("files"), F.coalesce(F.sum(F.size("symbols")), F.lit(0)).alias("symbols"), F.count_if(F.col("parse_status") == "error").alias("errors")).first()
-    took, what = Counts(), None
-    n_gone = 0
+    what = reached = None
     if store.listed:
-        before = saved(store.read("symbols", gone), f"{work}/before")
+        before, n_gone = together(lambda: saved(store.read("symbols", gone), f"{work}/before"), gone.count)
         keys = saved(definition_keys(symbols).unionByName(definition_keys(before)).select("key").distinct(), f"{work}/keys")
         reached = store.read("refs", keys).select("path").distinct().join(gone, "path", "left_anti")
         reached = saved(reached.join(source.select("path"), "path", "left_anti"), f"{work}/reached")
-        raw_there = raw.unionByName(store.read("raw_edges", reached))
+        raw_there = saved(raw.unionByName(store.read("raw_edges", reached)), f"{work}/raw-there")
         asked = saved(reference_keys(raw_there).select("key").distinct(), f"{work}/asked")
         known = store.read("defs", asked).join(gone, "path", "left_anti").unionByName(definition_keys(symbols).join(asked, "key", "left_semi"))
         columns = ["symbol_id", "path", "ord", "name", "name_lc", "kind"]
         there = symbols.select(columns).unionByName(store.read("symbols", reached).select(columns)).unionByName(known.select(columns)).dropDuplicates(["symbol_id"])
-        edges = saved(resolved(raw_there, there), f"{work}/edges")
+        edges = saved(resolved(raw_there, saved(there, f"{work}/there")), f"{work}/edges")
         what = gone.select(F.col("path").alias("key"), F.lit("all").alias("what")).unionByName(reached.select(F.col("path").alias("key"), F.lit("edges").alias("what")))
-        lost = store.read("edges", what.select(F.col("key").alias("path"))).count()
-        old = store.read("lengths", gone).agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")).first()
-        took, n_gone = Counts(-old.n, -before.count(), -lost, -old.tokens), what.count()
+        n_gone += reached.count()
     else:
-        edges = saved(resolved(raw, symbols), f"{work}/edges")
-    lengths = saved(fulltext.lengths_of(source), f"{work}/lengths")
+        edges, n_gone = saved(resolved(raw, symbols), f"{work}/edges"), 0
     tables = {
         "files": files, "symbols": symbols, "raw_edges": raw, "edges": edges, "defs": definition_keys(symbols), "refs": reference_keys(raw).select("key", "path").distinct(),
         "lengths": lengths, "postings": fulltext.index(source),
     }
-    segment = store.write(tables, what, n.files, n_gone)
-    came = Counts(n.files, n.symbols, edges.count(), lengths.agg(F.coalesce(F.sum("dl"), F.lit(0))).first()[0], n.errors)
-    return store.with_segment(segment), came + took
+    tokens = lambda df: df.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+    n, errors, n_symbols, n_edges, (_, n_tokens) = together(parsed.count, parsed.where("parse_status = 'error'").count, symbols.count, edges.count, lambda: tokens(lengths))
+    change = Counts(n, n_symbols, n_edges, n_tokens, errors)
+    if store.listed and n_gone:
+        lost, (old, old_tokens), old_symbols = together(store.read("edges", what.select(F.col("key").alias("path"))).count, lambda: tokens(store.read("lengths", gone)), before.count)
+        change += Counts(-old, -old_symbols, -lost, -old_tokens)
+    return store.with_segment(store.write(tables, what, n, n_gone)), change
 
 
 def with_commits(store: Segments, got: DataFrame, work: str) -> tuple[Segments, int, int]:

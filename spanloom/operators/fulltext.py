@@ -112,20 +112,17 @@ def local(spark: SparkSession, ddl: str, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(pa.Table.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=arrow), schema)
 
 
-def _matching(ix: TextIndex, each: DataFrame) -> DataFrame:
-    """``each`` token (column term) with every term of the index that it, or what it begins, stands for."""
-    starts = each.where("begins").withColumnRenamed("term", "_p")
-    asked = sorted({r[0] for r in starts.select("_p").distinct().collect()})  # bounded: the phrases asked for
-    exact = each.where("not begins")
+def _matching(ix: TextIndex, each: DataFrame, asked: list[str]) -> DataFrame:
+    """``each`` token (column term) with every term of the index that it, or what it begins, stands for; ``asked``: all such beginnings."""
     if not asked:
-        return exact
+        return each
     listed = ix.terms if ix.terms is not None else ix.postings.select("term")
     span = F.lit(False)
     for p in asked:  # ranges of the dictionary's order
         span = span | ((F.col("term") >= p) & F.startswith("term", F.lit(p)))
     sizes = sorted({len(p) for p in asked})
     found = listed.where(span).distinct().withColumn("_size", F.explode(F.filter(F.lit(sizes).cast("array<int>"), lambda n: n <= F.length("term")))).withColumn("_p", F.expr("left(term, _size)"))
-    return exact.unionByName(starts.join(found, "_p").select(exact.columns))
+    return each.where("not begins").unionByName(each.where("begins").withColumnRenamed("term", "_p").join(found, "_p").select(each.columns))
 
 
 def phrases(ix: TextIndex, wanted: DataFrame) -> DataFrame:
@@ -137,19 +134,20 @@ def phrases(ix: TextIndex, wanted: DataFrame) -> DataFrame:
     for name, default in (("columns", "cast(null as array<int>)"), ("first", "false")):
         if name not in wanted.columns:
             wanted = wanted.withColumn(name, F.expr(default))
-    named = wanted.where("size(toks) > 0").select("query_id", "phrase_ord", "prefix", "columns", "first", F.size("toks").alias("n"), F.posexplode("toks").alias("k", "term"))
-    each = _matching(ix, named.withColumn("begins", F.col("prefix") & (F.col("k") == F.col("n") - 1)).drop("prefix"))
+    some = wanted.where("size(toks) > 0")
+    asked = sorted({r[0] for r in some.where("prefix").select(F.element_at("toks", -1)).collect()})  # bounded: the phrases asked for
+    named = some.select("query_id", "phrase_ord", "prefix", "columns", "first", F.size("toks").alias("n"), F.posexplode("toks").alias("k", "term"))
+    each = _matching(ix, named.withColumn("begins", F.col("prefix") & (F.col("k") == F.col("n") - 1)).drop("prefix"), asked)
     met = ix.postings.join(each, "term").select("query_id", "phrase_ord", "n", "columns", "first", key, "dl", "k", F.transform("places", lambda p: p - F.col("k")).alias("at"))
-    one = met.where("n = 1").groupBy("query_id", "phrase_ord", key).agg(F.flatten(F.collect_list("at")).alias("starts"), *(F.first(c).alias(c) for c in ("columns", "first", "dl")))
     # a token's places are those of all its terms; a phrase stands where all its tokens' lists agree
-    token = met.where("n > 1").groupBy("query_id", "phrase_ord", key, "k").agg(F.flatten(F.collect_list("at")).alias("at"), *(F.first(c).alias(c) for c in ("n", "columns", "first", "dl")))
-    whole = token.groupBy("query_id", "phrase_ord", key).agg(F.collect_list("at").alias("lists"), *(F.first(c).alias(c) for c in ("n", "columns", "first", "dl"))).where("size(lists) = n")
-    agreed = F.aggregate(F.slice("lists", F.lit(2), F.greatest(F.size("lists") - 1, F.lit(1))), F.col("lists")[0], F.array_intersect)
-    more = whole.withColumn("starts", agreed).select(one.columns)
+    whole = met.groupBy("query_id", "phrase_ord", key).agg(F.collect_list(F.struct("k", "at")).alias("parts"), *(F.first(c).alias(c) for c in ("n", "columns", "first", "dl")))
+    places = lambda k: F.flatten(F.transform(F.filter("parts", lambda p: p["k"] == k), lambda p: p["at"]))
+    agreed = F.aggregate(F.sequence(F.lit(1), F.col("n") - 1), places(F.lit(0)), lambda a, k: F.array_intersect(a, places(k)))
+    starts = F.when(F.col("n") == 1, F.flatten(F.transform("parts", lambda p: p["at"]))).otherwise(agreed)
     of = lambda s: (F.col("columns").isNull() | F.array_contains("columns", F.floor(s / STREAM).cast("int"))) & (~F.col("first") | (s % STREAM == 0))
     plain = F.col("columns").isNull() & ~F.col("first")
-    kept = one.unionByName(more).withColumn("starts", F.when(plain, F.col("starts")).otherwise(F.filter("starts", of)))
-    return kept.where("size(starts) > 0").select("query_id", "phrase_ord", key, "starts", F.size("starts").cast("long").alias("tf"), "dl")
+    placed = whole.where("n <= size(parts)").withColumn("starts", starts).withColumn("starts", F.when(plain, F.col("starts")).otherwise(F.filter("starts", of)))
+    return placed.where("size(starts) > 0").select("query_id", "phrase_ord", key, "starts", F.size("starts").cast("long").alias("tf"), "dl")
 
 
 def near(found: DataFrame, asked: DataFrame, key: str = "path") -> DataFrame:
@@ -166,15 +164,19 @@ def near(found: DataFrame, asked: DataFrame, key: str = "path") -> DataFrame:
     return rest.unionByName(clumps.withColumn("tf", F.size("starts").cast("long")).select(found.columns))
 
 
-def bm25_scores(ix: TextIndex, found: DataFrame, everywhere: DataFrame | None = None) -> DataFrame:
-    """(query_id, key, score, have): summed weights of the phrases found, and how many they are.
+def _idf(n: float) -> Column:
+    return F.greatest(F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
 
-    ``everywhere``: the phrases' documents that their frequencies are of, if not just ``found``.
-    """
+
+def _weight(tf: Column, dl: Column, avgdl: float) -> Column:
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.lit(avgdl)))
+
+
+def bm25_scores(ix: TextIndex, found: DataFrame) -> DataFrame:
+    """(query_id, key, score, have): summed weights of the phrases found, and how many they are."""
     n, avgdl = ix.size()
-    df = (found if everywhere is None else everywhere).groupBy("query_id", "phrase_ord").agg(F.count("*").alias("df"))
-    idf = F.greatest(F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl)))
+    df = found.groupBy("query_id", "phrase_ord").agg(F.count("*").alias("df"))
+    weight = _idf(n) * _weight(F.col("tf"), F.col("dl"), avgdl)
     return found.join(df, ["query_id", "phrase_ord"]).groupBy("query_id", ix.key).agg((-F.sum(weight)).alias("score"), F.count("*").alias("have"))
 
 
@@ -219,13 +221,15 @@ def search_expressions(ix: TextIndex, wanted: DataFrame, most: int) -> DataFrame
     once = asked.dropDuplicates(["query_id", "phrase_ord"])
     everywhere = phrases(ix, once)
     found = everywhere if wanted.where("distance is not null").isEmpty() else near(everywhere, once, key)
-    atoms = asked.groupBy("query_id", "group", "atom").agg(F.first("negated").alias("negated"), F.count("*").alias("size"))
-    sides = found.select("query_id", "phrase_ord", key).join(asked.select("query_id", "phrase_ord", "group", "atom"), ["query_id", "phrase_ord"])
-    held = sides.groupBy("query_id", "group", "atom", key).count().join(atoms, ["query_id", "group", "atom"]).where(F.col("count") == F.col("size"))
-    having = held.groupBy("query_id", "group", key).agg(F.count_if(~F.col("negated")).alias("have"), F.count_if("negated").alias("bad"))
-    need = atoms.groupBy("query_id", "group").agg(F.count_if(~F.col("negated")).alias("need"))
-    answers = having.join(need, ["query_id", "group"]).where("have = need and bad = 0 and need > 0").select("query_id", key).distinct()
-    positive = asked.where("not negated").select("query_id", "phrase_ord").distinct()
-    scored = lambda rows: rows.select("query_id", "phrase_ord", key, "tf", "dl").join(positive, ["query_id", "phrase_ord"], "left_semi")
-    scores = bm25_scores(ix, scored(found), scored(everywhere))
-    return best(scores.join(answers, ["query_id", key], "left_semi"), most, key)
+    # every alternative as the phrases that must be there and, for each atom that must not, one that is only there with it
+    atoms = asked.groupBy("query_id", "group", "atom").agg(F.first("negated").alias("negated"), F.array_sort(F.collect_list("phrase_ord")).alias("leaves"))
+    groups = atoms.groupBy("query_id", "group").agg(F.flatten(F.collect_list(F.when(~F.col("negated"), F.col("leaves")))).alias("need"), F.collect_list(F.when(F.col("negated"), F.col("leaves")[0])).alias("bad"))
+    per_query = groups.where("size(need) > 0").groupBy("query_id").agg(F.collect_list(F.struct("need", "bad")).alias("groups"), F.array_distinct(F.flatten(F.collect_list("need"))).alias("positive"))
+    n, avgdl = ix.size()
+    df = everywhere.groupBy("query_id", "phrase_ord").agg(F.count("*").alias("df"))
+    weighed = found.select("query_id", "phrase_ord", key, _weight(F.col("tf"), F.col("dl"), avgdl).alias("w")).join(df, ["query_id", "phrase_ord"])
+    hits = weighed.groupBy("query_id", key).agg(F.collect_list(F.struct("phrase_ord", (_idf(n) * F.col("w")).alias("w"))).alias("hits")).join(F.broadcast(per_query), "query_id")
+    have = F.transform("hits", lambda h: h["phrase_ord"])
+    answers = hits.where(F.exists("groups", lambda g: (F.size(F.array_except(g["need"], have)) == 0) & ~F.arrays_overlap(g["bad"], have)))
+    positive = F.filter(F.array_sort("hits"), lambda h: F.array_contains("positive", h["phrase_ord"]))
+    return best(answers.withColumn("score", -F.aggregate(positive, F.lit(0.0), lambda a, h: a + h["w"])), most, key)

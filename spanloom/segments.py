@@ -82,7 +82,7 @@ class Segments:
         if parts is None:
             return self.spark.createDataFrame([], schema)
         if keys is not None:
-            parts = parts.join(_small(keys.select(table.by).distinct(), picked is not None), table.by, "left_semi")
+            parts = parts.join(keys.select(table.by), table.by, "left_semi")
         gone = self._gone(table)
         if gone is not None:
             parts = parts.join(gone, (F.col(table.key) == F.col("_gone")) & (F.col("_segment") < F.col("_since")), "left_anti")
@@ -101,13 +101,11 @@ class Segments:
 
     def _buckets(self, table: Table, keys: DataFrame) -> dict[int, list[int]] | None:
         """For each number of buckets those that hold any of ``keys``, if these are few."""
-        named = [r[0] for r in keys.select(table.by).distinct().limit(FEW_KEYS + 1).collect()]
-        if len(named) > FEW_KEYS:
-            return None
         counts = sorted({s.buckets for s in self.listed})
-        few = self.spark.createDataFrame([(x,) for x in named], "k string")
-        rows = few.select(*(bucket_of("k", n).alias(str(n)) for n in counts)).collect() if named else []
-        return {n: sorted({r[str(n)] for r in rows}) for n in counts}
+        if counts in ([], [1]):
+            return {1: [0]}
+        hashes = [r[0] for r in keys.select(F.xxhash64(table.by)).distinct().limit(FEW_KEYS + 1).collect()]
+        return {n: sorted({h % n for h in hashes}) for n in counts} if len(hashes) <= FEW_KEYS else None
 
     def write(self, tables: dict[str, DataFrame], gone: DataFrame | None, size: int, n_gone: int) -> Segment:
         """A new segment of these tables; it is not listed yet."""
@@ -165,10 +163,6 @@ def bucket_of(key: str, n: int):
     return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
 
 
-def _small(keys: DataFrame, few: bool) -> DataFrame:
-    return F.broadcast(keys) if few else keys
-
-
 def listed(spark: SparkSession, folder: str | Path, tables: dict[str, Table], known: list[dict]) -> Segments:
     return Segments(spark, str(folder), tables, tuple(Segment(**s) for s in known))
 
