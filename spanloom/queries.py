@@ -158,11 +158,11 @@ def symbols_tagged_cap(t: Tables) -> DataFrame:
 
 # -- graph --------------------------------------------------------------------------------------
 
-_SEEDS = "seeds as (select n_nationkey as query_id, p_partkey as id, p_partkey as seed_ord from nation join part on p_brand = 'Brand#' || n_nationkey where p_size <= 2)"
+_SEEDS = "seeds as (select n_nationkey as query_id, p_partkey as id, p_partkey as seed_ord from nation join part on p_brand = 'Brand#' || n_nationkey)"
 
 
 def _seeds(t: Tables) -> DataFrame:
-    near = t.part.where("p_size <= 2").join(t.nation, F.concat(F.lit("Brand#"), "n_nationkey") == F.col("p_brand"))
+    near = t.part.join(t.nation, F.concat(F.lit("Brand#"), "n_nationkey") == F.col("p_brand"))
     return near.select(F.col("n_nationkey").alias("query_id"), F.col("p_partkey").alias("id"), F.col("p_partkey").alias("seed_ord"))
 
 
@@ -352,13 +352,13 @@ def commit_search(t: Tables) -> DataFrame:
 
 
 @query(f"""with {COMMITS}, files as (select l_orderkey as ord, 'Brand#' || (l_suppkey % 25 + 1) || '/' || l_linenumber as path from lineitem),
-code as (select distinct p_size % 4 as query_id, p_brand || '/' || p_size as path from part where p_size <= 7), hints(query_id, hint) as (values (1, 'Brand#7/'), (2, '4/2'), (2, '/7'))
+code as (select distinct p_size % 4 as query_id, p_brand || '/' || p_size as path from part), hints(query_id, hint) as (values (1, 'Brand#7/'), (2, '4/2'), (2, '/7'))
 select distinct h.query_id, sha from commits join files using (ord) join (select unnest(range(4)) as query_id) h on path in (select path from code where code.query_id = h.query_id) or exists (select 1 from hints where hints.query_id = h.query_id and contains(path, hint))""")
 def commit_path_flag(t: Tables) -> DataFrame:
     file = F.concat(F.lit("Brand#"), F.col("l_suppkey") % 25 + 1, F.lit("/"), "l_linenumber")
     files = t.lineitem.groupBy(F.col("l_orderkey").alias("ord")).agg(F.collect_set(file).alias("files"))
     commits = t.commits().join(files, "ord").select(F.explode(F.lit([0, 1, 2, 3])).alias("query_id"), "sha", "files")
-    code = t.part.where("p_size <= 7").select((F.col("p_size") % 4).alias("query_id"), F.concat("p_brand", F.lit("/"), "p_size").alias("file")).distinct()
+    code = t.part.select((F.col("p_size") % 4).alias("query_id"), F.concat("p_brand", F.lit("/"), "p_size").alias("file")).distinct()
     q = rows(t, "query_id int, path_hints array<string>", [(0, []), (1, ["Brand#7/"]), (2, ["4/2", "/7"]), (3, [])])
     return context.commits_on_path(commits, code, q)
 
@@ -459,7 +459,7 @@ def budget_prefix_sum(t: Tables) -> DataFrame:
 _FILLED = f"""with {FILES}, lined as (select *, case when content = '' then [] else string_split(regexp_replace(replace(content, chr(13) || chr(10), chr(10)), '\n$', ''), chr(10)) end as lines from files),
 code as (select doc_id % 7 as query_id, path, cast(doc_id % 4 as int) as start_line, cast(doc_id % 4 + doc_id % 6 as int) as end_line, (doc_id % 11) / 2.0 as score, doc_id % 3 = 0 as overflow,
   case when doc_id % 5 = 0 then null else array_to_string(lines[greatest(doc_id % 4, 1) : doc_id % 4 + doc_id % 6], chr(10)) end as text from lined),
-commits as (select o_orderkey % 7 as query_id, 'git://c' || o_orderkey as path, 1 as start_line, 1 as end_line, 1.25 as score, false as overflow, 'order ' || o_orderpriority as text from orders where o_orderkey < 40),
+commits as (select o_orderkey % 7 as query_id, 'git://c' || o_orderkey as path, 1 as start_line, 1 as end_line, 1.25 as score, false as overflow, 'order ' || o_orderpriority as text from orders),
 all_ as (select * from code union all select * from commits),
 costed as (select *, case when text is null then 'stale' when text = '' then 'empty' else 'item' end as state, case when coalesce(text, '') = '' then 0 else len(regexp_extract_all(text, '[^ \t\n\r\f\v]+')) + 2 end as cost from all_),
 open_ as (select *, sum(case when overflow then 0 else cost end) over (partition by query_id) as first, 60 * (query_id + 1) as budget from costed),
@@ -476,7 +476,7 @@ def _filled(t: Tables) -> DataFrame:
         (k % 7).cast("int").alias("query_id"), "path", (k % 4).cast("int").alias("start_line"), (k % 4 + k % 6).cast("int").alias("end_line"), ((k % 11) / 2.0).alias("score"), (k % 3 == 0).alias("overflow"), F.lit(None).cast("string").alias("prequoted"),
     )
     o = F.col("o_orderkey")
-    commits = t.orders.where("o_orderkey < 40").select((o % 7).cast("int").alias("query_id"), F.concat(F.lit("git://c"), o).alias("path"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), F.lit(1.25).alias("score"), F.lit(False).alias("overflow"), F.concat(F.lit("order "), "o_orderpriority").alias("prequoted"))
+    commits = t.orders.select((o % 7).cast("int").alias("query_id"), F.concat(F.lit("git://c"), o).alias("path"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), F.lit(1.25).alias("score"), F.lit(False).alias("overflow"), F.concat(F.lit("order "), "o_orderpriority").alias("prequoted"))
     now = files.withColumn("hash", F.when(k % 5 == 0, "changed").otherwise(F.col("hash")))
     index = context.Index(files.select("path", "hash"), lambda paths: now.join(paths, "path", "left_semi"), None, None, None, None, None)
     q = rows(t, "query_id int, budget int", [(n, 60 * (n + 1)) for n in range(7)])
@@ -512,7 +512,7 @@ def stem_match(t: Tables) -> DataFrame:
     return t.files().select("path", F.explode(tokens).alias("token")).where(T.stem_matches(F.col("path"), F.col("token"))).select("path", "token")
 
 
-@query(f"""with {EDGES}, {_DISTINCT}, {SYMBOLS}, items as (select distinct n_nationkey as query_id, path || ':' || name as item from symbols join nation on path = 'Brand#' || n_nationkey or path = 'Brand#' || (n_nationkey + 1) where start_line <= 10),
+@query(f"""with {EDGES}, {_DISTINCT}, {SYMBOLS}, items as (select distinct n_nationkey as query_id, path || ':' || name as item from symbols join nation on path = 'Brand#' || n_nationkey or path = 'Brand#' || (n_nationkey + 1)),
 named as (select a.path || ':' || a.name as "from", b.path || ':' || b.name as "to", e.kind, e.confidence, e.ord from e join symbols a on a.symbol_id = e.src join symbols b on b.symbol_id = e.dst)
 select i.query_id, "from", "to", kind, arg_min(confidence, ord) as confidence from named join items i on i.item = "from" join items j on j.item = "to" and j.query_id = i.query_id group by i.query_id, "from", "to", kind""")
 def package_edges(t: Tables) -> DataFrame:
@@ -521,7 +521,7 @@ def package_edges(t: Tables) -> DataFrame:
     s = t.symbols()
     item = F.concat("path", F.lit(":"), "name")
     numbered = t.nation.select(F.explode(F.array("n_nationkey", F.col("n_nationkey") + 1)).alias("_b"), F.col("n_nationkey").alias("query_id")).withColumn("path", F.concat(F.lit("Brand#"), "_b"))
-    items = s.where("start_line <= 10").join(numbered, "path").select("query_id", item.alias("item")).distinct()
+    items = s.join(numbered, "path").select("query_id", item.alias("item")).distinct()
     side = lambda i, c: s.select(F.col("symbol_id").alias(i), item.alias(c))
     named = _distinct_edges(t).join(side("src", "from"), "src").join(side("dst", "to"), "dst")
     return edges_among(items, named).select("query_id", "from", "to", "kind", "confidence")

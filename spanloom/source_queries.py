@@ -64,16 +64,18 @@ def extract_python_edges(t: Tables) -> DataFrame:
 
 def _script(t: Tables) -> DataFrame:
     n, pk, size = F.col("n"), F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
-    return _files(t, ("src/b", n, ".ts"), ("import { x", n, " } from './b", n, "'\nexport class B", n, " {\n"), ("  m", pk, "(a: string): void {\n    g", size, "(a)\n  }\n"), ("}\n",))
+    head = ("import { x", n, " } from './b", n, "'\nexport interface I", n, " { f(x: string): void }\nexport abstract class B", n, "<T extends { x: { y: number } }> extends Base<{ a: 1 }> {\n")
+    tail = ("  abstract w(a: string): void\n}\ndeclare function z(a: string): void\nfunction r", n, "(): { a: string } { return `${'}'}${deep", n, "({ b: 1 })}` }\n")
+    return _files(t, ("src/b", n, ".ts"), head, ("  m", pk, "(a: { v: string }): Map<string, { b: number }> {\n    g", size, "(a)\n  }\n"), tail)
 
 
-@query(_sql("'src/b' || n || '.ts'", ("b", "'<file>'", "module", "1", "3 * k + 3"), ("b", "'B' || n", "class", "2", "3 * k + 3"), ("p", "'m' || pk", "method", "3 * r", "3 * r + 2")))
+@query(_sql("'src/b' || n || '.ts'", ("b", "'<file>'", "module", "1", "3 * k + 7"), ("b", "'I' || n", "interface", "2", "2"), ("b", "'B' || n", "class", "3", "3 * k + 5"), ("p", "'m' || pk", "method", "3 * r + 1", "3 * r + 3"), ("b", "'r' || n", "function", "3 * k + 7", "3 * k + 7")))
 def extract_script(t: Tables) -> DataFrame:
     return _symbols(_script(t))
 
 
 @query(f"""with {_PARTS} select 'src/b' || n || '.ts' as path, '<file>' as src_name, unnest(['x' || n, './b' || n]) as dst_name, 'import' as kind, 'high' as confidence from b
-union all select 'src/b' || n || '.ts', 'm' || pk, 'g' || p_size, 'call', 'low' from p""")
+union all select 'src/b' || n || '.ts', 'r' || n, 'deep' || n, 'call', 'low' from b union all select 'src/b' || n || '.ts', 'm' || pk, 'g' || p_size, 'call', 'low' from p""")
 def extract_script_edges(t: Tables) -> DataFrame:
     return _raw_edges(_script(t))
 
@@ -109,10 +111,11 @@ def extract_json(t: Tables) -> DataFrame:
     return _symbols(_files(t, ("conf/b", n, ".json"), ('{"b', n, '": {\n'), (' "k', pk, '": {"deep": {"x": ', size, "}},\n"), (' "z": 0}, "list": [{"no": 1}]}\n',)))
 
 
-@query(_sql("'conf/b' || n || '.yaml'", ("b", "'b' || n", "heading", "1", "2 * k + 1"), ("p", "'b' || n || '.k' || pk", "heading", "2 * r", "2 * r + 1"), ("b", "'list'", "heading", "2 * k + 2", "2 * k + 3")))
+@query(_sql("'conf/b' || n || '.yaml'", ("b", "'b' || n", "heading", "1", "2 * k + 1"), ("p", "'b' || n || '.k' || pk", "heading", "2 * r", "2 * r + 1"), ("b", "'list'", "heading", "2 * k + 2", "2 * k + 3"), ("b", "'last'", "heading", "2 * k + 5", "2 * k + 5")))
 def extract_yaml(t: Tables) -> DataFrame:
+    """With an alias of nothing in the last document, so that the files are read by indentation."""
     n, pk, size = F.col("n"), F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
-    return _symbols(_files(t, ("conf/b", n, ".yaml"), ("b", n, ":\n"), ("  k", pk, ":\n    deep: ", size, "\n"), ("list:\n  - no: 1\n",)))
+    return _symbols(_files(t, ("conf/b", n, ".yaml"), ("b", n, ":\n"), ("  k", pk, ":\n    deep: ", size, "\n"), ("list:\n  - no: 1\n---\nlast: *nope\n",)))
 
 
 def _graphql(t: Tables) -> DataFrame:

@@ -159,13 +159,20 @@ def _mapping(node, above: str, levels: int, places: Places, out: Extraction, sou
 
 def _yaml_by_indent(source: str, places: Places, out: Extraction) -> Extraction:
     """Block mappings of two levels by indentation, for files that are no proper YAML or where no YAML library is."""
+    marks = [0, *(at for m in re.finditer(r"^(?:---|\.\.\.)(?=\s|$)", source, re.M) for at in (m.start(), m.end())), len(source)]
+    for begin, stop in zip(marks[::2], marks[1::2], strict=True):  # no key goes over a document's mark
+        _document_by_indent(source, begin, stop, places, out)
+    return out
+
+
+def _document_by_indent(source: str, begin: int, stop: int, places: Places, out: Extraction) -> None:
     found: list[tuple[int, str, int]] = []
-    for m in re.finditer(r"^([ ]*)(\"[^\"\n]+\"|'[^'\n]+'|[^\s#\-*{\[&!|>][^:\n#]*?)[ ]*:(?=\s|$)", source, re.M):
+    for m in re.compile(r"^([ ]*)(\"[^\"\n]+\"|'[^'\n]+'|[^\s#\-*{\[&!|>][^:\n#]*?)[ ]*:(?=\s|$)", re.M).finditer(source, begin, stop):
         if (name := m[2].strip("\"'")) != "<<":
             found.append((len(m[1]), name, m.start(2)))
     parent, child = "", None
     for k, (indent, name, start) in enumerate(found):
-        end = next((s for i, _, s in found[k + 1 :] if i <= indent), len(source))
+        end = next((s for i, _, s in found[k + 1 :] if i <= indent), stop)
         end = start + len(source[start:end].rstrip())
         if indent == 0:
             parent, child = name, None
@@ -173,4 +180,3 @@ def _yaml_by_indent(source: str, places: Places, out: Extraction) -> Extraction:
         elif parent and child in (None, indent):
             child = indent
             out.symbols.append(_key(places, f"{parent}.{name}", start, end))
-    return out

@@ -1,4 +1,4 @@
-"""JavaScript and TypeScript: a tolerant token scan with matched braces, in place of a grammar."""
+"""JavaScript and TypeScript: a tolerant token scan with matched braces, and on it a reading of heads, types, members and elements."""
 
 from __future__ import annotations
 
@@ -18,79 +18,217 @@ _KEYWORDS = frozenset("if for while switch catch return typeof await yield new f
 _BEFORE_REGEX = frozenset("( [ { } , ; : ? = ! & | + - * % < > ~ ^ => return typeof case in of delete void throw new else do".split())
 
 
+#: After these (or at the begin) "<" begins an element.
+_BEFORE_ELEMENT = frozenset("( [ { } , ; : ? = & | => return default".split())
+_ELEMENT = re.compile(r"<(?:>|[A-Za-z_$][\w$.:-]*(?=[\s/>])(?!\s*(?:,|extends\s|=[^\"'{])))")
+
+
 class Scan:
-    """Tokens of a source: (kind, text, start, end); ``mate`` maps an opening bracket's index to its closing one's."""
+    """Tokens of a source: (kind, text, start, end); ``mate`` maps an opening bracket's index to its closing one's.
 
-    def __init__(self, source: str, start: int = 0, end: int | None = None):
-        self.source, self.tokens = source, []
-        self._read(start, len(source) if end is None else end)
-        self.mate, stack = {}, []
-        for k, (_, t, *_rest) in enumerate(self.tokens):
+    ``jsx``: elements are read as such, so their text is no code.
+    """
+
+    def __init__(self, source: str, jsx: bool = False):
+        self.source, self.tokens, self.jsx = source, [], jsx
+        self._read(0)
+        self.mate, stack, open_ = {}, [], dict.fromkeys(_CLOSE.values(), 0)
+        for k, (kind, t, *_rest) in enumerate(self.tokens):
+            if kind != "op":
+                continue
             if t in _CLOSE:
                 stack.append((_CLOSE[t], k))
-            elif t in ")]}":
-                for depth in range(len(stack) - 1, max(-1, len(stack) - 40), -1):
-                    if stack[depth][0] == t:
-                        self.mate[stack[depth][1]] = k
-                        del stack[depth:]
+                open_[_CLOSE[t]] += 1
+            elif open_.get(t):
+                while True:  # what was opened inside and not closed has no mate
+                    closes, at = stack.pop()
+                    open_[closes] -= 1
+                    if closes == t:
+                        self.mate[at] = k
                         break
 
-    def _read(self, at: int, end: int) -> None:
-        source = self.source
-        while at < end:
-            m = _TOKEN.search(source, at, end)
+    def _read(self, at: int, inside: bool = False) -> int:
+        """Tokens from ``at`` on, to the end or, ``inside`` braces, to the one that closes them; where it ended."""
+        source, depth = self.source, 0
+        while at < len(source):
+            m = _TOKEN.search(source, at)
             if m is None:
-                return
+                return len(source)
+            if inside and m[0] == "}" and not depth:
+                return m.start()
             at = m.end()
+            before = self.tokens[-1][1] if self.tokens else ";"
             if m.lastgroup == "comment":
                 continue
             if m.lastgroup == "tick":
-                at = self._template(m.start(), end)
+                at = self._template(m.start())
                 continue
-            if m[0] == "/" and (not self.tokens or self.tokens[-1][1] in _BEFORE_REGEX):
-                r = re.compile(r"/(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*").match(source, m.start(), end)
+            if m[0] == "/" and before in _BEFORE_REGEX:
+                r = re.compile(r"/(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*").match(source, m.start())
                 if r:
                     self.tokens.append(("regex", r[0], r.start(), r.end()))
                     at = r.end()
                     continue
+            if m[0] == "<" and self.jsx and before in _BEFORE_ELEMENT and _ELEMENT.match(source, m.start()):
+                at = self._element(m.start())
+                continue
+            depth += (m[0] == "{") - (m[0] == "}")
             self.tokens.append((m.lastgroup, m[0], m.start(), m.end()))
+        return at
+
+    def _braces(self, at: int) -> int:
+        """Past braces at ``at`` whose content is code."""
+        self.tokens.append(("op", "{", at, at + 1))
+        at = self._read(at + 1, True)
+        if at < len(self.source):
+            self.tokens.append(("op", "}", at, at + 1))
+        return at + 1
 
-    def _template(self, at: int, end: int) -> int:
+    def _template(self, at: int) -> int:
         """Past a template literal; what stands in its ${...} is read as code."""
         start, at = at, at + 1
-        while at < end and self.source[at] != "`":
+        while at < len(self.source) and self.source[at] != "`":
             if self.source[at] == "\\":
                 at += 2
             elif self.source.startswith("${", at):
-                depth, k = 1, at + 2
-                while k < end and depth:
-                    c = self.source[k]
-                    depth += (c == "{") - (c == "}")
-                    k += 1
-                self._read(at + 2, k - 1)
-                at = k
+                at = self._read(at + 2, True) + 1
             else:
                 at += 1
-        self.tokens.append(("template", "`", start, min(at + 1, end)))
+        self.tokens.append(("template", "`", start, min(at + 1, len(self.source))))
         return at + 1
 
+    def _element(self, at: int) -> int:
+        """Past an element and its children; code stands in braces only, in attributes and between tags."""
+        source, depth = self.source, 0
+        self.tokens.append(("element", "<>", at, at + 1))
+        while at < len(source):
+            if source[at] == "{":
+                at = self._braces(at)
+            elif source[at] == "<":
+                closing = source.startswith("</", at)
+                at += 1 + closing
+                while at < len(source) and source[at] != ">":  # a tag
+                    if source[at] == "{":
+                        at = self._braces(at)
+                    elif source[at] in "\"'":
+                        at = (source.find(source[at], at + 1) + 1) or len(source)
+                    else:
+                        at += 1
+                depth += -1 if closing else 0 if source[at - 1] == "/" else 1
+                at += 1
+                if depth <= 0:
+                    break
+            else:
+                at = min((x for x in (source.find("<", at), source.find("{", at)) if x >= 0), default=len(source))
+        at = min(at, len(source))
+        self.tokens.append(("element", "</>", at - 1, at))
+        return at
+
     def text(self, k: int) -> str:
         return self.tokens[k][1] if 0 <= k < len(self.tokens) else ""
 
+    def breaks(self, k: int) -> bool:
+        """Whether a line ends before token ``k``."""
+        return k > 0 and k < len(self.tokens) and "\n" in self.source[self.tokens[k - 1][3] : self.tokens[k][2]]
+
     def kind(self, k: int) -> str:
         return self.tokens[k][0] if 0 <= k < len(self.tokens) else ""
 
 
-def _body_after(s: Scan, k: int) -> int | None:
-    """Index of the "{" that begins the body of a head at ``k``; None if a statement ends first."""
+def _after_angles(s: Scan, k: int) -> int:
+    """Past type parameters or arguments, if there are any at ``k``."""
+    if s.text(k) != "<":
+        return k
+    depth = 0
     while k < len(s.tokens):
-        t = s.text(k)
-        if t == "{":
+        depth += (s.text(k) == "<") - (s.text(k) == ">")
+        if not depth:
+            return k + 1
+        if s.text(k) == ";":
+            break
+        k = s.mate.get(k, k) + 1
+    return k
+
+
+_TYPE_PREFIX = frozenset("keyof typeof readonly unique infer asserts new abstract".split())
+
+
+def _after_type(s: Scan, k: int) -> int:
+    """Past a type."""
+    while True:
+        while s.text(k) in ("|", "&") or s.text(k) in _TYPE_PREFIX and (s.kind(k + 1) == "name" or s.text(k + 1) in ("(", "<", "{", "[")):
+            k += 1
+        k = _after_angles(s, k)
+        if s.text(k) == "(" and k in s.mate:
+            k = s.mate[k] + 1
+        elif s.text(k) in ("{", "[") and k in s.mate:
+            k = s.mate[k] + 1
+        elif s.kind(k) in ("name", "string", "number", "template"):
+            k += 1
+            while s.text(k) == "." and s.kind(k + 1) == "name":
+                k += 2
+            if s.text(k - 1) == "import" and s.text(k) == "(":
+                k = s.mate.get(k, k) + 1
+            k = _after_angles(s, k)
+        elif s.text(k) == "-":
+            k += 2
+        else:
+            return k
+        while s.text(k) == "[" and k in s.mate and not s.breaks(k):
+            k = s.mate[k] + 1
+        if s.text(k) == "is" and not s.breaks(k) or s.kind(k) == "arrow" or s.text(k) in ("|", "&"):
+            k += 1
+        elif s.text(k) == "extends" and not s.breaks(k):
+            k = _after_type(s, k + 1)
+            if s.text(k) != "?":
+                return k
+            k = _after_type(s, k + 1)
+            if s.text(k) != ":":
+                return k
+            k += 1
+        else:
             return k
-        if t in (";", "}"):
-            return None
-        k = s.mate.get(k, k) + 1 if t in ("(", "[") else k + 1
-    return None
+
+
+def _signature(s: Scan, k: int) -> int | None:
+    """Past type parameters, parameters and result type that begin at ``k``; None if there are no parameters."""
+    k = _after_angles(s, k)
+    if s.text(k) != "(" or k not in s.mate:
+        return None
+    k = s.mate[k] + 1
+    return _after_type(s, k + 1) if s.text(k) == ":" else k
+
+
+def _function_body(s: Scan, k: int) -> int | None:
+    """Index of the "{" of a function whose signature begins at ``k``; None if it has no body."""
+    k = _signature(s, k)
+    return k if k is not None and s.text(k) == "{" else None
+
+
+def _class_body(s: Scan, k: int) -> int | None:
+    """Index of the "{" of a class or interface, behind type parameters and what it extends."""
+    k = _after_angles(s, k)
+    while s.text(k) in ("extends", "implements"):
+        k += 1
+        while True:
+            if s.text(k) == "{" and s.text(k - 1) in ("extends", "implements", ",") and k in s.mate:
+                k = s.mate[k] + 1
+            while s.kind(k) == "name" and s.text(k) not in ("extends", "implements") or s.text(k) in (".", "?.") or s.text(k) in ("(", "[") and k in s.mate:
+                k = s.mate.get(k, k) + 1
+            k = _after_angles(s, k)
+            if s.text(k) in ("(", ".", "["):
+                continue
+            if s.text(k) != ",":
+                break
+            k += 1
+    return k if s.text(k) == "{" else None
+
+
+def _result_type(s: Scan, k: int) -> int | None:
+    """Index of the arrow behind an arrow function's result type, which may itself be a function type in parentheses."""
+    while k < len(s.tokens) and s.kind(k) != "arrow" and s.text(k) not in (";", "=", ")", "}"):
+        k = _after_angles(s, k) if s.text(k) == "<" else s.mate.get(k, k) + 1
+    return k if s.kind(k) == "arrow" else None
 
 
 def _function_value(s: Scan, k: int) -> int | None:
@@ -98,20 +236,14 @@ def _function_value(s: Scan, k: int) -> int | None:
     if s.text(k) == "async":
         k += 1
     if s.text(k) == "function":
-        body = _body_after(s, k + 1)
+        k += 1 + (s.text(k + 1) == "*")
+        body = _function_body(s, k + (s.kind(k) == "name"))
         return s.mate.get(body, len(s.tokens) - 1) if body is not None else None
-    if s.text(k) == "<":  # type parameters
-        depth = 0
-        while k < len(s.tokens):
-            depth += (s.text(k) == "<") - (s.text(k) == ">")
-            k += 1
-            if not depth:
-                break
+    k = _after_angles(s, k)
     if s.text(k) == "(" and k in s.mate:
         k = s.mate[k] + 1
-        if s.text(k) == ":":  # a result type
-            while k < len(s.tokens) and s.kind(k) != "arrow" and s.text(k) not in (";", "="):
-                k = s.mate.get(k, k) + 1
+        if s.text(k) == ":" and (end := _result_type(s, k + 1)) is not None:
+            k = end
     elif s.kind(k) == "name":
         k += 1
     if s.kind(k) != "arrow":
@@ -130,7 +262,7 @@ def _function_value(s: Scan, k: int) -> int | None:
 
 def extract(source: str, typed: bool, jsx: bool) -> Extraction:
     """``typed``: interfaces and type aliases too; ``jsx``: capitalised functions are components."""
-    s, places = Scan(source), Places(source)
+    s, places = Scan(source, jsx), Places(source)
     out = Extraction("graph", [places.module()])
     owners: list[tuple[int, int, str]] = []  # (first token, last token, name)
 
@@ -141,45 +273,47 @@ def extract(source: str, typed: bool, jsx: bool) -> Extraction:
         owners.append((first, last, name))
 
     class_bodies: dict[int, int] = {}
+    types: list[tuple[int, int]] = []  # tokens that are types, where nothing is called
     for k, (kind, t, start, _) in enumerate(s.tokens):
         before = s.text(k - 1)
         if kind != "name" or before in (".", "?."):
             continue
         if t == "function":
             n = k + 1 + (s.text(k + 1) == "*")
-            body = _body_after(s, n)
-            if s.kind(n) == "name" and body is not None:
+            named = s.kind(n) == "name"
+            body = _function_body(s, n + named)
+            if named and body is not None:
                 first = k - 1 if before == "async" else k
                 add(s.text(n), "function", first, s.mate.get(body, len(s.tokens) - 1))
-        elif t == "class" and s.kind(k + 1) == "name" and s.text(k + 1) != "extends":
-            body = _body_after(s, k + 2)
-            if body is not None:
-                end = s.mate.get(body, len(s.tokens) - 1)
-                class_bodies[body] = end
-                add(s.text(k + 1), "class", k - 1 if before == "abstract" else k, end)
-        elif t == "class" and s.text(k + 1) in ("{", "extends"):
-            body = _body_after(s, k + 1)
+            _annotations(s, n + named, types)
+        elif t == "class" and s.text(k + 1) != ":":
+            named = s.kind(k + 1) == "name" and s.text(k + 1) not in ("extends", "implements")
+            body = _class_body(s, k + 1 + named)
             if body is not None:
                 class_bodies[body] = s.mate.get(body, len(s.tokens) - 1)
-        elif typed and t == "interface" and s.kind(k + 1) == "name":
-            body = _body_after(s, k + 2)
+                if named:
+                    add(s.text(k + 1), "class", k - 1 if before == "abstract" else k, class_bodies[body])
+        elif typed and t == "interface" and s.kind(k + 1) == "name" and not s.breaks(k + 1):
+            body = _class_body(s, k + 2)
             if body is not None:
-                add(s.text(k + 1), "interface", k, s.mate.get(body, len(s.tokens) - 1))
-        elif typed and t == "type" and s.kind(k + 1) == "name" and s.text(k + 2) in ("=", "<") and before not in ("import", "{", ","):
-            last = k + 2
-            while last + 1 < len(s.tokens) and s.text(last + 1) != ";" and not (s.text(last) not in "=|&<,:?" and places.line(s.tokens[last + 1][2]) > places.line(s.tokens[last][3] - 1) and s.text(last + 1) not in "|&:?"):
-                last = s.mate.get(last + 1, last + 1)
+                end = s.mate.get(body, len(s.tokens) - 1)
+                add(s.text(k + 1), "interface", k, end)
+                types.append((body, end))
+        elif typed and t == "type" and s.kind(k + 1) == "name" and s.text(n := _after_angles(s, k + 2)) == "=" and before not in ("import", "{", ","):
+            last = _after_type(s, n + 1) - 1
+            types.append((k + 2, last))
             add(s.text(k + 1), "type", k, min(last + (s.text(last + 1) == ";"), len(s.tokens) - 1))
         elif t in ("const", "let", "var"):
             _declarators(s, k, add)
         elif t == "import" and s.text(k + 1) not in ("(", "."):
             _imports(s, k, out)
     for body, end in class_bodies.items():
-        _methods(s, body, end, add)
-    _object_methods(s, class_bodies, add)
+        _methods(s, body, end, add, types)
+    _object_methods(s, class_bodies, add, types)
     owners.sort(key=lambda o: o[1] - o[0])
+    typed_at = {k for a, b in types for k in range(a, b + 1)}
     for k, (kind, t, *_rest) in enumerate(s.tokens):
-        if kind != "name" or t in _KEYWORDS or s.text(k - 1) in ("function", "class", "*"):
+        if kind != "name" or t in _KEYWORDS or k in typed_at or s.text(k - 1) in ("function", "class") or s.text(k - 1) == "*" and s.text(k - 2) in ("function", "{", "}", ";", ",", "async", "static"):
             continue
         n = k + 1 + (s.text(k + 1) == "?.")
         if s.text(n) != "(" or t == "async" and s.kind(s.mate.get(n, n) + 1) == "arrow" or t == "async" and s.text(s.mate.get(n, n) + 1) == ":" or any(s.tokens[f][2] <= s.tokens[k][2] and name == t and _is_head(s, f, k) for f, _, name in owners):
@@ -195,16 +329,39 @@ def _is_head(s: Scan, first: int, k: int) -> bool:
     return all(s.kind(j) == "name" or s.text(j) in ("*",) for j in range(first, k)) and k - first <= 5
 
 
+def _annotations(s: Scan, k: int, types: list[tuple[int, int]]) -> None:
+    """Notes what of a signature at ``k`` is a type: type parameters, what stands behind ":" in parameters, the result."""
+    start, k = k, _after_angles(s, k)
+    if k > start:
+        types.append((start, k - 1))
+    if s.text(k) != "(" or k not in s.mate:
+        return
+    end, k = s.mate[k], k + 1
+    while k < end:
+        if s.text(k) == ":":
+            after = _after_type(s, k + 1)
+            types.append((k, min(after, end) - 1))
+            k = max(after, k + 1)
+        elif s.text(k) == "=":  # a default value goes to the next comma
+            while k < end and s.text(k) != ",":
+                k = s.mate.get(k, k) + 1
+        else:
+            k = s.mate.get(k, k) + 1
+    if s.text(end + 1) == ":" and (after := _after_type(s, end + 2)) > end + 2:
+        types.append((end + 1, after - 1))
+
+
 def _declarators(s: Scan, k: int, add) -> None:
     k += 1
     while s.kind(k) == "name":
         first, at = k, k + 1
-        if s.text(at) == ":":  # a type
-            while at < len(s.tokens) and s.text(at) not in ("=", ";", ","):
-                at = s.mate.get(at, at) + 1
+        if s.text(at) == "!":
+            at += 1
+        if s.text(at) == ":":
+            at = _after_type(s, at + 1)
         if s.text(at) == "=" and (last := _function_value(s, at + 1)) is not None:
             add(s.text(first), "function", first, last)
-            at = last
+            at = last + 1
         while at < len(s.tokens) and s.text(at) not in (",", ";", "}", ")") and not (s.kind(at) == "name" and s.text(at) in ("const", "let", "var", "function", "class", "export", "import")):
             at = s.mate.get(at, at) + 1
         if s.text(at) != ",":
@@ -212,39 +369,44 @@ def _declarators(s: Scan, k: int, add) -> None:
         k = at + 1
 
 
-def _methods(s: Scan, body: int, end: int, add) -> None:
+_MODIFIERS = frozenset("async static get set public private protected readonly override abstract declare accessor *".split())
+
+
+def _methods(s: Scan, body: int, end: int, add, types: list[tuple[int, int]]) -> None:
+    """Methods of a class; heads without a body are signatures, and what they say is types."""
     k = body + 1
     while k < end:
-        if s.kind(k) == "name" and s.text(k + 1) in ("(", "<") and s.text(k - 1) not in (".", "=", "new"):
-            at = k + 1
-            while s.text(at) != "(" and at < end:
-                at += 1
-            close = s.mate.get(at)
-            opening = close + 1 if close is not None else None
-            if opening is not None and s.text(opening) == ":":
-                while opening < end and s.text(opening) not in ("{", ";", "="):
-                    opening = s.mate.get(opening, opening) + 1 if s.text(opening) in ("(", "[") else opening + 1
-            if opening is not None and s.text(opening) == "{":
-                first = k
-                while s.text(first - 1) in ("async", "static", "get", "set", "public", "private", "protected", "readonly", "override", "*"):
-                    first -= 1
-                last = s.mate.get(opening, end)
+        n = k + 1 + (s.text(k + 1) in ("?", "!"))
+        if s.kind(k) == "name" and s.text(n) in ("(", "<") and s.text(k - 1) not in (".", "?.", "=", "new", "@"):
+            after, first = _signature(s, n), k
+            while s.text(first - 1) in _MODIFIERS and first - 1 > body:
+                first -= 1
+            begins = s.text(first - 1) in ("{", "}", ";", ")") or s.breaks(first)
+            if after is not None and s.text(after) == "{" and (begins or first < k):
+                last = s.mate.get(after, end)
+                while s.text(first) in ("abstract", "declare"):
+                    first += 1
                 add(s.text(k), "method", first, last)
+                _annotations(s, n, types)
                 k = last
+            elif after is not None and begins and s.kind(after) != "arrow" and (s.text(after) in (";", "}") or s.breaks(after)):
+                types.append((k, after - 1))
+                k = after - 1
         k = s.mate.get(k, k) + 1
 
 
-def _object_methods(s: Scan, class_bodies: dict[int, int], add) -> None:
+def _object_methods(s: Scan, class_bodies: dict[int, int], add, types: list[tuple[int, int]]) -> None:
     """Shorthand methods of object literals: a name, parameters and a body right after "{" or ","."""
     for k in range(len(s.tokens)):
-        if s.kind(k) != "name" or s.text(k) in _KEYWORDS or s.text(k + 1) != "(" or (k + 1) not in s.mate:
+        if s.kind(k) != "name" or s.text(k) in _KEYWORDS or s.text(k + 1) not in ("(", "<") or s.text(k - 1) not in ("{", ",", "async", "get", "set", "*"):
             continue
         first = k - (s.text(k - 1) in ("async", "get", "set", "*"))
         if s.text(first - 1) not in ("{", ",") or (first - 1) in class_bodies or s.text(first - 2) not in ("=", "(", ":", "return", ",", "[", "?", "}", "=>", ""):
             continue
-        body = s.mate[k + 1] + 1
-        if s.text(body) == "{" and body in s.mate:
+        body = _function_body(s, k + 1)
+        if body is not None and body in s.mate:
             add(s.text(k), "method", first, s.mate[body])
+            _annotations(s, k + 1, types)
 
 
 def _imports(s: Scan, k: int, out: Extraction) -> None:

@@ -60,6 +60,60 @@ def test_script_broken():
     assert kinds(extract("a.ts", "")) == {("<file>", "module")}
 
 
+def spans(x, src):
+    return {(s.name, s.kind): src.encode()[s.start_byte : s.end_byte].decode() for s in x.symbols[1:]}
+
+
+def calls(x):
+    return {(e.src_name, e.dst_name) for e in x.edges if e.kind == "call"}
+
+
+@pytest.mark.parametrize("src, named, called", [
+    # braces in types are no bodies
+    ("function ret(): {a: string} { deep() }\nafter()", {("ret", "function"): "function ret(): {a: string} { deep() }"}, {("ret", "deep"), ("<file>", "after")}),
+    ("function page<T extends {x: number}>(p: T, q: { h(y: number): void }) { inner(q.h(1)) }", {("page", "function"): ...}, {("page", "inner"), ("page", "h")}),
+    ("class C<T extends {a: 1}> extends mixin(Base, {b: 1})<{c: 2}> implements I<{d: 3}>, J {\n m(): {b: number} { return mk() }\n get v(): Map<string, {a: 1}> { return mk2() }\n}", {("C", "class"): ..., ("m", "method"): "m(): {b: number} { return mk() }", ("v", "method"): "get v(): Map<string, {a: 1}> { return mk2() }"}, {("C", "mixin"), ("m", "mk"), ("v", "mk2")}),
+    ("const f = (a: {x: 1}): Promise<{y: (z: number) => void}> => { go() }\nconst g = <T,>(a: T): a is T => other(a), h = function* <U>(u: U): Iterable<{u: U}> { yield x() }", {("f", "function"): ..., ("g", "function"): "g = <T,>(a: T): a is T => other(a)", ("h", "function"): ...}, {("f", "go"), ("g", "other"), ("h", "x")}),
+    # heads without bodies are no symbols and no calls
+    ("interface A extends B<{k: 1}> { f(x: string): void; g<T>(y: T): {z: 1}; new (q: number): A; (c: string): void }\nrun()", {("A", "interface"): ...}, {("<file>", "run")}),
+    ("type G = { h(y: number): void } | typeof import('./m').k;\ntype H<T> = T extends (infer U)[] ? { p(u: U): U } : never\nrun()", {("G", "type"): ..., ("H", "type"): ...}, {("<file>", "run")}),
+    ("abstract class Q {\n abstract w(a: string): void\n over(a: string): void;\n over(a: any) { w2(a) }\n static { boot() }\n x = calc(1);\n protected abstract get y(): number;\n}", {("Q", "class"): ..., ("over", "method"): "over(a: any) { w2(a) }"}, {("over", "w2"), ("Q", "boot"), ("Q", "calc")}),
+    ("declare function z(a: string): void\nnext(1)\nexport declare function y<T>(a: T): {t: T};\nfunction over(a: 1): void\nfunction over(a: any): void { b(a) }", {("over", "function"): "function over(a: any): void { b(a) }"}, {("<file>", "next"), ("over", "b")}),
+    ("class D { @dec() m(a = dflt({k: 1})) { return `}${`{${deep('}')}`}` + y() } }", {("D", "class"): ..., ("m", "method"): ...}, {("D", "dec"), ("m", "dflt"), ("m", "deep"), ("m", "y")}),
+    ("const o = { a() { one() }, async b<T>(x: T): Promise<{t: T}> { two() }, c: (d: number) => three(d), ...four() }", {("a", "method"): ..., ("b", "method"): ...}, {("a", "one"), ("b", "two"), ("<file>", "three"), ("<file>", "four")}),
+    ("function a() { return " + "(" * 60 + "{ k: [ f() ] }" + ")" * 60 + " }\nfunction b() { g() }", {("a", "function"): ..., ("b", "function"): "function b() { g() }"}, {("a", "f"), ("b", "g")}),
+])
+def test_script_shapes(src, named, called):
+    x = extract("a.ts", src)
+    got = spans(x, src)
+    assert got.keys() == named.keys() and all(named[k] in (..., v) for k, v in got.items())
+    assert {(a if a != "o" else "<file>", b) for a, b in calls(x)} == called
+
+
+def test_elements():
+    """Text between tags is no code, what stands in braces is."""
+    src = """export function Page<T extends {x: number}>(p: T) {
+  const q = p.x < limit(1) && p.x > 2
+  return (<div className="a{b" onClick={() => click('}')} {...rest()}>
+    it's {x(1)} and "quoted {y(2)}, don't <b>f(3)</b> {/* it's */ ok ? <i>{z(4)}</i> : <Sub.Item a='>' />}
+  </div>)
+}
+const Two = <T,>(a: T) => <>{two(a)} isn't</>
+function last() { return done() }
+"""
+    x = extract("a.tsx", src)
+    assert calls(x) == {("Page", n) for n in ("limit", "click", "rest", "x", "y", "z")} | {("Two", "two"), ("last", "done")}
+    got = spans(x, src)
+    assert got.keys() == {("Page", "component"), ("Two", "component"), ("last", "function")} and got["Two", "component"] == "Two = <T,>(a: T) => <>{two(a)} isn't</>"
+
+
+def test_yaml_documents():
+    """A document that is no proper YAML is read by indentation, and no key goes over a document's mark."""
+    src = "a: 1\nb: *nope\n---\nc: 2\nd:\n  e: 3\n...\nf: 4\n"
+    x = extract("a.yaml", src)
+    assert [(s.name, s.start_line, s.end_line) for s in x.symbols] == [("a", 1, 1), ("b", 2, 2), ("c", 4, 4), ("d", 5, 6), ("d.e", 6, 6), ("f", 8, 8)]
+
+
 def test_markdown():
     src = "# ADR-003 Queue ##\ntext\n## Context\nx\n## Decision\nuse it\n### more\n## After\nSupersedes ADR-1, see [old](../adr/002-old.md \"t\") and [web](http://x/y)\n"
     x = extract("docs/adr/003.md", src)
