@@ -319,6 +319,27 @@ def match_expressions(t: Tables) -> DataFrame:
     return fulltext.search_expressions(_scanned(t, wanted), wanted, 30).select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
+#: Expressions with nearness, columns and first words; what they mean is in the SQL.
+PLACED = ["NEAR(erin anat, 3)", "content: tion NOT path: src1", "path: src1 erst", "^src2", "{path content} : (anat + erin) OR path: zz9"]
+
+
+@query(f"""with {FILES}, cut as (select path, {_DUCK_TOKENS.format("path")} as p, {_DUCK_TOKENS.format("content")} as c from files),
+flat as (select path as doc_id, 0 as side, unnest(p) as term, unnest(range(1, len(p) + 1)) as pos from cut union all select path, 1, unnest(c), unnest(range(1, len(c) + 1)) from cut),
+d as (select path as doc_id, len(p) + len(c) as dl from cut), {_STATS},
+occ as (select 0 as query_id, 0 as phrase_ord, * from flat where term = 'erin' union all select 0, 1, * from flat where term = 'anat' union all select 1, 0, * from flat where term = 'tion' and side = 1
+  union all select 2, 0, * from flat where term = 'src1' and side = 0 union all select 2, 1, * from flat where term = 'erst' union all select 3, 0, * from flat where term = 'src2' and pos = 1
+  union all select 4, 0, a.* from flat a join flat b on a.doc_id = b.doc_id and a.side = b.side and b.pos = a.pos + 1 where a.term = 'anat' and b.term = 'erin'),
+dfs as (select query_id, phrase_ord, count(distinct doc_id) as df from occ group by all),
+kept as (select * from occ where query_id <> 0 union all select a.* from occ a where query_id = 0 and exists (select 1 from occ b where b.query_id = 0 and b.phrase_ord <> a.phrase_ord and b.doc_id = a.doc_id and b.side = a.side and abs(a.pos - b.pos) <= 4)),
+found as (select query_id, phrase_ord, doc_id, count(*) as tf from kept group by all),
+summed as (select f.query_id, f.doc_id, -sum({_WEIGHT}) as score, count(*) as have from found f join dfs using (query_id, phrase_ord) join d using (doc_id), stats group by f.query_id, f.doc_id),
+hits as (select *, row_number() over (partition by query_id order by round(score, 9), doc_id) as rank from summed where (query_id not in (0, 2) or have = 2) and not (query_id = 1 and doc_id in (select doc_id from flat where term = 'src1' and side = 0)))
+select query_id, doc_id as path, rank, round(score, 6) as score from hits where rank <= 30""")
+def match_places(t: Tables) -> DataFrame:
+    wanted = context.phrase_table(t.spark, [(q, 0, e) for q, x in enumerate(PLACED) for e in ladder(x)])
+    return fulltext.search_expressions(fulltext.scanned(t.files(), wanted), wanted, 30).select("query_id", "path", "rank", F.round("score", 6).alias("score"))
+
+
 # -- commits ------------------------------------------------------------------------------------
 
 _SUBJECTS = values_sql("w", "query_id, word", [(1, "urgent"), (1, "1999"), (2, "of 77"), (3, "SPECIFIED")])
@@ -331,8 +352,9 @@ def commit_subject_contains(t: Tables) -> DataFrame:
 
 
 #: Questions about commits; beside them, in ``_ASKED``, the subjects and in ``_SAID`` the words they ask for.
-COMMIT_QUESTIONS = ["why URGENT change", '"of 77" status', "HIGH nosuchword", "status of change"]
-_ASKED = values_sql("a", "query_id, word", [(0, "urgent"), (1, "of 77"), (2, "high")])
+#: The words of the last are no expression, so they find nothing by text.
+COMMIT_QUESTIONS = ["why URGENT change", '"of 77" status', "HIGH nosuchword", "status of change", "LOW soft-delete change"]
+_ASKED = values_sql("a", "query_id, word", [(0, "urgent"), (1, "of 77"), (2, "high"), (4, "low")])
 _SAID = values_sql("w", "query_id, phrase_ord, word", [(0, 0, "why"), (0, 1, "change"), (1, 0, "status"), (2, 0, "nosuchword"), (3, 0, "status"), (3, 1, "change")])
 
 
