@@ -165,6 +165,37 @@ def index_tree(spark: SparkSession, root: str | Path, force: bool = False, below
     )
 
 
+def apply_changes(spark: SparkSession, root: str | Path, changes: DataFrame, stream: tuple[str, int] | None = None) -> bool:
+    """Bring the index of ``root`` up to date with ``changes`` (path, content, deleted, at), one row a path, instead of a tree on disk.
+
+    Skip rules hold as for files; an unchanged content changes nothing.
+    ``stream``: name and number of a batch; one that has been applied is not
+    applied again, and the pointer that says so moves with the tables.
+    """
+    root = Path(root).resolve()
+    known = meta(root)
+    if stream is not None and known.get("streams", {}).get(stream[0], -1) >= stream[1]:
+        return False
+    home, store = _home(root), _files(spark, root, known)
+    work = home / f"build-{uuid.uuid4().hex}"
+    text = F.coalesce("content", F.lit(""))
+    read = changes.select("path", text.alias("content"), F.coalesce("deleted", F.lit(False)).alias("deleted"), F.octet_length(text).cast("long").alias("size"), F.coalesce(F.unix_timestamp("at"), F.lit(0)).alias("mtime"), T.content_hash(text).alias("hash"))
+    judged = tree.with_skip_kind(read.withColumns({"readable": F.lit(True), "binary": F.contains("content", F.lit("\0"))}))
+    last = saved(judged.withColumn("keep", (F.col("skip_kind") == "keep") & ~F.col("deleted")).drop("readable", "binary", "skip_kind", "deleted"), str(work / "last"))
+    old = store.read("files", last.select("path")).select("path", F.col("hash").alias("old"))
+    both = saved(last.join(old, "path", "left").where(~(F.col("keep") & F.col("hash").eqNullSafe(F.col("old"))) & (F.col("keep") | F.col("old").isNotNull())), str(work / "both"))
+    source, gone = both.where("keep").select("path", "content", "language", "hash", "size", "mtime"), both.where("old is not null").select("path")
+    content = known | {"streams": known.get("streams", {}) | ({stream[0]: stream[1]} if stream else {}), "indexed_at": datetime.now(timezone.utc).isoformat(), "root": str(root), "built": known.get("built") or uuid.uuid4().hex}
+    if not both.isEmpty():
+        store, change = build.with_files(store, source, gone, str(work))
+        now = Counts(known["file_count"], known["symbol_count"], known["edge_count"], known.get("token_count", 0)) + change
+        content |= {"segments": store.as_json(), "retired": list(store.retired), "built": uuid.uuid4().hex, "file_count": now.files, "symbol_count": now.symbols, "edge_count": now.edges, "token_count": now.tokens}
+        segments.drop(home, known.get("retired", []))
+    _point(home, content)
+    segments.drop(home, [work.name])
+    return True
+
+
 def _with_history(spark: SparkSession, root: Path, known: dict, source, prefix: str, force: bool, work: Path) -> dict:
     """The commits' part of the pointer: from where the last build stopped, unless that is no ancestor any more."""
     status, text, head, _ = _history(source, known, prefix, force)
@@ -334,7 +365,7 @@ def search_code(spark: SparkSession, root: str | Path, query: str, limit: int =
 
 
 def status(root: str | Path) -> dict:
-    return {k: v for k, v in meta(root).items() if k not in ("snapshot", "segments", "commit_segments", "retired", "built", "token_count", "commit_docs", "commit_tokens")}
+    return {k: v for k, v in meta(root).items() if k not in ("snapshot", "segments", "commit_segments", "retired", "built", "streams", "token_count", "commit_docs", "commit_tokens")}
 
 
 def doctor(spark: SparkSession, root: str | Path) -> dict:
