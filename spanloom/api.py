@@ -252,8 +252,10 @@ def _open(spark: SparkSession, root: str | Path) -> Index | None:
         spread = paths.repartition(spark.sparkContext.defaultParallelism)
         return tree.read_paths(spread, Path(root).resolve()).where("readable and strict").select("path", "hash", "content")
 
-    commits = _commits(spark, root, known).read("commits").select("sha", "subject", "body", "files", "ord")
-    return Index(store.read("files"), live, store.read("symbols"), store.read("edges").drop("path"), _texts(spark, root, known), commits, _texts(spark, root, known, True))
+    log = _commits(spark, root, known)
+    commits = log.read("commits").select("sha", "subject", "body", "files", "ord")
+    of = lambda hashes: log.read("commits", hashes).select("sha", "subject", "ord")
+    return Index(store.read("files"), live, store.read("symbols"), store.read("edges").drop("path"), _texts(spark, root, known), commits, _texts(spark, root, known, True), log.read("commit_grams"), of)
 
 
 def _no_index(spark: SparkSession) -> Index:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from .operators import fulltext, mutate
 from .operators.resolve import definition_keys, reference_keys, resolved
+from .plans.context import subject_grams
 from .segments import Segments, Table
 from .sources import tree
 from .storage import saved, together
@@ -37,6 +38,7 @@ COMMIT_TABLES = {
     "commits": Table("sha string, author string, authored_at string, subject string, body string, files array<string>, ord int", "sha", "sha"),
     "commit_lengths": Table("sha string, dl int", "sha", "sha"),
     "commit_postings": Table("sha string, term string, places array<bigint>, dl int", "sha", "term", sorted_by="term"),
+    "commit_grams": Table("gram string, sha string", "sha", "gram", sorted_by="gram"),
 }
 COMMIT_TEXT = ("sha", "subject", "body")
 
@@ -110,7 +112,7 @@ def with_commits(store: Segments, got: DataFrame, work: str) -> tuple[Segments,
     if not n:
         return store, 0, 0
     lengths = saved(fulltext.lengths_of(fresh, "sha", COMMIT_TEXT), f"{work}/commit-lengths")
-    segment = store.write({"commits": fresh, "commit_lengths": lengths, "commit_postings": fulltext.index(fresh, "sha", COMMIT_TEXT)}, None, n, 0)
+    segment = store.write({"commits": fresh, "commit_lengths": lengths, "commit_postings": fulltext.index(fresh, "sha", COMMIT_TEXT), "commit_grams": subject_grams(fresh)}, None, n, 0)
     return store.with_segment(segment), n, lengths.agg(F.sum("dl")).first()[0]
 
 

@@ -45,6 +45,9 @@ class Index:
     texts: TextIndex
     commits: DataFrame
     commit_texts: TextIndex
+    #: (gram, sha) of the commits' subjects, and what gives the commits of a table of hashes; without them subjects are searched one by one.
+    grams: DataFrame | None = None
+    commits_of: Callable[[DataFrame], DataFrame] | None = None
 
 
 Keep = Callable[[DataFrame], DataFrame]
@@ -87,27 +90,48 @@ def text_hits(index: Index, phrases: DataFrame) -> DataFrame:
     return fulltext.first_seen(flat.withColumnRenamed("rank", "_rank"), ["search_ord", "_rank"], CAP_FTS)
 
 
-def subject_hits(commits: DataFrame, q: DataFrame) -> DataFrame:
+#: Length of the pieces that subjects are indexed by.
+GRAM = 3
+
+
+def subject_grams(commits: DataFrame) -> DataFrame:
+    """(gram, sha): the distinct pieces of ``GRAM`` characters of each subject, lower case."""
+    folded = F.lower("subject")
+    pieces = F.transform(F.sequence(F.lit(1), F.length(folded) - GRAM + 1), lambda i: F.substring(folded, i, GRAM))
+    return commits.where(F.length(folded) >= GRAM).select(F.explode(F.array_distinct(pieces)).alias("gram"), "sha")
+
+
+def subject_hits(commits: DataFrame, q: DataFrame, grams: DataFrame | None = None, commits_of: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(query_id, sha, ord) of commits whose subject has a symbol term of the question, case aside.
 
-    The terms of all questions are one array that every commit is held
-    against where it lies; only what matches is shuffled.
+    With ``grams`` a term's commits are those that have all its pieces, and
+    only these are read and held against it.  Terms too short for that, or all
+    where there are no grams, are one array that every commit is held against
+    where it lies; only what matches is shuffled.
     """
     asked = [(r[0], t) for r in q.select("query_id", F.transform("symbol_terms", F.lower)).collect() for t in r[1] if t]  # bounded: the questions
     out = commits.select(F.lit(0).alias("query_id"), "sha", "ord").limit(0)
+    if grams is not None and (long := [(i, t) for i, t in asked if len(t) >= GRAM]):
+        asked = [(i, t) for i, t in asked if len(t) < GRAM]
+        cut = {t: sorted({t[k : k + GRAM] for k in range(len(t) - GRAM + 1)}) for _, t in long}
+        wanted = local(commits.sparkSession, "term string, gram string, need int", [(t, g, len(gs)) for t, gs in cut.items() for g in gs])
+        some = grams.where(F.col("gram").isin(sorted({g for gs in cut.values() for g in gs}))).join(F.broadcast(wanted), "gram").groupBy("term", "sha").agg(F.count("*").alias("n"), F.first("need").alias("need")).where("n = need").select("term", "sha")
+        named = local(commits.sparkSession, "query_id int, term string", long)
+        read = commits if commits_of is None else commits_of(some.select("sha"))
+        out = some.join(read.select("sha", "subject", "ord"), "sha").where(F.contains(F.lower("subject"), F.col("term"))).join(F.broadcast(named), "term").select("query_id", "sha", "ord").distinct()
     for k in range(0, len(asked), TERMS_A_PASS):
         ids, terms = zip(*asked[k : k + TERMS_A_PASS], strict=True)
         pairs = F.arrays_zip(F.lit([*ids]).alias("id"), F.lit([*terms]).alias("term"))
         hit = F.filter(pairs, lambda p: F.contains(F.lower("subject"), p["term"]))
         out = out.unionByName(commits.select(F.explode(F.array_distinct(F.transform(hit, lambda p: p["id"]))).alias("query_id"), "sha", "ord"))
-    return out.distinct() if len(asked) > TERMS_A_PASS else out
+    return out.distinct() if asked else out
 
 
 def commit_hits(index: Index, q: DataFrame, phrases: DataFrame) -> DataFrame:
     """(query_id, sha, norm, rank): subject matches, then text matches; the former keep the latter's norm, or have 1."""
     keyed = phrases.where(F.col("search_ord") == COMMIT_SEARCH)
     fts = fulltext.search_expressions(index.commit_texts, keyed, CAP_COMMITS).select("query_id", "sha", F.col("rank").alias("fts_rank"))
-    matched = subject_hits(index.commits, q)
+    matched = subject_hits(index.commits, q, index.grams, index.commits_of)
     w = Window.partitionBy("query_id").orderBy("ord")
     subject = matched.withColumn("subject_rank", F.row_number().over(w)).where(F.col("subject_rank") <= CAP_COMMITS).drop("ord")
     both = subject.join(fts, ["query_id", "sha"], "full_outer")

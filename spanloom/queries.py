@@ -351,6 +351,14 @@ def commit_subject_contains(t: Tables) -> DataFrame:
     return context.subject_hits(t.commits(), asked).select("query_id", "sha")
 
 
+@query(f"with {COMMITS}, {_SUBJECTS} select distinct query_id, sha from commits join w on contains(lower(subject), lower(word))")
+def commit_subject_grams(t: Tables) -> DataFrame:
+    """The same by the pieces of subjects."""
+    asked = rows(t, "query_id int, symbol_terms array<string>", [(1, ["urgent", "1999"]), (2, ["of 77"]), (3, ["SPECIFIED"]), (4, [""])])
+    commits = t.commits()
+    return context.subject_hits(commits, asked, context.subject_grams(commits)).select("query_id", "sha")
+
+
 #: Questions about commits; beside them, in ``_ASKED``, the subjects and in ``_SAID`` the words they ask for.
 #: The words of the last are no expression, so they find nothing by text.
 COMMIT_QUESTIONS = ["why URGENT change", '"of 77" status', "HIGH nosuchword", "status of change", "LOW soft-delete change"]

@@ -80,3 +80,17 @@ def test_scores_against_sqlite(spark):
     for k, q in enumerate(queries):
         want = dict(db.execute("select sha, rank from t where t match ?", (q,)))
         assert got.get(k, {}).keys() == want.keys() and all(abs(got[k][s] - want[s]) < 1e-9 + 1e-6 * abs(want[s]) for s in want), q
+
+
+def test_subject_grams(spark):
+    """Candidates by pieces, held against the terms: what a look at every subject finds, with short terms and repeated pieces."""
+    rng = random.Random(5)
+    subjects = [(f"s{k}", "".join(rng.choices(["a", "B", "é", "ab", " "], k=rng.randint(0, 12))), k) for k in range(300)] + [("n", None, 300)]
+    commits = spark.createDataFrame(subjects, "sha string, subject string, ord int")
+    asked = [(0, ["aba", "BÉ", "a"]), (1, ["aaaa", "ababab", "zzz"]), (2, [" a b"]), (3, [])]
+    q = spark.createDataFrame(asked, "query_id int, symbol_terms array<string>")
+    want = {(i, sha) for i, terms in asked for sha, s, _ in subjects if s is not None and any(t.lower() in s.lower() for t in terms)}
+    grams = context.subject_grams(commits)
+    assert {(r.query_id, r.sha) for r in context.subject_hits(commits, q).collect()} == want
+    found = context.subject_hits(commits, q, grams, lambda keys: commits.join(keys, "sha", "left_semi")).collect()
+    assert {(r.query_id, r.sha) for r in found} == want and len(found) == len(want)
