@@ -31,6 +31,8 @@ EVERY = 20
 TOP = 20
 #: Queries that walk the table together, and vectors read at a time: together they bound a task's matrices.
 QUERIES, CHUNK = 2048, 2048
+#: Shares of the vectors' energy that may remain behind the first and the second partial sum.
+REST = (0.25, 0.1)
 #: Share of pairs below which survivors are scored one by one.
 SPARSE = 0.2
 MARGIN = 1e-9
@@ -62,8 +64,8 @@ def _distinct(vectors: DataFrame, most: int) -> DataFrame:
     return few.groupBy("h", "q").agg(ids.alias("ids"))
 
 
-def _rotation(vectors: DataFrame, d: int) -> np.ndarray:
-    """Eigenvectors of the sum of q q', by falling eigenvalues."""
+def _rotation(vectors: DataFrame, d: int) -> tuple[np.ndarray, list[int]]:
+    """Eigenvectors of the sum of q q', by falling eigenvalues, and the numbers of leading ones that partial sums go over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gram = np.zeros((d, d))
@@ -76,7 +78,14 @@ def _rotation(vectors: DataFrame, d: int) -> np.ndarray:
     gram = np.zeros(d * d)
     for r in vectors.select("q").mapInArrow(run, "cell long, v double").groupBy("cell").agg(F.sum("v").alias("v")).toLocalIterator():
         gram[r.cell] = r.v
-    return np.linalg.eigh(gram.reshape(d, d))[1][:, ::-1].copy()
+    return rotation_of(gram.reshape(d, d))
+
+
+def rotation_of(gram: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    energy, v = np.linalg.eigh(gram)
+    rest = 1 - np.cumsum(np.maximum(energy[::-1], 0)) / max(energy.sum(), 1e-300)
+    cuts = [int(np.argmax(rest <= share)) + 1 for share in REST]
+    return v[:, ::-1].copy(), [c for c in dict.fromkeys(cuts) if c < len(gram)]
 
 
 def _parts(folder: str) -> list[str]:
@@ -111,11 +120,10 @@ def exact_scores(q: np.ndarray, c: np.ndarray, safe: bool) -> np.ndarray:
 class Walk:
     """The best ``top`` (score, id) of a block of queries, as far as the table has been walked."""
 
-    def __init__(self, ids: np.ndarray, q: np.ndarray, rotation: np.ndarray, top: int, safe: bool):
+    def __init__(self, ids: np.ndarray, q: np.ndarray, rotation: tuple[np.ndarray, list[int]], top: int, safe: bool):
         self.ids, self.q, self.top, self.safe = ids, q, top, safe
-        self.v = rotation
-        self.cuts = [c for c in dict.fromkeys((max(1, q.shape[1] // 4), max(1, q.shape[1] // 2))) if c < q.shape[1]]
-        self.rotated = q @ rotation
+        self.v, self.cuts = rotation
+        self.rotated = q @ self.v
         self.norm = np.linalg.norm(q, axis=1)
         self.rest = [np.linalg.norm(self.rotated[:, c:], axis=1) for c in self.cuts]
         self.kth = np.full(len(ids), -np.inf)

@@ -177,7 +177,7 @@ def test_walk_prunes():
     rng = np.random.default_rng(3)
     x = np.floor(rng.normal(size=(4000, 16)) * rng.gamma(0.5, 40, (4000, 1)))
     x = x[np.argsort(-np.linalg.norm(x, axis=1))]
-    walk = exact_topk.Walk(np.arange(100) + 10**6, x[::40], np.linalg.eigh(x.T @ x)[1][:, ::-1], 10, True)
+    walk = exact_topk.Walk(np.arange(100) + 10**6, x[::40], exact_topk.rotation_of(x.T @ x), 10, True)
     for k in range(0, 4000, 250):
         if not walk.meet(x[k : k + 250], np.linalg.norm(x[k : k + 250], axis=1), pa.array([[j] for j in range(k, k + 250)], pa.list_(pa.int64()))):
             break
