@@ -126,6 +126,7 @@ def index_tree(spark: SparkSession, root: str | Path, force: bool = False, below
     walk = Path(below).resolve() if below is not None else root
     prefix = "" if walk == root else f"{walk.relative_to(root)}/"
     home = _home(root)
+    left_over = _left_over(home, known)
     work = home / f"build-{uuid.uuid4().hex}"
     store = _files(spark, root, known)
     paths = tree.list_tree(walk, root)
@@ -158,13 +159,19 @@ def index_tree(spark: SparkSession, root: str | Path, force: bool = False, below
     if not retired and content["segments"] == known.get("segments") and content["commit_segments"] == known.get("commit_segments") and known.get("built"):
         content["built"] = known["built"]  # what readers have opened is the same
     _point(home, content)
-    segments.drop(home, [work.name, *known.get("retired", [])])
+    segments.drop(home, [work.name, *left_over, *known.get("retired", [])])
     return IndexStats(
         len(paths), counts["added"] + counts["changed"] + (counts["unchanged"] if force else 0), 0 if force else counts["unchanged"], counts["deleted"],
         counts["skip secret_name"] + counts["skip secret_content"], counts["skip large"], counts["skip ignore"] + counts["skip binary"], counts["skip unreadable"] + now.errors,
     )
 
 
+def _left_over(home: Path, known: dict) -> list[str]:
+    """Folders of builds that did not come to their end."""
+    named = {*known.get("retired", []), *(s["name"] for k in ("segments", "commit_segments") for s in known.get(k, []))}
+    return [p.name for p in home.iterdir() if p.name.startswith(("segment-", "build-")) and p.name not in named]
+
+
 def apply_changes(spark: SparkSession, root: str | Path, changes: DataFrame, stream: tuple[str, int] | None = None) -> bool:
     """Bring the index of ``root`` up to date with ``changes`` (path, content, deleted, at), one row a path, instead of a tree on disk.
 

@@ -114,6 +114,7 @@ def test_nothing_changed_writes_nothing(spark, tmp_path):
     s = api.index_tree(spark, tmp_path, git=NoGit())
     assert (s.indexed, s.unchanged) == (0, 5) and written() == before and api.open_index(spark, tmp_path) is index
     write(tmp_path, {"a.py": "def g():\n    return f()\n"})
+    (tmp_path / api.FOLDER / "segment-of-a-build-that-broke-off").mkdir()
     s = api.index_tree(spark, tmp_path, git=NoGit())
     assert (s.indexed, s.unchanged) == (1, 4) and set(before) < set(written())
     assert {p.name for p in (tmp_path / api.FOLDER).iterdir()} == {"CURRENT", *(x["name"] for x in api.meta(tmp_path)["segments"])}
