@@ -110,9 +110,9 @@ def _texts(spark: SparkSession, root: str | Path, known: dict | None = None, com
     known = meta(root) if known is None else known
     if commits:
         store, n, total = _commits(spark, root, known), known.get("commit_docs", 0), known.get("commit_tokens", 0)
-        return TextIndex(store.read("commit_lengths"), store.read("commit_postings"), "sha", (float(n), total / n if n else 1.0))
+        return TextIndex(store.read("commit_lengths"), store.read("commit_postings"), "sha", (float(n), total / n if n else 1.0), store.read("commit_terms"))
     store, n, total = _files(spark, root, known), known["file_count"], known.get("token_count", 0)
-    return TextIndex(store.read("lengths"), store.read("postings"), "path", (float(n), total / n if n else 1.0))
+    return TextIndex(store.read("lengths"), store.read("postings"), "path", (float(n), total / n if n else 1.0), store.read("terms"))
 
 
 def index_tree(spark: SparkSession, root: str | Path, force: bool = False, below: str | Path | None = None, git=None) -> IndexStats:

@@ -32,12 +32,14 @@ FILE_TABLES = {
     "refs": Table("key string, path string", "path", "key"),
     "lengths": Table("path string, dl int", "path", "path"),
     "postings": Table("path string, term string, places array<bigint>, dl int", "path", "term", sorted_by="term"),
+    "terms": Table("term string", "", "term", sorted_by="term"),
 }
 #: Tables of commits, which only ever come in.
 COMMIT_TABLES = {
     "commits": Table("sha string, author string, authored_at string, subject string, body string, files array<string>, ord int", "sha", "sha"),
     "commit_lengths": Table("sha string, dl int", "sha", "sha"),
     "commit_postings": Table("sha string, term string, places array<bigint>, dl int", "sha", "term", sorted_by="term"),
+    "commit_terms": Table("term string", "", "term", sorted_by="term"),
     "commit_grams": Table("gram string, sha string", "sha", "gram", sorted_by="gram"),
 }
 COMMIT_TEXT = ("sha", "subject", "body")
@@ -69,9 +71,10 @@ def with_files(store: Segments, source: DataFrame, gone: DataFrame, work: str) -
     intermediate tables.
     """
     parsed = saved(tree.extracted(source), f"{work}/parsed")
-    symbols, raw, lengths = together(
+    symbols, raw, postings, lengths = together(
         lambda: saved(_symbols(parsed), f"{work}/symbols"),
         lambda: saved(parsed.select("path", F.explode("raw_edges").alias("e")).select("path", "e.*"), f"{work}/raw"),
+        lambda: saved(fulltext.index(source), f"{work}/postings"),
         lambda: saved(fulltext.lengths_of(source), f"{work}/lengths"),
     )
     files = source.join(parsed.select("path", "parse_status"), "path")
@@ -93,7 +96,7 @@ def with_files(store: Segments, source: DataFrame, gone: DataFrame, work: str) -
         edges, n_gone = saved(resolved(raw, symbols), f"{work}/edges"), 0
     tables = {
         "files": files, "symbols": symbols, "raw_edges": raw, "edges": edges, "defs": definition_keys(symbols), "refs": reference_keys(raw).select("key", "path").distinct(),
-        "lengths": lengths, "postings": fulltext.index(source),
+        "lengths": lengths, "postings": postings, "terms": postings.select("term"),
     }
     tokens = lambda df: df.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
     n, errors, n_symbols, n_edges, (_, n_tokens) = together(parsed.count, parsed.where("parse_status = 'error'").count, symbols.count, edges.count, lambda: tokens(lengths))
@@ -112,7 +115,8 @@ def with_commits(store: Segments, got: DataFrame, work: str) -> tuple[Segments,
     if not n:
         return store, 0, 0
     lengths = saved(fulltext.lengths_of(fresh, "sha", COMMIT_TEXT), f"{work}/commit-lengths")
-    segment = store.write({"commits": fresh, "commit_lengths": lengths, "commit_postings": fulltext.index(fresh, "sha", COMMIT_TEXT), "commit_grams": subject_grams(fresh)}, None, n, 0)
+    postings = saved(fulltext.index(fresh, "sha", COMMIT_TEXT), f"{work}/commit-postings")
+    segment = store.write({"commits": fresh, "commit_lengths": lengths, "commit_postings": postings, "commit_terms": postings.select("term"), "commit_grams": subject_grams(fresh)}, None, n, 0)
     return store.with_segment(segment), n, lengths.agg(F.sum("dl")).first()[0]
 
 

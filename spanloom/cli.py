@@ -11,6 +11,7 @@ from pyspark.sql import SparkSession
 from . import api
 from .operators.pack import as_json, digest
 
+# The protocol's version, the tools and their fields.
 PROTOCOL = "2024-11-05"
 TOOLS = {
     "get_context": ({"query": "string", "budget_tokens": "integer", "include_palace": "boolean"}, ["query"]),

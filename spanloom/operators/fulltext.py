@@ -113,7 +113,10 @@ def local(spark: SparkSession, ddl: str, rows: list[tuple]) -> DataFrame:
 
 
 def _matching(ix: TextIndex, each: DataFrame, asked: list[str]) -> DataFrame:
-    """``each`` token (column term) with every term of the index that it, or what it begins, stands for; ``asked``: all such beginnings."""
+    """``each`` token (column term) with every term of the index that it, or what it begins, stands for; ``asked``: all such beginnings.
+
+    What begins so is a range of the dictionary, whose order the scan of it uses.
+    """
     if not asked:
         return each
     listed = ix.terms if ix.terms is not None else ix.postings.select("term")
@@ -138,7 +141,13 @@ def phrases(ix: TextIndex, wanted: DataFrame) -> DataFrame:
     asked = sorted({r[0] for r in some.where("prefix").select(F.element_at("toks", -1)).collect()})  # bounded: the phrases asked for
     named = some.select("query_id", "phrase_ord", "prefix", "columns", "first", F.size("toks").alias("n"), F.posexplode("toks").alias("k", "term"))
     each = _matching(ix, named.withColumn("begins", F.col("prefix") & (F.col("k") == F.col("n") - 1)).drop("prefix"), asked)
-    met = ix.postings.join(each, "term").select("query_id", "phrase_ord", "n", "columns", "first", key, "dl", "k", F.transform("places", lambda p: p - F.col("k")).alias("at"))
+    postings = ix.postings
+    if ix.terms is not None and len(terms := sorted({t for r in some.select("toks").collect() for t in r[0]})) <= FEW_TERMS:
+        of = F.col("term").isin(terms)  # reaches the scan, which is in order of terms
+        for p in asked:
+            of = of | F.startswith("term", F.lit(p))
+        postings = postings.where(of)
+    met = postings.join(each, "term").select("query_id", "phrase_ord", "n", "columns", "first", key, "dl", "k", F.transform("places", lambda p: p - F.col("k")).alias("at"))
     # a token's places are those of all its terms; a phrase stands where all its tokens' lists agree
     whole = met.groupBy("query_id", "phrase_ord", key).agg(F.collect_list(F.struct("k", "at")).alias("parts"), *(F.first(c).alias(c) for c in ("n", "columns", "first", "dl")))
     places = lambda k: F.flatten(F.transform(F.filter("parts", lambda p: p["k"] == k), lambda p: p["at"]))

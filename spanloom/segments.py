@@ -34,7 +34,10 @@ FEW_KEYS = 20_000
 
 @dataclass(frozen=True)
 class Table:
-    """A table of every segment: its columns, the key that ``gone`` names, and the column that its buckets are by."""
+    """A table of every segment: its columns, the key that ``gone`` names, and the column that its buckets are by.
+
+    A table without a key is a set: its rows stay, and are once in a segment.
+    """
 
     ddl: str
     key: str
@@ -83,7 +86,7 @@ class Segments:
             return self.spark.createDataFrame([], schema)
         if keys is not None:
             parts = parts.join(keys.select(table.by), table.by, "left_semi")
-        gone = self._gone(table)
+        gone = self._gone(table) if table.key else None
         if gone is not None:
             parts = parts.join(gone, (F.col(table.key) == F.col("_gone")) & (F.col("_segment") < F.col("_since")), "left_anti")
         return parts.select(*schema.names)
@@ -122,8 +125,10 @@ class Segments:
         table = self.tables[name]
         rows = rows.select(*StructType.fromDDL(table.ddl).names)
         if table.sorted_by:
-            dealt = rows.repartitionByRange(table.sorted_by, table.key) if segment.buckets > 1 else rows.repartition(1)
-            dealt.sortWithinPartitions(table.sorted_by, table.key).write.parquet(self._path(segment, name))
+            order = [table.sorted_by, *([table.key] if table.key else [])]
+            rows = rows if table.key else rows.distinct()
+            dealt = rows.repartitionByRange(*order) if segment.buckets > 1 else rows.repartition(1)
+            dealt.sortWithinPartitions(*order).write.parquet(self._path(segment, name))
         else:
             dealt = rows.withColumn("_bucket", bucket_of(table.by, segment.buckets))
             dealt = dealt.repartition("_bucket") if segment.buckets > 1 else dealt.repartition(1)

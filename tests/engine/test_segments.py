@@ -73,9 +73,10 @@ PATHS = ["a.py", "b.py", "d/e.py", "a.ts", "c.ts", "q/a.ts", "q/b.ts", "d/e.ts",
 def tables_of(spark, root):
     """Everything an index says, without what may differ between equal ones."""
     files, commits = api._files(spark, root), api._commits(spark, root)
-    out = {n: sorted((tuple(map(str, r)) for r in files.read(n).drop("mtime").collect())) for n in files.tables}
+    out = {n: sorted((tuple(map(str, r)) for r in files.read(n).drop("mtime").collect())) for n in files.tables if n != "terms"}
+    assert {r.term for r in files.read("terms").collect()} >= {r.term for r in files.read("postings").select("term").distinct().collect()}
     known = api.meta(root)
-    return out | {n: sorted(tuple(map(str, r)) for r in commits.read(n).collect()) for n in commits.tables} | {c: known.get(c, 0) for c in ("file_count", "symbol_count", "edge_count", "token_count", "commit_count", "commit_tokens")}
+    return out | {n: sorted(tuple(map(str, r)) for r in commits.read(n).collect()) for n in commits.tables if n != "commit_terms"} | {c: known.get(c, 0) for c in ("file_count", "symbol_count", "edge_count", "token_count", "commit_count", "commit_tokens")}
 
 
 def test_kept_up_to_date_is_built_anew(spark, tmp_path, seed=1):
@@ -100,6 +101,7 @@ def test_kept_up_to_date_is_built_anew(spark, tmp_path, seed=1):
     log = [("a" * 40, "first", "", ["a.py"]), *((f"{k:040d}", f"step {k}", "body", ["b.py"]) for k in range(3))]
     api.index_tree(spark, fresh, git=FakeGit(log))
     kept, anew = tables_of(spark, root), tables_of(spark, fresh)
+    assert [r.path for r in api.search_code(spark, root, "impo*", 50).collect()] == [r.path for r in api.search_code(spark, fresh, "impo*", 50).collect()] != []
     assert kept.keys() == anew.keys() and [k for k in kept if kept[k] != anew[k]] == []
     assert len(api._files(spark, root).listed) < 4
 
