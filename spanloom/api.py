@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from . import build, segments
 from .build import COMMIT_TABLES, FILE_TABLES, Counts
 from .functions import text as T
-from .operators import fulltext, graph, lookup, mutate, pack
+from .operators import fulltext, graph, lookup, mutate
 from .operators.fulltext import TextIndex
-from .plans import context
+from .plans import context, packages
 from .plans.context import DEFAULT_BUDGET, Index
 from .segments import Segments
 from .sources import drawers, gitlog, tree
@@ -276,49 +276,22 @@ def _no_index(spark: SparkSession) -> Index:
 def compile_packages(spark: SparkSession, index: Index, questions: list[tuple[str, int]], git_status: str = "absent") -> list[tuple[dict, list[dict]]]:
     """A (package, edges it may show) for each (question, budget), all of them in one plan."""
     keyed = [(k, text, budget) for k, (text, budget) in enumerate(questions)]
-    keep = context.keeper(len(keyed))
     q, phrases = context.planned(spark, keyed)
-    spans, followed, counts, commits = context.candidate_spans(index, q, phrases, keep)
-    found = keep(context.ranked(spans, commits, q, keep))
-    rows = context.filled(found, index, q).select("query_id", "pos", "path", "start_line", "end_line", "symbol", "kind", "why", "state", "cost", "admitted", F.when(F.col("admitted") & (F.col("state") == "item"), F.col("text")).alias("text"))
-    rows = rows.collect()  # bounded: capped candidates for each question
-    of = counts.select("query_id", "symbols_considered", F.lit(0).cast("long").alias("n")).unionByName(commits.groupBy("query_id").agg(F.lit(0).cast("long").alias("symbols_considered"), F.count("*").alias("n")))
-    considered = {r.query_id: r for r in of.groupBy("query_id").agg(F.sum("symbols_considered").alias("symbols"), F.sum("n").alias("commits")).collect()}
-    edges = _shown_edges(spark, index, followed, rows)
-
+    rows = {r.query_id: r.asDict(True) for r in packages.packages(index, q, phrases, git_status, context.keeper(len(keyed))).drop("json").collect()}  # bounded: a package has at most pack.MAX_JSON_BYTES
     out = []
-    for k, text, budget in keyed:
-        mine = sorted((r for r in rows if r.query_id == k), key=lambda r: r.pos)
-        stop = next((r.pos for r in mine if not r.admitted), None)
-        seen = [r for r in mine if stop is None or r.pos < stop]
-        taken = [r for r in seen if r.state == "item"]
-        stale = sum(r.state == "stale" for r in seen)
-        shown = [{"from": e["from"], "to": e["to"], "kind": e["kind"], "confidence": e["confidence"]} for e in edges if e["query_id"] == k]
-        package = {
-            "query": text, "budget_tokens": budget, "used_tokens": sum(r.cost for r in taken),
-            "items": [{"path": r.path, "start_line": r.start_line, "end_line": r.end_line, "symbol": r.symbol, "kind": r.kind, "text": r.text, "why": r.why} for r in taken],
-            "edges": list(shown),
-            "stats": {
-                "files_considered": len({r.path for r in mine}), "symbols_considered": considered[k].symbols if k in considered else 0, "dropped_for_budget": int(stop is not None), "stale_omitted": stale,
-                "stale_index": pack.is_stale(stale, len(taken)), "truncated": False, "palace": None, "git": {"status": git_status, "commits_considered": considered[k].commits if k in considered else 0, "included": 0},
-            },
-        }
-        pack.fit_json(package, shown)
-        package["stats"]["git"]["included"] = sum(i["kind"] == "commit" for i in package["items"])
-        out.append((package, shown))
+    for k, _, _ in keyed:
+        r = rows[k]
+        stats = r["stats"]
+        package = {n: r[n] for n in ("query", "budget_tokens", "used_tokens", "items", "edges")}
+        out.append((package | {"stats": {n: v for n, v in stats.items() if n != "git"} | {"palace": None, "git": stats["git"]}}, r["shown"]))
     return out
 
 
-def _shown_edges(spark: SparkSession, index: Index, followed: DataFrame, rows: list) -> list:
-    """The edges (query_id, from, to, kind, confidence), in order, among the symbols that a package quotes."""
-    named = {(r.query_id, f"{r.path}:{r.symbol}") for r in rows if r.admitted and r.state == "item" and r.symbol is not None}
-    if len(named) < 2:
-        return []
-    items = fulltext.local(spark, "query_id int, item string", sorted(named))
-    symbols = index.symbols.select("symbol_id", F.concat("path", F.lit(":"), "name").alias("item")).join(F.broadcast(items.select("item").distinct()), "item", "left_semi")
-    side = lambda i, c: symbols.select(F.col("symbol_id").alias(i), F.col("item").alias(c))
-    ends = followed.join(side("src", "from"), "src").join(side("dst", "to"), "dst")
-    return pack.edges_among(items, ends).orderBy("ord", "from", "to", "kind").collect()
+def context_table(spark: SparkSession, root: str | Path, questions: DataFrame) -> DataFrame:
+    """Packages of a table of questions (query_id int, query, budget) about the tree at ``root``, one row a question, with their JSON."""
+    known = meta(root)
+    index = open_index(spark, root) or _no_index(spark)
+    return packages.packages_of(index, questions, "ok" if known["commit_count"] > 0 else "absent").drop("shown")
 
 
 def get_contexts(spark: SparkSession, root: str | Path, questions: list[str], budget: int = DEFAULT_BUDGET, drawer_search=None, include_drawers: bool | None = None) -> list[dict]:

@@ -6,18 +6,21 @@ an ordinal, so a thousand questions are the same plan as one.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions import text as T
 from ..operators import fulltext, graph, lookup, rank
 from ..operators.fulltext import TextIndex, local
 from ..storage import written
-from .query_plan import COMMIT_SEARCH, Phrase, commit_search, plan_query, searches
+from .query_plan import COMMIT_SEARCH, Phrase, QueryPlan, commit_search, plan_query, searches
 
 # How many of each a question may gather.
 CAP_SYMBOLS, CAP_FTS, CAP_NEIGHBORS, CAP_COMMITS, CAP_DECISIONS, CAP_SUPERSEDES = 50, 30, 40, 20, 10, 10
@@ -67,18 +70,51 @@ def keeper(questions: int) -> Keep:
     return kept if questions <= FEW else lambda df: written(df, "context")
 
 
+PLANNED = "query_id int, query string, budget int, symbol_terms array<string>, path_hints array<string>, words array<string>, terms array<string>"
+PHRASE = "search_ord int, phrase_ord int, text string, prefix boolean, group int, negated boolean, atom int, distance int, columns array<int>, first boolean"
+
+
+def _phrase_rows(plan: QueryPlan) -> list[tuple]:
+    return [_phrase(order, e) for order, es in (*commit_search(plan), *searches(plan)) for e in es]
+
+
+def _phrase(order: int, e: Phrase) -> tuple:
+    return order, e.leaf, e.text, e.prefix, e.group, e.negated, e.atom, e.distance, None if e.columns is None else [*e.columns], e.first
+
+
 def planned(spark: SparkSession, questions: list[tuple[int, str, int]]) -> tuple[DataFrame, DataFrame]:
     """(questions, phrases) as tables: questions with their terms, phrases of each text search."""
     plans = [(q, text, budget, plan_query(text)) for q, text, budget in questions]
-    ddl = "query_id int, query string, budget int, symbol_terms array<string>, path_hints array<string>, words array<string>, terms array<string>"
-    q = local(spark, ddl, [(i, t, b, p.symbol_terms, p.path_hints, p.words, p.terms) for i, t, b, p in plans])
-    return q, phrase_table(spark, [(i, order, e) for i, _, _, p in plans for order, es in (*commit_search(p), *searches(p)) for e in es])
+    q = local(spark, PLANNED, [(i, t, b, p.symbol_terms, p.path_hints, p.words, p.terms) for i, t, b, p in plans])
+    return q, _with_tokens(local(spark, f"query_id int, {PHRASE}", [(i, *row) for i, _, _, p in plans for row in _phrase_rows(p)]))
+
+
+def planned_table(questions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``planned`` of a table (query_id int, query, budget); questions are planned where they lie."""
+    names = [f.split()[0] for f in PHRASE.split(", ")]
+    ddl = f"{PLANNED}, phrases array<struct<{', '.join(f.replace(' ', ':', 1) for f in PHRASE.split(', '))}>>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for i, text, budget in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                p = plan_query(text)
+                rows.append({"query_id": i, "query": text, "budget": budget, "symbol_terms": p.symbol_terms, "path_hints": p.path_hints, "words": p.words, "terms": p.terms, "phrases": [dict(zip(names, r, strict=True)) for r in _phrase_rows(p)]})
+            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+
+    schema = StructType.fromDDL(ddl)
+    arrow = to_arrow_schema(schema)
+    asked = questions.select(F.col("query_id").cast("int"), F.coalesce("query", F.lit("")).alias("query"), F.coalesce(F.col("budget").cast("int"), F.lit(DEFAULT_BUDGET)).alias("budget"))
+    plans = written(asked.mapInArrow(run, schema), "plans")
+    return plans.drop("phrases"), _with_tokens(plans.select("query_id", F.inline("phrases")))
 
 
 def phrase_table(spark: SparkSession, rows: list[tuple[int, int, Phrase]]) -> DataFrame:
     """Phrases (query_id, search_ord, phrase) of text searches with their tokens."""
-    ddl = "query_id int, search_ord int, phrase_ord int, text string, prefix boolean, group int, negated boolean, atom int, distance int, columns array<int>, first boolean"
-    phrases = local(spark, ddl, [(q, s, e.leaf, e.text, e.prefix, e.group, e.negated, e.atom, e.distance, None if e.columns is None else [*e.columns], e.first) for q, s, e in rows])
+    return _with_tokens(local(spark, f"query_id int, {PHRASE}", [(q, *_phrase(order, e)) for q, order, e in rows]))
+
+
+def _with_tokens(phrases: DataFrame) -> DataFrame:
     return phrases.withColumn("toks", T.tokens(F.col("text"))).drop("text")
 
 

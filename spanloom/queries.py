@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from .bridge import COMMITS, CUT, EDGES, FILES, SYMBOLS, Tables, snapshot_sql
 from .functions import text as T
 from .operators import fulltext, graph, lookup, mutate, pack, rank
-from .plans import context
+from .plans import context, packages
 from .plans.query_plan import ladder
+from .storage import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -499,17 +500,18 @@ filled as (select query_id, pos, path, state, cost, used, used <= budget as admi
   case when state = 'item' and not starts_with(path, 'git://') then least(end_line, greatest(start_line, 1) + len(string_split(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '\n$', ''), chr(10))) - 1) else end_line end as end_line from run)"""
 
 
-def _filled(t: Tables) -> DataFrame:
+def _filled(t: Tables, budget: int = 60) -> DataFrame:
     """Spans of documents as files, of which every fifth has changed since, and some commits, filled under the budgets of seven questions."""
     files, k = t.files(), F.col("doc_id")
     code = files.select(
         (k % 7).cast("int").alias("query_id"), "path", (k % 4).cast("int").alias("start_line"), (k % 4 + k % 6).cast("int").alias("end_line"), ((k % 11) / 2.0).alias("score"), (k % 3 == 0).alias("overflow"), F.lit(None).cast("string").alias("prequoted"),
+        F.when(k % 2 == 0, F.concat(F.lit("s"), k % 40)).alias("symbol"), F.lit("function").alias("kind"), F.array(F.lit("fts")).alias("why"),
     )
     o = F.col("o_orderkey")
-    commits = t.orders.select((o % 7).cast("int").alias("query_id"), F.concat(F.lit("git://c"), o).alias("path"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), F.lit(1.25).alias("score"), F.lit(False).alias("overflow"), F.concat(F.lit("order "), "o_orderpriority").alias("prequoted"))
+    commits = t.orders.select((o % 7).cast("int").alias("query_id"), F.concat(F.lit("git://c"), o).alias("path"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), F.lit(1.25).alias("score"), F.lit(False).alias("overflow"), F.concat(F.lit("order "), "o_orderpriority").alias("prequoted"), F.concat(F.lit("c"), o).alias("symbol"), F.lit("commit").alias("kind"), F.array(F.lit("commit")).alias("why"))
     now = files.withColumn("hash", F.when(k % 5 == 0, "changed").otherwise(F.col("hash")))
     index = context.Index(files.select("path", "hash"), lambda paths: now.join(paths, "path", "left_semi"), None, None, None, None, None)
-    q = rows(t, "query_id int, budget int", [(n, 60 * (n + 1)) for n in range(7)])
+    q = rows(t, "query_id int, budget int", [(n, budget * (n + 1)) for n in range(7)])
     return context.filled(code.unionByName(commits), index, q)
 
 
@@ -524,6 +526,46 @@ def stale_filter_counts(t: Tables) -> DataFrame:
     return s.withColumn("stale_index", pack.is_stale(F.col("stale_omitted"), F.col("items")))
 
 
+# every k first items of a package with the bytes that its JSON has: head, items, commas, and edges among them
+_PACKAGES = f"""{_FILLED.replace("60 * (query_id + 1)", "1000 * (query_id + 1)").replace("as text from lined)", "as text, case when doc_id % 2 = 0 then 's' || doc_id % 40 end as symbol, 'function' as kind, ['fts'] as why from lined)").replace("as text from orders)", "as text, 'c' || o_orderkey as symbol, 'commit' as kind, ['commit'] as why from orders)").replace("used <= budget as admitted,", "used <= budget as admitted, start_line, text, symbol, kind, why,")},
+taken as (select *, row_number() over (partition by query_id order by pos) as k, strlen(to_json({{'path': path, 'start_line': start_line, 'end_line': end_line, 'symbol': symbol, 'kind': kind, 'text': text, 'why': why}})) as bytes
+  from filled where admitted and state = 'item'),
+counts as (select query_id, count(distinct path) as files_considered, max(cast(not admitted as bigint)) as dropped_for_budget, count(*) filter (where admitted and state = 'stale') as stale_omitted from filled group by query_id),
+names as (select query_id, path || ':' || symbol as item, min(k) as k from taken where symbol is not null group by all),
+asked as (select l_orderkey % 7 as query_id, l_partkey * 7 + l_orderkey % 7 as src, l_suppkey * 7 + l_orderkey % 7 as dst, l_returnflag as kind, case when l_linestatus = 'F' then 'high' else 'low' end as confidence, l_orderkey * 10 + l_linenumber as ord from lineitem),
+syms as (select doc_id as symbol_id, path || ':s' || doc_id % 40 as item from files where doc_id % 2 = 0),
+shown as (select a.query_id, f.item as "from", g.item as "to", a.kind, arg_min(a.confidence, a.ord) as confidence, min(a.ord) as ord, max(greatest(x.k, y.k)) as k
+  from asked a join syms f on f.symbol_id = a.src join syms g on g.symbol_id = a.dst join names x on x.query_id = a.query_id and x.item = f.item join names y on y.query_id = a.query_id and y.item = g.item group by a.query_id, f.item, g.item, a.kind),
+sizes as (select query_id, unnest(range(0, n + 1)) as k, n from (select query_id, (select count(*) from taken i where i.query_id = c.query_id) as n from counts c)),
+firsts as (select s.query_id, s.k, s.n, coalesce(i.used_tokens, 0) as used_tokens, coalesce(i.bytes, 0) as item_bytes, coalesce(i.included, 0) as included, coalesce(e.edge_bytes, 0) as edge_bytes, coalesce(e.n_edges, 0) as n_edges
+  from sizes s left join (select query_id, k, sum(cost) over w as used_tokens, sum(bytes) over w as bytes, sum(cast(kind = 'commit' as bigint)) over w as included from taken window w as (partition by query_id order by k rows unbounded preceding)) i using (query_id, k)
+  left join (select s.query_id, s.k, count(*) as n_edges, sum(strlen(to_json({{'from': "from", 'to': "to", 'kind': kind, 'confidence': confidence}}))) as edge_bytes from sizes s join shown e on e.query_id = s.query_id and e.k <= s.k group by all) e using (query_id, k)),
+cut as (select f.*, c.*, f.k < f.n as truncated, 2 * stale_omitted > f.k + stale_omitted as stale_index from firsts f join counts c on c.query_id = f.query_id),
+sized as (select * exclude (query_id_1), strlen(to_json({{'query': 'question ' || query_id, 'budget_tokens': 1000 * (query_id + 1), 'used_tokens': cast(used_tokens as bigint), 'items': [], 'edges': [], 'stats': {{'files_considered': files_considered, 'symbols_considered': query_id, 'dropped_for_budget': dropped_for_budget,
+  'stale_omitted': stale_omitted, 'stale_index': stale_index, 'truncated': truncated, 'git': {{'status': 'ok', 'commits_considered': 2 * query_id, 'included': cast(included as bigint)}}}}}})) + item_bytes + greatest(k - 1, 0) + edge_bytes + greatest(n_edges - 1, 0) as json_bytes from cut),
+packed as (select * from sized where json_bytes <= 16384 or k = 0 qualify row_number() over (partition by query_id order by k desc) = 1)"""
+
+
+@query(f"""{_PACKAGES} select query_id, cast(used_tokens as bigint) as used_tokens, k as n_items, n_edges, files_considered, dropped_for_budget, stale_omitted, stale_index, truncated, cast(included as bigint) as included, cast(json_bytes as bigint) as json_bytes,
+  coalesce((select string_agg(path || ':' || start_line || ':' || end_line, ',' order by t.k) from taken t where t.query_id = p.query_id and t.k <= p.k), '') as items,
+  coalesce((select string_agg("from" || '>' || "to" || ':' || kind || ':' || confidence, ',' order by ord, "from", "to", kind) from shown e where e.query_id = p.query_id and e.k <= p.k), '') as edges from packed p""")
+def package_assembly(t: Tables) -> DataFrame:
+    """The packages of seven questions from their filled spans, with edges among all that they quote, under the size limit."""
+    filled = written(_filled(t, 1000), "filled")
+    line, k = F.col("l_orderkey") % 7, F.col("doc_id")
+    followed = t.lineitem.select(line.cast("int").alias("query_id"), (F.col("l_partkey") * 7 + line).alias("src"), (F.col("l_suppkey") * 7 + line).alias("dst"), F.col("l_returnflag").alias("kind"), F.when(F.col("l_linestatus") == "F", "high").otherwise("low").alias("confidence"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"))
+    symbols = t.files().where(k % 2 == 0).select(k.alias("symbol_id"), "path", F.concat(F.lit("s"), k % 40).alias("name"))
+    q = rows(t, "query_id int, query string, budget int", [(n, f"question {n}", 1000 * (n + 1)) for n in range(7)])
+    considered = q.select("query_id", F.col("query_id").cast("long").alias("symbols"), (F.col("query_id") * 2).cast("long").alias("commits"))
+    p = packages.assembled(q, filled, packages.edges_shown(filled, followed, symbols), considered, "ok")
+    listed = F.array_join(F.transform("items", lambda i: F.concat_ws(":", i["path"], i["start_line"], i["end_line"])), ",")
+    arrows = F.array_join(F.transform("edges", lambda e: F.concat(e["from"], F.lit(">"), e["to"], F.lit(":"), e["kind"], F.lit(":"), e["confidence"])), ",")
+    return p.select(
+        "query_id", "used_tokens", F.size("items").cast("long").alias("n_items"), F.size("edges").cast("long").alias("n_edges"), *(f"stats.{c}" for c in ("files_considered", "dropped_for_budget", "stale_omitted", "stale_index", "truncated")),
+        F.col("stats.git.included").alias("included"), F.octet_length("json").cast("long").alias("json_bytes"), listed.alias("items"), arrows.alias("edges"),
+    )
+
+
 @query("""select doc_id, array_to_string((case when text = '' then [] else string_split(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '\\n$', ''), chr(10)) end)[2:4], chr(10)) as quoted from documents""")
 def line_slice_quote(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", T.line_slice(F.col("text"), F.lit(2), F.lit(4)).alias("quoted"))
