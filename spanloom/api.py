@@ -31,7 +31,7 @@ from .sources import drawers, gitlog, tree
 from .storage import saved
 
 FOLDER = ".spanloom"
-SCHEMA = 4
+SCHEMA = 5
 SEARCH_LIMIT, STALE_SAMPLE = 20, 20
 #: Columns that commits of older layouts lack, with their defaults.
 LATER = {"body": "''", "files": "cast(array() as array<string>)"}
@@ -80,6 +80,8 @@ def meta(root: str | Path) -> dict:
         out = json.loads((_home(root) / "CURRENT").read_text())
     except FileNotFoundError:
         raise NotInitialized(str(root)) from None
+    if out.get("segments") and out["schema_version"] != SCHEMA:  # files of an older layout are read anew by the next build
+        out |= {"retired": [*out.get("retired", []), *(s["name"] for s in out["segments"])], "segments": [], "built": None, "file_count": 0, "symbol_count": 0, "edge_count": 0, "token_count": 0}
     return {"git_status": "absent", "git_head": None, "commit_count": 0} | out  # what a snapshot of the first layout lacks
 
 
@@ -262,7 +264,7 @@ def _open(spark: SparkSession, root: str | Path) -> Index | None:
     log = _commits(spark, root, known)
     commits = log.read("commits").select("sha", "subject", "body", "files", "ord")
     of = lambda hashes: log.read("commits", hashes).select("sha", "subject", "ord")
-    return Index(store.read("files"), live, store.read("symbols"), store.read("edges").drop("path"), _texts(spark, root, known), commits, _texts(spark, root, known, True), log.read("commit_grams"), of)
+    return Index(store.read("files"), live, store.read("symbols"), store.read("edges").drop("path"), _texts(spark, root, known), commits, _texts(spark, root, known, True), log.read("commit_grams"), of, lambda seeds, n: build.touching_heads(store, seeds, n))
 
 
 def _no_index(spark: SparkSession) -> Index:

@@ -15,9 +15,9 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .operators import fulltext, mutate
+from .operators import fulltext, graph, mutate
 from .operators.resolve import definition_keys, reference_keys, resolved
-from .plans.context import subject_grams
+from .plans.context import CAP_NEIGHBORS, subject_grams
 from .segments import Segments, Table
 from .sources import tree
 from .storage import saved, together
@@ -28,6 +28,7 @@ FILE_TABLES = {
     "symbols": Table("symbol_id long, path string, ord int, name string, name_lc string, kind string, start_line int, end_line int, start_byte int, end_byte int, signature string", "path", "path"),
     "raw_edges": Table("path string, ord int, src_name string, dst_name string, kind string, confidence string", "path", "path"),
     "edges": Table("path string, src long, dst long, kind string, confidence string, ord int", "path", "path", "edges"),
+    "heads": Table("path string, node long, src long, dst long, kind string, confidence string, ord int, more boolean", "path", "node", "edges", sorted_by="node", of=("edges", lambda edges: graph.heads(edges, CAP_NEIGHBORS))),
     "defs": Table("key string, symbol_id long, path string, ord int, name string, name_lc string, kind string", "path", "key"),
     "refs": Table("key string, path string", "path", "key"),
     "lengths": Table("path string, dl int", "path", "path"),
@@ -107,6 +108,37 @@ def with_files(store: Segments, source: DataFrame, gone: DataFrame, work: str) -
     return store.with_segment(store.write(tables, what, n, n_gone)), change
 
 
+#: Seeds up to which the scan of their edges is told which they are.
+FEW_SEEDS = 20_000
+
+
+def touching_heads(store: Segments, seeds: DataFrame, per_seed: int) -> DataFrame:
+    """The edges that touch ``seeds`` (query_id, id, seed_ord), of each seed at least its first ``per_seed`` (``CAP_NEIGHBORS`` at most).
+
+    A segment has the first edges of each of its nodes in order of nodes, so a
+    hub's others are not read.  Where files that went have taken so many of them
+    that they do not suffice, that node's edges are read whole.
+    """
+    found = store.read("heads", marked=True)
+    ids = [r[0] for r in seeds.select("id").distinct().limit(FEW_SEEDS + 1).collect()]
+    if len(ids) <= FEW_SEEDS:
+        found = found.where(F.col("node").isin(ids))
+    columns = ["src", "dst", "kind", "confidence", "ord"]
+    mine = found.select("node", *columns, "more", "_segment", "_alive").join(seeds.withColumnRenamed("id", "node"), "node")
+    alive = mine.where("_alive").drop("more", "_segment", "_alive").withColumnRenamed("node", "id")
+    if not any(s.gone for s in store.listed):
+        return alive
+    short = found.groupBy("node", "_segment").agg(F.max("more").alias("more"), F.count_if("_alive").alias("n")).where(F.col("more") & (F.col("n") < per_seed)).select(F.col("node").alias("id")).distinct()
+    few = [r[0] for r in short.join(seeds.select("id").distinct(), "id", "left_semi").limit(FEW_SEEDS + 1).collect()]
+    if not few:
+        return alive
+    short = F.col("id").isin(few)
+    if len(few) > FEW_SEEDS:  # so many that all edges are met
+        short = F.lit(True)
+    whole = graph.touching(store.read("edges").select(*columns), seeds.where(short).withColumn("_id", F.col("id"))).withColumnRenamed("_id", "id")
+    return alive.where(~short).unionByName(whole.select(alive.columns))
+
+
 def with_commits(store: Segments, got: DataFrame, work: str) -> tuple[Segments, int, int]:
     """The state after the commits of ``got`` came in whose hash it lacks (of equal ones the first), their number and that of their tokens."""
     first = mutate.first_of(got, ["sha"], ["ord"])

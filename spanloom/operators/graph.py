@@ -15,15 +15,34 @@ def touching(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return out.unionByName(into)
 
 
+def by_node(edges: DataFrame) -> DataFrame:
+    """Edges beside each of their ends (column node); one from a node to itself once."""
+    return edges.withColumn("node", F.explode(F.array_distinct(F.array("src", "dst"))))
+
+
+def heads(edges: DataFrame, most: int) -> DataFrame:
+    """The first ``most`` edges of each node, in order, and whether it has ``more``; a hub's others go before they are shuffled."""
+    w = Window.partitionBy("node")
+    first = by_node(edges).withColumn("_n", F.row_number().over(w.orderBy("ord", "src", "dst", "kind"))).where(F.col("_n") <= most + 1)
+    return first.withColumn("more", F.max("_n").over(w) > most).where(F.col("_n") <= most).drop("_n")
+
+
+def nearest(touched: DataFrame, per_seed: int) -> DataFrame:
+    """The first ``per_seed`` of the edges that touch a seed (query_id, seed_ord, src, dst, kind, confidence, ord)."""
+    w = Window.partitionBy("query_id", "seed_ord").orderBy("ord", "src", "dst", "kind")
+    return touched.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= per_seed).drop("_n")
+
+
 def neighbors(edges: DataFrame, seeds: DataFrame, per_seed: int, most: int, kind: str | None = None) -> DataFrame:
+    """``chosen`` of each seed's first ``per_seed`` edges.  ``edges``: src, dst, kind, confidence, ord."""
+    return chosen(nearest(touching(edges, seeds), per_seed), seeds, most, kind)
+
+
+def chosen(near: DataFrame, seeds: DataFrame, most: int, kind: str | None = None) -> DataFrame:
     """Each query's neighbours: (query_id, other, and the edge that led there), surer edges first, each once, at most ``most``.
 
-    Edges between two seeds lead nowhere new.  ``kind`` is looked at after each
-    seed's first ``per_seed`` edges are taken.  ``edges``: src, dst, kind,
-    confidence, ord.
+    Edges between two seeds lead nowhere new.  ``kind``: only edges of this.
     """
-    w = Window.partitionBy("query_id", "seed_ord").orderBy("ord", "src", "dst", "kind")
-    near = touching(edges, seeds).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= per_seed).drop("_n")
     if kind is not None:
         near = near.where(F.col("kind") == kind)
     known = seeds.select("query_id", F.col("id"))

@@ -51,6 +51,12 @@ class Index:
     #: (gram, sha) of the commits' subjects, and what gives the commits of a table of hashes; without them subjects are searched one by one.
     grams: DataFrame | None = None
     commits_of: Callable[[DataFrame], DataFrame] | None = None
+    #: Gives, for seeds (query_id, id, seed_ord) and a number, the edges that touch them, of each seed at least so many of the first; without it all edges are met.
+    touching: Callable[[DataFrame, int], DataFrame] | None = None
+
+    def nearest(self, seeds: DataFrame, per_seed: int) -> DataFrame:
+        touched = graph.touching(self.edges, seeds) if self.touching is None else self.touching(seeds, per_seed)
+        return graph.nearest(touched, per_seed).select("query_id", "seed_ord", "src", "dst", "kind", "confidence", "ord")
 
 
 Keep = Callable[[DataFrame], DataFrame]
@@ -217,7 +223,8 @@ def candidate_spans(index: Index, q: DataFrame, phrases: DataFrame, keep: Keep =
     terms = q.select("query_id", F.posexplode("symbol_terms").alias("term_ord", "term"))
     accepted = keep(lookup.tagged(index.symbols, terms, CAP_SYMBOLS))
     seeds = accepted.select("query_id", F.col("symbol_id").alias("id"), F.col("hit_ord").alias("seed_ord"))
-    near = keep(graph.neighbors(index.edges, seeds, CAP_NEIGHBORS, CAP_NEIGHBORS))
+    first = keep(index.nearest(seeds, CAP_NEIGHBORS))
+    near = keep(graph.chosen(first, seeds, CAP_NEIGHBORS))
     hits = searched.result()
 
     spans = accepted.select(*_span(_at(1, F.lit(0), F.col("hit_ord")), _symbol_why(F.col("exact"))))
@@ -255,7 +262,8 @@ def candidate_spans(index: Index, q: DataFrame, phrases: DataFrame, keep: Keep =
     decided = keep(lookup.tagged(decisions, wanted, CAP_DECISIONS))
     spans = spans.unionByName(decided.select(*_span(_at(4, F.lit(0), F.col("hit_ord")), _symbol_why(F.col("exact"), F.lit("decision")))))
     by = decided.select("query_id", F.col("symbol_id").alias("id"), F.col("hit_ord").alias("seed_ord"))
-    older = graph.neighbors(index.edges, by, CAP_SUPERSEDES, CAP_SUPERSEDES, "supersedes")
+    before = keep(index.nearest(by, CAP_SUPERSEDES))
+    older = graph.chosen(before, by, CAP_SUPERSEDES, "supersedes")
     replaced = older.select("query_id", F.col("other").alias("symbol_id"), "confidence", "rank").join(index.symbols, "symbol_id")
     spans = spans.unionByName(replaced.select(*_span(_at(5, F.lit(0), F.col("rank")), F.array(F.lit("decision"), F.lit("supersedes_neighbor")), **sure)))
 
@@ -263,8 +271,8 @@ def candidate_spans(index: Index, q: DataFrame, phrases: DataFrame, keep: Keep =
     as_span = commits.withColumns({"path": F.concat(F.lit("git://"), "sha"), "start_line": F.lit(1), "end_line": F.lit(1), "name": F.left("sha", F.lit(7)), "kind": F.lit("commit")})
     spans = spans.unionByName(as_span.select(*_span(_at(6, F.lit(0), F.col("rank")), F.array(F.lit("commit"), F.lit("commit_fts")), fts_norm=F.col("norm"), prequoted=T.commit_text(F.col("subject"), F.col("body")))))
 
-    followed = graph.touching(index.edges, seeds).select("query_id", "src", "dst", "kind", "confidence", _at(1, F.col("seed_ord"), F.col("ord")).alias("ord"))
-    followed = followed.unionByName(graph.touching(index.edges.where("kind = 'supersedes'"), by).select("query_id", "src", "dst", "kind", "confidence", _at(2, F.col("seed_ord"), F.col("ord")).alias("ord")))
+    followed = first.select("query_id", "src", "dst", "kind", "confidence", _at(1, F.col("seed_ord"), F.col("ord")).alias("ord"))
+    followed = followed.unionByName(before.where("kind = 'supersedes'").select("query_id", "src", "dst", "kind", "confidence", _at(2, F.col("seed_ord"), F.col("ord")).alias("ord")))
     counts = accepted.select("query_id").unionByName(near.select("query_id")).groupBy("query_id").agg(F.count("*").alias("symbols_considered"))
     return spans, followed, counts, commits.select("query_id", "sha", "files")
 

@@ -179,16 +179,27 @@ def neighbors_union(t: Tables) -> DataFrame:
     return graph.touching(_distinct_edges(t), _seeds(t).withColumn("seed", F.col("id"))).select("query_id", "seed", "src", "dst", "kind", "confidence")
 
 
-@query(f"""with {EDGES}, {_DISTINCT}, {_SEEDS},
+_NEIGHBORS = f"""with {EDGES}, {_DISTINCT}, {_SEEDS},
 near as (select s.query_id, s.seed_ord, e.* from e join seeds s on e.src = s.id or e.dst = s.id qualify row_number() over (partition by s.query_id, s.seed_ord order by e.ord, src, dst, kind) <= 40),
 sided as (select n.*, exists (select 1 from seeds s where s.query_id = n.query_id and s.id = n.src) as s, exists (select 1 from seeds s where s.query_id = n.query_id and s.id = n.dst) as d from near n),
 new as (select *, case when s then dst else src end as other, case when confidence = 'high' then 0 else 1 end as low from sided where s <> d),
 once as (select * from new qualify row_number() over (partition by query_id, other order by low, seed_ord, ord, src, dst, kind) = 1)
-select query_id, other, src, dst, kind, confidence, row_number() over (partition by query_id order by low, seed_ord, ord, src, dst, kind) as rank from once qualify rank <= 40""")
+select query_id, other, src, dst, kind, confidence, row_number() over (partition by query_id order by low, seed_ord, ord, src, dst, kind) as rank from once qualify rank <= 40"""
+
+
+@query(_NEIGHBORS)
 def neighbors_high_then_low_cap(t: Tables) -> DataFrame:
     return graph.neighbors(_distinct_edges(t), _seeds(t), 40, 40).select("query_id", "other", "src", "dst", "kind", "confidence", "rank")
 
 
+@query(_NEIGHBORS)
+def neighbors_of_heads(t: Tables) -> DataFrame:
+    """The same from stored first edges of each node, as an index has them: of a hub only these are read."""
+    stored = written(graph.heads(_distinct_edges(t), 40), "heads")
+    near = graph.nearest(stored.join(_seeds(t).withColumnRenamed("id", "node"), "node"), 40)
+    return graph.chosen(near, _seeds(t), 40).select("query_id", "other", "src", "dst", "kind", "confidence", "rank")
+
+
 # -- full text ----------------------------------------------------------------------------------
 
 _DUCK_TOKENS = "regexp_extract_all(strip_accents(lower({})), '[\\p{{L}}\\p{{N}}]+')"

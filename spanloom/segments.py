@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import shutil
 import uuid
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 from pathlib import Path
@@ -46,6 +47,8 @@ class Table:
     kind: str = "all"
     #: Kept in ranges of this column instead of buckets.
     sorted_by: str | None = None
+    #: Made of another table of its segment, and anew when segments are merged.
+    of: tuple[str, Callable[[DataFrame], DataFrame]] | None = None
 
 
 @dataclass(frozen=True)
@@ -70,8 +73,11 @@ class Segments:
     def _path(self, segment: Segment, table: str) -> str:
         return f"{self.folder}/{segment.name}/{table}"
 
-    def read(self, name: str, keys: DataFrame | None = None) -> DataFrame:
-        """A table's rows that are alive; ``keys``: only those of these values (column named as the table's ``by``)."""
+    def read(self, name: str, keys: DataFrame | None = None, marked: bool = False) -> DataFrame:
+        """A table's rows that are alive; ``keys``: only those of these values (column named as the table's ``by``).
+
+        ``marked``: also those that are not, with the columns _segment and _alive.
+        """
         table = self.tables[name]
         schema = StructType.fromDDL(table.ddl)
         parts = None
@@ -83,10 +89,15 @@ class Segments:
             part = part.select(*schema.names, F.lit(k).alias("_segment"))
             parts = part if parts is None else parts.unionByName(part)
         if parts is None:
-            return self.spark.createDataFrame([], schema)
+            return self.spark.createDataFrame([], schema if not marked else StructType.fromDDL(f"{table.ddl}, _segment int, _alive boolean"))
         if keys is not None:
             parts = parts.join(keys.select(table.by), table.by, "left_semi")
         gone = self._gone(table) if table.key else None
+        if marked:
+            if gone is None:
+                return parts.withColumn("_alive", F.lit(True))
+            dead = parts.join(gone.withColumnRenamed("_gone", table.key), table.key, "left")
+            return dead.withColumn("_alive", F.col("_since").isNull() | (F.col("_segment") >= F.col("_since"))).select(*schema.names, "_segment", "_alive")
         if gone is not None:
             parts = parts.join(gone, (F.col(table.key) == F.col("_gone")) & (F.col("_segment") < F.col("_since")), "left_anti")
         return parts.select(*schema.names)
@@ -111,7 +122,8 @@ class Segments:
         return {n: sorted({h % n for h in hashes}) for n in counts} if len(hashes) <= FEW_KEYS else None
 
     def write(self, tables: dict[str, DataFrame], gone: DataFrame | None, size: int, n_gone: int) -> Segment:
-        """A new segment of these tables; it is not listed yet."""
+        """A new segment of these tables, and of those made of them; it is not listed yet."""
+        tables = tables | {n: t.of[1](tables[t.of[0]]) for n, t in self.tables.items() if t.of}
         segment = Segment(f"segment-{uuid.uuid4().hex}", size + n_gone, n_gone, min(MOST_BUCKETS, max(1, size // KEYS_A_BUCKET)))
         jobs = [lambda n=n, df=df: self._write_table(segment, n, df) for n, df in tables.items()]
         if n_gone:
@@ -147,7 +159,7 @@ class Segments:
     def _merged(self, first: int) -> Segments:
         some = replace(self, listed=self.listed[first:])
         keys = sum(s.size for s in some.listed)
-        tables = {n: some.read(n) for n in self.tables}
+        tables = {n: some.read(n) for n, t in self.tables.items() if not t.of}
         gone, n = None, 0
         if first:  # older segments still have rows of these keys
             for s in some.listed:

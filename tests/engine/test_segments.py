@@ -3,10 +3,12 @@
 import json
 import random
 import shutil
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
 from spanloom import api, build, segments
+from spanloom.operators import graph
 from spanloom.segments import Segments, Table
 
 from .test_engine import FakeGit, NoGit, write
@@ -179,3 +181,32 @@ def test_stream_keeps_an_index(spark, tmp_path):
     again = last_of(spark.createDataFrame([("a.py", "def late(): pass\n", False, None)], "path string, content string, deleted boolean, at timestamp"))
     assert not api.apply_changes(spark, root, again, (str(tmp_path / "cp"), 2)) and tables_of(spark, root)["files"] == kept["files"]
     assert api.apply_changes(spark, root, again, (str(tmp_path / "cp"), 3)) and [r.path for r in api.search_symbols(spark, root, "late").collect()] == ["a.py"]
+
+
+def test_heads(spark, tmp_path):
+    """First edges of nodes: a hub's others are not read, and what went does not hide what comes next."""
+    rng = random.Random(5)
+    some = {n: build.FILE_TABLES[n] for n in ("edges", "heads")}
+    seeds = spark.createDataFrame([(1, 0, 0), (1, 7, 1), (2, 0, 3), (2, 99_999, 4)], "query_id int, id long, seed_ord int")
+    store, alive = Segments(spark, str(tmp_path), some), {}
+    columns = "path string, src long, dst long, kind string, confidence string, ord int"
+    plain = lambda df: sorted(map(tuple, df.select("query_id", "seed_ord", "src", "dst", "kind", "confidence", "ord").collect()))
+    for step, paths in enumerate((["a", "b", "c", "d", "e", "f"], ["a", "b"], ["c", "d", "e"])):
+        # the first segment's hub loses the files that all its first edges are of
+        new = {p: [(p, rng.choice([0, 7, 100 + k]), rng.choice([0, 0, 7, 500 + k]), "call", "high", 1000 * "abcdef".index(p) + k) for k in range(200 if not step else 3)] for p in paths}
+        gone = spark.createDataFrame([(p, "edges") for p in paths if p in alive], "key string, what string")
+        alive |= new
+        n = gone.count()
+        segment = store.write({"edges": spark.createDataFrame([e for es in new.values() for e in es], columns)}, gone, len(paths), n)
+        store = replace(store, listed=(*store.listed, segment)) if step < 2 else store.with_segment(segment)
+        edges = spark.createDataFrame([e for es in alive.values() for e in es], columns)
+        for most in (40, 10):
+            met = build.touching_heads(store, seeds, most)
+            want = graph.nearest(graph.touching(edges.drop("path"), seeds), most)
+            assert plain(graph.nearest(met, most)) == plain(want) and want.count() == 3 * most
+            if not step:
+                assert met.count() == 3 * 40 < graph.touching(edges.drop("path"), seeds).count() / 4
+    merged = store._merged(0)
+    assert len(merged.listed) == 1 and plain(graph.nearest(build.touching_heads(merged, seeds, 40), 40)) == plain(graph.nearest(build.touching_heads(store, seeds, 40), 40))
+    empty = Segments(spark, str(tmp_path), some)
+    assert build.touching_heads(empty, seeds, 40).count() == 0 == build.touching_heads(store, seeds.limit(0), 40).count()
