@@ -131,9 +131,9 @@ def index_tree(spark: SparkSession, root: str | Path, force: bool = False, below
     left_over = _left_over(home, known)
     work = home / f"build-{uuid.uuid4().hex}"
     store = _files(spark, root, known)
-    paths = tree.list_tree(walk, root)
+    paths, n_paths = tree.list_files(spark, walk, root, str(work))
     # only names, sizes and hashes are kept of files that did not change
-    scan = saved(tree.with_skip_kind(tree.read_files(spark, walk, paths, prefix)).select("path", "hash", "skip_kind"), str(work / "scan"))
+    scan = saved(tree.with_skip_kind(tree.read_paths(tree.dealt(paths, n_paths), walk, prefix)).select("path", "hash", "skip_kind"), str(work / "scan"))
     diff = mutate.scoped_diff(store.read("files"), scan.where("skip_kind = 'keep'"), prefix)
     counted = scan.groupBy(F.concat(F.lit("skip "), "skip_kind").alias("k")).count().unionByName(diff.groupBy(F.col("status").alias("k")).count())
     counts = Counter({r.k: r["count"] for r in counted.collect()})
@@ -163,7 +163,7 @@ def index_tree(spark: SparkSession, root: str | Path, force: bool = False, below
     _point(home, content)
     segments.drop(home, [work.name, *left_over, *known.get("retired", [])])
     return IndexStats(
-        len(paths), counts["added"] + counts["changed"] + (counts["unchanged"] if force else 0), 0 if force else counts["unchanged"], counts["deleted"],
+        n_paths, counts["added"] + counts["changed"] + (counts["unchanged"] if force else 0), 0 if force else counts["unchanged"], counts["deleted"],
         counts["skip secret_name"] + counts["skip secret_content"], counts["skip large"], counts["skip ignore"] + counts["skip binary"], counts["skip unreadable"] + now.errors,
     )
 

@@ -1,4 +1,4 @@
-"""Source trees: listing with ignore rules on the driver, reading on the executors."""
+"""Source trees: listing with ignore rules, on the executors where a tree is large, and reading there."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..storage import saved
 
 IGNORE_FILES = (".gitignore", ".spanloomignore")
 
@@ -52,53 +53,126 @@ def ignore_pattern(line: str, folder: str) -> tuple[re.Pattern, bool, bool] | No
     return re.compile(above + ("" if anchored else "(?:.*/)?") + "".join(out)), negated, dirs
 
 
-class IgnoreRules:
-    """Rules of ignore files seen so far; the last one that matches a path decides. A file that can't be read ignores all below it."""
+Source = tuple[str, str]  # an ignore file, and the folder that its rules begin at
 
-    def __init__(self):
-        self.rules: list = []
 
-    def read(self, file: Path, folder: str) -> None:
-        try:
-            lines = file.read_text("utf-8", "replace").split("\n")
-        except FileNotFoundError:
-            return
-        except OSError:
-            lines = ["*"]
-        self.rules += [r for line in lines if (r := ignore_pattern(line, folder))]
+class _Walk:
+    """Steps over the folders below ``root``; a folder comes with the ignore files that count in it, outer ones first.
 
-    def ignored(self, path: str, is_dir: bool) -> bool:
-        for pattern, negated, dirs in reversed(self.rules):
-            if (is_dir or not dirs) and pattern.fullmatch(path):
-                return not negated
-        return False
+    The last rule that matches a path decides.  An ignore file that can't be
+    read ignores all below it; a folder that can't be read has nothing.
+    """
 
+    def __init__(self, root: str | Path):
+        self.root, self.parsed = str(root), {}
+
+    def rules(self, source: Source) -> list:
+        if source not in self.parsed:
+            file, folder = source
+            try:
+                lines = Path(file).read_text("utf-8", "replace").split("\n")
+            except FileNotFoundError:
+                lines = []
+            except OSError:
+                lines = ["*"]
+            self.parsed[source] = [r for line in lines if (r := ignore_pattern(line, folder))]
+        return self.parsed[source]
+
+    def ignored(self, sources: list[Source], path: str, is_dir: bool) -> bool:
+        for source in reversed(sources):
+            for pattern, negated, dirs in reversed(self.rules(source)):
+                if (is_dir or not dirs) and pattern.fullmatch(path):
+                    return not negated
+        return False
 
-def list_tree(root: str | Path, workspace: str | Path | None = None) -> list[str]:
-    """Relative paths of regular files, sorted: nothing hidden, none of the skipped folders, nothing that ignore files name."""
-    root, rules, out = Path(root), IgnoreRules(), []
-    if workspace is not None and Path(workspace) != root:
-        rules.read(Path(workspace) / IGNORE_FILES[1], "")
-    todo = [""]
-    while todo:
-        folder = todo.pop()
-        for name in IGNORE_FILES if not folder else IGNORE_FILES[:1]:
-            rules.read(root / folder / name, folder)
-        for e in sorted(os.scandir(root / folder), key=lambda e: e.name):
+    def step(self, folder: str, sources: list[Source]) -> tuple[list[str], list[tuple[str, list[Source]]]]:
+        """(files, folders) of a folder, relative to the root."""
+        here = os.path.join(self.root, folder)
+        own = [(os.path.join(here, name), folder) for name in (IGNORE_FILES if not folder else IGNORE_FILES[:1])]
+        sources = [*sources, *(s for s in own if self.rules(s))]
+        files, folders = [], []
+        try:
+            entries = [*os.scandir(here)]
+        except OSError:
+            if not folder:
+                raise
+            return files, folders
+        for e in entries:
             path = f"{folder}/{e.name}" if folder else e.name
             is_dir = e.is_dir(follow_symlinks=False)
-            if e.name.startswith(".") or rules.ignored(path, is_dir):
+            if e.name.startswith(".") or self.ignored(sources, path, is_dir):
                 continue
             if is_dir and e.name not in T.SKIP_DIRS:
-                todo.append(path)
+                folders.append((path, sources))
             elif e.is_file(follow_symlinks=False):
-                out.append(path)
-    return sorted(out)
+                files.append(path)
+        return files, folders
+
+    def some(self, todo: list[tuple[str, list[Source]]], most: float) -> list[str]:
+        """Files of the folders ``todo`` and below; beyond ``most`` files and folders, what is left to do stays in ``todo``."""
+        out, seen = [], 0
+        while todo and seen <= most:
+            files, folders = self.step(*todo.pop())
+            out += files
+            todo += folders
+            seen += len(files) + 1
+        return out
+
+
+def _begin(root: Path, workspace: str | Path | None) -> list[tuple[str, list[Source]]]:
+    outer = [(str(Path(workspace) / IGNORE_FILES[1]), "")] if workspace is not None and Path(workspace) != root else []
+    return [("", outer)]
 
 
-def read_files(spark: SparkSession, root: str | Path, paths: list[str], prefix: str = "") -> DataFrame:
-    """``read_paths`` of a list of paths."""
-    return read_paths(dealt(spark.createDataFrame([(p,) for p in paths], "path string"), len(paths)), root, prefix)
+def list_tree(root: str | Path, workspace: str | Path | None = None) -> list[str]:
+    """Relative paths of regular files, sorted: nothing hidden, none of the skipped folders, nothing that ignore files name."""
+    return sorted(_Walk(root).some(_begin(Path(root), workspace), float("inf")))
+
+
+#: Files and folders that the driver looks at before executors go on, and that a task looks at before what is left is dealt out again.
+DRIVER_ENTRIES, TASK_ENTRIES = 20_000, 50_000
+_LISTED = "path string, sources array<struct<file:string,folder:string>>"
+
+
+def list_files(spark: SparkSession, root: str | Path, workspace: str | Path | None, work: str) -> tuple[DataFrame, int]:
+    """``list_tree`` as a table (path) and its number of rows; only a small tree is walked by the driver alone.
+
+    Of a large one the folders that are left after ``DRIVER_ENTRIES`` are dealt
+    over tasks.  A task gives back, after ``TASK_ENTRIES``, the folders that it
+    has not come to, and these are dealt again, so a deep or large part of the
+    tree is not one task's.  Folders carry the names of the ignore files that
+    count in them.  The entries of one folder are read by one task.  ``work``: a
+    folder for the tables of the passes.
+    """
+    base, todo = str(root), _begin(Path(root), workspace)
+    walk = _Walk(root)
+    first = walk.some(todo, DRIVER_ENTRIES)
+    local = spark.createDataFrame([(p,) for p in first], "path string")
+    if not todo:
+        return local, len(first)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        walk, todo, seen = _Walk(base), [], 0
+        source = pa.list_(pa.struct([("file", pa.string()), ("folder", pa.string())]))
+        rows = lambda paths, sources: pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(sources, source)], names=["path", "sources"])
+        for batch in batches:
+            todo += [(f, [(s["file"], s["folder"]) for s in sources]) for f, sources in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+        while todo and seen <= TASK_ENTRIES:
+            files, folders = walk.step(*todo.pop())
+            todo += folders
+            seen += len(files) + 1
+            yield rows(files, [None] * len(files))
+        yield rows([f for f, _ in todo], [[{"file": a, "folder": b} for a, b in sources] for _, sources in todo])
+
+    left, n, turn = spark.createDataFrame(todo, _LISTED), len(todo), 0
+    out, total = local, len(first)
+    while n:
+        tasks = max(1, min(n, 4 * spark.sparkContext.defaultParallelism))
+        found = saved(left.repartition(tasks).mapInArrow(run, _LISTED), f"{work}/listed-{turn}")
+        counted = found.agg(F.count("sources").alias("left"), F.count("*").alias("all")).first()
+        left, n, turn = found.where("sources is not null"), counted.left, turn + 1
+        out, total = out.unionByName(found.where("sources is null").select("path")), total + counted["all"] - n
+    return out, total
 
 
 def dealt(paths: DataFrame, n: int) -> DataFrame:
