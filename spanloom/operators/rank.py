@@ -2,6 +2,7 @@
 
 A span has: query_id, ord (order of arrival), path, start_line, end_line,
 symbol, kind, why (array), fts_norm, neighbor_high, neighbor_low, prequoted.
+Spans of one ord may have a place ``at`` too, which says which of them is first.
 """
 
 from __future__ import annotations
@@ -30,8 +31,9 @@ def _together(order: Column) -> list[Column]:
 
 
 def fuse(spans: DataFrame) -> DataFrame:
-    """One span for each query, path and line range."""
-    return spans.groupBy("query_id", "path", "start_line", "end_line").agg(F.min("ord").alias("ord"), *_together(F.col("ord")))
+    """One span for each query, path and line range; where neither ``ord`` nor ``at`` decides, the symbol's name and kind do."""
+    order = F.struct("ord", *(["at"] if "at" in spans.columns else []), "symbol", "kind", "prequoted")
+    return spans.groupBy("query_id", "path", "start_line", "end_line").agg(F.min("ord").alias("ord"), *_together(order))
 
 
 def score(why: Column, fts_norm: Column, high: Column, low: Column, hinted: Column, same_file: Column) -> Column:

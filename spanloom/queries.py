@@ -438,6 +438,7 @@ def _spans(t: Tables) -> DataFrame:
         F.col("l_quantity").cast("int").alias("start_line"), (F.col("l_quantity") + F.col("l_linenumber") % 4).cast("int").alias("end_line"), F.when(named, F.concat(F.lit("s"), "l_partkey")).alias("symbol"), F.when(named, F.col("l_returnflag")).alias("kind"),
         F.when(d < 0.03, F.array(F.lit("exact_symbol"))).when(d < 0.06, F.array(F.lit("fts"), F.lit("prefix_symbol"))).otherwise(F.array(F.lit("fts"))).alias("why"), (1.0 / F.col("l_linenumber")).alias("fts_norm"),
         (F.col("l_returnflag") == "A").alias("neighbor_high"), (F.col("l_returnflag") == "N").alias("neighbor_low"), F.lit(None).cast("string").alias("prequoted"),
+        F.struct("_metadata.file_path", "_metadata.row_index").alias("at"),  # keys repeat: of equal ones the table's first row is first
     )
 
 
