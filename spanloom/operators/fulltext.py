@@ -28,6 +28,10 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 STREAM = 1 << 40
 #: Wanted terms up to which a scan tests tokens against a set, without a join.
 FEW_TERMS = 20_000
+#: Rows of what is asked for that go to every task.
+FEW_ASKED = 200_000
+#: Tokens whose hits are one task's.
+TOKENS_A_TASK = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -82,26 +86,72 @@ def by_term(postings: DataFrame, key: str = "path") -> DataFrame:
     return postings.repartitionByRange("term", key).sortWithinPartitions("term", key)
 
 
+def _kept(files: DataFrame, keep: tuple[list[str], list[str]] | None, key: str, columns: tuple[str, ...]) -> DataFrame:
+    """Places (key, term, places, dl) of the terms that are in, or begin with, ``keep``, or of all; a document's are gathered where it lies.
+
+    A length stands beside them, as that of the empty term.
+    """
+    id_type, width = files.schema[key].dataType, len(columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+        import pyarrow.compute as pc
+
+        rows = lambda ids, terms, ends, places, dl: pa.RecordBatch.from_arrays([ids, terms, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(places, pa.int64())), pa.array(dl, pa.int32())], names=[key, "term", "places", "dl"])
+        for batch in batches:
+            ids, streams = batch.column(0), batch.column(1).flatten()
+            sizes = streams.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            dl = sizes.reshape(-1, width).sum(axis=1)
+            yield rows(ids, pa.array([""] * len(ids), pa.string()), np.arange(len(ids) + 1), np.zeros(len(ids), np.int64), dl)
+            coded = streams.flatten().dictionary_encode()
+            terms, code = coded.dictionary.cast(pa.string()), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            if not len(code):
+                continue
+            begins = np.cumsum(sizes) - sizes
+            if keep is None:
+                at = np.arange(len(code))
+            else:
+                of = pc.is_in(terms, value_set=pa.array(keep[0], pa.string()))
+                for start in keep[1]:
+                    of = pc.or_(of, pc.starts_with(terms, start))
+                at = np.flatnonzero(of.to_numpy(zero_copy_only=False)[code])
+            stream = np.searchsorted(begins + sizes, at, side="right")
+            place, code, doc = at - begins[stream] + stream % width * STREAM, code[at], stream // width
+            order = np.argsort(doc * len(terms) + code, kind="stable")
+            doc, code, place = doc[order], code[order], place[order]
+            first = np.flatnonzero(np.diff(doc * len(terms) + code, prepend=-1))
+            if len(first):
+                yield rows(ids.take(pa.array(doc[first])), terms.take(pa.array(code[first])), np.append(first, len(doc)), place, dl[doc[first]])
+
+    return files.select(key, F.array(*_streams(columns)).alias("streams")).mapInArrow(run, f"`{key}` {id_type.simpleString()}, term string, places array<bigint>, dl int")
+
+
+def _each_once(postings: DataFrame, key: str) -> DataFrame:
+    """``postings`` in which documents of one key are one document."""
+    again = postings.where("term = ''").groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_n")).where("_n > 1").select("_key")
+    if again.isEmpty():
+        return postings
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    merged = postings.join(again, same, "left_semi").groupBy(key, "term").agg(F.sort_array(F.flatten(F.collect_list("places"))).alias("places"), F.first("dl").alias("dl"))
+    return written(postings.join(again, same, "left_anti").unionByName(merged.withColumn("places", F.when(F.col("term") == "", F.array(F.lit(0).cast("long"))).otherwise(F.col("places")))), "postings")
+
+
 def scanned(files: DataFrame, wanted: DataFrame, key: str = "path", columns: tuple[str, ...] = ("path", "content")) -> TextIndex:
     """A search's own index, where none is stored: one pass over ``files`` that keeps lengths and the places of ``wanted``'s terms.
 
-    Other terms are dropped before a document's tokens become rows, or, where
-    ``FEW_TERMS`` are exceeded, before they are shuffled; what is left is written
-    to the shared folder.  A length stands beside the terms, as that of the empty term.
+    Tokens are not shuffled: a document's are gathered in its task, other terms
+    dropped there (where ``FEW_TERMS`` are exceeded, by a join), and what is
+    left is written to the shared folder.
     """
     single = wanted.select(F.explode("toks").alias("term")).distinct()
     starts = sorted({r[0] for r in wanted.where("prefix and size(toks) > 0").select(F.element_at("toks", -1)).collect()})  # bounded: the phrases asked for
     some = [r[0] for r in single.limit(FEW_TERMS + 1).collect()]
-    begins = lambda t: F.exists(F.lit(starts), lambda s: F.startswith(t, s)) if starts else F.lit(False)
-    keep = (lambda t: t.isin(some) | begins(t)) if len(some) <= FEW_TERMS else (lambda t: F.lit(True))
-    entry = lambda t, place, n: F.struct(t.alias("term"), place.cast("long").alias("place"), n.alias("dl"))
-    n = lambda streams: F.aggregate(streams, F.lit(0), lambda a, s: a + F.size(s))
-    placed = lambda streams: F.flatten(F.transform(streams, lambda s, k: F.filter(F.transform(s, lambda t, i: entry(t, k.cast("long") * STREAM + i, n(streams))), lambda e: keep(e["term"]))))
-    each = lambda streams: F.concat(F.array(entry(F.lit(""), F.lit(0), n(streams))), placed(streams))
-    flat = files.select(key, F.inline(F.flatten(F.transform(F.array(F.array(*_streams(columns))), each))))  # an array of one, so that a text is cut once
-    if len(some) > FEW_TERMS:
-        flat = flat.join(single.withColumn("_asked", F.lit(True)), "term", "left").where(F.col("_asked") | (F.col("term") == "") | begins(F.col("term")))
-    counted = written(flat.groupBy(key, "term").agg(F.sort_array(F.collect_list("place")).alias("places"), F.first("dl").alias("dl")), "postings")
+    few = len(some) <= FEW_TERMS
+    flat = _kept(files, (some, starts) if few else None, key, columns)
+    if not few:
+        begins = F.exists(F.lit(starts), lambda s: F.startswith("term", s)) if starts else F.lit(False)
+        flat = flat.join(single.withColumn("_asked", F.lit(True)), "term", "left").where(F.col("_asked") | (F.col("term") == "") | begins).select(key, "term", "places", "dl")
+    counted = _each_once(written(flat, "postings"), key)
     return TextIndex(counted.where("term = ''").select(key, "dl"), counted.where("term <> ''"), key)
 
 
@@ -128,10 +178,23 @@ def _matching(ix: TextIndex, each: DataFrame, asked: list[str]) -> DataFrame:
     return each.where("not begins").unionByName(each.where("begins").withColumnRenamed("term", "_p").join(found, "_p").select(each.columns))
 
 
+def _small(asked: DataFrame) -> DataFrame:
+    """``asked`` for every task, unless it is large."""
+    return F.broadcast(asked) if asked.limit(FEW_ASKED + 1).count() <= FEW_ASKED else asked
+
+
+def _by_document(ix: TextIndex, found: DataFrame) -> DataFrame:
+    """Hits of a document in one task: what is then grouped by query and document is not shuffled again."""
+    n, avgdl = ix.size()
+    often = min(found.sparkSession.sparkContext.defaultParallelism, int(20 * n * avgdl / TOKENS_A_TASK) + 1)
+    return found.repartition(max(often, int(n * avgdl / TOKENS_A_TASK) + 1), ix.key)
+
+
 def phrases(ix: TextIndex, wanted: DataFrame) -> DataFrame:
     """(query_id, phrase_ord, key, starts, tf, dl) of ``wanted``'s phrases in documents that have them; ``starts`` are the places where one begins.
 
-    ``wanted``: query_id, phrase_ord, toks, prefix (of the last token), and perhaps ``columns`` and ``first``.
+    ``wanted``: query_id, phrase_ord, toks, prefix (of the last token), and perhaps ``columns``, ``first`` and ``distance``.
+    A posting of a phrase of one token, which no place restricts, is its answer as it lies, and has no ``starts``.
     """
     key = ix.key
     for name, default in (("columns", "cast(null as array<int>)"), ("first", "false")):
@@ -139,15 +202,20 @@ def phrases(ix: TextIndex, wanted: DataFrame) -> DataFrame:
             wanted = wanted.withColumn(name, F.expr(default))
     some = wanted.where("size(toks) > 0")
     asked = sorted({r[0] for r in some.where("prefix").select(F.element_at("toks", -1)).collect()})  # bounded: the phrases asked for
-    named = some.select("query_id", "phrase_ord", "prefix", "columns", "first", F.size("toks").alias("n"), F.posexplode("toks").alias("k", "term"))
-    each = _matching(ix, named.withColumn("begins", F.col("prefix") & (F.col("k") == F.col("n") - 1)).drop("prefix"), asked)
+    named = some.select("query_id", "phrase_ord", "prefix", "columns", "first", F.size("toks").alias("n"), F.posexplode("toks").alias("k", "term"), (F.col("distance").isNotNull() if "distance" in some.columns else F.lit(False)).alias("near"))
+    alone = (F.col("n") == 1) & ~F.col("prefix") & F.col("columns").isNull() & ~F.col("first") & ~F.col("near")
+    each = _matching(ix, named.where(~alone).withColumn("begins", F.col("prefix") & (F.col("k") == F.col("n") - 1)).drop("prefix", "near"), asked)
     postings = ix.postings
     if ix.terms is not None and len(terms := sorted({t for r in some.select("toks").collect() for t in r[0]})) <= FEW_TERMS:
         of = F.col("term").isin(terms)  # reaches the scan, which is in order of terms
         for p in asked:
             of = of | F.startswith("term", F.lit(p))
         postings = postings.where(of)
-    met = postings.join(each, "term").select("query_id", "phrase_ord", "n", "columns", "first", key, "dl", "k", F.transform("places", lambda p: p - F.col("k")).alias("at"))
+    single = postings.select(key, "term", F.size("places").cast("long").alias("tf"), "dl").join(_small(named.where(alone).select("query_id", "phrase_ord", "term")), "term")
+    single = single.select("query_id", "phrase_ord", key, F.lit(None).cast("array<bigint>").alias("starts"), "tf", "dl")
+    if named.where(~alone).isEmpty():
+        return single
+    met = postings.join(_small(each), "term").select("query_id", "phrase_ord", "n", "columns", "first", key, "dl", "k", F.transform("places", lambda p: p - F.col("k")).alias("at"))
     # a token's places are those of all its terms; a phrase stands where all its tokens' lists agree
     whole = met.groupBy("query_id", "phrase_ord", key).agg(F.collect_list(F.struct("k", "at")).alias("parts"), *(F.first(c).alias(c) for c in ("n", "columns", "first", "dl")))
     places = lambda k: F.flatten(F.transform(F.filter("parts", lambda p: p["k"] == k), lambda p: p["at"]))
@@ -156,7 +224,7 @@ def phrases(ix: TextIndex, wanted: DataFrame) -> DataFrame:
     of = lambda s: (F.col("columns").isNull() | F.array_contains("columns", F.floor(s / STREAM).cast("int"))) & (~F.col("first") | (s % STREAM == 0))
     plain = F.col("columns").isNull() & ~F.col("first")
     placed = whole.where("n <= size(parts)").withColumn("starts", starts).withColumn("starts", F.when(plain, F.col("starts")).otherwise(F.filter("starts", of)))
-    return placed.where("size(starts) > 0").select("query_id", "phrase_ord", key, "starts", F.size("starts").cast("long").alias("tf"), "dl")
+    return single.unionByName(placed.where("size(starts) > 0").select("query_id", "phrase_ord", key, "starts", F.size("starts").cast("long").alias("tf"), "dl"))
 
 
 def near(found: DataFrame, asked: DataFrame, key: str = "path") -> DataFrame:
@@ -181,12 +249,22 @@ def _weight(tf: Column, dl: Column, avgdl: float) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.lit(avgdl)))
 
 
-def bm25_scores(ix: TextIndex, found: DataFrame) -> DataFrame:
-    """(query_id, key, score, have): summed weights of the phrases found, and how many they are."""
+def bm25_scores(ix: TextIndex, wanted: DataFrame) -> DataFrame:
+    """(query_id, key, score, have): summed weights of the phrases of ``wanted`` found, and how many they are.
+
+    A phrase is looked up once, however many queries ask for it, and hits are
+    dealt by document before they become rows of queries.
+    """
     n, avgdl = ix.size()
-    df = found.groupBy("query_id", "phrase_ord").agg(F.count("*").alias("df"))
-    weight = _idf(n) * _weight(F.col("tf"), F.col("dl"), avgdl)
-    return found.join(df, ["query_id", "phrase_ord"]).groupBy("query_id", ix.key).agg((-F.sum(weight)).alias("score"), F.count("*").alias("have"))
+    phrase = F.concat(F.array_join("toks", " "), F.when(F.col("prefix"), "*").otherwise(""))
+    asked = wanted.where("size(toks) > 0").select("query_id", phrase.alias("phrase_ord"), "toks", "prefix")
+    found = phrases(ix, asked.select(F.lit(0).alias("query_id"), "phrase_ord", "toks", "prefix").distinct()).select("phrase_ord", ix.key, "tf", "dl")
+    df = found.groupBy("phrase_ord").agg(F.count("*").alias("df"))
+    weighed = asked.select("query_id", "phrase_ord").join(df, "phrase_ord").select("query_id", "phrase_ord", _idf(n).alias("idf"))
+    if asked.limit(FEW_ASKED + 1).count() <= FEW_ASKED:
+        weighed = F.broadcast(weighed)
+    each = _by_document(ix, found.withColumn("w", _weight(F.col("tf"), F.col("dl"), avgdl)).drop("tf", "dl"))
+    return each.join(weighed, "phrase_ord").groupBy("query_id", ix.key).agg((-F.sum(F.col("idf") * F.col("w"))).alias("score"), F.count("*").alias("have"))
 
 
 def best(summed: DataFrame, most: int, key: str = "path") -> DataFrame:
@@ -197,7 +275,7 @@ def best(summed: DataFrame, most: int, key: str = "path") -> DataFrame:
 
 def search(ix: TextIndex, wanted: DataFrame, any_of: bool, most: int) -> DataFrame:
     """BM25 hits of ``wanted`` phrases under AND, or under OR if ``any_of``."""
-    summed = bm25_scores(ix, phrases(ix, wanted))
+    summed = bm25_scores(ix, wanted)
     if not any_of:
         summed = summed.join(wanted.groupBy("query_id").agg(F.count("*").alias("need")), "query_id").where("have >= need")
     return best(summed, most, ix.key)
@@ -236,7 +314,7 @@ def search_expressions(ix: TextIndex, wanted: DataFrame, most: int) -> DataFrame
     per_query = groups.where("size(need) > 0").groupBy("query_id").agg(F.collect_list(F.struct("need", "bad")).alias("groups"), F.array_distinct(F.flatten(F.collect_list("need"))).alias("positive"))
     n, avgdl = ix.size()
     df = everywhere.groupBy("query_id", "phrase_ord").agg(F.count("*").alias("df"))
-    weighed = found.select("query_id", "phrase_ord", key, _weight(F.col("tf"), F.col("dl"), avgdl).alias("w")).join(df, ["query_id", "phrase_ord"])
+    weighed = _by_document(ix, found.select("query_id", "phrase_ord", key, _weight(F.col("tf"), F.col("dl"), avgdl).alias("w"))).join(F.broadcast(df), ["query_id", "phrase_ord"])
     hits = weighed.groupBy("query_id", key).agg(F.collect_list(F.struct("phrase_ord", (_idf(n) * F.col("w")).alias("w"))).alias("hits")).join(F.broadcast(per_query), "query_id")
     have = F.transform("hits", lambda h: h["phrase_ord"])
     answers = hits.where(F.exists("groups", lambda g: (F.size(F.array_except(g["need"], have)) == 0) & ~F.arrays_overlap(g["bad"], have)))

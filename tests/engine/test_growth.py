@@ -1,6 +1,8 @@
 """What shows only on large or odd tables: ties, long files, hubs, frequent words."""
 
-from spanloom.operators import rank
+import re
+
+from spanloom.operators import fulltext, rank
 
 
 def test_fuse_ties(spark):
@@ -11,3 +13,20 @@ def test_fuse_ties(spark):
     spans = spark.createDataFrame(rows, f"{ddl}, at int").coalesce(1)
     assert {r.path: r.symbol for r in rank.fuse(spans).collect()} == {"a": "y", "b": "x"}
     assert {r.path: r.symbol for r in rank.fuse(spans.drop("at")).collect()} == {"a": "x", "b": "x"}
+
+
+def _asked(spark, rows):
+    return spark.createDataFrame(rows, "query_id int, phrase_ord int, toks array<string>, prefix boolean")
+
+
+def test_search_is_dealt_by_document(spark):
+    """Hits of many queries are no rows that are shuffled by query and document, and documents of one key are one."""
+    files = spark.createDataFrame([(k % 9, f"the w{k % 4} w{k % 7}, the end") for k in range(40)], "id long, text string")
+    wanted = _asked(spark, [(q, k, [w], False) for q in range(30) for k, w in enumerate(["the", f"w{q % 7}", "nothing"])])
+    ix = fulltext.scanned(files, wanted, "id", ("text",))
+    assert ix.lengths.count() == 9
+    assert {(r.id, r.n) for r in ix.postings.where("term = 'the'").selectExpr("id", "size(places) n").collect()} == {(k, 10 if k < 4 else 8) for k in range(9)}
+    found = fulltext.search(ix, wanted, True, 5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(query_id#\d+L?, (?:phrase_ord|id)", plan)
+    assert {r.query_id: r["count"] for r in found.groupBy("query_id").count().collect()} == dict.fromkeys(range(30), 5)
