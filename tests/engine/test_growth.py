@@ -1,8 +1,14 @@
 """What shows only on large or odd tables: ties, long files, hubs, frequent words."""
 
+import ast
 import re
+from dataclasses import asdict
 
+from spanloom.bridge import Tables
 from spanloom.operators import fulltext, rank
+from spanloom.source_queries import _python
+from spanloom.sources import tree
+from spanloom.sources.extract import extract, python
 
 
 def test_fuse_ties(spark):
@@ -30,3 +36,28 @@ def test_search_is_dealt_by_document(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"hashpartitioning\(query_id#\d+L?, (?:phrase_ord|id)", plan)
     assert {r.query_id: r["count"] for r in found.groupBy("query_id").count().collect()} == dict.fromkeys(range(30), 5)
+
+
+def test_long_python_is_read_by_pieces(monkeypatch):
+    """A class of many members is never one tree, and pieces give what the whole gives; where they can't be told apart the whole is read."""
+    member = "    def f{0}(self, x='é'):\n        return g{0}(x)\n    @d\n    async def h{0}(self): pass\n"
+    long = "import a\nclass B(base()):\n" + "".join(member.format(k) for k in range(300)) + "def last(): return B()\n"
+    odd = "class B:\n" + "".join(f"    s{k} = '''\n    def no(): pass\n'''\n    def f{k}(self): g()\n" for k in range(300))
+    whole = [python.extract(x) for x in (long, odd)]
+    parse, sizes = ast.parse, []
+    monkeypatch.setattr(python, "PIECE", 1000)
+    monkeypatch.setattr(ast, "parse", lambda x: sizes.append(len(x)) or parse(x))
+    assert python.extract(long) == whole[0] and max(sizes) < 2500
+    assert python.extract(odd) == whole[1]
+
+
+def test_long_files_are_dealt(spark):
+    """Files made of rows lie in many tasks, and extraction gives a batch for each file."""
+    files = _python(Tables(spark, "/root/testdata/sf0.001"))
+    held = files.rdd.glom().map(len).collect()
+    assert sum(held) == 25 and len(held) == 4 * spark.sparkContext.defaultParallelism and max(held) <= 6
+    for r in tree.extracted(files).collect():
+        x = extract(r.path, next(f.content for f in files.where(files.path == r.path).collect())) if r.path == "src/b1.py" else None
+        if x:
+            assert [s.asDict() for s in r.symbols] == [{"ord": k} | asdict(s) for k, s in enumerate(x.symbols)]
+            assert [e.asDict() for e in r.raw_edges] == [{"ord": k} | asdict(e) for k, e in enumerate(x.edges)]
