@@ -35,7 +35,8 @@ def _files(t: Tables, path: tuple, head: tuple, each: tuple, tail: tuple) -> Dat
     text = lambda parts: F.concat(F.lit(""), *(p if isinstance(p, Column) else F.lit(p) for p in parts))
     members = F.array_sort(F.collect_list(F.struct(F.col("p_partkey").alias("k"), text(each).alias("x"))))
     whole = t.part.withColumn("n", _n()).groupBy("n").agg(F.array_join(F.transform(members, lambda m: m["x"]), "").alias("body"))
-    return whole.select(text(path).alias("path"), F.concat(text(head), "body", text(tail)).alias("content"))
+    files = whole.select(text(path).alias("path"), F.concat(text(head), "body", text(tail)).alias("content"))
+    return files.repartition(4 * t.spark.sparkContext.defaultParallelism)  # files are few and long: a task has one or two
 
 
 def _symbols(files: DataFrame) -> DataFrame:

@@ -224,21 +224,25 @@ EXTRACTED = "path string, parse_status string, symbols array<struct<ord:int,name
 
 
 def extracted(files: DataFrame) -> DataFrame:
-    """Symbols and raw edges of each file (path, content), one row a file."""
+    """Symbols and raw edges of each file (path, content), one row a file; a task holds those of one file at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from dataclasses import asdict
-
         from .extract import extract
+        from .extract.base import Edge, Symbol
 
         ints = ("ord", "start_line", "end_line", "start_byte", "end_byte")
-        struct = lambda names: pa.list_(pa.struct([(n, pa.int32() if n in ints else pa.string()) for n in names]))
-        schema = pa.schema([("path", pa.string()), ("parse_status", pa.string()), ("symbols", struct(["ord", "name", "kind", "start_line", "end_line", "start_byte", "end_byte", "signature"])), ("raw_edges", struct(["ord", "src_name", "dst_name", "kind", "confidence"]))])
+        kind = lambda n: pa.int32() if n in ints else pa.string()
+
+        def listed(of: type, items: list) -> pa.Array:
+            names = [*of.__dataclass_fields__]
+            columns = [pa.array(range(len(items)), pa.int32()), *(pa.array((getattr(x, n) for x in items), kind(n), size=len(items)) for n in names)]
+            return pa.ListArray.from_arrays(pa.array([0, len(items)], pa.int32()), pa.StructArray.from_arrays(columns, ["ord", *names]))
+
         for batch in batches:
-            rows = []
-            for path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x = extract(path, content or "")
-                rows.append({"path": path, "parse_status": x.status, "symbols": [{"ord": k} | asdict(s) for k, s in enumerate(x.symbols)], "raw_edges": [{"ord": k} | asdict(e) for k, e in enumerate(x.edges)]})
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+            for path, content in zip(*batch.columns, strict=True):
+                x = extract(path.as_py(), content.as_py() or "")
+                found = [pa.array([path.as_py()], pa.string()), pa.array([x.status], pa.string()), listed(Symbol, x.symbols), listed(Edge, x.edges)]
+                del x
+                yield pa.RecordBatch.from_arrays(found, names=["path", "parse_status", "symbols", "raw_edges"])
 
     return files.select("path", "content").mapInArrow(run, EXTRACTED)
