@@ -168,7 +168,8 @@ def _seeds(t: Tables) -> DataFrame:
 
 
 def _distinct_edges(t: Tables) -> DataFrame:
-    return mutate.first_of(t.edges(), ["src", "dst", "kind"], ["ord"])
+    """Each edge once.  Dealt by src, which serves the window and what is joined on src after it."""
+    return mutate.first_of(t.edges().repartition("src"), ["src", "dst", "kind"], ["ord"])
 
 
 _DISTINCT = "e as (select src, dst, kind, arg_min(confidence, ord) as confidence, min(ord) as ord from edges group by src, dst, kind)"

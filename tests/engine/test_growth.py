@@ -61,3 +61,12 @@ def test_long_files_are_dealt(spark):
         if x:
             assert [s.asDict() for s in r.symbols] == [{"ord": k} | asdict(s) for k, s in enumerate(x.symbols)]
             assert [e.asDict() for e in r.raw_edges] == [{"ord": k} | asdict(e) for k, e in enumerate(x.edges)]
+
+
+def test_distinct_edges_are_dealt_once(spark):
+    """Edges are dealt by src for what makes them distinct, and not again for a join on src."""
+    from spanloom.queries import _distinct_edges
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    plan = _distinct_edges(t).join(t.part.selectExpr("p_partkey src").hint("merge"), "src")._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(src#\d+L?, dst", plan) and plan.count("Exchange hashpartitioning") == 2
