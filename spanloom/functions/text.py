@@ -85,8 +85,12 @@ def content_hash(content: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Full-text tokens: runs of letters and digits, lower case, without diacritics; combining accents belong to no letter and cut no token."""
-    bare = F.regexp_replace(F.translate(F.lower(text), _ACCENTS, _PLAIN), r"[\x{300}-\x{36F}]+", "")
+    """Full-text tokens: runs of letters and digits, lower case, without diacritics; combining accents belong to no letter and cut no token.
+
+    A text of as many characters as bytes has no accents, and is not looked through for them.
+    """
+    folded = F.regexp_replace(F.translate(F.lower(text), _ACCENTS, _PLAIN), r"[\x{300}-\x{36F}]+", "")
+    bare = F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(folded)
     return F.regexp_extract_all(bare, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 

@@ -12,6 +12,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -128,7 +130,12 @@ def _kept(files: DataFrame, keep: tuple[list[str], list[str]] | None, key: str,
 
 def _each_once(postings: DataFrame, key: str) -> DataFrame:
     """``postings`` in which documents of one key are one document."""
-    again = postings.where("term = ''").groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_n")).where("_n > 1").select("_key")
+    one = postings.where("term = ''")
+    # hashes of keys are dealt; the keys themselves only where one repeats
+    hashes = one.groupBy(F.xxhash64(key).alias("_hash")).agg(F.count("*").alias("_n")).where("_n > 1").select("_hash")
+    if (hashes := written(hashes, "hashes")).isEmpty():
+        return postings
+    again = one.withColumn("_hash", F.xxhash64(key)).join(hashes, "_hash", "left_semi").groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_n")).where("_n > 1").select("_key")
     if again.isEmpty():
         return postings
     same = F.col(key).eqNullSafe(F.col("_key"))
@@ -183,6 +190,11 @@ def _small(asked: DataFrame) -> DataFrame:
     return F.broadcast(asked) if asked.limit(FEW_ASKED + 1).count() <= FEW_ASKED else asked
 
 
+def _held(asked: DataFrame) -> DataFrame:
+    """``asked``, which is as small as what is asked for, as data of its own."""
+    return asked.sparkSession.createDataFrame(asked.toArrow(), asked.schema)
+
+
 def _by_document(ix: TextIndex, found: DataFrame) -> DataFrame:
     """Hits of a document in one task: what is then grouped by query and document is not shuffled again."""
     n, avgdl = ix.size()
@@ -298,25 +310,52 @@ def first_seen(hits: DataFrame, order: list[str], most: int, key: str = "path")
     return first.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= most).select("query_id", key, "rank")
 
 
+#: Phrases that one number tells of whether they are there.
+BITS = 62
+
+
 def search_expressions(ix: TextIndex, wanted: DataFrame, most: int) -> DataFrame:
     """BM25 hits of expressions: ``wanted`` is what ``phrases`` takes with group, negated, atom and distance; a phrase has a row for each group.
 
     A document answers if it has all atoms of some group and none that the
     group negates; every phrase it has that is not negated adds to its score.
+
+    A phrase is looked up once, however many queries ask for it, and hits are
+    dealt by document before they become rows of queries.  Which phrases of a
+    query a document has is bits of numbers.  Groups that need a phrase which
+    no document has are left out before.
     """
     asked, key = wanted.where("size(toks) > 0"), ix.key
-    once = asked.dropDuplicates(["query_id", "phrase_ord"])
-    everywhere = phrases(ix, once)
-    found = everywhere if wanted.where("distance is not null").isEmpty() else near(everywhere, once, key)
-    # every alternative as the phrases that must be there and, for each atom that must not, one that is only there with it
-    atoms = asked.groupBy("query_id", "group", "atom").agg(F.first("negated").alias("negated"), F.array_sort(F.collect_list("phrase_ord")).alias("leaves"))
-    groups = atoms.groupBy("query_id", "group").agg(F.flatten(F.collect_list(F.when(~F.col("negated"), F.col("leaves")))).alias("need"), F.collect_list(F.when(F.col("negated"), F.col("leaves")[0])).alias("bad"))
-    per_query = groups.where("size(need) > 0").groupBy("query_id").agg(F.collect_list(F.struct("need", "bad")).alias("groups"), F.array_distinct(F.flatten(F.collect_list("need"))).alias("positive"))
+    # NEAR judges phrases by their atom, so its are told apart by query
+    alone = F.when(F.col("distance").isNotNull(), F.struct("query_id", "phrase_ord"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("phrase_ord")) - 1
+    once = asked.dropDuplicates(["query_id", "phrase_ord"]).withColumn("phrase", F.dense_rank().over(Window.orderBy("toks", "prefix", "columns", "first", alone))).withColumn("_at", place)
+    once = once.withColumns({"_word": F.floor(F.col("_at") / BITS).cast("int"), "_bit": F.expr(f"shiftleft(1L, _at % {BITS})")})
+    once = _held(once.select("query_id", "phrase_ord", "toks", "prefix", "columns", "first", "distance", "atom", "phrase", "_word", "_bit"))
+    words = range((once.agg(F.max("_word")).first()[0] or 0) + 1)
+    single = once.dropDuplicates(["phrase"]).select(F.lit(0).alias("query_id"), F.col("phrase").alias("phrase_ord"), "toks", "prefix", "columns", "first", "distance", F.struct("query_id", "atom").alias("atom"))
+    everywhere = phrases(ix, single)
+    found = everywhere if wanted.where("distance is not null").isEmpty() else near(everywhere, single, key)
     n, avgdl = ix.size()
-    df = everywhere.groupBy("query_id", "phrase_ord").agg(F.count("*").alias("df"))
-    weighed = _by_document(ix, found.select("query_id", "phrase_ord", key, _weight(F.col("tf"), F.col("dl"), avgdl).alias("w"))).join(F.broadcast(df), ["query_id", "phrase_ord"])
-    hits = weighed.groupBy("query_id", key).agg(F.collect_list(F.struct("phrase_ord", (_idf(n) * F.col("w")).alias("w"))).alias("hits")).join(F.broadcast(per_query), "query_id")
-    have = F.transform("hits", lambda h: h["phrase_ord"])
-    answers = hits.where(F.exists("groups", lambda g: (F.size(F.array_except(g["need"], have)) == 0) & ~F.arrays_overlap(g["bad"], have)))
-    positive = F.filter(F.array_sort("hits"), lambda h: F.array_contains("positive", h["phrase_ord"]))
-    return best(answers.withColumn("score", -F.aggregate(positive, F.lit(0.0), lambda a, h: a + h["w"])), most, key)
+    df = _held(everywhere.groupBy(F.col("phrase_ord").alias("phrase")).agg(F.count("*").alias("df")))
+
+    # of every alternative the bits of phrases that must be there and, for each atom that must not, of one that is only there with it
+    leaves = asked.select("query_id", "group", "atom", "negated", "phrase_ord").join(once.select("query_id", "phrase_ord", "phrase", "_word", "_bit"), ["query_id", "phrase_ord"]).join(df, "phrase", "left")
+    first = F.row_number().over(Window.partitionBy("query_id", "group", "atom").orderBy("phrase_ord")) == 1
+    bits = lambda what, k: F.coalesce(F.bit_or(F.when(what & (F.col("_word") == k), F.col("_bit"))), F.lit(0).cast("long"))
+    groups = leaves.withColumn("_first", first).groupBy("query_id", "group").agg(
+        F.array(*(bits(~F.col("negated"), k) for k in words)).alias("need"), F.array(*(bits(F.col("negated") & F.col("_first"), k) for k in words)).alias("bad"),
+        F.bool_or(~F.col("negated") & F.col("df").isNull()).alias("lacking"),
+    )
+    groups = groups.where(F.exists("need", lambda x: x != 0))
+    per_query = _held(groups.where("not lacking").groupBy("query_id").agg(F.collect_list(F.struct("need", "bad")).alias("groups")))
+    counted = leaves.join(groups.select("query_id", "group"), ["query_id", "group"], "left_semi").where("not negated").select("query_id", "phrase_ord", F.lit(True).alias("_counts")).distinct()
+    asking = once.join(per_query, "query_id", "left_semi").join(df, "phrase").join(counted, ["query_id", "phrase_ord"], "left").select("query_id", "phrase", "_word", "_bit", F.when(F.col("_counts"), _idf(n)).alias("_idf"))
+    asking = _small(_held(asking))
+
+    hits = found.select(F.col("phrase_ord").alias("phrase"), key, _weight(F.col("tf"), F.col("dl"), avgdl).alias("w"))
+    rows = _by_document(ix, hits.join(F.broadcast(asking.select("phrase").distinct()), "phrase", "left_semi")).join(asking, "phrase")
+    have = [F.bit_or(F.when(F.col("_word") == k, F.col("_bit")).otherwise(F.lit(0).cast("long"))).alias(f"_have{k}") for k in words]
+    summed = rows.groupBy("query_id", key).agg((-F.sum(F.col("_idf") * F.col("w"))).alias("score"), *have).join(_small(per_query), "query_id")
+    fits = lambda g, k: (F.col(f"_have{k}").bitwiseAND(g["need"][k]) == g["need"][k]) & (F.col(f"_have{k}").bitwiseAND(g["bad"][k]) == 0)
+    return best(summed.where(F.exists("groups", lambda g: reduce(and_, (fits(g, k) for k in words)))), most, key)

@@ -30,8 +30,6 @@ DEFAULT_BUDGET = 3000
 
 #: Questions up to which intermediate results go through the driver; more leave them in the shared folder.
 FEW = 64
-#: Terms that one pass over the commits looks for.
-TERMS_A_PASS = 2000
 
 
 @dataclass
@@ -144,12 +142,17 @@ def subject_grams(commits: DataFrame) -> DataFrame:
 
 
 def subject_hits(commits: DataFrame, q: DataFrame, grams: DataFrame | None = None, commits_of: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """(query_id, sha, ord) of commits whose subject has a symbol term of the question, case aside.
+    """(query_id, sha, ord) of commits whose subject has a symbol term of the question, case aside; each once."""
+    return _subject_matches(commits, q, grams, commits_of).distinct()
+
+
+def _subject_matches(commits: DataFrame, q: DataFrame, grams: DataFrame | None = None, commits_of: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``subject_hits``, of which one may be there several times.
 
     With ``grams`` a term's commits are those that have all its pieces, and
     only these are read and held against it.  Terms too short for that, or all
-    where there are no grams, are one array that every commit is held against
-    where it lies; only what matches is shuffled.
+    where there are no grams, go to every task, and every commit is held
+    against them where it lies; only what matches is shuffled.
     """
     asked = [(r[0], t) for r in q.select("query_id", F.transform("symbol_terms", F.lower)).collect() for t in r[1] if t]  # bounded: the questions
     out = commits.select(F.lit(0).alias("query_id"), "sha", "ord").limit(0)
@@ -160,22 +163,22 @@ def subject_hits(commits: DataFrame, q: DataFrame, grams: DataFrame | None = Non
         some = grams.where(F.col("gram").isin(sorted({g for gs in cut.values() for g in gs}))).join(F.broadcast(wanted), "gram").groupBy("term", "sha").agg(F.count("*").alias("n"), F.first("need").alias("need")).where("n = need").select("term", "sha")
         named = local(commits.sparkSession, "query_id int, term string", long)
         read = commits if commits_of is None else commits_of(some.select("sha"))
-        out = some.join(read.select("sha", "subject", "ord"), "sha").where(F.contains(F.lower("subject"), F.col("term"))).join(F.broadcast(named), "term").select("query_id", "sha", "ord").distinct()
-    for k in range(0, len(asked), TERMS_A_PASS):
-        ids, terms = zip(*asked[k : k + TERMS_A_PASS], strict=True)
-        pairs = F.arrays_zip(F.lit([*ids]).alias("id"), F.lit([*terms]).alias("term"))
-        hit = F.filter(pairs, lambda p: F.contains(F.lower("subject"), p["term"]))
-        out = out.unionByName(commits.select(F.explode(F.array_distinct(F.transform(hit, lambda p: p["id"]))).alias("query_id"), "sha", "ord"))
-    return out.distinct() if asked else out
+        out = some.join(read.select("sha", "subject", "ord"), "sha").where(F.contains(F.lower("subject"), F.col("term"))).join(F.broadcast(named), "term").select("query_id", "sha", "ord")
+    if asked:
+        named = local(commits.sparkSession, "query_id int, term string", asked)
+        folded = commits.select("sha", "ord", F.lower("subject").alias("_folded"))
+        out = out.unionByName(folded.join(F.broadcast(named), F.contains("_folded", F.col("term"))).select("query_id", "sha", "ord"))
+    return out
 
 
 def commit_hits(index: Index, q: DataFrame, phrases: DataFrame) -> DataFrame:
     """(query_id, sha, norm, rank): subject matches, then text matches; the former keep the latter's norm, or have 1."""
     keyed = phrases.where(F.col("search_ord") == COMMIT_SEARCH)
     fts = fulltext.search_expressions(index.commit_texts, keyed, CAP_COMMITS).select("query_id", "sha", F.col("rank").alias("fts_rank"))
-    matched = subject_hits(index.commits, q, index.grams, index.commits_of)
-    w = Window.partitionBy("query_id").orderBy("ord")
-    subject = matched.withColumn("subject_rank", F.row_number().over(w)).where(F.col("subject_rank") <= CAP_COMMITS).drop("ord")
+    # equal matches have one rank, so a task leaves out what is beyond the cap before they are told apart
+    matched = _subject_matches(index.commits, q, index.grams, index.commits_of)
+    w = Window.partitionBy("query_id").orderBy("ord", "sha")
+    subject = matched.withColumn("subject_rank", F.dense_rank().over(w)).where(F.col("subject_rank") <= CAP_COMMITS).distinct().drop("ord")
     both = subject.join(fts, ["query_id", "sha"], "full_outer")
     by = Window.partitionBy("query_id").orderBy(F.asc_nulls_last("subject_rank"), "fts_rank")
     norm = F.coalesce(1.0 / F.col("fts_rank"), F.lit(1.0))

@@ -4,8 +4,12 @@ import ast
 import re
 from dataclasses import asdict
 
+from pyspark.sql import functions as F
+
 from spanloom.bridge import Tables
+from spanloom.functions.text import tokens
 from spanloom.operators import fulltext, rank
+from spanloom.plans import context
 from spanloom.source_queries import _python
 from spanloom.sources import tree
 from spanloom.sources.extract import extract, python
@@ -70,3 +74,35 @@ def test_distinct_edges_are_dealt_once(spark):
     t = Tables(spark, "/root/testdata/sf0.001")
     plan = _distinct_edges(t).join(t.part.selectExpr("p_partkey src").hint("merge"), "src")._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"hashpartitioning\(src#\d+L?, dst", plan) and plan.count("Exchange hashpartitioning") == 2
+
+
+def test_commit_hits_are_dealt_by_document(spark):
+    """Words that several questions ask for are shuffled once a commit, and subject matches not before they are cut to the cap."""
+    commits = spark.createDataFrame([(k, f"c{k:04d}", f"urgent change of {k}", "status F" if k % 3 else "") for k in range(300)], "ord long, sha string, subject string, body string")
+    q, phrases = context.planned(spark, [(0, "urgent change", 0), (1, "status change", 0), (2, "URGENT status nosuchword", 0)])
+    ix = fulltext.scanned(commits, phrases, "sha", ("sha", "subject", "body"))
+    found = context.commit_hits(context.Index(None, None, None, None, None, commits, ix), q, phrases)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"WindowGroupLimit \[query_id[^\n]*dense_rank\(ord", plan)
+    assert {r.query_id for r in fulltext.search_expressions(ix, phrases, 5).collect()} == {0, 1}
+    hits = {n: [r.sha for r in found.where(found.query_id == n).orderBy("rank").collect()] for n in range(3)}
+    short, said = [f"c{k:04d}" for k in range(0, 60, 3)], [f"c{k:04d}" for k in range(300) if k % 3][:20]
+    assert hits == {0: short, 1: said, 2: [f"c{k:04d}" for k in range(20)]}
+
+
+def test_many_phrases(spark):
+    """More phrases than one number has bits for: a document must have all, and none of a negated one."""
+    words = [f"w{k:03d}" for k in range(fulltext.BITS * 2 + 3)]
+    files = spark.createDataFrame([("all", " ".join(words)), ("less", " ".join(words[:-1])), ("more", " ".join([*words, "bad"]))], "path string, content string")
+    row = lambda w, negated: (0, w, [w], False, 0, negated, w, None)
+    wanted = spark.createDataFrame([*(row(w, False) for w in words), row("bad", True)], "query_id int, phrase_ord string, toks array<string>, prefix boolean, group int, negated boolean, atom string, distance int").withColumns({"columns": F.lit(None).cast("array<int>"), "first": F.lit(False)})
+    ix = fulltext.scanned(files, wanted)
+    assert [r.path for r in fulltext.search_expressions(ix, wanted, 5).collect()] == ["all"]
+    assert {r.path for r in fulltext.search_expressions(ix, wanted.where("phrase_ord <> 'bad'"), 5).collect()} == {"all", "more"}
+
+
+def test_tokens_of_plain_texts(spark):
+    """Texts without accents take the shorter way to the same tokens."""
+    texts = ["Plain A1_b", "É plain", "e\u0301a Ʋ", "", "İx", None]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in texts], "x string").select(tokens(F.col("x"))).collect()]
+    assert got == [["plain", "a1", "b"], ["e", "plain"], ["ea", "ʋ"], [], ["ix"], None]
