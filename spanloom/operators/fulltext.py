@@ -185,7 +185,7 @@ def _matching(ix: TextIndex, each: DataFrame, asked: list[str]) -> DataFrame:
     return each.where("not begins").unionByName(each.where("begins").withColumnRenamed("term", "_p").join(found, "_p").select(each.columns))
 
 
-def _small(asked: DataFrame) -> DataFrame:
+def small(asked: DataFrame) -> DataFrame:
     """``asked`` for every task, unless it is large."""
     return F.broadcast(asked) if asked.limit(FEW_ASKED + 1).count() <= FEW_ASKED else asked
 
@@ -223,11 +223,11 @@ def phrases(ix: TextIndex, wanted: DataFrame) -> DataFrame:
         for p in asked:
             of = of | F.startswith("term", F.lit(p))
         postings = postings.where(of)
-    single = postings.select(key, "term", F.size("places").cast("long").alias("tf"), "dl").join(_small(named.where(alone).select("query_id", "phrase_ord", "term")), "term")
+    single = postings.select(key, "term", F.size("places").cast("long").alias("tf"), "dl").join(small(named.where(alone).select("query_id", "phrase_ord", "term")), "term")
     single = single.select("query_id", "phrase_ord", key, F.lit(None).cast("array<bigint>").alias("starts"), "tf", "dl")
     if named.where(~alone).isEmpty():
         return single
-    met = postings.join(_small(each), "term").select("query_id", "phrase_ord", "n", "columns", "first", key, "dl", "k", F.transform("places", lambda p: p - F.col("k")).alias("at"))
+    met = postings.join(small(each), "term").select("query_id", "phrase_ord", "n", "columns", "first", key, "dl", "k", F.transform("places", lambda p: p - F.col("k")).alias("at"))
     # a token's places are those of all its terms; a phrase stands where all its tokens' lists agree
     whole = met.groupBy("query_id", "phrase_ord", key).agg(F.collect_list(F.struct("k", "at")).alias("parts"), *(F.first(c).alias(c) for c in ("n", "columns", "first", "dl")))
     places = lambda k: F.flatten(F.transform(F.filter("parts", lambda p: p["k"] == k), lambda p: p["at"]))
@@ -351,11 +351,11 @@ def search_expressions(ix: TextIndex, wanted: DataFrame, most: int) -> DataFrame
     per_query = _held(groups.where("not lacking").groupBy("query_id").agg(F.collect_list(F.struct("need", "bad")).alias("groups")))
     counted = leaves.join(groups.select("query_id", "group"), ["query_id", "group"], "left_semi").where("not negated").select("query_id", "phrase_ord", F.lit(True).alias("_counts")).distinct()
     asking = once.join(per_query, "query_id", "left_semi").join(df, "phrase").join(counted, ["query_id", "phrase_ord"], "left").select("query_id", "phrase", "_word", "_bit", F.when(F.col("_counts"), _idf(n)).alias("_idf"))
-    asking = _small(_held(asking))
+    asking = small(_held(asking))
 
     hits = found.select(F.col("phrase_ord").alias("phrase"), key, _weight(F.col("tf"), F.col("dl"), avgdl).alias("w"))
     rows = _by_document(ix, hits.join(F.broadcast(asking.select("phrase").distinct()), "phrase", "left_semi")).join(asking, "phrase")
     have = [F.bit_or(F.when(F.col("_word") == k, F.col("_bit")).otherwise(F.lit(0).cast("long"))).alias(f"_have{k}") for k in words]
-    summed = rows.groupBy("query_id", key).agg((-F.sum(F.col("_idf") * F.col("w"))).alias("score"), *have).join(_small(per_query), "query_id")
+    summed = rows.groupBy("query_id", key).agg((-F.sum(F.col("_idf") * F.col("w"))).alias("score"), *have).join(small(per_query), "query_id")
     fits = lambda g, k: (F.col(f"_have{k}").bitwiseAND(g["need"][k]) == g["need"][k]) & (F.col(f"_have{k}").bitwiseAND(g["bad"][k]) == 0)
     return best(summed.where(F.exists("groups", lambda g: reduce(and_, (fits(g, k) for k in words)))), most, key)

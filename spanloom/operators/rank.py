@@ -10,10 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 # What each reason for a span adds to its score.
 WEIGHTS = {"exact_symbol": 5.0, "prefix_symbol": 3.0, "path_basename": 3.0, "commit_path": 1.0}
 FTS_WEIGHT, OUTLINE_WEIGHT, HIGH_WEIGHT, LOW_WEIGHT, HINT_WEIGHT, SAME_FILE_WEIGHT = 2.0, 2.0, 1.5, 0.5, 1.0, 1.0
 PER_PATH = 2
+#: Items that one task puts in order.
+ITEMS_A_TASK = 100_000
 
 
 def _together(order: Column) -> list[Column]:
@@ -75,11 +79,34 @@ def first_pass(spans: DataFrame, per_path: int = PER_PATH) -> DataFrame:
     return spans.withColumn("overflow", F.row_number().over(w) > per_path)
 
 
-def within_budget(items: DataFrame, order: list[Column | str]) -> DataFrame:
-    """Adds ``used``, the cost so far, and ``admitted``: items up to the first that would go over ``budget``.
+def dealt(items: DataFrame, order: list[Column | str]) -> tuple[DataFrame, int]:
+    """``items`` with the ``_range`` of the order that each is in, and how many there are; as they are, unless some query has more than a task should hold."""
+    largest, n = items.groupBy("query_id").count().agg(F.max("count"), F.sum("count")).first()
+    if (largest or 0) <= ITEMS_A_TASK:
+        return items, 1
+    parts = max(items.sparkSession.sparkContext.defaultParallelism, -(-n // ITEMS_A_TASK))
+    # written, for a second drawing of the ranges' borders might give others
+    return written(items.repartitionByRange(parts, "query_id", *order).withColumn("_range", F.spark_partition_id()), "ranges"), parts
+
+
+def within_budget(items: DataFrame, order: list[Column | str], parts: int = 1) -> DataFrame:
+    """Adds ``pos``, ``used``, the cost so far, and ``admitted``: items up to the first that would go over ``budget``.
+
+    Costs are not negative, so the running sum passes the budget once and for
+    all; comparing it is the same as stopping there.
 
-    Costs are positive, so the running sum passes the budget once and for all;
-    comparing it is the same as stopping there.
+    Items that are ``dealt`` by ranges of the order are summed range by range,
+    and what the ranges before one come to is added, so no task holds all items
+    of a query.
     """
-    w = Window.partitionBy("query_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return items.withColumn("used", F.sum("cost").over(w)).withColumn("admitted", F.col("used") <= F.col("budget"))
+    of = ["query_id"] if parts == 1 else ["query_id", "_range"]
+    w = Window.partitionBy(*of).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = (items if parts == 1 else items.repartition(parts, *of)).withColumns({"used": F.sum("cost").over(w), "pos": F.row_number().over(w)})
+    if parts > 1:
+        summed = written(summed, "sums")
+        before = Window.partitionBy("query_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+        totals = summed.groupBy(*of).agg(F.max("used").alias("_cost"), F.max("pos").alias("_n"))
+        totals = totals.sparkSession.createDataFrame(totals.toArrow(), totals.schema)  # bounded: a row for each range and each query
+        offsets = totals.select(*of, *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("_cost", "_n")))
+        summed = summed.join(F.broadcast(offsets), of).withColumns({"used": F.col("used") + F.col("_cost"), "pos": (F.col("pos") + F.col("_n")).cast("int")}).drop("_range", "_cost", "_n")
+    return summed.withColumn("admitted", F.col("used") <= F.col("budget"))

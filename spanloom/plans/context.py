@@ -314,18 +314,26 @@ def filled(found: DataFrame, index: Index, q: DataFrame) -> DataFrame:
     Costs grow along the order, so comparing the running sum with the budget is
     the same as stopping at the first span that does not fit.
     """
-    quoted = found.where("path not like 'git://%'").select("path").distinct()
-    live = index.live(quoted).select("path", F.col("hash").alias("live_hash"), "content")
+    order = [F.col("overflow").asc(), F.desc("score"), F.asc("path"), F.asc("start_line")]
+    found, parts = rank.dealt(found, order)
+    at_git = F.coalesce(F.startswith("path", F.lit("git://")), F.lit(False))
+    spans, commits = found.where(~at_git), found.where(at_git)
+    live = index.live(spans.select("path").distinct()).select("path", F.col("hash").alias("live_hash"), "content")
     stored = index.files.select("path", F.col("hash").alias("stored_hash"))
-    rows = found.join(q.select("query_id", "budget"), "query_id").join(stored, "path", "left").join(live, "path", "left")
-    commit = F.startswith("path", F.lit("git://"))
+    rows = spans.join(stored, "path", "left").join(live, "path", "left")
     fresh = F.coalesce(F.col("stored_hash") == F.col("live_hash"), F.lit(False)) & F.col("content").isNotNull()
-    text = F.when(commit, F.coalesce("prequoted", F.lit(""))).when(fresh, T.line_slice(F.col("content"), F.col("start_line"), F.col("end_line")))
-    rows = rows.withColumn("text", text).withColumn("state", F.when(F.col("text").isNull(), "stale").when(F.col("text") == "", "empty").otherwise("item"))
+    text = F.when(fresh, T.line_slice(F.col("content"), F.col("start_line"), F.col("end_line")))
+    rows = rows.withColumn("text", text).drop("content", "live_hash", "stored_hash", "prequoted")
+    rows = rows.unionByName(commits.withColumn("text", F.coalesce("prequoted", F.lit(""))).drop("prequoted")).join(q.select("query_id", "budget"), "query_id")
+    rows = rows.withColumn("state", F.when(F.col("text").isNull(), "stale").when(F.col("text") == "", "empty").otherwise("item"))
     rows = rows.withColumn("cost", F.when(F.col("state") == "item", T.token_cost(F.col("text"))).otherwise(0))
-    first = F.sum(F.when(~F.col("overflow"), F.col("cost"))).over(Window.partitionBy("query_id"))
-    rows = rows.withColumn("_first", first).where("not overflow or _first <> budget").drop("_first", "content", "live_hash", "stored_hash", "prequoted")
-    order = [F.col("overflow").asc(), F.desc("score"), F.asc("path"), F.asc("start_line")]
-    out = rank.within_budget(rows, order)
+    first = F.sum(F.when(F.col("overflow"), 0).otherwise(F.col("cost")))
+    out = rank.within_budget(rows, order, parts)
+    # what overflows is last in the order, so without it the sums of the others are the same
+    if parts == 1:
+        out = out.withColumn("_first", first.over(Window.partitionBy("query_id")))
+    else:
+        out = out.join(F.broadcast(out.groupBy("query_id").agg(first.alias("_first"))), "query_id")
+    out = out.where("not overflow or _first <> budget").drop("_first")
     last = F.least(F.col("end_line"), F.greatest("start_line", F.lit(1)) + F.size(T.lines(F.col("text"))) - 1)
-    return out.withColumn("end_line", F.when((F.col("state") == "item") & ~commit, last).otherwise(F.col("end_line"))).withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+    return out.withColumn("end_line", F.when((F.col("state") == "item") & ~at_git, last).otherwise(F.col("end_line")))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import pack
+from ..operators.fulltext import small
 from ..storage import written
 from . import context
 from .context import Index, Keep, kept
@@ -25,16 +26,23 @@ def edges_shown(rows: DataFrame, followed: DataFrame, symbols: DataFrame) -> Dat
     """(query_id, shown): edges, in order and each once, among the symbols that a question's admitted ``rows`` quote."""
     items = rows.where("admitted and state = 'item' and symbol is not null").select("query_id", F.concat("path", F.lit(":"), "symbol").alias("item")).distinct()
     named = symbols.select("symbol_id", F.concat("path", F.lit(":"), "name").alias("item")).join(items.select("item").distinct(), "item", "left_semi")
+    named = small(written(named, "named"))  # what is quoted: few, so edges are met where they lie
     side = lambda i, c: named.select(F.col("symbol_id").alias(i), F.col("item").alias(c))
     among = pack.edges_among(items, followed.join(side("src", "from"), "src").join(side("dst", "to"), "dst"))
     listed = F.array_sort(F.collect_list(F.struct("ord", "from", "to", "kind", "confidence")))
     return among.groupBy("query_id").agg(F.transform(listed, lambda e: F.struct(e["from"].alias("from"), e["to"].alias("to"), e["kind"].alias("kind"), e["confidence"].alias("confidence"))).alias("shown"))
 
 
+def quoted(rows: DataFrame) -> DataFrame:
+    """What packages are made of: of spans that are not quoted only what is counted."""
+    item = F.col("admitted") & (F.col("state") == "item")
+    return rows.select("query_id", "pos", "path", "state", "cost", "admitted", *(F.when(item, F.col(c)).alias(c) for c in ("start_line", "end_line", "symbol", "kind", "why", "text")))
+
+
 def assembled(q: DataFrame, rows: DataFrame, shown: DataFrame, considered: DataFrame, git_status: Column | str = "absent") -> DataFrame:
     """One package for each question of ``q`` (query_id, query, budget).
 
-    ``rows``: what ``context.filled`` gives.  ``shown``: (query_id, shown).
+    ``rows``: what ``context.filled`` gives, ``quoted``.  ``shown``: (query_id, shown).
     ``considered``: (query_id, symbols, commits), counts to be summed.  Questions
     that nothing was found for have packages without items.
     """
@@ -57,8 +65,7 @@ def packages(index: Index, q: DataFrame, phrases: DataFrame, git_status: str = "
     """The packages of planned questions, all of them one plan."""
     spans, followed, counts, commits = context.candidate_spans(index, q, phrases, keep)
     found = keep(context.ranked(spans, commits, q, keep))
-    columns = ["query_id", "pos", "path", "start_line", "end_line", "symbol", "kind", "why", "state", "cost", "admitted", F.when(F.col("admitted") & (F.col("state") == "item"), F.col("text")).alias("text")]
-    rows = keep(context.filled(found, index, q).select(*columns))
+    rows = keep(quoted(context.filled(found, index, q)))
     zero = F.lit(0).cast("long")
     considered = counts.select("query_id", F.col("symbols_considered").alias("symbols"), zero.alias("commits")).unionByName(commits.groupBy("query_id").agg(F.count("*").alias("commits")).withColumn("symbols", zero))
     return assembled(q, rows, edges_shown(rows, followed, index.symbols), considered, git_status)

@@ -497,7 +497,8 @@ def top2_per_path(t: Tables) -> DataFrame:
 run as (select *, sum(cost) over (partition by query_id order by turn) as used from items) select query_id, turn, cost, used, used <= 150 as admitted from run""")
 def budget_prefix_sum(t: Tables) -> DataFrame:
     items = t.conversations.select(F.col("conv_id").alias("query_id"), "turn", T.token_cost(F.col("text")).alias("cost"), F.lit(150).alias("budget"))
-    return rank.within_budget(items, ["turn"]).select("query_id", "turn", "cost", "used", "admitted")
+    items, parts = rank.dealt(items, ["turn"])
+    return rank.within_budget(items, ["turn"], parts).select("query_id", "turn", "cost", "used", "admitted")
 
 
 _FILLED = f"""with {FILES}, lined as (select *, case when content = '' then [] else string_split(regexp_replace(replace(content, chr(13) || chr(10), chr(10)), '\n$', ''), chr(10)) end as lines from files),
@@ -564,7 +565,7 @@ packed as (select * from sized where json_bytes <= 16384 or k = 0 qualify row_nu
   coalesce((select string_agg("from" || '>' || "to" || ':' || kind || ':' || confidence, ',' order by ord, "from", "to", kind) from shown e where e.query_id = p.query_id and e.k <= p.k), '') as edges from packed p""")
 def package_assembly(t: Tables) -> DataFrame:
     """The packages of seven questions from their filled spans, with edges among all that they quote, under the size limit."""
-    filled = written(_filled(t, 1000), "filled")
+    filled = written(packages.quoted(_filled(t, 1000)), "filled")
     line, k = F.col("l_orderkey") % 7, F.col("doc_id")
     followed = t.lineitem.select(line.cast("int").alias("query_id"), (F.col("l_partkey") * 7 + line).alias("src"), (F.col("l_suppkey") * 7 + line).alias("dst"), F.col("l_returnflag").alias("kind"), F.when(F.col("l_linestatus") == "F", "high").otherwise("low").alias("confidence"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"))
     symbols = t.files().where(k % 2 == 0).select(k.alias("symbol_id"), "path", F.concat(F.lit("s"), k % 40).alias("name"))

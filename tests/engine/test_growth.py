@@ -106,3 +106,28 @@ def test_tokens_of_plain_texts(spark):
     texts = ["Plain A1_b", "É plain", "e\u0301a Ʋ", "", "İx", None]
     got = [r[0] for r in spark.createDataFrame([(x,) for x in texts], "x string").select(tokens(F.col("x"))).collect()]
     assert got == [["plain", "a1", "b"], ["e", "plain"], ["ea", "ʋ"], [], ["ix"], None]
+
+
+def test_budget_by_ranges(spark, monkeypatch):
+    """Items of one query in many ranges have the places and sums that one task gives them, and no task holds them all."""
+    items = spark.range(3000).selectExpr("cast(id % 2 as int) as query_id", "id * 7919 % 3001 as k", "id % 5 = 0 as low", "cast(id % 7 as int) as cost", "2000 as budget")
+    order = [F.asc("low"), F.desc("k")]
+    whole = rank.within_budget(items, order)
+    assert rank.dealt(items, order)[1] == 1
+    monkeypatch.setattr(rank, "ITEMS_A_TASK", 100)
+    ranges, parts = rank.dealt(items, order)
+    assert parts == 30 and ranges.groupBy("query_id", "_range").count().agg(F.max("count")).first()[0] < 300
+    dealt = rank.within_budget(ranges, order, parts)
+    assert set(dealt.dtypes) == set(whole.dtypes)
+    columns = ["query_id", "pos", "k", "used", "admitted"]
+    assert sorted(dealt.select(columns).collect()) == sorted(whole.select(columns).collect())
+
+
+def test_packages_by_ranges(spark, monkeypatch):
+    """Packages from spans that are dealt are those that one task for each question makes."""
+    from spanloom.queries import QUERIES
+
+    small = {name: sorted(map(str, QUERIES[name](spark, "/root/testdata/sf0.001").collect())) for name in ("package_assembly", "filled_budget")}
+    monkeypatch.setattr(rank, "ITEMS_A_TASK", 50)
+    for name, rows in small.items():
+        assert sorted(map(str, QUERIES[name](spark, "/root/testdata/sf0.001").collect())) == rows
